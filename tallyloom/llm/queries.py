@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, urls
+from . import sharding, simhash, urls
 from .common import table
 
 
@@ -10,11 +10,15 @@ def op3_minimax_shards(spark, sf_dir):
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_variants(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_shards, op9_url_rules)}
+QUERIES = {f.__name__: f for f in (op3_minimax_shards, op8_simhash_variants, op9_url_rules)}
 
 ORACLE_SQL = {}
 
