@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash, urls
+from . import sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -18,7 +18,12 @@ def op9_url_rules(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_shards, op8_simhash_variants, op9_url_rules)}
+def op10_ordinal_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_minimax_shards, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
