@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash, toxicity, urls
+from . import decontam, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op3_minimax_shards(spark, sf_dir):
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_winnowing_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_variants(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_shards, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_minimax_shards, op5_winnowing_decontamination, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
@@ -40,3 +44,21 @@ SELECT page_id, host, path,
   coalesce((SELECT arg_max(v, length(h || p)) FROM rules WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)), 'allow') AS verdict
 FROM urls
 """
+
+ORACLE_SQL["op5_winnowing_decontamination"] = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS words
+  FROM item_words, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(i) WHERE len(w) > 0),
+doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
+  FROM doc_words, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS r(i)),
+hits AS (SELECT doc_id, item_id, p.n, i FROM places p JOIN windows b ON p.n = b.n AND p.words = b.words),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(n)) AS r(k) GROUP BY doc_id),
+matched AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
+"""
