@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, sharding, simhash, toxicity, urls
+from . import decontam, mixing, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_winnowing_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_cube_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_variants(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_shards, op5_winnowing_decontamination, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_minimax_shards, op5_winnowing_decontamination, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
