@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, simhash, toxicity, urls
+from . import decontam, mixing, quantised, sharding, simhash, toxicity, urls
 from .common import table
 
 
+def op2_product_quantised_dedup(spark, sf_dir):
+    return quantised.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minimax_shards(spark, sf_dir):
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_shards, op5_winnowing_decontamination, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_product_quantised_dedup, op3_minimax_shards, op5_winnowing_decontamination, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
