@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quantised, sharding, simhash, toxicity, urls
+from pyspark.sql import functions as F
+
+from . import decontam, mixing, quantised, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 
+def op1_warc_derivatives(spark, sf_dir):
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), carry="page_id").withColumn("block", F.col("block").cast("string"))
+
+
 def op2_product_quantised_dedup(spark, sf_dir):
     return quantised.embedding_groups(table(spark, sf_dir, "embeddings"))
 
@@ -35,7 +41,7 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_product_quantised_dedup, op3_minimax_shards, op5_winnowing_decontamination, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op5_winnowing_decontamination, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
