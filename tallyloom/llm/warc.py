@@ -161,7 +161,8 @@ def derive(records: DataFrame, carry: str | None = None) -> DataFrame:
     Ids derive from the source's, so reruns and repeated records give equal records. Records of
     other types give none; null blocks are empty and give a metadata record alone; an empty table
     gives no rows. Needs the columns of RECORD; others are ignored, but for a long column `carry`
-    that derived records take over. One pass, without a shuffle."""    made = DERIVED + (f", {carry} long" if carry else "")
+    that derived records take over. One pass, without a shuffle."""
+    made = DERIVED + (f", {carry} long" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in made.split(", ")])
