@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quantised, sharding, simhash, toxicity, urls, warc
+from . import decontam, mixing, quantised, sharding, simhash, tokens, toxicity, urls, warc
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op5_winnowing_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_files(spark, sf_dir, tokenizer=None):
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op7_cube_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op5_winnowing_decontamination, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
