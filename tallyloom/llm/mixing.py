@@ -17,7 +17,7 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this, so no source gets more than this times its size.
 REPEATS = 3
 #: Documents balanced together, about.
-CHUNK = 20_000
+CHUNK = 2_000
 _EDGE = 1e-9
 
 
