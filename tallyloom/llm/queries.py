@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quantised, sharding, simhash, tokens, toxicity, urls, warc
+from . import decontam, mixing, quantised, sharding, simhash, substrings, tokens, toxicity, urls, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_minimax_shards(spark, sf_dir):
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_bucket_pointer_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_winnowing_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op4_bucket_pointer_dedup, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
 
 ORACLE_SQL = {}
 
