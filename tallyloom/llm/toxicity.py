@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .words import LETTERS, mixed, slices, spans_hash
@@ -201,13 +202,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, featu
     return Ordinal(words, weights, cuts)
 
 
-def grade_toxicity(docs: DataFrame, model: Ordinal, threshold: float = REJECT, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def grade_toxicity(docs: DataFrame, model: Ordinal, threshold: float = REJECT, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """Expected severity of every row's whole text, its most likely grade, and whether it is
     `toxic`: expected severity of at least `threshold`.
 
     Null, empty and wordless texts have the severity that the thresholds alone give. Repeated rows
     and ids each keep their row; an empty table gives no rows. Returns (id, severity, grade,
-    toxic), or with `keep` the columns of `docs` and `_toxic`, whatever they are called."""
+    toxic), or all columns of `docs` and `toxic` under the name `keep`."""
 
     rough = np.zeros(1 << 16, bool)
     rough[model.words & (len(rough) - 1)] = True
@@ -226,11 +227,11 @@ def grade_toxicity(docs: DataFrame, model: Ordinal, threshold: float = REJECT, i
             severity = judge(batch)
             toxic = pa.array(severity >= threshold)
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, toxic], [*batch.schema.names, "_toxic"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, toxic], [*batch.schema.names, keep])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.round(severity, 6)), pa.array(np.round(severity).astype(np.int32)), toxic], [id_col, "severity", "grade", "toxic"])
 
     if keep:
-        return docs.mapInArrow(run, docs.schema.add("_toxic", "boolean") if "_toxic" not in docs.columns else docs.schema)
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())]))
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, severity double, grade int, toxic boolean")
