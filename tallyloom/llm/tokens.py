@@ -6,6 +6,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ MAGIC, SUFFIX = b"PFOR0001", ".pfor"
 #: Ids in a block, the share of them that the packed width must hold, and ids in a file, about.
 BLOCK, SHARE, FILE_IDS = 128, 0.9, 1 << 21
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<8sqqqqq")
 
 
@@ -88,6 +89,20 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return (rest + least[first:last, None]).ravel()[: max(0, total - first * BLOCK)]
 
 
+class _Known(dict):
+    """Numbers of pieces in the order they first come; `new` are those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        number = len(self)
+        self[piece] = number
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library that drops white space.
 
@@ -104,21 +119,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
         self.starts, self.flat, self.used, self.held = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32), 0, 0
-        self._remember([b""], [[self.end]])  # no piece is empty
+        self.known[b""] = 0  # no piece is empty
+        self._remember([[self.end]])
 
-    def _remember(self, pieces: list[bytes], ids: list[list[int]]) -> None:
+    def _remember(self, ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         n, m = self.used + len(ids), self.held + int(lengths.sum())
         if n + 1 > len(self.starts):
             self.starts = np.resize(self.starts, 2 * (n + 1))
         if m > len(self.flat):
             self.flat = np.resize(self.flat, 2 * m)
-        self.flat[self.held : m] = np.fromiter((i for one in ids for i in one), np.uint32, m - self.held)
+        self.flat[self.held : m] = np.fromiter(chain.from_iterable(ids), np.uint32, m - self.held)
         self.starts[self.used] = self.held
         self.starts[self.used + 1 : n + 1] = self.held + np.cumsum(lengths)
-        self.known.update(zip(pieces, range(self.used, n), strict=True))
         self.used, self.held = n, m
 
     def _encoded(self, texts: list[bytes]) -> list[list[int]]:
@@ -128,26 +143,20 @@ class Encoder:
         """(all ids, with an end id after each text; number of ids of each text)."""
         if self.used > REMEMBERED:
             self._forget()
-        pieces, counts, whole = [], np.zeros(len(texts), np.int64), []
+        pieces, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             text = text or b""
             if b"<|" in text:
-                whole.append(i)
-                found = [text]  # may hold white space, as no piece does
+                found = [text]
             else:
                 found = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
             pieces += found
             pieces.append(b"")
             counts[i] = len(found) + 1
-        at = list(map(self.known.get, pieces))
-        missing = list(dict.fromkeys(p for p, k in zip(pieces, at, strict=True) if k is None))
-        if missing:
-            self._remember(missing, self._encoded(missing))
-            known = self.known
-            at = [known[p] if k is None else k for p, k in zip(pieces, at, strict=True)]
-        for i in whole:
-            self.known.pop(texts[i], None)
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.new:
+            self._remember(self._encoded(self.known.new))
+            self.known.new = []
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
