@@ -64,12 +64,13 @@ class Group:
                 new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
                 heads = np.flatnonzero(new)
                 counts = np.diff(np.append(heads, len(starts)))
-                parts.append((hashes[least[heads]], row[heads] + first_doc, starts[heads] + base, counts))
+                around = spans_hash(_BYTES[data], starts[heads], starts[heads] + counts + length - 1, 6)
+                parts.append((hashes[least[heads]], row[heads] + first_doc, starts[heads] + base, counts, around))
             base, first_doc = base + len(data), first_doc + len(offsets) - 1
         self.data = np.concatenate(buffers) if buffers else np.zeros(0, np.uint8)
         self.bounds = np.concatenate(bounds)
-        kinds = (np.uint64, np.int64, np.int64, np.int64)
-        self.hash, self.row, self.start, self.count = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k in range(4))
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64)
+        self.hash, self.row, self.start, self.count, self.around = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k in range(5))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(the distinct gram hashes, sorted; whether documents with different ids have it)."""
@@ -83,13 +84,12 @@ class Group:
         """Forget occurrences of other grams."""
         at = np.minimum(np.searchsorted(hashes, self.hash), max(0, len(hashes) - 1))
         some = hashes[at] == self.hash if len(hashes) else np.zeros(len(self.hash), bool)
-        self.hash, self.row, self.start, self.count = (x[some] for x in (self.hash, self.row, self.start, self.count))
+        self.hash, self.row, self.start, self.count, self.around = (x[some] for x in (self.hash, self.row, self.start, self.count, self.around))
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts (gram with the bytes its strings cover), in an order that depends on them
         alone: (context of each occurrence, an occurrence of each, least document id of each)."""
-        around = spans_hash(_BYTES[self.data], self.start, self.start + self.count + self.length - 1, 6)
-        ids = self.ids[self.row]
+        ids, around = self.ids[self.row], self.around
         order = np.lexsort((ids, around, self.hash))
         new = np.ones(len(order), bool)
         new[1:] = (self.hash[order][1:] != self.hash[order][:-1]) | (around[order][1:] != around[order][:-1])
@@ -165,6 +165,12 @@ def _selected(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts:
     return group
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after another."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def _contexts(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: int) -> pa.Table:
     """Of a group the distinct contexts of shared grams, by part: gram, least document, bytes."""
     empty = {"g": pa.int32(), "p": pa.int32(), "grams": pa.binary(), "docs": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}
@@ -175,15 +181,13 @@ def _contexts(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts:
     hashes, sizes = group.hash[sample], group.count[sample] + length - 1
     part = _part(hashes, parts)
     order = np.argsort(part, kind="stable")
-    ends = np.cumsum(sizes[order])
-    flat = group.data[np.repeat(group.start[sample][order] - (ends - sizes[order]), sizes[order]) + np.arange(int(ends[-1]) if len(ends) else 0)]
     names, heads = np.unique(part[order], return_index=True)
-    lasts, edges = np.append(heads[1:], len(order)), np.concatenate([[0], ends])
+    lasts, starts = np.append(heads[1:], len(order)), group.start[sample]
     pick = lambda values, kind: pa.array([values[order[a:b]].astype(kind).tobytes() for a, b in zip(heads, lasts, strict=True)], pa.binary())
     return pa.table({
         "g": pa.array(np.full(len(names), docs.column("g")[0].as_py(), np.int32)), "p": pa.array(names.astype(np.int32)),
         "grams": pick(hashes, np.uint64), "docs": pick(least, np.int64), "sizes": pick(sizes, np.uint16),
-        "bytes": pa.array([flat[edges[a] : edges[b]].tobytes() for a, b in zip(heads, lasts, strict=True)], pa.binary()),
+        "bytes": pa.array([_gathered(group.data, starts[order[a:b]], sizes[order[a:b]]).tobytes() for a, b in zip(heads, lasts, strict=True)], pa.binary()),
     })
 
 
@@ -231,7 +235,7 @@ def _judged(blobs: pa.Table, length: int) -> pa.Table:
         last = int(np.searchsorted(gram[order], gram[order[last - 1]], "right"))
         some = order[at:last]
         ends = np.cumsum(size[some])
-        flat = data[np.repeat(starts[some] - (ends - size[some]), size[some]) + np.arange(int(ends[-1]))]
+        flat = _gathered(data, starts[some], size[some])
         strings = size[some] - length + 1
         which = np.repeat(np.arange(len(some)), strings)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(strings) - strings, strings)
@@ -267,7 +271,7 @@ def _removed(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: i
         gone = (nth < group.count) & (later | (masks[which] >> np.uint32(nth) & np.uint32(1)).astype(bool))
         np.add.at(edges, group.start[gone] + nth, 1)
         np.add.at(edges, group.start[gone] + nth + length, -1)
-    covered = np.cumsum(edges[:-1]) > 0
+    covered = np.cumsum(edges[:-1], dtype=np.int32) > 0
     begins = covered.copy()
     begins[1:] &= ~covered[:-1]
     inner = group.bounds[:-1][group.bounds[:-1] < len(covered)]
@@ -300,8 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     go back to the groups, which cut their texts. A passage that very many documents share is sent
     once by each group, not by each document."""
     spark = docs.sparkSession
-    groups = partitions(spark)
-    parts = 2 * groups
+    groups = parts = 2 * partitions(spark)
     if not 8 <= gram <= length or length - gram >= 32:
         raise ValueError("a gram has 8 bytes at least and 31 less than the string at most")
     folder, name = files.shared_folder(spark, "texts"), f"texts_{uuid.uuid4().hex}"
