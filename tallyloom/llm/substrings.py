@@ -12,157 +12,226 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import cut, partitions
-from .words import mixed, slices, spans_hash
+from .words import slices, spans_hash
 
 #: Bytes of a repeated string, and of the grams whose least hash stands for it.
 LENGTH, GRAM = 50, 24
-#: Positions whose buckets are refined together, about.
-POSITIONS = 1 << 20
+#: Positions whose buckets are refined together, about, and bytes whose grams are hashed together.
+POSITIONS, PIECE = 1 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
+#: What the groups are told about a context: an earlier group has it; earlier groups have its gram in
+#: other contexts; later groups need its bytes.
+ALL, PARTLY, NEEDED = 1, 2, 3
 _BYTES = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ROOT = int(np.random.default_rng(42).integers(1 << 62, 1 << 63)) | 1
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _gram_hashes(data: np.ndarray, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash of the `gram` bytes from each place on."""
+    up, down = powers
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    hashes = total[gram:] - total[:-gram]
+    hashes *= down[: len(hashes)]
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= np.uint64(0x9E3779B97F4A7C15)
+    return hashes
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the root and of its inverse modulo 2^64."""
+    made = []
+    for root in (_ROOT, pow(_ROOT, -1, 1 << 64)):
+        power = np.full(n, root, np.uint64)
+        power[:1] = 1
+        made.append(np.cumprod(power, dtype=np.uint64))
+    return made[0], made[1]
 
 
 def _least_at(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each run of `window` hashes the place of the least, the first of equals."""
-    place = np.arange(len(hashes), dtype=np.int32)
-    if len(hashes) < window:
-        return place[:0]
-    value, width = hashes, 1
+    """For each run of `window` hashes the place of the least by its upper half, the first of equals."""
+    value = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
     while width < window:
         step = min(width, window - width)
-        take = value[step:] < value[: len(value) - step]
-        value = np.where(take, value[step:], value[: len(value) - step])
-        place = np.where(take, place[step:], place[: len(place) - step])
+        value = np.minimum(value[step:], value[:-step])
         width += step
-    return place
+    return (value & _LOW).astype(np.int64)
 
 
 class Group:
-    """Some documents, the grams that stand for their strings, and the bytes around them.
+    """Some documents, the grams that stand for their strings, and the contexts of these.
 
     Each string of `length` bytes is assigned to the least of its gram hashes, so equal strings
-    are assigned to equal grams; a gram with a run of strings around it is an occurrence."""
+    are assigned to equal grams. An occurrence is a gram with a run of strings; its context are the
+    bytes that the strings cover. A gram is known by its part, and 40 bits of its hash."""
 
-    def __init__(self, docs: pa.Table, length: int, gram: int):
+    def __init__(self, docs: pa.Table, length: int, gram: int, parts: int):
+        self.group, self.length = docs.column("g")[0].as_py(), length
         ids = docs.column("_id").combine_chunks()
-        self.ids = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
-        self.length, parts, buffers, base, first_doc = length, [], [], 0, 0
+        self.ids = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+        found, pieces, base, first_row, powers = [], [], 0, 0, _powers(2 * PIECE)
         bounds = [np.zeros(1, np.int64)]
-        for _, _, data, offsets in slices(docs.column("_text")):
-            buffers.append(data)
+        for _, _, data, offsets in slices(docs.column("_text"), PIECE):
+            pieces.append(data)
             bounds.append(offsets[1:] + base)
             if len(data) >= length:
-                at = np.arange(len(data) - gram + 1)
-                hashes = spans_hash(_BYTES[data], at, at + gram, 5)
+                if len(data) > len(powers[0]):
+                    powers = _powers(len(data))
+                hashes = _gram_hashes(data, gram, powers)
                 least = _least_at(hashes, length - gram + 1)
-                starts = np.arange(len(least))
-                row = np.searchsorted(offsets, starts, "right") - 1
-                starts = starts[offsets[1:][row] - starts >= length]
-                least, row = least[starts], row[starts]
-                new = np.ones(len(starts), bool)
-                new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-                heads = np.flatnonzero(new)
-                counts = np.diff(np.append(heads, len(starts)))
-                around = spans_hash(_BYTES[data], starts[heads], starts[heads] + counts + length - 1, 6)
-                parts.append((hashes[least[heads]], row[heads] + first_doc, starts[heads] + base, counts, around))
-            base, first_doc = base + len(data), first_doc + len(offsets) - 1
-        self.data = np.concatenate(buffers) if buffers else np.zeros(0, np.uint8)
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    least[max(a, b - length + 1) : b] = -1  # strings that would run into the next document
+                heads = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+                counts = np.diff(np.append(heads, len(least)))
+                real = least[heads] >= 0
+                heads, counts = heads[real], counts[real]
+                hashed = hashes[least[heads]]
+                tags = (hashed % np.uint64(parts) << np.uint64(40)) | (hashed >> np.uint64(24))
+                around = spans_hash(_BYTES[data], heads, heads + counts + length - 1, 6)
+                found.append((tags, around, np.searchsorted(offsets, heads, "right") - 1 + first_row, heads + base, counts))
+            base, first_row = base + len(data), first_row + len(offsets) - 1
+        self.data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
         self.bounds = np.concatenate(bounds)
-        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64)
-        self.hash, self.row, self.start, self.count, self.around = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k in range(5))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(the distinct gram hashes, sorted; whether documents with different ids have it)."""
-        order = np.lexsort((self.ids[self.row], self.hash))
-        hashes, ids = self.hash[order], self.ids[self.row[order]]
-        heads = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, int)
-        lasts = np.append(heads[1:], len(hashes)) - 1 if len(heads) else heads
-        return hashes[heads], ids[heads] != ids[lasts]
-
-    def keep(self, hashes: np.ndarray) -> None:
-        """Forget occurrences of other grams."""
-        at = np.minimum(np.searchsorted(hashes, self.hash), max(0, len(hashes) - 1))
-        some = hashes[at] == self.hash if len(hashes) else np.zeros(len(self.hash), bool)
-        self.hash, self.row, self.start, self.count, self.around = (x[some] for x in (self.hash, self.row, self.start, self.count, self.around))
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
+        self.gram, self.around, self.row, self.start, self.count = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kinds[k]) for k in range(5))
+
+    def grams(self) -> np.ndarray:
+        return np.unique(self.gram)
+
+    def keep(self, some: np.ndarray) -> None:
+        self.gram, self.around, self.row, self.start, self.count = (x[some] for x in (self.gram, self.around, self.row, self.start, self.count))
+
+    def keep_grams(self, grams: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(grams, self.gram), max(0, len(grams) - 1))
+        self.keep(grams[at] == self.gram if len(grams) else np.zeros(len(self.gram), bool))
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts (gram with the bytes its strings cover), in an order that depends on them
-        alone: (context of each occurrence, an occurrence of each, least document id of each)."""
-        ids, around = self.ids[self.row], self.around
-        order = np.lexsort((ids, around, self.hash))
+        """(context of each occurrence, an occurrence of each context, the least id that has it), the
+        contexts in an order that depends on them alone."""
+        ids = self.ids[self.row]
+        order = np.lexsort((ids, self.around, self.gram))
+        gram, around = self.gram[order], self.around[order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.hash[order][1:] != self.hash[order][:-1]) | (around[order][1:] != around[order][:-1])
+        new[1:] = (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         return which, order[new], ids[order][new]
 
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(hashes) % np.uint64(parts)).astype(np.int64)
+def _by_part(grams: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, last) of the parts of sorted grams."""
+    names, heads = np.unique(grams >> np.uint64(40), return_index=True)
+    return list(zip(names.astype(int).tolist(), heads.tolist(), [*heads[1:].tolist(), len(grams)], strict=True))
+
 
+def _packed(grams: np.ndarray) -> bytes:
+    """40 bits of sorted grams: how many have each value of the upper 8 bits, and the lower 32."""
+    upper = np.bincount((grams >> np.uint64(32) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint32)
+    return upper.tobytes() + grams.astype(np.uint32).tobytes()
 
-def _low(hashes: np.ndarray) -> np.ndarray:
-    """40 bits of a hash: 8 of them, and 32."""
-    return (hashes >> np.uint64(24)).astype(np.uint64)
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, int]:
+    """(grams, bytes that they take)."""
+    upper = np.frombuffer(blob, np.uint32, 256)
+    n = int(upper.sum())
+    low = np.frombuffer(blob, np.uint32, n, 1024).astype(np.uint64)
+    return low | (np.repeat(np.arange(256, dtype=np.uint64), upper) << np.uint64(32)), 1024 + 4 * n
+
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+
+SENT = {"g": pa.int32(), "p": pa.int32(), "blob": pa.binary()}
+REPLY = {"g": pa.int32(), "p": pa.int32(), "step": pa.int32(), "blob": pa.binary()}
+SENT_SCHEMA, REPLY_SCHEMA = "g int, p int, blob binary", "g int, p int, step int, blob binary"
 
 
 def _grams(docs: pa.Table, length: int, gram: int, parts: int) -> pa.Table:
-    """Of a group the distinct grams of each part: 32 of 40 bits each, sorted, with how many have
-    each value of the upper 8, and a bit for grams of different documents."""
-    group = docs.column("g")[0].as_py()
-    hashes, several = Group(docs, length, gram).keys()
-    part = _part(hashes, parts)
-    made = []
-    order = np.lexsort((hashes, part))
-    names, heads = np.unique(part[order], return_index=True)
-    for name, a, b in zip(names.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
-        low = _low(hashes[order[a:b]])
-        upper = np.bincount((low >> np.uint64(32)).astype(np.int64), minlength=256).astype(np.uint32)
-        made.append((group, name, upper.tobytes() + low.astype(np.uint32).tobytes() + np.packbits(several[order[a:b]]).tobytes()))
-    return pa.table({"g": pa.array([m[0] for m in made], pa.int32()), "p": pa.array([m[1] for m in made], pa.int32()), "blob": pa.array([m[2] for m in made], pa.binary())})
+    """Step 1 of a group: its distinct grams, to their parts."""
+    group = Group(docs, length, gram, parts)
+    grams = group.grams()
+    return _table([(group.group, p, _packed(grams[a:b])) for p, a, b in _by_part(grams)], **SENT)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal sorted keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
 
 
 def _shared(blobs: pa.Table) -> pa.Table:
-    """Of a part, for each group a bit for each of its grams: whether another group has it, or
-    several documents of this one."""
+    """Reply 1 of a part: for each gram of each group, whether another group has it."""
     blobs = blobs.sort_by("g")
-    keys, several, sizes = [], [], []
-    for blob in blobs.column("blob").to_pylist():
-        upper = np.frombuffer(blob, np.uint32, 256)
-        n = int(upper.sum())
-        low = np.frombuffer(blob, np.uint32, n, 1024).astype(np.uint64)
-        keys.append(low | (np.repeat(np.arange(256, dtype=np.uint64), upper) << np.uint64(32)))
-        several.append(np.unpackbits(np.frombuffer(blob, np.uint8, -1, 1024 + 4 * n), count=n).astype(bool))
-        sizes.append(n)
-    key, multi = np.concatenate(keys), np.concatenate(several)
+    grams = [_unpacked(b)[0] for b in blobs.column("blob").to_pylist()]
+    key, sizes = np.concatenate(grams), [len(g) for g in grams]
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(key), bool)
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
-    # equal 40 bits of one group are one gram or a rare accident, which only costs work; what another group has in several documents is shared as well
-    again |= multi
+    heads = _runs(key[order])
+    several = np.empty(len(key), bool)
+    several[order] = np.repeat(np.diff(np.append(heads, len(key))) > 1, np.diff(np.append(heads, len(key))))
     ends = np.cumsum(sizes)
-    bits = [np.packbits(again[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
-    return pa.table({"g": blobs.column("g"), "p": blobs.column("p"), "kind": pa.array(np.zeros(len(bits), np.int32)), "bits": pa.array(bits, pa.binary())})
-
-
-def _selected(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: int) -> Group:
-    """The group with the occurrences of grams that the replies call shared."""
-    group = Group(docs, length, gram)
-    hashes, _ = group.keys()
-    part = _part(hashes, parts)
-    order = np.lexsort((hashes, part))
-    shared = np.zeros(len(hashes), bool)
-    names, heads = np.unique(part[order], return_index=True)
-    where = {n: (a, b) for n, a, b in zip(names.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True)}
-    for p, kind, bits in zip(*(replies.column(c).to_pylist() for c in ("p", "kind", "bits")), strict=True):
-        if kind == 0:
-            a, b = where[p]
-            shared[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    group.keep(hashes[shared])
-    return group
+    rows = zip(blobs.column("g").to_pylist(), blobs.column("p").to_pylist(), sizes, ends, strict=True)
+    return _table([(g, p, 1, np.packbits(several[e - n : e]).tobytes()) for g, p, n, e in rows], **REPLY)
+
+
+def _replied(replies: pa.Table, step: int) -> dict[int, bytes]:
+    rows = zip(*(replies.column(c).to_pylist() for c in ("p", "step", "blob")), strict=True)
+    return {p: blob for p, s, blob in rows if s == step}
+
+
+def _told(grams: np.ndarray, replies: dict[int, bytes], kind: np.dtype | None = None) -> np.ndarray:
+    """What the replies say of sorted grams or of contexts in their order: bits, or numbers."""
+    told = np.zeros(len(grams), bool if kind is None else kind)
+    for p, a, b in _by_part(grams):
+        if p in replies:
+            blob = np.frombuffer(replies[p], np.uint8 if kind is None else kind)
+            told[a:b] = np.unpackbits(blob, count=b - a).astype(bool) if kind is None else blob
+    return told
+
+
+def _signatures(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: int) -> pa.Table:
+    """Step 2 of a group: for the contexts of shared grams, the gram and a hash of the context."""
+    if not docs.num_rows or not replies.num_rows:
+        return _table([], **SENT)
+    group = Group(docs, length, gram, parts)
+    grams = group.grams()
+    group.keep_grams(grams[_told(grams, _replied(replies, 1))])
+    _, sample, _ = group.contexts()
+    own, around = group.gram[sample], group.around[sample]
+    return _table([(group.group, p, _packed(own[a:b]) + around[a:b].tobytes()) for p, a, b in _by_part(own)], **SENT)
+
+
+def _compared(blobs: pa.Table) -> pa.Table:
+    """Reply 2 of a part: ALL, PARTLY, NEEDED or nothing for each context of each group."""
+    blobs = blobs.sort_by("g")
+    grams, arounds = [], []
+    for blob in blobs.column("blob").to_pylist():
+        own, at = _unpacked(blob)
+        grams.append(own)
+        arounds.append(np.frombuffer(blob, np.uint64, len(own), at))
+    sizes = [len(g) for g in grams]
+    key, around, group = np.concatenate(grams), np.concatenate(arounds), np.repeat(blobs.column("g").to_numpy(), sizes)
+    order = np.lexsort((group, around, key))
+    key, around, group = key[order], around[order], group[order]
+    first = np.zeros(len(key), bool)
+    first[_runs(key, around)] = True
+    heads = _runs(key)
+    per_gram = np.diff(np.append(heads, len(key)))
+    earlier = np.repeat(np.minimum.reduceat(group, heads), per_gram) < group
+    partly = first & earlier
+    latest = np.repeat(np.maximum.reduceat(np.where(partly, group, -1), heads), per_gram)
+    code = np.where(~first, ALL, np.where(partly, PARTLY, np.where(latest > group, NEEDED, 0))).astype(np.uint8)
+    told = np.empty(len(code), np.uint8)
+    told[order] = code
+    ends = np.cumsum(sizes)
+    rows = zip(blobs.column("g").to_pylist(), blobs.column("p").to_pylist(), sizes, ends, strict=True)
+    return _table([(g, p, 2, told[e - n : e].tobytes()) for g, p, n, e in rows], **REPLY)
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -172,23 +241,17 @@ def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _contexts(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: int) -> pa.Table:
-    """Of a group the distinct contexts of shared grams, by part: gram, least document, bytes."""
-    empty = {"g": pa.int32(), "p": pa.int32(), "grams": pa.binary(), "docs": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}
+    """Step 3 of a group: the bytes of the contexts that differ from earlier ones of their gram, and
+    of those that later groups need."""
     if not docs.num_rows or not replies.num_rows:
-        return pa.schema(list(empty.items())).empty_table()
-    group = _selected(docs, replies, length, gram, parts)
-    _, sample, least = group.contexts()
-    hashes, sizes = group.hash[sample], group.count[sample] + length - 1
-    part = _part(hashes, parts)
-    order = np.argsort(part, kind="stable")
-    names, heads = np.unique(part[order], return_index=True)
-    lasts, starts = np.append(heads[1:], len(order)), group.start[sample]
-    pick = lambda values, kind: pa.array([values[order[a:b]].astype(kind).tobytes() for a, b in zip(heads, lasts, strict=True)], pa.binary())
-    return pa.table({
-        "g": pa.array(np.full(len(names), docs.column("g")[0].as_py(), np.int32)), "p": pa.array(names.astype(np.int32)),
-        "grams": pick(hashes, np.uint64), "docs": pick(least, np.int64), "sizes": pick(sizes, np.uint16),
-        "bytes": pa.array([_gathered(group.data, starts[order[a:b]], sizes[order[a:b]]).tobytes() for a, b in zip(heads, lasts, strict=True)], pa.binary()),
-    })
+        return _table([], **SENT)
+    group = Group(docs, length, gram, parts)
+    grams = group.grams()
+    group.keep_grams(grams[_told(grams, _replied(replies, 1))])
+    _, sample, _ = group.contexts()
+    sample = sample[_told(group.gram[sample], _replied(replies, 2), np.uint8) >= PARTLY]
+    own, starts, sizes = group.gram[sample], group.start[sample], group.count[sample] + length - 1
+    return _table([(group.group, p, _packed(own[a:b]) + sizes[a:b].astype(np.uint8).tobytes() + _gathered(group.data, starts[a:b], sizes[a:b]).tobytes()) for p, a, b in _by_part(own)], **SENT)
 
 
 def _ranks(pairs: np.ndarray) -> np.ndarray:
@@ -215,62 +278,81 @@ def refined(data: np.ndarray, length: int) -> np.ndarray:
     return bucket
 
 
-def _judged(blobs: pa.Table, length: int) -> pa.Table:
-    """Of a part, for each context of each group 32 bits: for which of its strings, counted from the
-    first, a smaller document than the context's has an equal one."""
-    blobs = blobs.sort_by("g")
-    joined = lambda name, kind: [np.frombuffer(b, kind) for b in blobs.column(name).to_pylist()]
-    grams = joined("grams", np.uint64)
-    per_group = [len(g) for g in grams]
-    gram, least, size = np.concatenate(grams), np.concatenate(joined("docs", np.int64)), np.concatenate(joined("sizes", np.uint16)).astype(np.int64)
-    data = np.concatenate(joined("bytes", np.uint8))
-    starts = np.concatenate([[0], np.cumsum(size)])
-    masks = np.zeros(len(gram), np.uint32)
+def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: np.ndarray, length: int):
+    """Contexts in chunks of whole grams, and for each string of a chunk (context, place in it, bucket)."""
     order = np.argsort(gram, kind="stable")
-    filled = np.cumsum(size[order])
-    at = 0
+    filled, sorted_gram, at = np.cumsum(sizes[order]), gram[order], 0
     while at < len(order):
-        # as many grams as fill POSITIONS; all contexts of a gram stay together
         last = max(at + 1, int(np.searchsorted(filled, filled[at] + POSITIONS, "right")))
-        last = int(np.searchsorted(gram[order], gram[order[last - 1]], "right"))
+        last = int(np.searchsorted(sorted_gram, sorted_gram[last - 1], "right"))
         some = order[at:last]
-        ends = np.cumsum(size[some])
-        flat = _gathered(data, starts[some], size[some])
-        strings = size[some] - length + 1
+        ends, strings = np.cumsum(sizes[some]), sizes[some] - length + 1
         which = np.repeat(np.arange(len(some)), strings)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(strings) - strings, strings)
-        bucket = refined(flat, length)[(ends - size[some])[which] + nth]
-        by = np.argsort(bucket, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1])))
-        smallest = np.empty(len(by), np.int64)
-        smallest[by] = np.repeat(np.minimum.reduceat(least[some][which[by]], heads), np.diff(np.append(heads, len(by))))
-        earlier = smallest < least[some][which]
-        np.bitwise_or.at(masks, some[which[earlier]], (np.uint32(1) << nth[earlier].astype(np.uint32)))
+        bucket = refined(_gathered(data, starts[some], sizes[some]), length)[(ends - sizes[some])[which] + nth]
+        yield some[which], nth, bucket
         at = last
-    cuts = np.cumsum(per_group)
-    bits = [masks[e - n : e].tobytes() for n, e in zip(per_group, cuts, strict=True)]
-    return pa.table({"g": blobs.column("g"), "p": blobs.column("p"), "kind": pa.array(np.ones(len(bits), np.int32)), "bits": pa.array(bits, pa.binary())})
+
+
+def _smallest(bucket: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each row the least value of its bucket."""
+    order = np.argsort(bucket, kind="stable")
+    heads = _runs(bucket[order])
+    found = np.empty(len(bucket), value.dtype)
+    found[order] = np.repeat(np.minimum.reduceat(value[order], heads), np.diff(np.append(heads, len(order))))
+    return found
+
+
+def _judged(blobs: pa.Table, length: int) -> pa.Table:
+    """Reply 3 of a part: for each context that was sent 32 bits, for which of its strings an
+    earlier group has an equal one."""
+    blobs = blobs.sort_by("g")
+    grams, sizes, texts = [], [], []
+    for blob in blobs.column("blob").to_pylist():
+        own, at = _unpacked(blob)
+        grams.append(own)
+        sizes.append(np.frombuffer(blob, np.uint8, len(own), at).astype(np.int64))
+        texts.append(np.frombuffer(blob, np.uint8, -1, at + len(own)))
+    per_group = [len(g) for g in grams]
+    gram, size, data = np.concatenate(grams), np.concatenate(sizes), np.concatenate(texts)
+    group = np.repeat(blobs.column("g").to_numpy(), per_group)
+    starts, masks = np.cumsum(size) - size, np.zeros(len(gram), np.uint32)
+    for which, nth, bucket in _strings(data, starts, size, gram, length):
+        earlier = _smallest(bucket, group[which]) < group[which]
+        np.bitwise_or.at(masks, which[earlier], np.uint32(1) << nth[earlier].astype(np.uint32))
+    ends = np.cumsum(per_group)
+    rows = zip(blobs.column("g").to_pylist(), blobs.column("p").to_pylist(), per_group, ends, strict=True)
+    return _table([(g, p, 3, masks[e - n : e].tobytes()) for g, p, n, e in rows], **REPLY)
 
 
 def _removed(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: int, text: bool) -> pa.Table:
-    """Of each document what is removed and what stays."""
-    group = _selected(docs, replies, length, gram, parts)
+    """What is removed of each document of a group, and what stays."""
+    group = Group(docs, length, gram, parts)
+    grams = group.grams()
+    order = np.lexsort((group.ids[group.row], group.gram))
+    heads = _runs(group.gram[order]) if len(order) else np.zeros(0, int)
+    sorted_ids = group.ids[group.row][order]
+    local = sorted_ids[heads] != sorted_ids[np.append(heads[1:], len(order)) - 1] if len(heads) else np.zeros(0, bool)
+    shared = _told(grams, _replied(replies, 1))
+    group.keep_grams(grams[shared | local])
     which, sample, least = group.contexts()
-    part = _part(group.hash[sample], parts)
-    order = np.argsort(part, kind="stable")
-    names, heads = np.unique(part[order], return_index=True)
-    where = {n: (a, b) for n, a, b in zip(names.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True)}
+    own = group.gram[sample]
+    is_shared, is_local = (flag[np.searchsorted(grams, own)] if len(own) else np.zeros(0, bool) for flag in (shared, local))
+    code = np.zeros(len(sample), np.uint8)
+    code[is_shared] = _told(own[is_shared], _replied(replies, 2), np.uint8)
+    sent = code >= PARTLY
     masks = np.zeros(len(sample), np.uint32)
-    for p, kind, bits in zip(*(replies.column(c).to_pylist() for c in ("p", "kind", "bits")), strict=True):
-        if kind == 1:
-            a, b = where[p]
-            masks[order[a:b]] = np.frombuffer(bits, np.uint32)
-    later = group.ids[group.row] > least[which]
+    masks[sent] = _told(own[sent], _replied(replies, 3), np.uint32)
+    earliest = np.full((len(sample), max(1, length - gram + 1)), LAST)
+    mine = np.flatnonzero(is_local & (code != ALL))
+    for which_local, nth, bucket in _strings(group.data, group.start[sample][mine], group.count[sample][mine] + length - 1, own[mine], length):
+        earliest[mine[which_local], nth] = _smallest(bucket, least[mine[which_local]])
+    ids = group.ids[group.row]
     edges = np.zeros(len(group.data) + 1, np.int32)
     for nth in range(int(group.count.max(initial=0))):
-        gone = (nth < group.count) & (later | (masks[which] >> np.uint32(nth) & np.uint32(1)).astype(bool))
-        np.add.at(edges, group.start[gone] + nth, 1)
-        np.add.at(edges, group.start[gone] + nth + length, -1)
+        gone = (nth < group.count) & ((code[which] == ALL) | (masks[which] >> np.uint32(nth) & np.uint32(1)).astype(bool) | (earliest[which, nth] < ids))
+        edges[group.start[gone] + nth] += 1
+        edges[group.start[gone] + nth + length] -= 1
     covered = np.cumsum(edges[:-1], dtype=np.int32) > 0
     begins = covered.copy()
     begins[1:] &= ~covered[:-1]
@@ -295,32 +377,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     texts are empty. Rows with a null id count as later than all others and, like rows with one
     id, not as repeats of each other. An empty table gives no rows; other columns are ignored.
 
-    Texts are dealt once into groups of documents, kept in a table that is bucketed by group.
-    First buckets: each string is assigned to the gram of least hash in it, and a gram that only
-    one document has needs no more work; a group sends each of its grams once, packed, and gets a
-    bit back. Then the distinct contexts of the shared grams meet, all equal strings in one
-    place, where their buckets are refined by the bucket pointers of later offsets down to whole
-    strings, exactly, and the smallest document of each is found. The replies, 32 bits for a context,
-    go back to the groups, which cut their texts. A passage that very many documents share is sent
-    once by each group, not by each document."""
+    Texts are dealt once into groups of neighbouring ids, kept in a table that is bucketed by group.
+    First buckets: each string is assigned to the gram of least hash in it; a group sends each of
+    its grams once, packed, and learns which of them other groups have. Of these it sends hashes of
+    the contexts, most of which are whole in an earlier group or differ from all. Only contexts that
+    share a gram and differ meet with their bytes, all equal strings in one place, where buckets
+    are refined by the bucket pointers of later offsets down to whole strings, exactly; within a
+    group the same refinement compares documents. The replies, a few bits for a context, go back
+    to the groups, which cut their texts. A passage that very many documents share is sent once by
+    each group, not by each document."""
     spark = docs.sparkSession
     groups = parts = 2 * partitions(spark)
-    if not 8 <= gram <= length or length - gram >= 32:
+    if not 8 <= gram <= length or length - gram >= 32 or 2 * length - gram > 255:
         raise ValueError("a gram has 8 bytes at least and 31 less than the string at most")
     folder, name = files.shared_folder(spark, "texts"), f"texts_{uuid.uuid4().hex}"
-    dealt = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(groups)).cast("int"))
-    dealt.repartition(groups, "g").write.bucketBy(groups, "g").option("path", folder).format("parquet").saveAsTable(name)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    dealt = rows.repartitionByRange(groups, F.coalesce("_id", F.lit(LAST))).withColumn("g", F.spark_partition_id())
+    dealt.write.bucketBy(groups, "g").option("path", folder).format("parquet").saveAsTable(name)
+    how = (length, gram, parts)
     try:
         texts = spark.table(name)
-        reply = "g int, p int, kind int, bits binary"
-        grams = texts.groupBy("g").applyInArrow(lambda t: _grams(t, length, gram, parts), "g int, p int, blob binary")
-        shared = cut(grams.groupBy("p").applyInArrow(_shared, reply))
-        sent = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda t, r: _contexts(t, r, length, gram, parts), "g int, p int, grams binary, docs binary, sizes binary, bytes binary")
-        judged = cut(sent.groupBy("p").applyInArrow(lambda t: _judged(t, length), reply))
+        met = texts.groupBy("g").applyInArrow(lambda t: _grams(t, *how), SENT_SCHEMA)
+        replies = cut(met.groupBy("p").applyInArrow(_shared, REPLY_SCHEMA))
+        met = texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda t, r: _signatures(t, r, *how), SENT_SCHEMA)
+        replies = replies.unionByName(cut(met.groupBy("p").applyInArrow(_compared, REPLY_SCHEMA)))
+        met = texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda t, r: _contexts(t, r, *how), SENT_SCHEMA)
+        replies = replies.unionByName(cut(met.groupBy("p").applyInArrow(lambda t: _judged(t, length), REPLY_SCHEMA)))
         schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text else "")
-        replies = shared.unionByName(judged)
-        found = cut(texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda t, r: _removed(t, r, length, gram, parts, text), schema))
+        found = cut(texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda t, r: _removed(t, r, *how, text), schema))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         files.remove(spark, folder)
