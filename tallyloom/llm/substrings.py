@@ -123,6 +123,8 @@ class Group:
 
 def _by_part(grams: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, first, last) of the parts of sorted grams."""
+    if not len(grams):
+        return []
     names, heads = np.unique(grams >> np.uint64(40), return_index=True)
     return list(zip(names.astype(int).tolist(), heads.tolist(), [*heads[1:].tolist(), len(grams)], strict=True))
 
