@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import cut, partitions
+from .common import cut
 from .words import slices, spans_hash
 
 #: Bytes of a repeated string, and of the grams whose least hash stands for it.
 LENGTH, GRAM = 50, 24
+#: Bytes of text in a group of documents, and for each part that grams are dealt to, about.
+GROUP_BYTES, PART_BYTES = 8 << 20, 4 << 20
 #: Positions whose buckets are refined together, about, and bytes whose grams are hashed together.
 POSITIONS, PIECE = 1 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -371,7 +373,7 @@ def _removed(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: i
     return pa.table(made)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", text: bool = False, group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Remove every byte that a string of `length` bytes covers which also starts in a row with a
     smaller id; strings are judged on the input, overlaps count, and texts are UTF-8 bytes.
 
@@ -389,11 +391,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     to the groups, which cut their texts. A passage that very many documents share is sent once by
     each group, not by each document."""
     spark = docs.sparkSession
-    groups = parts = 2 * partitions(spark)
     if not 8 <= gram <= length or length - gram >= 32 or 2 * length - gram > 255:
         raise ValueError("a gram has 8 bytes at least and 31 less than the string at most")
     folder, name = files.shared_folder(spark, "texts"), f"texts_{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    # by bytes, not by Spark's partitions: a group sends a row to each part, so there should be no more of either than memory asks for
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    groups, parts = total // group_bytes + 1, total // part_bytes + 1
     dealt = rows.repartitionByRange(groups, F.coalesce("_id", F.lit(LAST))).withColumn("g", F.spark_partition_id())
     dealt.write.bucketBy(groups, "g").option("path", folder).format("parquet").saveAsTable(name)
     how = (length, gram, parts)
