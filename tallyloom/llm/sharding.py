@@ -54,7 +54,8 @@ def capacity_cuts(ends: DataFrame, total: int, largest: int, shards: int, detail
 
     The search runs on the driver over a bounded digest of the ends, which brackets both the
     capacity and every cut of the walk. Each round looks more closely at the zones where cuts may
-    fall, until the walk is exact; a round narrows the zones by about `detail` / `shards` squared."""
+    fall, until the walk is exact; a round narrows the zones by about `detail` / `shards` squared,
+    and where it doesn't the next one looks twice as closely, down to single bytes."""
     if total == 0:
         return [0] * shards
     low = max(largest, -(-total // shards)) - 1
@@ -71,12 +72,15 @@ def capacity_cuts(ends: DataFrame, total: int, largest: int, shards: int, detail
         nearest, furthest = _walk(low + 1, shards, digest.below), _walk(high, shards, digest.above)
         if nearest == furthest:
             return nearest[1:]
+        before = sum(b - a + 1 for a, b in zones)
         zones, anchors = [], [*nearest, *anchors]
         for a, b in sorted(zip(nearest, furthest, strict=True)):
             if zones and a <= zones[-1][1]:
                 zones[-1] = (zones[-1][0], max(b, zones[-1][1]))
             else:
                 zones.append((a, b))
+        if 2 * sum(b - a + 1 for a, b in zones) > before:
+            detail *= 2  # few, large groups: stretches that hold one end each decide
 
 
 def minimax_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", detail: int = DETAIL) -> DataFrame:
