@@ -19,6 +19,8 @@ REPEATS = 3
 #: Documents balanced together, about.
 CHUNK = 2_000
 _EDGE = 1e-9
+#: Corrections of one or two documents to a chunk that lands, at most.
+_REPAIRS = 8
 
 
 def _draw(*key) -> float:
@@ -58,7 +60,7 @@ def flight(sizes: list[int], chances: list[float], key) -> list[float]:
 def landing(sizes: list[int], chances: list[float], key) -> list[float]:
     """Decide the few units that are left: the choice that comes nearest to the expected size, then
     to the expected count, then by a draw. What a long document still leaves or exceeds is made
-    up for by the fewest decided units, longest first, that bring the size nearer."""
+    up for by few other units, one or two at a time, that bring the size nearest."""
     left = [i for i, p in enumerate(chances) if _EDGE < p < 1 - _EDGE]
     size, count = sum(sizes[i] * chances[i] for i in left), sum(chances[i] for i in left)
     best = min(
@@ -70,11 +72,23 @@ def landing(sizes: list[int], chances: list[float], key) -> list[float]:
     for i, v in zip(left, best, strict=True):
         decided[i] = float(v)
     excess = sum(sizes[i] * decided[i] for i in left) - size
-    for i in sorted(set(range(len(sizes))) - set(left), key=lambda i: (-sizes[i], i)):
-        gives = decided[i] > 0.5
-        if gives == (excess > 0) and sizes[i] and abs(excess) >= sizes[i]:
-            decided[i] = 0.0 if gives else 1.0
-            excess += -sizes[i] if gives else sizes[i]
+    effect = np.array(sizes, float) * np.where(np.array(decided) > 0.5, -1, 1)
+    for _ in range(_REPAIRS):
+        order = np.argsort(effect, kind="stable")
+        inorder = effect[order]
+        near = np.searchsorted(inorder, -excess - inorder)
+        tries = [(np.abs(excess + inorder), None)]
+        for at in (near - 1, near):
+            mate = np.clip(at, 0, len(order) - 1)
+            tries.append((np.where(mate == np.arange(len(order)), np.inf, np.abs(excess + inorder + inorder[mate])), mate))
+        errors, mate = min(tries, key=lambda t: t[0].min(initial=np.inf))
+        if errors.min(initial=np.inf) >= abs(excess) - 0.5:
+            break
+        i = int(errors.argmin())
+        for unit in {int(order[i]), int(order[i if mate is None else mate[i]])}:
+            excess += effect[unit]
+            effect[unit] = -effect[unit]
+            decided[unit] = 1.0 - round(decided[unit])
     return [float(round(p)) for p in decided]
 
 
