@@ -54,7 +54,7 @@ def test_urls(spark):
     assert got == {**{i: plain(u) for i, u in enumerate(asked)}, None: plain(asked[0])}
     assert urls.judge_urls(table.limit(0), urls.rule_table(spark)).count() == 0
     assert {r.verdict for r in urls.judge_urls(table, urls.rule_table(spark).limit(0), default="block").collect()} == {"block"}
-    two = spark.createDataFrame([("example.com", "/en", "allow"), ("example.com", "/en", "block"), ("a.example.com", "", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    two = spark.createDataFrame([("example.com", "/en", "allow"), ("example.com", "/en", "block"), ("a.example.com", "/e", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     assert {r.page_id: r.verdict for r in urls.judge_urls(table.limit(2), two).collect()} == {0: "allow", 1: "block"}
 
 
