@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A key with more than this share of a join's rows is hot, so there are at most 1 / share of them.
-HOT_SHARE = 1 / 1000
+from ..functions.lineage import cut
 
+__all__ = ["cut", "join_hot", "partitions", "running", "table"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the cluster's checkpoint folder, with no lineage behind them."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+#: A key with more than this share of a join's rows is hot, so there are at most 1 / share of them.
+HOT_SHARE = 1 / 1000
 
 
 def partitions(spark: SparkSession) -> int:
