@@ -92,16 +92,13 @@ def landing(sizes: list[int], chances: list[float], key) -> list[float]:
     return [float(round(p)) for p in decided]
 
 
-def _balance(last: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_mark", "_row"], kind="stable").reset_index(drop=True)
-        key = (int(group["_mark"].iloc[0]), len(group))
-        sizes, chances = group["_size"].tolist(), group["_chance"].tolist()
-        moved = flight(sizes, chances, key)
-        group["_chance"] = landing(sizes, moved, key) if last else moved
-        return group.drop(columns="_chunk")
-
-    return run
+def _balance(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values(["_mark", "_row"], kind="stable").reset_index(drop=True)
+    key = (int(group["_mark"].iloc[0]), len(group))
+    sizes, chances = group["_size"].tolist(), group["_chance"].tolist()
+    moved = flight(sizes, chances, key)
+    group["_chance"] = landing(sizes, moved, key) if group["_last"].iloc[0] else moved
+    return group.drop(columns="_chunk")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -139,8 +136,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     Returns (id, size, source_size, target, taken).
 
     A source is balanced in chunks, dealt by a hash of the id, each of which leaves at most two
-    documents open; these are gathered and balanced again until all of a source fit one chunk,
-    which lands. A source that holds most rows is many chunks like any other."""
+    documents open; these are gathered and balanced again until all that is open of a source fits one
+    chunk. That lands in the same round, whatever other sources do; to a source that was many chunks
+    before, about a chunk of its decided documents, by hash, is added, so that landing
+    can make up for what is left. A source that holds most rows is many chunks like any other."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("_size"))
     rows = cut(rows.withColumn("_mark", F.xxhash64(F.col("_id"), F.lit(7))).withColumn("_row", F.monotonically_increasing_id()))
@@ -152,22 +151,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     whole = F.floor(F.col("_copies") + _EDGE)
     chance = F.when(F.col("_size") > 0, F.greatest(F.col("_copies") - whole, F.lit(0.0))).otherwise(F.lit(0.0))
     state = cut(joined.withColumn("_whole", whole.cast("long")).withColumn("_chance", chance).drop("_copies"))
-    schema = "source string, _size long, _mark long, _row long, _chance double"
+    schema = "source string, _size long, _mark long, _row long, _chance double, _last boolean"
+    columns = ["source", "_size", "_mark", "_row", "_chance"]
     is_open = F.col("_chance").between(_EDGE, 1 - _EDGE)
-    pending, decided = state.where(is_open).select("source", "_size", "_mark", "_row", "_chance"), None
+    pending, landed, settled = state.where(is_open).select(columns), [], None
     while True:
         counts = pending.groupBy("source").agg(F.ceil(F.count("*") / chunk).alias("_chunks"))
-        most = counts.agg(F.max("_chunks")).first()[0] or 1
-        counts = counts.withColumnRenamed("source", "_s")
-        dealt = pending.join(counts, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_chunk", F.pmod(F.xxhash64("_mark", F.lit(most)), "_chunks")).drop("_s", "_chunks")
-        # a source that fits one chunk lands; the others go on with what their chunks leave open
-        final = most <= 1
-        moved = cut(dealt.groupBy("source", "_chunk").applyInPandas(_balance(final), schema))
-        closed = moved if final else moved.where(~is_open)
-        decided = closed if decided is None else decided.unionByName(closed)
-        if final:
+        most = counts.agg(F.max("_chunks")).first()[0]
+        if most is None:
             break
-        pending = moved.where(is_open)
+        counts = counts.select(F.col("source").alias("_s"), "_chunks", (F.col("_chunks") <= 1).alias("_last"))
+        given = pending
+        if settled is not None:
+            # partners of what lands now; they leave the decided ones and come back with it
+            have = settled.groupBy("source").agg(F.count("*").alias("_have")).withColumnRenamed("source", "_of")
+            shares = counts.where("_last").join(have, F.col("_s").eqNullSafe(F.col("_of"))).select("_s", (F.lit(float(chunk)) / F.col("_have")).alias("_share"))
+            lot = settled.join(shares, F.col("source").eqNullSafe(F.col("_s")))
+            partners = cut(lot.where(F.pmod(F.xxhash64("_mark", F.lit(11)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select(columns))
+            settled = cut(settled.join(partners.select("_row"), "_row", "left_anti"))
+            given = pending.unionByName(partners)
+        dealt = given.join(counts, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_chunk", F.pmod(F.xxhash64("_mark", F.lit(most)), "_chunks")).drop("_s", "_chunks")
+        moved = cut(dealt.groupBy("source", "_chunk").applyInPandas(_balance, schema))
+        landed.append(moved.where("_last").select(columns))
+        closed = moved.where(~F.col("_last") & ~is_open).select(columns)
+        settled = closed if settled is None else settled.unionByName(closed)
+        pending = moved.where(~F.col("_last") & is_open).select(columns)
+    decided = (settled if settled is not None else pending).select(columns)
+    for more in landed:
+        decided = decided.unionByName(more)
     chosen = decided.where("_chance > 0.5").select(F.col("_row").alias("_r"))
     taken = F.col("_size") * (F.col("_whole") + F.when(F.col("_r").isNotNull(), 1).otherwise(0))
     return state.join(chosen, F.col("_row") == F.col("_r"), "left").select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
