@@ -32,14 +32,24 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
 
-def run_coverage(parsed: DataFrame, baskets: DataFrame) -> dict:
+def _whole(rows: DataFrame, folder: str | None, name: str) -> list[dict] | dict:
+    """All rows: written as CSV to a folder, of which the path and the count come back, or collected
+    where no folder is given."""
+    if folder is None:
+        return _rows(rows)
+    path = f"{folder}/{name}"
+    sinks.write_csv(rows, path)
+    return {"path": path, "count": rows.count()}
+
+
+def run_coverage(parsed: DataFrame, baskets: DataFrame, folder: str | None = None) -> dict:
     """Gate T0: coverage of one corpus, in all its breakdowns. All that is collected is a bounded
-    number of rows."""
+    number of rows, but for exclusion reasons, which go to `folder` if there is one."""
     items = coverage.weighed(parsed, baskets).cache()
     try:
         return {
             "strata": _rows(coverage.strata(items)), "heads": _rows(coverage.head_breakouts(items, baskets)), "status_share": _rows(coverage.status_share(items)),
-            "encoded": _rows(coverage.weighted_coverage(items, "encoded"))[0], "exclusion_reasons": _rows(coverage.exclusion_reasons(items).limit(100)),
+            "encoded": _rows(coverage.weighted_coverage(items, "encoded"))[0], "exclusion_reasons": _whole(coverage.exclusion_reasons(items), folder, "t0_exclusion_reasons.csv"),
             "gap_categories": _rows(coverage.gap_categories(items)), "distinct": _rows(coverage.distinct_coverage(items))[0], "unmatched": _rows(coverage.unmatched(parsed, baskets))[0],
             "failures": _rows(coverage.failures(items)), "verdict": _rows(coverage.judged(items))[0],
         }
@@ -47,8 +57,9 @@ def run_coverage(parsed: DataFrame, baskets: DataFrame) -> dict:
         items.unpersist()
 
 
-def run_divergence(tiers: dict[str, DataFrame], encoded: DataFrame) -> dict:
-    """Gate T1: each tier's pairs (a, b) scored with its masks; the verdict over all tiers."""
+def run_divergence(tiers: dict[str, DataFrame], encoded: DataFrame, folder: str | None = None) -> dict:
+    """Gate T1: each tier's pairs (a, b) scored with its masks; the verdict over all tiers. Every
+    divergent pair goes with both forms to `folder` if there is one."""
     scored = []
     for tier, pairs in tiers.items():
         numbers, symbols = divergence.TIERS.get(tier, (False, False))
@@ -56,8 +67,8 @@ def run_divergence(tiers: dict[str, DataFrame], encoded: DataFrame) -> dict:
     together = reduce(DataFrame.unionByName, scored).cache()
     try:
         by_tier = divergence.rates(together, "tier")
-        divergent = together.where("diverge_rules_loose").select("tier", "a", "b", "canonical_a", "canonical_b").limit(10_000)
-        return {"sets": _rows(by_tier), "verdict": _rows(divergence.judged(by_tier))[0], "divergent": _rows(divergent)}
+        divergent = together.where("diverge_rules_loose").select("tier", "a", "b", "canonical_a", "canonical_b").orderBy("tier", "a", "b")
+        return {"sets": _rows(by_tier), "verdict": _rows(divergence.judged(by_tier))[0], "divergent": _whole(divergent, folder, "t1_divergent_pairs.csv")}
     finally:
         together.unpersist()
 
