@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .words import LETTERS, slices, spans_hash
+from .common import cut, join_hot
+from .words import LETTERS, chained, slices, spans_hash
 
 #: Words of a window, and of the grams it is fingerprinted by.
 WINDOW, GRAM = 10, 5
-#: Slots of the filter that goes to all tasks, whatever the benchmark's size: 8 MB.
-SLOTS = 1 << 26
+#: Slots of the filter that goes to all tasks: some for each window of the benchmark, 32 MB at most.
+PER_WINDOW, SLOTS = 64, 1 << 28
 #: (window, item) rows up to which the windows are broadcast to confirm hits; some 100 bytes each.
 BROADCAST_ROWS = 300_000
 
@@ -50,15 +50,11 @@ class _Text:
         """128 bits that stand for the n words from each place on."""
         if self._second is None:
             self._second = LETTERS.hashes(self.data, self.starts, self.ends, 1) if len(at) else self.hashes
-        return spans_hash(self.hashes, at, at + n, 3), spans_hash(self._second, at, at + n, 4)
-
-
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        return chained(self.hashes, at, n, 3), chained(self._second, at, n, 4)
 
 
 def _windows(window: int, gram: int):
-    """Of each item the windows: their words, digest and filter slot."""
+    """Of each item the windows: their number of words, digest, and fingerprint for the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,30 +66,33 @@ def _windows(window: int, gram: int):
                 at = np.concatenate([long, short])
                 n = np.concatenate([np.full(len(long), window), sizes[(sizes > 0) & (sizes < window)]])
                 hi, lo = text.digests(at, n)
-                slots = np.concatenate([_slots(_winnowed(text.hashes, window, gram)[long]), _slots(hi[len(long) :])])
+                marks = np.concatenate([_winnowed(text.hashes, window, gram)[long], spans_hash(text.hashes, short, short + n[len(long) :], 3)])
                 items = batch.column("item").slice(first, last - first).take(pa.array(text.row[at]))
-                yield pa.RecordBatch.from_arrays([items, pa.array(n.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(slots)], ["item", "n", "hi", "lo", "slot"])
+                yield pa.RecordBatch.from_arrays([items, pa.array(n.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(marks.view(np.int64))], ["item", "n", "hi", "lo", "mark"])
 
     return run
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for batch in batches:
-        slots = batch.column(0).to_numpy()
-        np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+def _filters(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(slots // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (slots - 1)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    return run
 
 
-def _hits(shared, lengths: list[int], window: int, gram: int):
+def _hits(shared, slots: int, lengths: list[int], window: int, gram: int):
     """Of each document the words, and the places of windows that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
 
         def passed(hashes: np.ndarray, whole: np.ndarray) -> np.ndarray:
-            slots = _slots(hashes)
-            return np.flatnonzero((bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool) & whole)
+            at = (hashes & np.uint64(slots - 1)).astype(np.int64)
+            return np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & whole)
 
         for batch in batches:
             for first, last, data, offsets in slices(batch.column("_text")):
@@ -132,7 +131,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(edges, s["at"], 1)
                 np.add.at(edges, np.add(s["at"], s["n"]), -1)
             counts.append(int((np.cumsum(edges) > 0).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(counts, pa.int64()), batch.column("items")], ["_rid", "n_hit", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(counts, pa.int64()), batch.column("lists")], ["_rid", "n_hit", "lists"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -146,29 +145,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     n_words, n_hit, n_items, items_sha256 of the sorted, comma-joined ids, contaminated).
 
     Of each window winnowing keeps the least gram hash, so every shared span of `window` words
-    shares a kept fingerprint. The benchmark's fingerprints go to all tasks as a filter of fixed
-    size; windows whose fingerprint passes are extended to 128-bit digests of all their words and
+    shares a kept fingerprint. The benchmark's fingerprints go to all tasks as a filter, sized by
+    the number of windows up to SLOTS bits (beyond, more windows pass and are refuted by the join);
+    windows whose fingerprint passes are extended to 128-bit digests of all their words and
     joined with the benchmark's windows, which confirms them. The windows are broadcast if they
-    are few and shuffled otherwise. Texts are read once and never leave their task."""
+    are few and shuffled otherwise. Texts are read once and never leave their task. A document
+    carries digests of the item lists of its windows, not the items: lists that occur together are
+    united once, however many documents share them."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("item is not null")
-    windows = cut(items.mapInArrow(_windows(window, gram), "item string, n int, hi long, lo long, slot long").distinct())
+    windows = cut(items.mapInArrow(_windows(window, gram), "item string, n int, hi long, lo long, mark long").distinct())
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for part in windows.select("slot").distinct().coalesce(8).mapInArrow(_filters, "bits binary").toLocalIterator():
+    count = windows.count()
+    slots = min(SLOTS, max(1 << 16, 1 << (PER_WINDOW * count).bit_length()))
+    bits = np.zeros(slots // 8, np.uint8)
+    for part in windows.select("mark").distinct().coalesce(8).mapInArrow(_filters(slots), "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(bytes(part["bits"])), np.uint8)
     shared = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     schema = f"_id {kind}, n_words long, hits array<struct<n: int, hi: bigint, lo: bigint, at: array<int>>>"
-    rows = cut(texts.mapInArrow(_hits(shared, lengths, window, gram), schema).withColumn("_rid", F.monotonically_increasing_id()))
-    known = windows.groupBy("n", "hi", "lo").agg(F.collect_set("item").alias("items"))
-    if windows.count() <= broadcast_rows:
+    rows = cut(texts.mapInArrow(_hits(shared, slots, lengths, window, gram), schema).withColumn("_rid", F.monotonically_increasing_id()))
+    listed = cut(windows.groupBy("n", "hi", "lo").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("list", F.sha2(F.to_json("items"), 256)))
+    known = listed.select("n", "hi", "lo", "list")
+    if count <= broadcast_rows:
         known = F.broadcast(known)
     hits = rows.select("_rid", F.explode("hits").alias("h")).select("_rid", "h.*").join(known, ["n", "hi", "lo"])
-    by_row = hits.groupBy("_rid").agg(F.collect_list(F.struct("n", "at")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = by_row.mapInArrow(_covered, "_rid long, n_hit long, items array<string>")
-    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select("_id", "_rid", "n_words").join(counted, "_rid", "left").select(
-        F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    by_row = hits.groupBy("_rid").agg(F.collect_list(F.struct("n", "at")).alias("spans"), F.array_sort(F.collect_set("list")).alias("lists"))
+    counted = cut(by_row.mapInArrow(_covered, "_rid long, n_hit long, lists array<string>").withColumn("_sets", F.sha2(F.array_join("lists", ","), 256)))
+    sets = counted.groupBy("_sets").agg(F.count("*").alias("_n"), F.first("lists").alias("lists"))
+    members = sets.select("_sets", "_n", F.explode("lists").alias("list")).join(listed.select("list", "items").dropDuplicates(["list"]), "list").select("_sets", "_n", F.explode("items").alias("item")).distinct()
+    united = members.groupBy("_sets").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list("item")).alias("items"))
+    named = cut(united.select("_sets", "_n", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
+    found = join_hot(counted.select("_rid", "n_hit", "_sets"), named, "_sets", "_n").drop("_sets")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select("_id", "_rid", "n_words").join(found, "_rid", "left").select(
+        F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )

@@ -8,9 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text looked at together, a longer text aside.
 SLICE = 1 << 20
+#: Bytes up to which a word is hashed with the others at once.
+LONG = 32
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of eight.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = np.random.default_rng(30).integers(1, 1 << 63, 8, dtype=np.uint64)
 _ROOTS = tuple(int(x) | 1 for x in np.random.default_rng(20).integers(1 << 62, 1 << 63, 8, dtype=np.uint64))
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -52,23 +60,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """A hash for each span values[start:end] that depends on the values and their order alone."""
+    """A hash for each span values[start:end] that depends on the values and their order alone. It is a
+    polynomial modulo 2^64, so long regular spans collide: a filter or a sketch, never a proof."""
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _power(lane, len(values)), out=total[1:])
     return mixed((total[ends] - total[starts]) * _power(lane, len(values) + 1, True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def chained(values: np.ndarray, at: np.ndarray, n: np.ndarray | int, lane: int) -> np.ndarray:
+    """A digest of the n values from each place on: one bijective step for each value, which its number
+    of values begins, so that no two spans of one length collide but by chance."""
+    n = np.broadcast_to(np.asarray(n, np.int64), at.shape)
+    h = mixed(n.astype(np.uint64) + _SEEDS[lane])
+    for k in range(int(n.max(initial=0))):
+        live = np.flatnonzero(n > k)
+        h[live] = mixed((h[live] ^ values[at[live] + k]) + _SEEDS[lane])
+    return h
+
+
 @dataclass
 class Lexer:
     """Words are runs of the bytes that `keep` marks; A-Z count as a-z."""
 
     keep: np.ndarray
 
-    def __post_init__(self) -> None:
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self._values = [np.random.default_rng(30 + lane).integers(1, 1 << 63, 256, dtype=np.uint64)[lower] for lane in range(2)]
-
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row) of each word; a word doesn't cross rows."""
         word = self.keep[data]
@@ -82,7 +97,22 @@ class Lexer:
         return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, "right") - 1
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-        return spans_hash(self._values[lane][data], starts, ends, lane)
+        """64 bits of each word; lanes 0 and 1 are 128 together. Up to LONG bytes a word is taken eight
+        bytes at a time by bijective steps, a longer one by XXH3."""
+        low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+        sizes = ends - starts
+        h = mixed(sizes.astype(np.uint64) + _SEEDS[lane])
+        for k in range(0, LONG, 8):
+            live = np.flatnonzero((sizes > k) & (sizes <= LONG)) if k or int(sizes.max(initial=0)) > LONG else np.arange(len(sizes))
+            if not len(live):
+                break
+            eight = eights[starts[live] + k] & _KEPT[np.minimum(sizes[live] - k, 8)]
+            h[live] = mixed((h[live] ^ eight) + _SEEDS[lane])
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            whole = xxhash.xxh3_128_intdigest(low[starts[i] : ends[i]].tobytes())
+            h[i] = whole >> 64 * lane & 0xFFFFFFFFFFFFFFFF
+        return h
 
 
 def _marked(*ranges: tuple[int, int]) -> np.ndarray:
