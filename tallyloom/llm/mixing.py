@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, running
@@ -93,7 +93,7 @@ def landing(sizes: list[int], chances: list[float], key) -> list[float]:
 
 
 def _balance(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["_mark", "_row"], kind="stable").reset_index(drop=True)
+    group = group.sort_values(["_mark", "_size"], kind="stable").reset_index(drop=True)
     key = (int(group["_mark"].iloc[0]), len(group))
     sizes, chances = group["_size"].tolist(), group["_chance"].tolist()
     moved = flight(sizes, chances, key)
@@ -123,6 +123,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     return weighed.select("source", "source_size", F.least("_cap", F.col("_weight") * level).alias("target"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds `_mark`, a hash that tells rows apart whatever partitions they lie in, and `_row`, which
+    only names them. Rows alike in id, source and size are interchangeable and numbered from 0: counted in
+    each partition, numbered by those counts, and made again, so a key that most rows have stays
+    in as many pieces as there are partitions."""
+    alike = ["_id", "source", "_size"]
+    pieces = rows.withColumn("_part", F.spark_partition_id()).groupBy("_part", *alike).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*alike).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    single = pieces.select(*alike, "_n", offset.alias("_offset")).select(*alike, F.explode(F.sequence(F.col("_offset"), F.col("_offset") + F.col("_n") - 1)).alias("_nth"))
+    return single.select(*alike, F.xxhash64("_id", "source", "_size", "_nth", F.lit(7)).alias("_mark"), F.monotonically_increasing_id().alias("_row"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of every row of `docs` a mix takes in which each source has its target.
 
@@ -131,18 +144,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     the fraction is an inclusion chance that the cube method turns into a choice which keeps the
     source's total of words and of documents. Documents without words have nothing to balance and
     are never taken more than their whole copies. Null is a source of its own, the last; an empty
-    table gives no rows, an empty source has target 0. Repeated rows and ids each keep their row,
-    and all choices depend on ids and sizes alone, so reruns agree. Other columns are ignored.
+    table gives no rows, an empty source has target 0. Repeated rows and ids each keep their row, and
+    all choices depend on ids, sources and sizes alone, so reruns agree, however rows are partitioned. Other columns are ignored.
     Returns (id, size, source_size, target, taken).
 
-    A source is balanced in chunks, dealt by a hash of the id, each of which leaves at most two
+    A source is balanced in chunks, dealt by a hash of id, size and number among equals, each of which leaves at most two
     documents open; these are gathered and balanced again until all that is open of a source fits one
     chunk. That lands in the same round, whatever other sources do; to a source that was many chunks
     before, about a chunk of its decided documents, by hash, is added, so that landing
-    can make up for what is left. A source that holds most rows is many chunks like any other."""
+    can make up for what is left: a few of the decided documents are then decided anew, so the last
+    chunk trades their exact chances for the total. A source that holds most rows is many chunks like any other."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("_size"))
-    rows = cut(rows.withColumn("_mark", F.xxhash64(F.col("_id"), F.lit(7))).withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(_numbered(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("_size"))))
     planned = targets(rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_docs")), weights, repeats)
     # a source has one row here; its rows find it where they lie while sources are few, else by a shuffle that may be split
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
