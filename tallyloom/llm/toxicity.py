@@ -19,8 +19,8 @@ BITS, BEGINNINGS = 30, (4, 5, 6)
 DIMS = 1 << BITS
 #: Labelled texts the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE = 8000
-#: Features, at most, and the evidence (likelihood ratio) that a feature needs.
-FEATURES, EVIDENCE = 2048, 20.0
+#: The evidence (likelihood ratio) that a word or beginning needs to become a feature.
+EVIDENCE = 20.0
 #: Least hashes of five-word runs by which near-copies in the sample are found.
 SKETCH, RUN = 4, 5
 #: Grades above 0 that toxic texts are divided into.
@@ -65,6 +65,11 @@ class Ordinal:
         """Expected grade: the sum over thresholds of the probability to be above."""
         return (1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))).sum(axis=1)
 
+    def likeliest(self, score: np.ndarray) -> np.ndarray:
+        """The grade above 0 of the highest probability, the lowest of equals."""
+        below = 1 / (1 + np.exp(np.clip(score[:, None] - self.cuts[None, :], -60, 60)))
+        return 1 + np.diff(np.concatenate([below, np.ones((len(score), 1))], axis=1), axis=1).argmax(axis=1)
+
     def scores(self, rows: int, row: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, word), max(0, len(self.words) - 1))
         hit = self.words[at] == word if len(self.words) else np.zeros(len(word), bool)
@@ -145,7 +150,7 @@ def _only(words: np.ndarray):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence: float = EVIDENCE, grades: int = GRADES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
     """Fit on at most `sample` labelled texts, the first by a hash of their id.
 
     Labels say toxic or not; severity grades 1 to `grades` divide the toxic ones evenly by how much
@@ -154,9 +159,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, featu
     share a least hash of five-word runs, near-copies that is, one counts; null labels, null
     texts and labels without document are left out. Without toxic labels nothing is ever graded.
 
-    The sample's size and the number of features bound what reaches the driver;
-    document frequencies are summed by Spark, and only words
-    of three toxic texts or more come back."""
+    Every word or beginning of the sample whose likelihood ratio against independence is at least
+    `evidence` is a feature. Document frequencies and ratios are Spark's; only features, and their
+    counts in the sampled texts, reach the driver."""
     labelled = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     chosen = labelled.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).where(F.col("_text").isNotNull())
@@ -174,19 +179,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, featu
     nothing = Ordinal(np.zeros(0, np.int64), np.zeros(0), np.full(1, 30.0))
     if not toxic:
         return nothing
-    spread = held.select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("_toxic").alias("a"), F.sum(1 - F.col("_toxic")).alias("b"))
-    seen = spread.where("a >= 3").toPandas().sort_values("word")
-    a, b = seen["a"].to_numpy(float), seen["b"].to_numpy(float)
-
-    def part(x, of, rate):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(of * rate, 1e-12)), 0) + np.where(of > x, (of - x) * np.log(np.maximum(of - x, 1) / np.maximum(of * (1 - rate), 1e-12)), 0)
-
-    rate = (a + b) / (clean + toxic)
-    evidence = 2 * (part(a, toxic, rate) + part(b, clean, rate)) * np.sign(a * max(clean, 1) - b * toxic)
-    order = np.argsort(-np.abs(evidence), kind="stable")[:features]
-    order = order[np.abs(evidence[order]) >= EVIDENCE]
-    words = np.sort(seen["word"].to_numpy(np.int64)[order])
-    speaks = dict(zip(seen["word"].to_numpy(np.int64)[order].tolist(), (evidence[order] > 0).tolist(), strict=True))
+    spread = held.select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("_toxic").cast("double").alias("a"), F.sum(1 - F.col("_toxic")).cast("double").alias("b"))
+    rate = (F.col("a") + F.col("b")) / (clean + toxic)
+
+    def part(x: str, of: int):
+        some, rest = F.col(x), F.lit(float(of)) - F.col(x)
+        return F.when(some > 0, some * F.log(some / (of * rate))).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / (of * (1 - rate)))).otherwise(0.0)
+
+    ratio = 2 * (part("a", toxic) + part("b", clean))
+    seen = spread.where(ratio >= evidence).select("word", (F.col("a") * max(clean, 1) > F.col("b") * toxic).alias("speaks")).toPandas().sort_values("word")
+    words = seen["word"].to_numpy(np.int64)
+    speaks = dict(zip(words.tolist(), seen["speaks"].tolist(), strict=True))
     chosen_words = held.select("_at", "_toxic", "words", "counts").mapInArrow(_only(words), "_at string, _toxic int, w array<int>, c array<int>")
     rows = chosen_words.orderBy("_at").collect()
     row = np.repeat(np.arange(len(rows)), [len(r["w"]) for r in rows])
@@ -203,8 +206,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, featu
 
 
 def grade_toxicity(docs: DataFrame, model: Ordinal, threshold: float = REJECT, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """Expected severity of every row's whole text, its most likely grade, and whether it is
-    `toxic`: expected severity of at least `threshold`.
+    """Expected severity of every row's whole text, whether it is `toxic` (expected severity of at
+    least `threshold`), and its grade: 0 if it isn't, else the most likely one above 0.
 
     Null, empty and wordless texts have the severity that the thresholds alone give. Repeated rows
     and ids each keep their row; an empty table gives no rows. Returns (id, severity, grade,
@@ -213,23 +216,24 @@ def grade_toxicity(docs: DataFrame, model: Ordinal, threshold: float = REJECT, i
     rough = np.zeros(1 << 16, bool)
     rough[model.words & (len(rough) - 1)] = True
 
-    def judge(batch: pa.RecordBatch) -> np.ndarray:
-        severity = np.zeros(batch.num_rows)
+    def judge(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        severity, likeliest = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int32)
         for first, last, data, offsets in slices(batch.column(text_col)):
             row, word = _features(data, offsets)
             known = rough[word & (len(rough) - 1)]
             known[known] = np.isin(word[known], model.words)
-            severity[first:last] = model.expected(model.scores(last - first, *_counted(row[known], word[known])))
-        return severity
+            score = model.scores(last - first, *_counted(row[known], word[known]))
+            severity[first:last], likeliest[first:last] = model.expected(score), model.likeliest(score)
+        return severity, likeliest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            severity = judge(batch)
+            severity, likeliest = judge(batch)
             toxic = pa.array(severity >= threshold)
             if keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns, toxic], [*batch.schema.names, keep])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.round(severity, 6)), pa.array(np.round(severity).astype(np.int32)), toxic], [id_col, "severity", "grade", "toxic"])
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.round(severity, 6)), pa.array(np.where(severity >= threshold, likeliest, 0).astype(np.int32)), toxic], [id_col, "severity", "grade", "toxic"])
 
     if keep:
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())]))
