@@ -50,25 +50,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     give no rows or the default. Other columns of `pages` are ignored.
     Returns (id, host, path, rule, verdict).
 
-    Each distinct (host, path) is expanded into its host suffixes and its path prefixes of the
-    lengths that rules have, and the expressions meet the rules in an equi-join on 32-bit hash
-    prefixes; whole SHA-256 digests confirm. URLs are aggregated before, so a hot URL is judged
-    once, and its rows get the verdict by a join that spreads hot keys."""
+    Each distinct (host, path) is expanded into its host suffixes of as many labels, and its path
+    prefixes of as many characters, as rules have: a long host or path costs its length, not its
+    square. Distinct expressions, with how many URLs have them, meet the rules in an equi-join on
+    32-bit hash prefixes, and whole SHA-256 digests confirm; what a hot expression such as `com/`
+    says goes back to its URLs by broadcast, the rest by a shuffle. URLs are aggregated before, so
+    a hot URL is judged once, and its rows get the verdict by a join that spreads hot keys."""
     host, path = host_and_path(url_col)
     rows = cut(pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("_key", F.sha2(F.concat("host", F.lit("\n"), "path"), 256)))
     urls = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.first("host").alias("host"), F.first("path").alias("path"))
     rules = rules.where("host is not null and path is not null")
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
+    dots = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."))) + 1
+    counts = sorted(r[0] for r in rules.select(dots(F.col("host"))).distinct().collect())
+    some = lambda numbers, most: F.filter(F.array(*[F.lit(n) for n in numbers]).cast("array<int>"), lambda n: n <= most)
+    suffixes = F.transform(some(counts, dots(F.col("host"))), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    prefixes = F.transform(some(lengths, F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = urls.select("_key", F.explode(suffixes).alias("_host"), prefixes.alias("_paths")).select("_key", "_host", F.explode("_paths").alias("_path"))
-    asked = expressions.select("_key", *_hashed(F.concat("_host", F.lit("\n"), "_path")))
+    asked = cut(expressions.select("_key", F.unhex(F.sha2(F.concat("_host", F.lit("\n"), "_path"), 256)).alias("digest")))
+    distinct = asked.groupBy("digest").agg(F.count("*").alias("_n")).withColumn("prefix", F.lower(F.hex(F.substring("digest", 1, 4))))
     known = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(
         *[c.alias(f"r_{n}") for c, n in zip(_hashed(F.concat("host", F.lit("\n"), "path")), ("prefix", "digest"), strict=True)],
         F.struct((F.length("host") + F.length("path")).alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict").alias("rule"),
     )
-    fits = asked.join(known, F.col("prefix") == F.col("r_prefix")).where("digest = r_digest")
+    confirmed = cut(distinct.join(known, F.col("prefix") == F.col("r_prefix")).where(F.lower(F.hex("digest")) == F.col("r_digest")).select("digest", "_n", "rule"))
+    fits = join_hot(asked, confirmed, "digest", "_n").where("rule is not null")
     best = fits.groupBy("_key").agg(F.max("rule").alias("best"))
     judged = cut(urls.select("_key", "_n").join(best, "_key", "left"))
     return join_hot(rows, judged, "_key", "_n").select(
