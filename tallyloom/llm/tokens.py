@@ -20,8 +20,8 @@ from .common import cut, partitions
 MAGIC, SUFFIX = b"PFOR0001", ".pfor"
 #: Ids in a block, the share of them that the packed width must hold, and ids in a file, about.
 BLOCK, SHARE, FILE_IDS = 128, 0.9, 1 << 21
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and their bytes; beyond either it begins anew.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
 _HEAD = struct.Struct("<8sqqqqq")
 
 
@@ -95,11 +95,13 @@ class _Known(dict):
     def __init__(self):
         super().__init__()
         self.new: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, piece: bytes) -> int:
         number = len(self)
         self[piece] = number
         self.new.append(piece)
+        self.bytes += len(piece)
         return number
 
 
@@ -141,7 +143,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, with an end id after each text; number of ids of each text)."""
-        if self.used > REMEMBERED:
+        if self.used > REMEMBERED or self.known.bytes > REMEMBERED_BYTES:
             self._forget()
         pieces, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -271,9 +273,10 @@ def token_table(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "do
     `docs`; the files are removed. An empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     folder = files.shared_folder(spark, "tokens")
-    manifest = write_tokens(docs, folder, tokenizer, end, id_col=id_col, text_col=text_col)
-    if not manifest.take(1):
-        return spark.createDataFrame([], f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
-    found = cut(read_tokens(spark, folder, manifest, id_col))
-    files.remove(spark, folder)
-    return found
+    try:
+        manifest = write_tokens(docs, folder, tokenizer, end, id_col=id_col, text_col=text_col)
+        if not manifest.take(1):
+            return spark.createDataFrame([], f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+        return cut(read_tokens(spark, folder, manifest, id_col))
+    finally:
+        files.remove(spark, folder)
