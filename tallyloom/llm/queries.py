@@ -9,7 +9,7 @@ from .common import table
 
 
 def op1_warc_derivatives(spark, sf_dir):
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), carry="page_id").withColumn("block", F.col("block").cast("string"))
+    return warc.through_files(warc.responses(table(spark, sf_dir, "pages")), carry="page_id").withColumn("block", F.col("block").cast("string"))
 
 
 def op2_product_quantised_dedup(spark, sf_dir):

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
+from .common import cut
 
 #: Names of records derive from their source's by this namespace, so reruns give the same.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:derived-records")
@@ -38,8 +39,8 @@ def digest(data: bytes) -> str:
 
 def plain_text(page: str) -> tuple[str, str, list[str]]:
     """(text, title, links) of an HTML page: one line for each block element, blanks joined, character
-    references resolved, hidden elements left out. An unclosed hidden element ends with the page; an
-    unclosed `head` ends at `body`."""
+    references resolved, hidden elements left out. An unclosed hidden element ends with the page, an
+    unclosed `head` at `body`, and one whose tag ends in `/>` at once."""
     out, title, links, hidden, at, in_title = [], [], [], [], 0, False
     while True:
         found = _TOKEN.search(page, at)
@@ -55,11 +56,15 @@ def plain_text(page: str) -> tuple[str, str, list[str]]:
         if not name:
             continue
         if name == "title":
-            in_title = not found[1]
+            in_title = not found[1] and not found[3].endswith("/")
         if not found[1] and name == "a" and (href := _HREF.search(found[3])):
             links.append(html.unescape(next(g for g in href.groups() if g is not None)))
         if name == "body" and not found[1]:
             hidden = [h for h in hidden if h != "head"]
+        if not found[1] and found[3].endswith("/"):
+            if name in BREAKS and not hidden:
+                out.append("\n")
+            continue
         if name in RAW and not found[1]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -175,63 +180,175 @@ def derive(records: DataFrame, carry: str | None = None) -> DataFrame:
     return records.where("warc_type = 'response'").select(*kept).mapInArrow(run, made)
 
 
+#: The header in which a response carries the number of its page.
+CARRIED = "X-Page-Id"
+
+
 def responses(pages: DataFrame, date: str = "2025-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records of crawled pages: the page as the payload of an HTTP message. The id derives
     from the page's id and URL. Null pages are empty; a null id or URL counts as empty in the id.
-    Adds the page's id under its name."""
+    Adds the page's id under its name, and in a header of the record."""
     body = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    name = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(url_col, F.lit(""))))
+    number = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.md5(F.concat_ws(" ", number, F.coalesce(url_col, F.lit(""))))
     dashed = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     record_id = F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
     pair = lambda n, v: F.struct(F.lit(n).alias("name"), F.coalesce(v, F.lit("")).alias("value"))
     block = F.concat(head.cast("binary"), body)
-    headers = F.array(pair("WARC-Type", F.lit("response")), pair("WARC-Record-ID", record_id), pair("WARC-Target-URI", F.col(url_col)), pair("WARC-Date", F.lit(date)), pair("Content-Type", F.lit("application/http; msgtype=response")), pair("Content-Length", F.octet_length(block).cast("string")))
+    headers = F.array(pair("WARC-Type", F.lit("response")), pair("WARC-Record-ID", record_id), pair("WARC-Target-URI", F.col(url_col)), pair("WARC-Date", F.lit(date)), pair("Content-Type", F.lit("application/http; msgtype=response")), pair("Content-Length", F.octet_length(block).cast("string")), pair(CARRIED, number))
     return pages.select(F.lit("response").alias("warc_type"), record_id.alias("record_id"), F.col(url_col).alias("target_uri"), F.lit(date).alias("warc_date"), F.lit("application/http; msgtype=response").alias("content_type"), headers.alias("headers"), block.alias("block"), id_col)
 
 
+def header(name: str) -> Column:
+    """The value of a record's header; null without it."""
+    found = F.filter("headers", lambda h: F.lower(h["name"]) == name.lower())
+    return F.get(found, 0)["value"]
+
+
+def _line(text: str) -> str:
+    """A header's value has no line ends."""
+    return text.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def serialised(record: dict) -> bytes:
-    """One record, headers and block, as a gzip member of its own."""
+    """One record, headers and block, as a gzip member of its own. A derived record has the digests
+    of its source's block and payload, and each header of its source, under names of their own; a
+    record that was read keeps the headers that this has no field for."""
     block = record["block"] or b""
-    fields = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["warc_date"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", record.get("source_payload_digest")), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
-    head = "WARC/1.1\r\n" + "".join(f"{n}: {v}\r\n" for n, v in fields if v) + "\r\n"
-    return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
+    fields = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["warc_date"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Block-Digest", digest(block)), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
+    fields += [("X-Source-Block-Digest", record.get("source_block_digest")), ("X-Source-Payload-Digest", record.get("source_payload_digest"))]
+    fields += [("X-Source-Header", h) for h in (record.get("source_headers") or "").split("\r\n")]
+    known = {n.lower() for n, _ in fields}
+    fields += [(h["name"], h["value"]) for h in record.get("headers") or [] if h["name"].lower() not in known]
+    head = "WARC/1.1\r\n" + "".join(f"{n}: {_line(v)}\r\n" for n, v in fields if v) + "\r\n"
+    return gzip.compress(head.encode("utf-8", "replace") + block + b"\r\n\r\n", 4, mtime=0)
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write records as one .warc.gz file for each partition; returns (file, records, bytes)."""
+#: Bytes after which a writer begins another file.
+FILE_BYTES = 512 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, count = f"part-{TaskContext.get().partitionId():06d}.warc.gz", [0]
 
-        def members() -> Iterator[bytes]:
-            for batch in batches:
-                for record in batch.to_pylist():
-                    count[0] += 1
-                    yield serialised(record)
+def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write records as .warc.gz files of about `file_bytes` bytes, one or more for each partition;
+    returns (file, records, bytes)."""
 
-        size = files.put(folder, name, members())
-        yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array(count, pa.int64()), "bytes": pa.array([size], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = (serialised(record) for batch in batches for at in range(0, batch.num_rows, 256) for record in batch.slice(at, 256).to_pylist())
+        part, made, ahead = TaskContext.get().partitionId(), [], next(members, None)
+
+        def filled() -> Iterator[bytes]:
+            nonlocal ahead
+            size = count = 0
+            while ahead is not None and size < file_bytes:
+                size, count = size + len(ahead), count + 1
+                yield ahead
+                ahead = next(members, None)
+            made[-1][1] = count
+
+        while ahead is not None:
+            name = f"part-{part:06d}-{len(made):04d}.warc.gz"
+            made.append([name, 0, 0])
+            made[-1][2] = files.put(folder, name, filled())
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"])
 
     return records.mapInArrow(run, "file string, records long, bytes long")
 
 
+def members(content: memoryview, step: int = 1 << 14) -> Iterator[tuple[bytes, bool]]:
+    """(data, whether it is a gzip member) of a file's members, each byte looked at once: after a broken
+    member, the bytes up to the next gzip header are one that isn't."""
+    at = 0
+    while at < len(content):
+        member, parts, to = zlib.decompressobj(31), [], at
+        try:
+            while not member.eof and to < len(content):
+                parts.append(member.decompress(content[to : to + step]))
+                to += step
+            whole = member.eof
+        except zlib.error:
+            whole = False
+        if whole:
+            yield b"".join(parts), True
+            at = min(to, len(content)) - len(member.unused_data)
+            continue
+        after = _next_member(content, at + 1, step)
+        yield bytes(content[at:after]), False
+        at = after
+
+
+def _next_member(content: memoryview, at: int, step: int) -> int:
+    """Where the next gzip header is, or the end."""
+    for k in range(at, len(content), step):
+        found = bytes(content[k : k + step + 2]).find(b"\x1f\x8b\x08")
+        if found >= 0:
+            return k + found
+    return len(content)
+
+
+def parsed(data: bytes) -> dict | None:
+    """A record's fields; None if it isn't one whose block is whole."""
+    head, mark, rest = data.partition(b"\r\n\r\n")
+    lines = [line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]]
+    found = {n.strip().lower(): v.strip() for n, _, v in lines}
+    length = found.get("content-length", "")
+    if not mark or not length.isdigit() or len(rest) < int(length):
+        return None
+    headers = [{"name": n.strip(), "value": v.strip()} for n, _, v in lines]
+    return {"warc_type": found.get("warc-type"), "record_id": found.get("warc-record-id"), "target_uri": found.get("warc-target-uri"), "warc_date": found.get("warc-date"), "content_type": found.get("content-type"), "headers": headers, "block": rest[: int(length)]}
+
+
+#: The type of rows for what isn't a record.
+UNREADABLE = "unreadable"
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of a folder's .warc.gz files; members that don't parse are skipped."""
+    """The records of a folder's .warc.gz files, one gzip member each. What doesn't parse is a row of
+    type UNREADABLE with its bytes as block, so it can be counted and nothing derives from it. Spark's
+    reader of whole files takes up to 2 GB each; `write` makes smaller ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_type", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
+        rows, size = [], 0
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                while content:
-                    member = zlib.decompressobj(31)
-                    data, content = member.decompress(content), member.unused_data
-                    head, mark, rest = data.partition(b"\r\n\r\n")
-                    lines = [line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]]
-                    found = {n.strip().lower(): v.strip() for n, _, v in lines}
-                    if not mark or not found.get("content-length", "").isdigit():
-                        continue
-                    row = {"warc_type": found.get("warc-type"), "record_id": found.get("warc-record-id"), "target_uri": found.get("warc-target-uri"), "warc_date": found.get("warc-date"), "content_type": found.get("content-type"), "headers": [{"name": n.strip(), "value": v.strip()} for n, _, v in lines], "block": rest[: int(found["content-length"])]}
-                    yield pa.RecordBatch.from_pylist([row], schema)
+            for content in batch.column("content"):
+                for data, whole in members(memoryview(content.as_buffer())):
+                    rows.append((parsed(data) if whole else None) or {"warc_type": UNREADABLE, "block": data})
+                    size += len(data)
+                    if len(rows) == 256 or size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.read(spark, folder, ".warc.gz").mapInArrow(run, RECORD)
+
+
+def restored(records: DataFrame) -> DataFrame:
+    """The columns of derived records that were written and read."""
+    lines = F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "x-source-header"), lambda h: F.concat(h["value"], F.lit("\r\n")))
+    own = {"source_id": header("WARC-Refers-To"), "warc_type": F.col("warc_type"), "record_id": F.col("record_id"), "refers_to": header("WARC-Refers-To"), "target_uri": F.col("target_uri"), "warc_date": F.col("warc_date"), "content_type": F.col("content_type"), "content_length": F.octet_length("block").cast("long"), "block_digest": header("WARC-Block-Digest"), "source_block_digest": header("X-Source-Block-Digest"), "source_payload_digest": header("X-Source-Payload-Digest"), "source_headers": F.array_join(lines, ""), "block": F.col("block")}
+    return records.select(*[c.alias(n) for n, c in own.items()], *[c for c in records.columns if c not in (*own, "headers")])
+
+
+def through_files(records: DataFrame, carry: str | None = None) -> DataFrame:
+    """Write response records as WARC files, derive from what is read back, write the derived records,
+    and return them as read; the files lie in the shared folder meanwhile. `carry` names the long
+    column that CARRIED holds."""
+    spark = records.sparkSession
+    top = files.shared_folder(spark, "warc")
+    try:
+        made, derived_folder = (files.create(spark, f"{top}/{name}") for name in ("responses", "derived"))
+        write(records, made).write.format("noop").mode("overwrite").save()
+        source = read(spark, made)
+        if carry:
+            source = source.withColumn(carry, header(CARRIED).try_cast("long"))
+        derived = derive(source, carry)
+        if carry:
+            number = F.struct(F.lit(CARRIED).alias("name"), F.coalesce(F.col(carry).cast("string"), F.lit("")).alias("value"))
+            derived = derived.withColumn("headers", F.array(number))
+        write(derived, derived_folder).write.format("noop").mode("overwrite").save()
+        again = read(spark, derived_folder)
+        return cut(restored(again.withColumn(carry, header(CARRIED).try_cast("long")) if carry else again))
+    finally:
+        files.remove(spark, top)

@@ -140,6 +140,41 @@ def test_decontamination(spark, docs):
     assert sum(w[5] for w in want) >= 5
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements are not equal, alone or as windows."""
+    rows, items = [], []
+    for n in (1024, 2048, 4096):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        items += [(n, word), (n + 1, " ".join([word] * 10))]
+        rows += [(n, other), (n + 1, " ".join([other] * 10)), (n + 2, f"x {word.upper()} y")]
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.contaminated) for r in found} == {k: (1, True) if t.startswith("x ") else (0, False) for k, t in rows}
+    many = thue_morse(4096)
+    letters = spark.createDataFrame([(1, " ".join(many)), (2, " ".join(many.translate(str.maketrans("ab", "ba"))))], "doc_id long, text string")
+    window = spark.createDataFrame([(1, " ".join(many))], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontam.contaminated(letters, window, window=4096).collect()} == {1: True, 2: False}
+
+
+def test_windows_that_many_items_share(spark):
+    shared = words(12)
+    items = spark.createDataFrame([(k, shared + f" only{k}") for k in range(300)], "item_id long, text string")
+    found = decontam.contaminated(spark.createDataFrame([(k, shared) for k in range(200)], "doc_id long, text string"), items).collect()
+    want = hashlib.sha256(",".join(sorted(map(str, range(300)))).encode()).hexdigest()
+    assert {(r.n_hit, r.n_items, r.items_sha256) for r in found} == {(12, 300, want)} and len(found) == 200
+
+
+def test_mixing_agrees_however_rows_lie(spark):
+    rows = [(k % 40 if k % 7 else None, words(RNG.randint(1, 60)), f"s{k % 3}") for k in range(600)]
+    rows += [(5, "the same words each time", "s1")] * 200
+    made = [keyed(mixing.mix(spark.createDataFrame(some, "doc_id long, text string, source string").repartition(n), chunk=50).collect()) for some, n in ((rows, 1), (rows[::-1], 5), (sorted(rows, key=lambda r: r[1]), 3))]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 800
+
+
 @pytest.mark.parametrize("chunk", [5, 2000])
 def test_mixing(spark, docs, chunk):
     found = mixing.mix(docs, chunk=chunk).collect()
@@ -203,6 +238,49 @@ def test_token_files(spark, docs):
     assert tokens.token_table(docs.limit(0), path).count() == 0
 
 
+def test_pieces_without_end_are_forgotten(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 1000)
+    encoder = tokens.Encoder(path, 1)
+    for k in range(20):
+        text = f"{k}x" * 200 + " word"
+        ids, counts = encoder.encode([text.encode()])
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]
+        assert encoder.known.bytes <= 2000
+
+
+def test_ordinal_likelihood():
+    """The fit has no lower penalised likelihood than small steps away from it, and grades follow the
+    plain formulas; ties of scores get one grade."""
+    rng = np.random.default_rng(9)
+    rows, features = 120, 4
+    value = rng.random((rows, features)) * (rng.random((rows, features)) < 0.6)
+    grade = np.clip((value @ [2.0, 1.0, -1.0, 0.0] + rng.normal(size=rows)).astype(int), 0, 3)
+    row, feature = np.nonzero(value)
+    weights, cuts = toxicity.fit_ordinal(rows, row, feature, value[row, feature], grade, features, rounds=3000, ridge=1e-2)
+    assert (np.diff(cuts) > 0).all()
+
+    def chances(w, c):
+        below = 1 / (1 + np.exp(-(c[None, :] - (value @ w)[:, None])))
+        return np.diff(np.concatenate([np.zeros((rows, 1)), below, np.ones((rows, 1))], axis=1), axis=1)
+
+    def gain(w, c):
+        return np.log(chances(w, c)[np.arange(rows), grade]).mean() - 1e-2 * (w**2).sum() / 2
+
+    best = gain(weights, cuts)
+    for k in range(features):
+        for step in (-0.05, 0.05):
+            assert gain(weights + step * (np.arange(features) == k), cuts) < best
+    for k in range(len(cuts)):
+        for step in (-0.03, 0.03):
+            assert gain(weights, cuts + step * (np.arange(len(cuts)) == k)) < best
+    model = toxicity.Ordinal(np.arange(features), weights, cuts)
+    score, made = value @ weights, chances(weights, cuts)
+    assert np.allclose(model.expected(score), made @ np.arange(made.shape[1]))
+    assert (model.likeliest(score) == 1 + made[:, 1:].argmax(axis=1)).all()
+    assert len(set(model.likeliest(np.full(5, 1.3)).tolist())) == 1
+
+
 def test_toxicity(spark):
     insults = ["idiot", "moron", "scumbag", "worthless"]
     made = []
@@ -221,6 +299,11 @@ def test_toxicity(spark):
     held = [(y, graded[i].toxic) for i, _, y in made if i % 2]
     assert sum(bool(y) == t for y, t in held) / len(held) > 0.97
     assert not any(graded[i].toxic for i in (900, 901, 902))
+    assert all((r.grade > 0) == r.toxic == (r.severity >= toxicity.REJECT) and r.grade <= toxicity.GRADES for r in graded.values())
+    again = docs.where("doc_id < 20").unionByName(docs.where("doc_id < 20")).unionByName(spark.createDataFrame([(0, words(200_000)), (None, "idiot moron scumbag")], "doc_id long, text string"))
+    twice = toxicity.grade_toxicity(again, model).collect()
+    assert len(twice) == 42 and all(sum(r.doc_id == k and (r.severity, r.grade) == (graded[k].severity, graded[k].grade) for r in twice) == 2 for k in range(1, 20))
+    assert [r.toxic for r in twice if r.doc_id is None] == [True]
     few = [graded[i].severity for i, t, y in made if y and sum(x in t for x in insults) == 1]
     many = [graded[i].severity for i, t, y in made if y and sum(x in t for x in insults) >= 3]
     assert np.mean(many) > np.mean(few)

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -58,6 +59,16 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in urls.judge_urls(table.limit(2), two).collect()} == {0: "allow", 1: "block"}
 
 
+def test_urls_with_long_hosts_and_a_hot_expression(spark):
+    labels = ".".join(f"l{k}" for k in range(50_000))
+    asked = [f"http://{labels}.example.com/en/" + "p/" * 50_000] + [f"http://h{k}.com/{k}" for k in range(3000)]
+    table = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(table, urls.rule_table(spark)).collect()}
+    assert got == {0: ("example.com/en/", "block")} | {k: ("com/", "allow") for k in range(1, 3001)}
+    assert time.perf_counter() - began < 60
+
+
 PAGE = "<html><head><title>A &amp;\n B</title><style>p{}</style></head><body><script>if (a<b) '</p>'</script><p>One  <b>two</b><br>three<!-- no --><a HREF='/x y'>link</a><div>&lt;four&gt;<noscript>hid</noscript></div>tail"
 
 
@@ -65,6 +76,7 @@ def test_plain_text():
     text, title, links = warc.plain_text(PAGE)
     assert (text, title, links) == ("One two\nthreelink\n<four>\ntail", "A & B", ["/x y"])
     assert warc.plain_text("") == ("", "", []) and warc.plain_text("a < b & c")[0] == "a < b & c"
+    assert warc.plain_text("a<svg/>b<script src='x'/>c<br/>d")[0] == "abc\nd"
     assert warc.plain_text("<script>never closed <p>x")[0] == ""
 
 
@@ -91,6 +103,40 @@ def test_derivatives(spark, tmp_path):
     assert sorted(repr([r[c] for c in compared]) for r in again.collect()) == sorted(repr([r[c] for c in compared]) for r in made)
 
 
+def test_through_files(spark):
+    pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (None, "http://c/\r\nX: y", "é" * 5000), (1, "http://a/", PAGE)], "page_id long, url string, html string")
+    found = warc.through_files(warc.responses(pages), carry="page_id").collect()
+    assert Counter((r.page_id, r.warc_type) for r in found) == {(1, "metadata"): 2, (1, "conversion"): 2, (2, "metadata"): 1, (2, "conversion"): 1, (None, "metadata"): 1, (None, "conversion"): 1}
+    sources = {r.record_id: r for r in warc.responses(pages).collect()}
+    for r in found:
+        block = bytes(sources[r.refers_to].block)
+        assert (r.source_block_digest, r.source_payload_digest, r.block_digest) == (warc.digest(block), warc.digest(block.split(b"\r\n\r\n", 1)[1]), warc.digest(bytes(r.block)))
+        assert f"WARC-Record-ID: {r.refers_to}\r\n" in r.source_headers and f"WARC-Block-Digest: {r.source_block_digest}\r\n" in r.source_headers
+        assert r.content_length == len(r.block) and r.source_id == r.refers_to
+    assert warc.through_files(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_broken_members(spark, tmp_path):
+    record = {"warc_type": "response", "record_id": "<urn:x>", "target_uri": "u", "warc_date": "d", "content_type": "c", "block": b"x" * 100_000}
+    good, cut_short = warc.serialised(record), gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
+    broken = bytearray(good)
+    broken[20:30] = b"0123456789"
+    (tmp_path / "a.warc.gz").write_bytes(good + bytes(broken) + good + b"junk" + cut_short + good + good[:-12])
+    found = [r.warc_type for r in warc.read(spark, f"file://{tmp_path}").collect()]
+    assert found.count("response") == 3 and set(found) == {"response", warc.UNREADABLE} and found.count(warc.UNREADABLE) >= 4
+    assert warc.derive(warc.read(spark, f"file://{tmp_path}")).count() == 3
+    members = [warc.serialised(record | {"block": b"%d" % k}) for k in range(20_000)]
+    began = time.perf_counter()
+    assert sum(whole for _, whole in warc.members(memoryview(b"".join(members)))) == 20_000
+    assert time.perf_counter() - began < 10
+
+
+def test_files_of_a_size(spark, tmp_path):
+    records = warc.responses(spark.range(100).selectExpr("id page_id", "'u' url", "array_join(transform(sequence(1, 100), k -> md5(string(id * 1000 + k))), ' ') html").coalesce(1))
+    made = warc.write(records, f"file://{tmp_path}/w", file_bytes=100_000).collect()
+    assert len(made) >= 3 and sum(r.records for r in made) == 100 == warc.read(spark, f"file://{tmp_path}/w").count()
+
+
 def test_http_messages():
     body = gzip.compress(b"<p>hi</p>")
     chunked = b"%x\r\n%s\r\n0\r\n\r\n" % (len(body), body)
