@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, partitions
+from . import neardup
+from .common import cut, join_hot, partitions, small_batches
 from .components import components
 
 BITS = 64
@@ -156,3 +157,45 @@ def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col:
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     spread = cut(named.join(least, "_root").select("_fp", "_n", "component_id"))
     return join_hot(rows, spread, "_fp", "_n").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame, similarity: float = neardup.SIMILARITY, shingle: int = neardup.SHINGLE, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): the group of near-duplicates of every row of `docs`, by fingerprints of
+    `shingle` words in a row and the similarity of what they stand for.
+
+    Texts link if their sets of shingles, A-Z lower-cased, words between white space, have a Jaccard
+    similarity of at least `similarity`; groups are what links connect, and component_id is the
+    smallest id of one (null if none has an id). Texts without words are one group. Repeated rows
+    each keep their row; an empty table gives no rows; other columns are ignored.
+
+    Equal words are one class, with a count, before any search. Candidates are the classes with one
+    fingerprint, or with fingerprints that one-wildcard variants link, and, as sets that are 0.8
+    similar differ in some 9 of 64 bits, those that share a band of minima as well. All links are
+    confirmed on whole sets."""
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).withColumn("_mark", F.xxhash64("_text"))
+    rows = cut(texts.mapInArrow(neardup.sketches(shingle), f"_id {kind}, _mark long, {neardup.SKETCH}"))
+    first = [F.first(c).alias(c) for c in ("_size", "_sim", "_keys")]
+    holder = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))).alias("_holder")
+    classes = cut(rows.groupBy("_words").agg(holder, F.count("*").alias("_n"), *first).withColumn("node", F.monotonically_increasing_id()))
+    sims = cut(classes.groupBy("_sim").agg(F.min("node").alias("first")))
+    side = lambda fp, a: sims.select(F.col("_sim").alias(fp), F.col("first").alias(a))
+    by_bits = fingerprint_links(sims.select("_sim"), distance).withColumnsRenamed({"a": "x", "b": "y"}).join(side("x", "a"), "x").join(side("y", "b"), "y")
+    equal = classes.select("_sim", "node").join(sims, "_sim").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = cut(neardup.band_candidates(classes, similarity))
+    pairs = found.where("block is null").select("a", "b").union(by_bits.select(F.least("a", "b"), F.greatest("a", "b"))).union(equal)
+    pairs, blocks = cut(pairs.distinct()), found.where("block is not null").select("block", F.col("a").alias("node"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(blocks.select("node")).distinct()
+    # a class's words are read from the row with its least id; copies of it are one row
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_name")
+    chosen = classes.join(wanted, "node", "left_semi").select(F.col("_holder.mark").alias("_mark"), named("_holder.id"), "node")
+    one = texts.select("_mark", named("_id"), "_text").join(chosen, ["_mark", "_name"]).groupBy("_mark", "_name", "node").agg(F.first("_text").alias("_text"))
+    sets = cut(one.select("node", "_text").mapInArrow(neardup.shingles(shingle), "node long, hashes array<long>"))
+    with small_batches(spark, 64):  # a row is a whole set here
+        large = cut(neardup.linked_blocks(blocks, sets, similarity))
+    roots = components(cut(neardup.confirmed(pairs, sets, similarity).unionByName(large)))
+    rooted = classes.select("_words", "_n", "node", F.col("_holder.id").alias("_least")).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    rooted = cut(rooted.select("_words", "_n", "_least", F.coalesce("root", "node").alias("_root")))
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    spread = cut(rooted.join(least, "_root").select("_words", "_n", "component_id"))
+    return join_hot(rows.select("_id", "_words"), spread, "_words", "_n").select(F.col("_id").alias(id_col), "component_id")

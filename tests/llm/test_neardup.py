@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import neardup
+from tallyloom.llm import simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,12 +51,21 @@ def test_groups(spark):
         for at in rng.sample(range(150), rng.choice((1, 2, 9))):
             copy[at] = word()
         texts.append(" ".join(copy))
-    got = dict(neardup.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    got = dict(simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     want = expected(texts)
     assert [got[k] for k in range(len(texts))] == want
     assert len(set(want)) < 300
 
 
+def test_odd_rows(spark):
+    long = " ".join(f"w{k}" for k in range(300))
+    rows = [(5, None), (4, ""), (3, " \n"), (7, "One two"), (6, "one  TWO"), (None, "only null ids"), (None, "only null ids"), (None, long), (9, long + " more"), (9, "another text of nine"), (2, "x " * 40_000), (1, "x " * 40_000)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, _words string")
+    got = sorted(simhash.near_groups(docs).collect(), key=repr)
+    assert got == sorted([(5, 3), (4, 3), (3, 3), (7, 6), (6, 6), (None, None), (None, None), (None, 9), (9, 9), (9, 9), (2, 1), (1, 1)], key=repr)
+    assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_stage_drops_what_five_words_call_near(spark):
     base = [f"word{k}" for k in range(100)]
