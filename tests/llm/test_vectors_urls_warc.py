@@ -37,6 +37,49 @@ def test_embeddings(spark, tile):
     assert quantised.embedding_groups(table.limit(0)).count() == 0
 
 
+def brute_links(vectors, labels, cosine):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return {int(y): set(map(tuple, np.argwhere(np.triu(unit[own] @ unit[own].T >= cosine, 1)))) for y in np.unique(labels) for own in [labels == y]}
+
+
+@pytest.mark.parametrize("size", [3000, 9000])
+def test_embedding_recall(spark, size):
+    """Diffuse vectors, a third under one label, with pairs just above and below the threshold, and one
+    large group of near copies: with production parameters every link is found and none beyond."""
+    rng = np.random.default_rng(size)
+    base = rng.normal(size=(size, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for k in range(0, size // 3, 2):
+        turn = rng.normal(size=64)
+        turn -= turn @ base[k] * base[k]
+        c = (0.985, 0.9801, 0.9799, 0.995)[k // 2 % 4]
+        base[k + 1] = c * base[k] + (1 - c * c) ** 0.5 * turn / np.linalg.norm(turn)
+    base[-400:] = base[-400] + 0.008 * rng.normal(size=(400, 64))
+    labels = np.where(np.arange(size) // 2 % 3 == 0, 0, np.arange(size) // 2 % 9)
+    labels[-400:] = 0
+    base = base.astype(np.float32)
+    want = brute_links(base.astype(float), labels, 0.98)
+    table = spark.createDataFrame([(k, base[k].tolist(), int(labels[k])) for k in range(size)], "vec_id long, embedding array<float>, label int")
+    got = quantised.embedding_groups(table).collect()
+    found, due = sum(r.n_links for r in got) // 2, sum(map(len, want.values()))
+    assert due > 50_000 and 0.999 * due <= found <= due
+    small = {r.vec_id: r.n_links for r in got if r.vec_id < size // 3}
+    near = {k: 0 for k in small}
+    for y, pairs in want.items():
+        ids = np.flatnonzero(labels == y)
+        for a, b in pairs:
+            for k in (int(ids[a]), int(ids[b])):
+                if k in near:
+                    near[k] += 1
+    assert sum(small[k] >= near[k] for k in small) >= 0.998 * len(small) and all(small[k] <= near[k] for k in small)
+
+
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(1, [1e200, 1e199], 0), (2, [1e200, 1e199], 0), (3, [1e-170, 1e-171], 0), (4, [5e-324, 0.0], 1), (5, [3.0, 0.0], 1), (6, [0.0, 0.0], 1), (7, [float("inf"), 1.0], 1)]
+    got = quantised.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 0, 7)]
+
+
 def test_urls(spark):
     asked = ["http://a.example.com/en/1", "https://WWW.Example.com/en/2?q#x", "x://sub.www.example.com/en/", "http://example.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://com", "http://com/", "http://example.com:80/en/", "no scheme", None, "", "http://", "http://example.org/en/?a=/fr/", "http://x.net/fr#/es/", "a://b://c.com/d", "http://é.com/ü"] * 2
     table = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(asked)] + [(None, asked[0], "", "")], "page_id long, url string, host string, rule string")
