@@ -4,56 +4,52 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import cut
-from .words import slices, spans_hash
+from .common import cut, partitions
+from .words import bytes_hash, eights, mixed, slices
 
 #: Bytes of a repeated string, and of the grams whose least hash stands for it.
 LENGTH, GRAM = 50, 24
-#: Bytes of text in a group of documents, and for each part that grams are dealt to, about.
-GROUP_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Bytes of text, and rows, of a group of documents.
+GROUP_BYTES, GROUP_ROWS = 8 << 20, 1 << 16
+#: Parts that grams are dealt to, for each of Spark's shuffle partitions, and at most.
+PARTS, MOST_PARTS = 4, 1 << 16
 #: Positions whose buckets are refined together, about, and bytes whose grams are hashed together.
 POSITIONS, PIECE = 1 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
+#: Groups from this number on hold rows without id, which are all equally late.
+NULLS = 1 << 50
 #: What the groups are told about a context: an earlier group has it; earlier groups have its gram in
 #: other contexts; later groups need its bytes.
 ALL, PARTLY, NEEDED = 1, 2, 3
-_BYTES = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
-_ROOT = int(np.random.default_rng(42).integers(1 << 62, 1 << 63)) | 1
+#: Bits by which a gram is known.
+GRAM_BITS = np.uint64(48)
+_FACTORS = np.random.default_rng(41).integers(1 << 62, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 32) - 1)
 
 
-def _gram_hashes(data: np.ndarray, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A hash of the `gram` bytes from each place on."""
-    up, down = powers
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-    hashes = total[gram:] - total[:-gram]
-    hashes *= down[: len(hashes)]
-    hashes ^= hashes >> np.uint64(31)
-    hashes *= np.uint64(0x9E3779B97F4A7C15)
-    return hashes
+def _steps(gram: int) -> list[int]:
+    """Where the eights begin that cover a gram."""
+    return [*range(0, gram - 8, 8), gram - 8]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the root and of its inverse modulo 2^64."""
-    made = []
-    for root in (_ROOT, pow(_ROOT, -1, 1 << 64)):
-        power = np.full(n, root, np.uint64)
-        power[:1] = 1
-        made.append(np.cumprod(power, dtype=np.uint64))
-    return made[0], made[1]
-
-
-def _least_at(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each run of `window` hashes the place of the least by its upper half, the first of equals."""
-    value = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+def _least_at(data: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """For each run of `window` grams the place of the least by 32 bits of its hash, the first of equals."""
+    eight, n = np.ascontiguousarray(eights(data)[:-8]), len(data) - gram + 1
+    value = np.zeros(n, np.uint64)
+    for k, step in enumerate(_steps(gram)):
+        value += eight[step : step + n] * _FACTORS[k]
+    value &= ~_LOW
+    value |= np.arange(n, dtype=np.uint64)
     width = 1
     while width < window:
         step = min(width, window - width)
@@ -62,103 +58,145 @@ def _least_at(hashes: np.ndarray, window: int) -> np.ndarray:
     return (value & _LOW).astype(np.int64)
 
 
+def _runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> list[bytes]:
+    """For each document the runs of strings that one gram stands for, two bytes each: how many
+    strings, and how far behind the first one's start the gram lies."""
+    if len(data) < length:
+        return [b""] * (len(offsets) - 1)
+    if len(offsets) == 2 and len(data) > 4 * PIECE:  # a long document in pieces, whose last runs may go on
+        pieces = [data[k : k + PIECE + length - 1] for k in range(0, len(data) - length + 1, PIECE)]
+        return [b"".join(r for piece in pieces for r in _runs_of(piece, np.array([0, len(piece)]), length, gram))]
+    least = _least_at(data, gram, length - gram + 1)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        least[max(a, b - length + 1) : b] = -1  # strings that would run into the next document
+    heads = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    counts = np.diff(np.append(heads, len(least)))
+    real = least[heads] >= 0
+    heads, counts = heads[real], counts[real]
+    pairs = np.stack([counts, least[heads] - heads], axis=1).astype(np.uint8)
+    bounds = np.searchsorted(heads, offsets).tolist()
+    return [pairs[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+GROUPED = {"g": pa.int64(), "r": pa.int32(), "_id": pa.int64(), "_text": pa.binary(), "_runs": pa.binary()}
+
+
+def _grouped(length: int, gram: int, group_bytes: int, group_rows: int):
+    """Rows in order of their ids, with numbers of groups and of rows in them: a group ends when it is
+    large and the id changes, and rows without id have groups of their own. Grams are looked for
+    here once; all later steps find them by the runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, size, rows, before = TaskContext.get().partitionId(), 0, 0, 0, None
+        for batch in batches:
+            ids, texts = batch.column("_id").to_pylist(), batch.column("_text")
+            bytes_of = pc.binary_length(texts).to_pylist()
+            groups, places = [], []
+            for own, n in zip(ids, bytes_of, strict=True):
+                if rows and ((own is None) != (before is None) or (size >= group_bytes or rows >= group_rows) and (own is None or own != before)):
+                    number, size, rows = number + 1, 0, 0
+                groups.append((NULLS if own is None else 0) + (part << 24) + number)
+                places.append(rows)
+                size, rows, before = size + n, rows + 1, own
+            runs = [r for _, _, data, offsets in slices(texts, PIECE) for r in _runs_of(data, offsets, length, gram)]
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(places, pa.int32()), batch.column("_id"), texts, pa.array(runs, pa.binary())], list(GROUPED))
+
+    return run
+
+
 class Group:
     """Some documents, the grams that stand for their strings, and the contexts of these.
 
     Each string of `length` bytes is assigned to the least of its gram hashes, so equal strings
     are assigned to equal grams. An occurrence is a gram with a run of strings; its context are the
-    bytes that the strings cover. A gram is known by its part, and 40 bits of its hash."""
+    bytes that the strings cover. A gram is known by 48 bits of a hash, the first of which name its
+    part; a context by its gram and 64 bits of a digest of its bytes."""
 
     def __init__(self, docs: pa.Table, length: int, gram: int, parts: int):
-        self.group, self.length = docs.column("g")[0].as_py(), length
+        docs = docs.sort_by("r").combine_chunks()
+        self.group, self.length, self.parts = docs.column("g")[0].as_py(), length, parts
         ids = docs.column("_id").combine_chunks()
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        found, pieces, base, first_row, powers = [], [], 0, 0, _powers(2 * PIECE)
-        bounds = [np.zeros(1, np.int64)]
-        for _, _, data, offsets in slices(docs.column("_text"), PIECE):
-            pieces.append(data)
-            bounds.append(offsets[1:] + base)
-            if len(data) >= length:
-                if len(data) > len(powers[0]):
-                    powers = _powers(len(data))
-                hashes = _gram_hashes(data, gram, powers)
-                least = _least_at(hashes, length - gram + 1)
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    least[max(a, b - length + 1) : b] = -1  # strings that would run into the next document
-                heads = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-                counts = np.diff(np.append(heads, len(least)))
-                real = least[heads] >= 0
-                heads, counts = heads[real], counts[real]
-                hashed = hashes[least[heads]]
-                tags = (hashed % np.uint64(parts) << np.uint64(40)) | (hashed >> np.uint64(24))
-                around = spans_hash(_BYTES[data], heads, heads + counts + length - 1, 6)
-                found.append((tags, around, np.searchsorted(offsets, heads, "right") - 1 + first_row, heads + base, counts))
-            base, first_row = base + len(data), first_row + len(offsets) - 1
-        self.data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
-        self.bounds = np.concatenate(bounds)
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-        self.gram, self.around, self.row, self.start, self.count = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kinds[k]) for k in range(5))
+        (_, _, self.data, self.bounds), *_ = slices(docs.column("_text"), 1 << 62)
+        (_, _, runs, run_bounds), *_ = slices(docs.column("_runs"), 1 << 62)
+        runs, per_row = runs.reshape(-1, 2).astype(np.int64), np.diff(run_bounds) // 2
+        self.eight = eights(self.data)
+        self.row, self.count = np.repeat(np.arange(len(self.ids)), per_row), runs[:, 0]
+        before = np.cumsum(self.count) - self.count
+        firsts = np.concatenate([before, [0]])[np.minimum(run_bounds[:-1] // 2, len(before))]
+        self.start = before - firsts[self.row] + self.bounds[self.row]
+        at, h = self.start + runs[:, 1], np.zeros(len(runs), np.uint64)
+        for step in _steps(gram):
+            h = mixed(h ^ self.eight[at + step])
+        self.gram = h >> (np.uint64(64) - GRAM_BITS)
 
     def grams(self) -> np.ndarray:
         return np.unique(self.gram)
 
     def keep(self, some: np.ndarray) -> None:
-        self.gram, self.around, self.row, self.start, self.count = (x[some] for x in (self.gram, self.around, self.row, self.start, self.count))
+        self.gram, self.row, self.start, self.count = (x[some] for x in (self.gram, self.row, self.start, self.count))
 
     def keep_grams(self, grams: np.ndarray) -> None:
         at = np.minimum(np.searchsorted(grams, self.gram), max(0, len(grams) - 1))
         self.keep(grams[at] == self.gram if len(grams) else np.zeros(len(self.gram), bool))
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context of each occurrence, an occurrence of each context, the least id that has it), the
-        contexts in an order that depends on them alone."""
-        ids = self.ids[self.row]
-        order = np.lexsort((ids, self.around, self.gram))
-        gram, around = self.gram[order], self.around[order]
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context of each occurrence, an occurrence of each context, the least id that has it, its
+        digest), the contexts in an order that depends on them alone."""
+        ids, around = self.ids[self.row], bytes_hash(self.eight, self.start, self.count + self.length - 1, 5)
+        order = np.lexsort((ids, around, self.gram))
+        gram, sorted_around = self.gram[order], around[order]
         new = np.ones(len(order), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])
+        new[1:] = (gram[1:] != gram[:-1]) | (sorted_around[1:] != sorted_around[:-1])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        return which, order[new], ids[order][new]
+        return which, order[new], ids[order][new], sorted_around[new]
 
+    def by_part(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
+        return _by_part(grams, self.parts)
 
-def _by_part(grams: np.ndarray) -> list[tuple[int, int, int]]:
+
+def _by_part(grams: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(part, first, last) of the parts of sorted grams."""
     if not len(grams):
         return []
-    names, heads = np.unique(grams >> np.uint64(40), return_index=True)
+    names, heads = np.unique(grams * np.uint64(parts) >> GRAM_BITS, return_index=True)
     return list(zip(names.astype(int).tolist(), heads.tolist(), [*heads[1:].tolist(), len(grams)], strict=True))
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """40 bits of sorted grams: how many have each value of the upper 8 bits, and the lower 32."""
-    upper = np.bincount((grams >> np.uint64(32) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint32)
-    return upper.tobytes() + grams.astype(np.uint32).tobytes()
+def _packed(grams: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted grams as their lower 32 and upper 16 bits, and what goes with each, column by column: no
+    more bytes than grams ask for, however few there are."""
+    return b"".join([np.int32(len(grams)).tobytes(), grams.astype("<u4").tobytes(), (grams >> np.uint64(32)).astype("<u2").tobytes(), *(m.tobytes() for m in more)])
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, int]:
     """(grams, bytes that they take)."""
-    upper = np.frombuffer(blob, np.uint32, 256)
-    n = int(upper.sum())
-    low = np.frombuffer(blob, np.uint32, n, 1024).astype(np.uint64)
-    return low | (np.repeat(np.arange(256, dtype=np.uint64), upper) << np.uint64(32)), 1024 + 4 * n
+    n = int(np.frombuffer(blob, "<i4", 1)[0])
+    low, high = np.frombuffer(blob, "<u4", n, 4), np.frombuffer(blob, "<u2", n, 4 + 4 * n)
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), 4 + 6 * n
+
+
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """The order of groups: those of rows without id are all last."""
+    return np.minimum(groups, NULLS)
 
 
 def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
 
-SENT = {"g": pa.int32(), "p": pa.int32(), "blob": pa.binary()}
-REPLY = {"g": pa.int32(), "p": pa.int32(), "step": pa.int32(), "blob": pa.binary()}
-SENT_SCHEMA, REPLY_SCHEMA = "g int, p int, blob binary", "g int, p int, step int, blob binary"
+SENT = {"g": pa.int64(), "p": pa.int32(), "blob": pa.binary()}
+REPLY = {"g": pa.int64(), "p": pa.int32(), "step": pa.int32(), "blob": pa.binary()}
+SENT_SCHEMA, REPLY_SCHEMA = "g long, p int, blob binary", "g long, p int, step int, blob binary"
 
 
 def _grams(docs: pa.Table, length: int, gram: int, parts: int) -> pa.Table:
     """Step 1 of a group: its distinct grams, to their parts."""
     group = Group(docs, length, gram, parts)
     grams = group.grams()
-    return _table([(group.group, p, _packed(grams[a:b])) for p, a, b in _by_part(grams)], **SENT)
+    return _table([(group.group, p, _packed(grams[a:b])) for p, a, b in group.by_part(grams)], **SENT)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -181,7 +219,7 @@ def _shared(blobs: pa.Table) -> pa.Table:
     several[order] = np.repeat(np.diff(np.append(heads, len(key))) > 1, np.diff(np.append(heads, len(key))))
     ends = np.cumsum(sizes)
     rows = zip(blobs.column("g").to_pylist(), blobs.column("p").to_pylist(), sizes, ends, strict=True)
-    return _table([(g, p, 1, np.packbits(several[e - n : e]).tobytes()) for g, p, n, e in rows], **REPLY)
+    return _table([(g, p, 1, np.packbits(several[e - n : e]).tobytes()) for g, p, n, e in rows if several[e - n : e].any()], **REPLY)
 
 
 def _replied(replies: pa.Table, step: int) -> dict[int, bytes]:
@@ -189,10 +227,10 @@ def _replied(replies: pa.Table, step: int) -> dict[int, bytes]:
     return {p: blob for p, s, blob in rows if s == step}
 
 
-def _told(grams: np.ndarray, replies: dict[int, bytes], kind: np.dtype | None = None) -> np.ndarray:
+def _told(grams: np.ndarray, parts: int, replies: dict[int, bytes], kind: np.dtype | None = None) -> np.ndarray:
     """What the replies say of sorted grams or of contexts in their order: bits, or numbers."""
     told = np.zeros(len(grams), bool if kind is None else kind)
-    for p, a, b in _by_part(grams):
+    for p, a, b in _by_part(grams, parts):
         if p in replies:
             blob = np.frombuffer(replies[p], np.uint8 if kind is None else kind)
             told[a:b] = np.unpackbits(blob, count=b - a).astype(bool) if kind is None else blob
@@ -205,10 +243,10 @@ def _signatures(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts
         return _table([], **SENT)
     group = Group(docs, length, gram, parts)
     grams = group.grams()
-    group.keep_grams(grams[_told(grams, _replied(replies, 1))])
-    _, sample, _ = group.contexts()
-    own, around = group.gram[sample], group.around[sample]
-    return _table([(group.group, p, _packed(own[a:b]) + around[a:b].tobytes()) for p, a, b in _by_part(own)], **SENT)
+    group.keep_grams(grams[_told(grams, parts, _replied(replies, 1))])
+    _, sample, _, around = group.contexts()
+    own = group.gram[sample]
+    return _table([(group.group, p, _packed(own[a:b], around[a:b])) for p, a, b in group.by_part(own)], **SENT)
 
 
 def _compared(blobs: pa.Table) -> pa.Table:
@@ -220,11 +258,11 @@ def _compared(blobs: pa.Table) -> pa.Table:
         grams.append(own)
         arounds.append(np.frombuffer(blob, np.uint64, len(own), at))
     sizes = [len(g) for g in grams]
-    key, around, group = np.concatenate(grams), np.concatenate(arounds), np.repeat(blobs.column("g").to_numpy(), sizes)
+    key, around, group = np.concatenate(grams), np.concatenate(arounds), np.repeat(_rank(blobs.column("g").to_numpy()), sizes)
     order = np.lexsort((group, around, key))
     key, around, group = key[order], around[order], group[order]
-    first = np.zeros(len(key), bool)
-    first[_runs(key, around)] = True
+    alike = _runs(key, around)
+    first = group == np.repeat(group[alike], np.diff(np.append(alike, len(key))))
     heads = _runs(key)
     per_gram = np.diff(np.append(heads, len(key)))
     earlier = np.repeat(np.minimum.reduceat(group, heads), per_gram) < group
@@ -235,7 +273,7 @@ def _compared(blobs: pa.Table) -> pa.Table:
     told[order] = code
     ends = np.cumsum(sizes)
     rows = zip(blobs.column("g").to_pylist(), blobs.column("p").to_pylist(), sizes, ends, strict=True)
-    return _table([(g, p, 2, told[e - n : e].tobytes()) for g, p, n, e in rows], **REPLY)
+    return _table([(g, p, 2, told[e - n : e].tobytes()) for g, p, n, e in rows if told[e - n : e].any()], **REPLY)
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -251,11 +289,11 @@ def _contexts(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts:
         return _table([], **SENT)
     group = Group(docs, length, gram, parts)
     grams = group.grams()
-    group.keep_grams(grams[_told(grams, _replied(replies, 1))])
-    _, sample, _ = group.contexts()
-    sample = sample[_told(group.gram[sample], _replied(replies, 2), np.uint8) >= PARTLY]
+    group.keep_grams(grams[_told(grams, parts, _replied(replies, 1))])
+    _, sample, _, _ = group.contexts()
+    sample = sample[_told(group.gram[sample], parts, _replied(replies, 2), np.uint8) >= PARTLY]
     own, starts, sizes = group.gram[sample], group.start[sample], group.count[sample] + length - 1
-    return _table([(group.group, p, _packed(own[a:b]) + sizes[a:b].astype(np.uint8).tobytes() + _gathered(group.data, starts[a:b], sizes[a:b]).tobytes()) for p, a, b in _by_part(own)], **SENT)
+    return _table([(group.group, p, _packed(own[a:b], sizes[a:b].astype(np.uint8), _gathered(group.data, starts[a:b], sizes[a:b]))) for p, a, b in group.by_part(own)], **SENT)
 
 
 def _ranks(pairs: np.ndarray) -> np.ndarray:
@@ -319,14 +357,14 @@ def _judged(blobs: pa.Table, length: int) -> pa.Table:
         texts.append(np.frombuffer(blob, np.uint8, -1, at + len(own)))
     per_group = [len(g) for g in grams]
     gram, size, data = np.concatenate(grams), np.concatenate(sizes), np.concatenate(texts)
-    group = np.repeat(blobs.column("g").to_numpy(), per_group)
+    group = np.repeat(_rank(blobs.column("g").to_numpy()), per_group)
     starts, masks = np.cumsum(size) - size, np.zeros(len(gram), np.uint32)
     for which, nth, bucket in _strings(data, starts, size, gram, length):
         earlier = _smallest(bucket, group[which]) < group[which]
         np.bitwise_or.at(masks, which[earlier], np.uint32(1) << nth[earlier].astype(np.uint32))
     ends = np.cumsum(per_group)
     rows = zip(blobs.column("g").to_pylist(), blobs.column("p").to_pylist(), per_group, ends, strict=True)
-    return _table([(g, p, 3, masks[e - n : e].tobytes()) for g, p, n, e in rows], **REPLY)
+    return _table([(g, p, 3, masks[e - n : e].tobytes()) for g, p, n, e in rows if masks[e - n : e].any()], **REPLY)
 
 
 def _removed(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: int, text: bool) -> pa.Table:
@@ -337,16 +375,16 @@ def _removed(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: i
     heads = _runs(group.gram[order]) if len(order) else np.zeros(0, int)
     sorted_ids = group.ids[group.row][order]
     local = sorted_ids[heads] != sorted_ids[np.append(heads[1:], len(order)) - 1] if len(heads) else np.zeros(0, bool)
-    shared = _told(grams, _replied(replies, 1))
+    shared = _told(grams, parts, _replied(replies, 1))
     group.keep_grams(grams[shared | local])
-    which, sample, least = group.contexts()
+    which, sample, least, _ = group.contexts()
     own = group.gram[sample]
     is_shared, is_local = (flag[np.searchsorted(grams, own)] if len(own) else np.zeros(0, bool) for flag in (shared, local))
     code = np.zeros(len(sample), np.uint8)
-    code[is_shared] = _told(own[is_shared], _replied(replies, 2), np.uint8)
+    code[is_shared] = _told(own[is_shared], parts, _replied(replies, 2), np.uint8)
     sent = code >= PARTLY
     masks = np.zeros(len(sample), np.uint32)
-    masks[sent] = _told(own[sent], _replied(replies, 3), np.uint32)
+    masks[sent] = _told(own[sent], parts, _replied(replies, 3), np.uint32)
     earliest = np.full((len(sample), max(1, length - gram + 1)), LAST)
     mine = np.flatnonzero(is_local & (code != ALL))
     for which_local, nth, bucket in _strings(group.data, group.start[sample][mine], group.count[sample][mine] + length - 1, own[mine], length):
@@ -373,7 +411,7 @@ def _removed(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts: i
     return pa.table(made)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", text: bool = False, group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", text: bool = False, group_bytes: int = GROUP_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Remove every byte that a string of `length` bytes covers which also starts in a row with a
     smaller id; strings are judged on the input, overlaps count, and texts are UTF-8 bytes.
 
@@ -381,26 +419,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     texts are empty. Rows with a null id count as later than all others and, like rows with one
     id, not as repeats of each other. An empty table gives no rows; other columns are ignored.
 
-    Texts are dealt once into groups of neighbouring ids, kept in a table that is bucketed by group.
-    First buckets: each string is assigned to the gram of least hash in it; a group sends each of
-    its grams once, packed, and learns which of them other groups have. Of these it sends hashes of
-    the contexts, most of which are whole in an earlier group or differ from all. Only contexts that
-    share a gram and differ meet with their bytes, all equal strings in one place, where buckets
-    are refined by the bucket pointers of later offsets down to whole strings, exactly; within a
-    group the same refinement compares documents. The replies, a few bits for a context, go back
-    to the groups, which cut their texts. A passage that very many documents share is sent once by
-    each group, not by each document."""
+    Texts are dealt once into groups of neighbouring ids, bounded by bytes and rows, and kept with
+    the places of their grams in a table that is bucketed by group. First buckets: each string is
+    assigned to the gram of least hash in it; a group sends each of its grams once, packed, to the
+    gram's part, and learns which of them other groups have. Of these it sends digests of the
+    contexts, most of which are whole in an earlier group (by 112 bits of gram and context) or
+    differ from all. Only contexts that share a gram and differ meet with their bytes, all equal
+    strings in one place, where buckets are refined by the bucket pointers of later offsets down to
+    whole strings, exactly; within a group the same refinement compares documents. The replies, a
+    few bits for a context, go back to the groups, which cut their texts. A passage that very many
+    documents share is sent once by each group, not by each document. There are as many buckets and
+    parts as shuffle partitions, or a fixed multiple; what is sent has a gram at least in each row
+    and some 6 bytes for it, so it grows with the input, however many groups and parts there are.
+    Rows with one id, if it isn't null, are one group, whatever their size."""
     spark = docs.sparkSession
     if not 8 <= gram <= length or length - gram >= 32 or 2 * length - gram > 255:
         raise ValueError("a gram has 8 bytes at least and 31 less than the string at most")
     folder, name = files.shared_folder(spark, "texts"), f"texts_{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
-    # by bytes, not by Spark's partitions: a group sends a row to each part, so there should be no more of either than memory asks for
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    groups, parts = total // group_bytes + 1, total // part_bytes + 1
-    dealt = rows.repartitionByRange(groups, F.coalesce("_id", F.lit(LAST))).withColumn("g", F.spark_partition_id())
-    dealt.write.bucketBy(groups, "g").option("path", folder).format("parquet").saveAsTable(name)
-    how = (length, gram, parts)
+    order = [F.coalesce("_id", F.lit(LAST)), F.when(F.col("_id").isNull(), F.xxhash64("_text")).otherwise(F.lit(0))]
+    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(F.col("_id").isNull(), "_id")
+    grouped = dealt.mapInArrow(_grouped(length, gram, group_bytes, group_rows), "g long, r int, _id long, _text binary, _runs binary")
+    buckets = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    grouped.write.bucketBy(buckets, "g").option("path", folder).format("parquet").saveAsTable(name)
+    how = (length, gram, min(PARTS * partitions(spark), MOST_PARTS))
     try:
         texts = spark.table(name)
         met = texts.groupBy("g").applyInArrow(lambda t: _grams(t, *how), SENT_SCHEMA)

@@ -78,6 +78,24 @@ def chained(values: np.ndarray, at: np.ndarray, n: np.ndarray | int, lane: int)
     return h
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian numbers, zeros after the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def bytes_hash(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
+    """A digest of the `sizes` bytes from each place on, by one bijective step for every eight."""
+    h = mixed(sizes.astype(np.uint64) + _SEEDS[lane])
+    least, most = (int(sizes.min()), int(sizes.max())) if len(sizes) else (0, 0)
+    for k in range(0, most, 8):
+        if least >= k + 8:
+            h = mixed((h ^ eight[starts + k]) + _SEEDS[lane])
+            continue
+        live = np.flatnonzero(sizes > k)
+        h[live] = mixed((h[live] ^ (eight[starts[live] + k] & _KEPT[np.minimum(sizes[live] - k, 8)])) + _SEEDS[lane])
+    return h
+
+
 @dataclass
 class Lexer:
     """Words are runs of the bytes that `keep` marks; A-Z count as a-z."""
@@ -99,16 +117,11 @@ class Lexer:
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
         """64 bits of each word; lanes 0 and 1 are 128 together. Up to LONG bytes a word is taken eight
         bytes at a time by bijective steps, a longer one by XXH3."""
-        low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
-        eights = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+        low = _LOWER[data]
         sizes = ends - starts
-        h = mixed(sizes.astype(np.uint64) + _SEEDS[lane])
-        for k in range(0, LONG, 8):
-            live = np.flatnonzero((sizes > k) & (sizes <= LONG)) if k or int(sizes.max(initial=0)) > LONG else np.arange(len(sizes))
-            if not len(live):
-                break
-            eight = eights[starts[live] + k] & _KEPT[np.minimum(sizes[live] - k, 8)]
-            h[live] = mixed((h[live] ^ eight) + _SEEDS[lane])
+        h = np.zeros(len(sizes), np.uint64)
+        short = np.flatnonzero(sizes <= LONG)
+        h[short] = bytes_hash(eights(low), starts[short], sizes[short], lane)
         for i in np.flatnonzero(sizes > LONG).tolist():
             whole = xxhash.xxh3_128_intdigest(low[starts[i] : ends[i]].tobytes())
             h[i] = whole >> 64 * lane & 0xFFFFFFFFFFFFFFFF

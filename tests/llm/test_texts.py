@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -53,13 +54,48 @@ def test_substrings(spark, docs):
 
     want = sorted((removed(*r) for r in ROWS), key=repr)
     for size in (2000, 1 << 20):
-        assert keyed(substrings.remove_repeats(docs, group_bytes=size, part_bytes=size // 2).collect()) == want
+        assert keyed(substrings.remove_repeats(docs, group_bytes=size).collect()) == want
     assert sum(w[2] for w in want) > 1000
     with_text = substrings.remove_repeats(docs, text=True, group_bytes=5000).collect()
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in with_text)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_rows_without_id_and_of_long_texts(spark, monkeypatch):
+    long = " ".join(RNG.choice(VOCABULARY) for _ in range(9000))
+    rows = [(None, PASSAGE + f" {k} " + LONG[: 20 * k]) for k in range(60)] + [(7, PASSAGE + "a"), (7, "b" + PASSAGE), (8, "x")] + [(None, "")] * 300
+    rows += [(100, long), (101, long[5000:30000] + "tail"), (102, "head" + long[7777:])]
+    monkeypatch.setattr(substrings, "PIECE", 4096)
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=3000, group_rows=20).collect()
+    want = []
+    for i, t in rows:
+        data, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        earlier = {d[k : k + 50] for j, s in rows if j is not None and (i is None or j < i) for d in [s.encode()] for k in range(len(d) - 49)} if len(data) >= 50 else set()
+        for k in range(len(data) - 49):
+            if data[k : k + 50] in earlier:
+                gone[k : k + 50] = True
+        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        want.append((-1 if i is None else i, len(data), int(gone.sum()), int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(gone) else 0, hashlib.sha256(kept).hexdigest()))
+    assert keyed(found) == sorted(want, key=repr)
+
+
+def test_what_groups_send_grows_with_the_text():
+    data = np.random.default_rng(3).integers(97, 123, 16 << 20).astype(np.uint8).tobytes()
+
+    def sent(size):
+        texts = [data[k : k + 2048] for k in range(0, len(data), 2048)]
+        total = 0
+        for k in range(0, len(texts), size // 2048):
+            own = texts[k : k + size // 2048]
+            runs = substrings._runs_of(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), 50, 24)
+            group = pa.table([pa.array([1] * len(own)), pa.array(range(len(own))), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.binary()), pa.array(runs, pa.binary())], names=list(substrings.GROUPED))
+            blobs = substrings._grams(group, 50, 24, 204).column("blob").to_pylist()
+            total += sum(map(len, blobs)) + 36 * len(blobs)
+        return total
+
+    assert sent(512 << 10) < 1.3 * sent(8 << 20) < 1.3 * len(data)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_refinement_tells_strings_apart(seed):
     data = np.random.default_rng(seed).integers(0, 2 + seed, 400).astype(np.uint8)
