@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the cluster's checkpoint folder, with no lineage behind them.
-
-    The folder is the one that spark.checkpoint.dir names; only where none is named, as in tests, a
-    temporary one is made."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the one that is set, else the one that spark.checkpoint.dir names. Only
+    a session without other machines may do without; it gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if named is None and not alone:
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, stored in the shared checkpoint folder, with no lineage behind them. A session
+    made by `session` deletes the files when nothing refers to the rows any more."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import SEED, ticket
+from ..functions.order import running
 
 
 def distinct_items(baskets: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def temporal_split(dated: DataFrame, test_share: float = 0.15) -> DataFrame:
     per_date = rows.groupBy("created_at").agg(F.count("*").alias("n"))
     total = rows.count()
     n = max(1, round(total * test_share))
-    # dates, not baskets, are ranked
-    later = F.sum("n").over(Window.orderBy(F.desc("created_at")))
-    cutoff = per_date.select("created_at", later.alias("later")).where(F.col("later") >= n).agg(F.max("created_at").alias("cutoff"))
+    # dates, not baskets, are ranked, and by ranges
+    earlier = running(per_date, ["created_at"], {"earlier": "n"})
+    cutoff = earlier.where(F.lit(total) - F.col("earlier") >= n).agg(F.max("created_at").alias("cutoff"))
     return rows.select("basket", "created_at", cutoff.scalar().alias("cutoff")).withColumn("split", F.when(F.col("created_at") < F.col("cutoff"), "train").otherwise("test"))
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,22 +70,27 @@ def _is_header(node: Block | str) -> bool:
     return node.kind in HEADER if isinstance(node, Block) else node.upper().startswith(tuple(f"{f}:" for f in HEADER))
 
 
-def _rules_only(children: Iterable[Block | str]) -> list[Block | str]:
-    """Without header fields; also inside the blocks of whole items."""
-    kept = []
-    for node in children:
-        if isinstance(node, Block) and node.kind == "CARD":
-            inner = Block(node.head)
-            inner.children = _rules_only(node.children)
-            kept.append(inner)
-        elif not _is_header(node):
-            kept.append(node)
-    return kept
-
-
-def _shown(kind: str, children: Iterable[Block | str], sort_all: bool) -> str:
-    parts = [f"{n.head}{{{_shown(n.kind, n.children, sort_all)}}}" if isinstance(n, Block) else n for n in children]
-    return ";".join(sorted(parts) if sort_all or kind in UNORDERED else parts)
+def _shown(root: Block, header: bool, sort_all: bool) -> str:
+    """The form of a block's children, from the innermost blocks outwards: a stack holds the blocks that
+    are open, what is done of each and what is left, so depth costs memory and no recursion. Without
+    `header`, fields that say what an item is are left out at the top and inside whole items."""
+    parts: list[str] = []
+    left, stack = iter(root.children), []
+    block, whole = root, not header
+    while True:
+        node = next(left, None)
+        if node is None:
+            shown = ";".join(sorted(parts) if sort_all or block.kind in UNORDERED else parts)
+            if not stack:
+                return shown
+            head = block.head
+            block, parts, left, whole = stack.pop()
+            parts.append(f"{head}{{{shown}}}")
+        elif isinstance(node, Block) and not (whole and node.kind != "CARD" and _is_header(node)):
+            stack.append((block, parts, left, whole))
+            block, parts, left, whole = node, [], iter(node.children), whole and node.kind == "CARD"
+        elif not isinstance(node, Block) and not (whole and _is_header(node)):
+            parts.append(node)
 
 
 def canonical(encoding: str | None, scope: str = "rules", sort_all: bool = False, name: str | None = None, mask_numbers: bool = False, mask_symbols: bool = False, wider_symbols: bool = False) -> str:
@@ -107,7 +110,7 @@ def canonical(encoding: str | None, scope: str = "rules", sort_all: bool = False
     if mask_symbols:
         source = COLOUR.sub("COLOR", (WIDER_SYMBOL if wider_symbols else SYMBOL).sub("{M}", source))
     root, _ = parse(source)
-    return _shown("CARD", root.children if scope == "full" else _rules_only(root.children), sort_all)
+    return _shown(root, scope == "full", sort_all)
 
 
 def canonical_column(encoding: str, name: str, **options) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import SEED, sample, ticket
+from ..functions.draws import SEED, draw, sample, ticket
 from ..functions.lineage import cut
+from ..functions.order import running
 from ..functions.vectors import pair_cosines
 from .baskets import distinct_items
 
@@ -117,21 +118,37 @@ def holdout(pairs: DataFrame, share: float = 0.15, seed: int = SEED) -> DataFram
     return keyed.withColumn("split", F.when(F.col("_ticket") <= border.scalar(), "holdout").otherwise("train")).drop("_ticket")
 
 
-def hard_negatives(values: DataFrame, colours: DataFrame, vocabulary: DataFrame, eval_pairs: DataFrame, found: DataFrame, anchors: int = ANCHORS, seed: int = SEED, zero: str = "ppmi") -> DataFrame:
+def hard_negatives(values: DataFrame, colours: DataFrame, vocabulary: DataFrame, eval_pairs: DataFrame, found: DataFrame, anchors: int = ANCHORS, seed: int = SEED, zero: str = "ppmi", tries: int = 8) -> DataFrame:
     """(a, b): for each drawn anchor a one partner that shares a colour, has no PPMI with it, and
     is neither a positive nor an evaluation pair. `zero` = "count" wants no common basket at all; then
-    `values` are the counts. Of a pair that two anchors draw the earlier one's stays."""
+    `values` are the counts. Of a pair that two anchors draw the earlier one's stays.
+
+    The items of all colours lie in random order once. An anchor looks at its colours' items from a
+    random place on and takes the first that is free (of equal places, the least colour). `tries`
+    places at a time are joined and refuted, then four times as many for the anchors that are left:
+    what a colour's size costs is only paid by anchors for which nearly all of it is barred."""
     pairs, _ = exclusions(eval_pairs)
     drawn = sample(vocabulary.select("item"), anchors, ["item"], seed).select(F.col("item").alias("a"))
     if zero not in ("ppmi", "count"):
         raise ValueError(f"zero is ppmi or count, not {zero!r}")
     of = colours.join(vocabulary.select("item"), "item", "left_semi").select("item", F.explode("colours").alias("colour")).distinct()
-    mine = of.join(F.broadcast(drawn), F.col("item") == F.col("a"), "left_semi").select(F.col("item").alias("a"), "colour")
-    partners = mine.join(of.withColumnRenamed("item", "b"), "colour").where("a <> b").select("a", "b").distinct()
-    barred = values.select(*unordered()).union(found.select(*unordered())).union(pairs).distinct()
-    free = without_pairs(partners, barred)
-    place = F.struct(ticket(seed, "a", "b").alias("t"), F.col("b").alias("b"))
-    chosen = free.groupBy("a").agg(F.min(place).alias("p")).select("a", "p.b")
+    members = running(of.withColumn("_ticket", ticket(seed, "colour", "item")), ["colour", "_ticket", "item"], {}).select("colour", "row", F.col("item").alias("b"))
+    members = cut(members)
+    sizes = members.groupBy("colour").agg(F.count("*").alias("size"), F.min("row").alias("start"))
+    left = cut(members.join(drawn, F.col("b") == F.col("a")).select("a", "colour").join(sizes, "colour").withColumn("first", F.pmod(draw(seed, "a", "colour"), "size")))
+    barred = cut(values.select(*unordered()).union(found.select(*unordered())).union(pairs).distinct())
+    chosen, low, width = None, 0, tries
+    while (left.agg(F.max("size")).first()[0] or 0) > low:
+        places = F.explode(F.sequence(F.lit(low), F.least(F.lit(low + width), F.col("size").cast("int")) - 1))
+        asked = left.where(F.col("size") > low).select("a", "colour", "start", "size", "first", places.alias("place"))
+        tried = asked.withColumn("row", F.col("start") + F.pmod(F.col("first") + F.col("place"), "size")).join(members.select("row", "b"), "row").where("a <> b")
+        free = without_pairs(tried.select("a", "b", "place", "colour"), barred)
+        some = cut(free.groupBy("a").agg(F.min(F.struct("place", "colour", "b")).alias("p")).select("a", "p.b"))
+        chosen = some if chosen is None else chosen.unionByName(some)
+        left = cut(left.join(some.select("a"), "a", "left_anti"))
+        low, width = low + width, 4 * width
+    if chosen is None:
+        chosen = drawn.select("a", F.col("a").alias("b")).limit(0)
     keyed = chosen.select(*unordered(), F.struct(ticket(seed, "a").alias("t"), "a", "b").alias("c"))
     return keyed.groupBy("_lo", "_hi").agg(F.min("c").alias("c")).select("c.a", "c.b")
 

@@ -56,7 +56,7 @@ def score_pairs(pairs: DataFrame, encoded: DataFrame, mask_numbers: bool = False
     masks = {"mask_numbers": mask_numbers, "mask_symbols": mask_symbols}
     forms = {f"{scope}_{kind}": canonical_column("cdl", "name", scope=scope, sort_all=kind == "strict", **masks) for scope in ("rules", "full") for kind in ("loose", "strict")}
     known = kept.join(used, "item", "left_semi").withColumns(forms)
-    side = lambda x: known.select(F.col("item").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("status", *forms)])
+    side = lambda x: known.select(F.col("item").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "status", *forms)])
     joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     status = {x: F.coalesce(f"status_{x}", F.lit("excluded")) for x in "ab"}
     both_encoded = status["a"].isin("clean", "gap") & status["b"].isin("clean", "gap")
@@ -64,7 +64,7 @@ def score_pairs(pairs: DataFrame, encoded: DataFrame, mask_numbers: bool = False
         *pairs.columns, status["a"].alias("status_a"), status["b"].alias("status_b"),
         ((status["a"] == "clean") & (status["b"] == "clean")).alias("both_clean"), both_encoded.alias("both_encoded"),
         *[F.when(both_encoded, F.col(f"{f}_a") != F.col(f"{f}_b")).alias(f"diverge_{f}") for f in forms],
-        F.when(both_encoded, F.col("rules_loose_a")).alias("canonical_a"), F.when(both_encoded, F.col("rules_loose_b")).alias("canonical_b"),
+        F.when(both_encoded, F.col("rules_loose_a")).alias("canonical_a"), F.when(both_encoded, F.col("rules_loose_b")).alias("canonical_b"), "name_a", "name_b",
     )
 
 

@@ -37,8 +37,12 @@ def numeric_pairs(items: DataFrame, most: int = PER_TEMPLATE) -> DataFrame:
 
 
 def identical_text_pairs(items: DataFrame, most: int = IDENTICAL) -> DataFrame:
-    """(a, b, note): neighbours in name order among items with one text, own names masked."""
+    """(a, b, note): neighbours in name order among items with one text, own names masked; the first
+    `most` in order of text and name. So many pairs lie among the first 2 `most` + 2 of the items whose text
+    is not alone: only these are ranked, however many items share a text."""
     rows = _worded(items).withColumn("masked", name_masked("text", "name")).where(F.length("masked") > 20)
+    several = rows.groupBy(F.sha2("masked", 256).alias("_text")).agg(F.count("*").alias("_n")).where("_n > 1").select("_text")
+    rows = rows.join(several, F.sha2("masked", 256) == F.col("_text"), "left_semi").orderBy("masked", "name", "item").limit(2 * most + 2)
     following = Window.partitionBy("masked").orderBy("name", "item")
     pairs = rows.select("masked", "name", F.col("item").alias("a"), F.lead("item").over(following).alias("b")).where("b is not null")
     return pairs.orderBy("masked", "name", "a").limit(most).select("a", "b", F.substring("masked", 1, 100).alias("note"))

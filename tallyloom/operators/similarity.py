@@ -3,49 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import SEED, draw, ticket
+from ..functions.order import running
 from ..functions.vectors import pair_cosines
 
 PER_END = 3
 # Thresholds of the verdict, replicates, level of the interval, reference means.
 MIN_LIFT, REPLICATES, LEVEL, RATIO = 0.05, 10_000, 0.95, 0.5
 REFERENCE, TOLERANCE = (0.717, 0.748), 0.02
-#: Values of a side up to which replicates draw from a broadcast array.
-BROADCAST_VALUES = 2_000_000
+#: Modulus of the draws that weigh values, and the draws from which a value counts once more: the
+#: Poisson distribution of mean 1.
+PRIME = (1 << 31) - 1
+CUTS = tuple(int(PRIME * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12))
 
 
 def random_controls(pairs: DataFrame, grouping: DataFrame, seed: int = SEED, per_end: int = PER_END) -> DataFrame:
     """(pair, anchor, partner): for each end of each pair (pair, a, b) up to `per_end` distinct items
     of its group, neither end of the pair. `grouping` is (item, grp) of the vocabulary.
 
-    Members of a group are put in a random order once; an end takes consecutive members from a
-    random place on, so a large group costs its size and not its square."""
-    order = Window.partitionBy("grp").orderBy(ticket(seed, "item"), "item")
-    members = grouping.select("grp", "item", (F.row_number().over(order) - 1).alias("place"))
-    sizes = grouping.groupBy("grp").agg(F.count("*").alias("size"))
+    Members of all groups are put in a random order once, by ranges; an end takes members from a random
+    place on, a random stride apart, so that ends seldom share more than one, a group costs its size
+    and not its square, and no group lies in one task."""
+    members = running(grouping.select("grp", "item", ticket(seed, "item").alias("_ticket")), ["grp", "_ticket", "item"], {}).drop("_ticket")
+    groups = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("row").alias("start"))
     ends = pairs.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("anchor"))
-    homes = ends.join(grouping.select(F.col("item").alias("anchor"), "grp"), "anchor").join(sizes, "grp")
-    steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(per_end + 2), F.col("size").cast("int")) - 1))
-    asked = homes.withColumn("step", steps).withColumn("place", F.pmod(draw(seed, "pair", "anchor") + F.col("step"), "size").cast("int"))
-    found = asked.join(members, ["grp", "place"]).where("item <> a and item <> b")
+    homes = ends.join(grouping.select(F.col("item").alias("anchor"), "grp"), "anchor").join(groups, "grp")
+    takes = per_end + 2
+    stride = 1 + F.pmod(draw(seed, "pair", "anchor", F.lit("stride")), F.greatest(F.lit(1), F.floor((F.col("size") - 1) / takes)))
+    steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(takes), F.col("size").cast("int")) - 1))
+    asked = homes.withColumn("step", steps).withColumn("row", F.col("start") + F.pmod(draw(seed, "pair", "anchor") + F.col("step") * stride, "size"))
+    found = asked.join(members.select("row", "item"), "row").where("item <> a and item <> b")
     ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("pair", "anchor").orderBy("step")))
     return ranked.where(F.col("k") <= per_end).select("pair", "anchor", F.col("item").alias("partner"))
 
 
 def substitute_and_control(pairs: DataFrame, vectors: DataFrame, grouping: DataFrame, seed: int = SEED) -> DataFrame:
-    """(side, pair, cosine) of the pairs whose ends both have vectors, and of their random controls."""
+    """(side, pair, a, b, cosine) of the pairs whose ends both have vectors, and of their random controls."""
     known = vectors.select("item")
     inside = pairs.join(known.withColumnRenamed("item", "a"), "a", "left_semi").join(known.withColumnRenamed("item", "b"), "b", "left_semi")
-    near = pair_cosines(inside.select("pair", "a", "b"), vectors).select(F.lit("substitute").alias("side"), "pair", "cosine")
+    near = pair_cosines(inside.select("pair", "a", "b"), vectors).select(F.lit("substitute").alias("side"), "pair", "a", "b", "cosine")
     controls = random_controls(inside, grouping.join(known, "item", "left_semi"), seed)
     far = pair_cosines(controls.select("pair", F.col("anchor").alias("a"), F.col("partner").alias("b")), vectors)
-    return near.unionByName(far.select(F.lit("random").alias("side"), "pair", "cosine"))
+    return near.unionByName(far.select(F.lit("random").alias("side"), "pair", "a", "b", "cosine"))
 
 
 def lift(cosines: DataFrame) -> DataFrame:
@@ -55,55 +61,51 @@ def lift(cosines: DataFrame) -> DataFrame:
     return found.withColumn("lift", F.col("mean_substitute") - F.col("mean_random"))
 
 
-def independent_bootstrap(cosines: DataFrame, replicates: int = REPLICATES, level: float = LEVEL, seed: int = SEED) -> DataFrame:
-    """(lift, ci_low, ci_high): both sides resampled independently of each other.
-
-    Up to BROADCAST_VALUES values a side, replicates are spread over tasks, each with a generator
-    of its own seed, and draw from a broadcast array. Beyond, each value draws its count in each replicate
-    from a Poisson distribution of mean 1 where it lies, and only sums are shuffled."""
-    spark = cosines.sparkSession
-    point = lift(cosines)
-    counts = point.select("n_substitute", "n_random").first()
-    if not all(counts):
-        return point.select("lift", F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"))
-    if max(counts) <= BROADCAST_VALUES:
-        sides = [np.array([r["cosine"] for r in cosines.where(F.col("side") == s).select("cosine").orderBy("cosine").toLocalIterator()]) for s in ("substitute", "random")]
-        shared = spark.sparkContext.broadcast(sides)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                made = []
-                for replicate in batch["id"]:
-                    rng = np.random.default_rng([seed, int(replicate)])
-                    a, b = (side[rng.integers(0, len(side), len(side))].mean() for side in shared.value)
-                    made.append(a - b)
-                yield pd.DataFrame({"lift": made})
-
-        lifts = spark.range(replicates).mapInPandas(run, "lift double")
-    else:
-        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for side, rows in batch.groupby("side"):
-                    rng = np.random.default_rng([seed, len(rows), int(abs(rows["cosine"].sum()) * 1e6)])
-                    for first in range(0, replicates, 100):
-                        n = rng.poisson(1.0, (min(100, replicates - first), len(rows)))
-                        yield pd.DataFrame({"replicate": np.arange(first, first + len(n)), "side": side, "s": n @ rows["cosine"].to_numpy(), "n": n.sum(axis=1)})
-
-        sums = cosines.select("side", "cosine").mapInPandas(weigh, "replicate long, side string, s double, n long").groupBy("replicate", "side").agg((F.sum("s") / F.sum("n")).alias("m"))
-        of = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
-        lifts = sums.groupBy("replicate").agg((of("substitute") - of("random")).alias("lift"))
+def _weighed(replicates: int):
+    """Of each side, for every replicate, the sum of the weighted values and of the weights in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            sides = np.array(batch.column("side").to_pylist())
+            x, y, values = (batch.column(c).to_numpy() for c in ("x", "y", "cosine"))
+            for side in set(sides.tolist()):
+                s, n = sums.setdefault(side, (np.zeros(replicates), np.zeros(replicates, np.int64)))
+                own = np.flatnonzero(sides == side)
+                for at in range(0, len(own), 2048):
+                    some = own[at : at + 2048]
+                    for first in range(0, replicates, 256):
+                        which = np.arange(first, min(first + 256, replicates))
+                        u = (x[some, None] * which[None, :] + y[some, None]) % PRIME
+                        w = np.zeros(u.shape, np.int8)
+                        for cut_at in CUTS:
+                            w += u >= cut_at
+                        s[which] += values[some] @ w
+                        n[which] += w.sum(axis=0, dtype=np.int64)
+        for side, (s, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array([side] * replicates), pa.array(s), pa.array(n)], ["replicate", "side", "s", "n"])
+
+    return run
+
+
+def bootstrap(cosines: DataFrame, replicates: int = REPLICATES, level: float = LEVEL, seed: int = SEED) -> DataFrame:
+    """(lift, ci_low, ci_high): both sides (side, pair, a, b, cosine) resampled independently of each other.
+
+    In each replicate a value counts as often as a Poisson variable of mean 1 says, drawn from two
+    numbers that md5 gives to (side, pair, a, b): (x r + y) modulo a prime in replicate r. Weights
+    of different values are independent, those of a value in two replicates pairwise, and any engine
+    repeats them however rows are dealt. Only a sum and a count for each replicate and side leave a
+    task. Without values on a side the interval is null; a replicate that has none of a side is
+    left out."""
+    key = ticket(seed, "side", "pair", "a", "b")
+    number = lambda at: F.pmod(F.conv(F.substring(key, at, 8), 16, 10).cast("long"), F.lit(PRIME))
+    rows = cosines.where("cosine is not null").select("side", number(1).alias("x"), number(9).alias("y"), "cosine")
+    sums = rows.mapInArrow(_weighed(replicates), "replicate long, side string, s double, n long")
+    means = sums.groupBy("replicate", "side").agg(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias("m"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
+    lifts = means.groupBy("replicate").agg((of("substitute") - of("random")).alias("lift"))
     ends = lifts.agg(F.percentile("lift", F.lit((1 - level) / 2)).alias("ci_low"), F.percentile("lift", F.lit((1 + level) / 2)).alias("ci_high"))
-    return point.select("lift", ends.select("ci_low").scalar().alias("ci_low"), ends.select("ci_high").scalar().alias("ci_high"))
-
-
-def repeatable_bootstrap(cosines: DataFrame, replicates: int, level: float = LEVEL, seed: int = SEED) -> DataFrame:
-    """The same by md5 draws, which other SQL engines repeat; for small samples, as every draw is a row."""
-    ranked = cosines.select("side", "cosine", (F.row_number().over(Window.partitionBy("side").orderBy("pair", "cosine")) - 1).alias("place"))
-    sizes = ranked.groupBy("side").agg(F.count("*").alias("size"))
-    draws = sizes.select("side", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)).alias("i"))
-    chosen = draws.withColumn("place", F.pmod(draw(seed, "side", "replicate", "i"), "size").cast("int")).join(ranked, ["side", "place"])
-    means = chosen.groupBy("replicate").agg((F.avg(F.when(F.col("side") == "substitute", F.col("cosine"))) - F.avg(F.when(F.col("side") == "random", F.col("cosine")))).alias("lift"))
-    return means.agg(F.percentile("lift", F.lit((1 - level) / 2)).alias("ci_low"), F.percentile("lift", F.lit((1 + level) / 2)).alias("ci_high"))
+    return ends.select(lift(cosines).select("lift").scalar().alias("lift"), "ci_low", "ci_high")
 
 
 def verdict(found: Column, ci_low: Column, mined: Column) -> Column:

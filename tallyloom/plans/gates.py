@@ -12,10 +12,11 @@ from ..functions.draws import SEED
 from ..operators import cooccurrence as C
 from ..operators import coverage, divergence, examples, similarity
 from ..sources import sinks
+from .reports import CONFOUND
 
 ARMS = ("2a", "2b", "2c", "2d")
-#: Said with every finding.
-CONFOUND = "Truth that derives from co-occurrence inherits what made the baskets alike; differences between arms survive that, absolute numbers don't."
+#: Fixed value: positives that a rung trains on, at most, unless another number is given.
+MOST = 250_000
 
 
 def thresholds() -> dict:
@@ -28,6 +29,17 @@ def thresholds() -> dict:
     }
 
 
+def out_of_sync(document: str) -> list[str]:
+    """Thresholds whose value, as it is written there, isn't in the document."""
+    share, signed = lambda v: f"{100 * v:g}%", lambda v: f"{v:+g}"
+    written = {
+        "t0 pass": share(coverage.PASS), "t0 fail": share(coverage.FAIL), "t0 guard": f"{100 * coverage.GUARD_DROP:g} percentage points",
+        "t1 pass": share(divergence.PASS), "t1 fail": share(divergence.FAIL), "t1 numeric": share(divergence.NUMERIC),
+        "t2 lift": signed(similarity.MIN_LIFT), "t2 interval": share(similarity.LEVEL), "t2 substitutes": f"{similarity.REFERENCE[0]:g}", "t2 random": f"{similarity.REFERENCE[1]:g}",
+    }
+    return [f"{name} ({value}) isn't in the document" for name, value in written.items() if value not in document]
+
+
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
@@ -42,16 +54,24 @@ def _whole(rows: DataFrame, folder: str | None, name: str) -> list[dict] | dict:
     return {"path": path, "count": rows.count()}
 
 
-def run_coverage(parsed: DataFrame, baskets: DataFrame, folder: str | None = None) -> dict:
+def failure_rows(items: DataFrame) -> DataFrame:
+    """The failures with most appearances, with the columns of their file."""
+    found = coverage.failures(items)
+    kept = [F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("name", "type_line", "appearances", "status", "gap_category", "exclusion_reason", "error")]
+    return found.select(F.col("item").alias("oracle_id"), *kept)
+
+
+def run_coverage(parsed: DataFrame, baskets: DataFrame, folder: str | None = None, corpus: str = "corpus") -> dict:
     """Gate T0: coverage of one corpus, in all its breakdowns. All that is collected is a bounded
-    number of rows, but for exclusion reasons, which go to `folder` if there is one."""
+    number of rows, but for exclusion reasons, which go to `folder` if there is one, as do failures."""
     items = coverage.weighed(parsed, baskets).cache()
     try:
         return {
             "strata": _rows(coverage.strata(items)), "heads": _rows(coverage.head_breakouts(items, baskets)), "status_share": _rows(coverage.status_share(items)),
-            "encoded": _rows(coverage.weighted_coverage(items, "encoded"))[0], "exclusion_reasons": _whole(coverage.exclusion_reasons(items), folder, "t0_exclusion_reasons.csv"),
+            "encoded": _rows(coverage.weighted_coverage(items, "encoded"))[0], "exclusion_reasons": _whole(coverage.exclusion_reasons(items), folder, f"t0_exclusion_reasons_{corpus}.csv"),
             "gap_categories": _rows(coverage.gap_categories(items)), "distinct": _rows(coverage.distinct_coverage(items))[0], "unmatched": _rows(coverage.unmatched(parsed, baskets))[0],
-            "failures": _rows(coverage.failures(items)), "verdict": _rows(coverage.judged(items))[0],
+            "failures": _whole(failure_rows(items), folder, f"t0_failures_{corpus}.csv"), "verdict": _rows(coverage.judged(items))[0],
+            "n_baskets": baskets.select("basket").distinct().count(), "staples": sorted(str(r["name" if "name" in parsed.columns else "item"]) for r in items.where("staple").collect()),
         }
     finally:
         items.unpersist()
@@ -63,11 +83,12 @@ def run_divergence(tiers: dict[str, DataFrame], encoded: DataFrame, folder: str
     scored = []
     for tier, pairs in tiers.items():
         numbers, symbols = divergence.TIERS.get(tier, (False, False))
-        scored.append(divergence.score_pairs(pairs.select("a", "b"), encoded, numbers, symbols).withColumn("tier", F.lit(tier)))
+        note = F.col("note").cast("string") if "note" in pairs.columns else F.lit("")
+        scored.append(divergence.score_pairs(pairs.select("a", "b", note.alias("note")), encoded, numbers, symbols).withColumn("tier", F.lit(tier)))
     together = reduce(DataFrame.unionByName, scored).cache()
     try:
         by_tier = divergence.rates(together, "tier")
-        divergent = together.where("diverge_rules_loose").select("tier", "a", "b", "canonical_a", "canonical_b").orderBy("tier", "a", "b")
+        divergent = together.where("diverge_rules_loose").orderBy("tier", "a", "b").select(F.col("tier").alias("source"), "name_a", "name_b", "note", "canonical_a", "canonical_b")
         return {"sets": _rows(by_tier), "verdict": _rows(divergence.judged(by_tier))[0], "divergent": _whole(divergent, folder, "t1_divergent_pairs.csv")}
     finally:
         together.unpersist()
@@ -78,16 +99,17 @@ def _score(pairs: DataFrame, vectors: DataFrame, clusters: DataFrame, strata: Da
     found = {}
     for name, grouping, s in (("cluster", clusters, seed), ("stratum", strata, seed + 1)):
         cosines = similarity.substitute_and_control(numbered, vectors, grouping, s).cache()
-        point, ends = _rows(similarity.lift(cosines))[0], _rows(similarity.independent_bootstrap(cosines, replicates, seed=s))[0]
+        point, ends = _rows(similarity.lift(cosines))[0], _rows(similarity.bootstrap(cosines, replicates, seed=s))[0]
         cosines.unpersist()
         found |= {"n_pairs_in_vocab": point["n_substitute"], "mean_substitute_cosine": point["mean_substitute"], f"mean_random_{name}_cosine": point["mean_random"], f"lift_vs_{name}": point["lift"], f"lift_vs_{name}_ci": [ends["ci_low"], ends["ci_high"]]}
     return found
 
 
-def run_arm(arm: str, corpus: str, baskets: DataFrame, items: DataFrame, eval_pairs: DataFrame, clusters: DataFrame, strata: DataFrame, zero_shot: DataFrame, provider: examples.Provider, most: int | None = None, replicates: int = similarity.REPLICATES, seed: int = SEED) -> dict:
+def run_arm(arm: str, corpus: str, baskets: DataFrame, items: DataFrame, eval_pairs: DataFrame, clusters: DataFrame, strata: DataFrame, zero_shot: DataFrame, provider: examples.Provider, most: int | None = MOST, replicates: int = similarity.REPLICATES, seed: int = SEED) -> dict:
     """Gate T2, one rung. 2a and 2b train on positives alone, 2c adds hard negatives, 2d also phenotype
     pairs, which never include what is held out. `items` is (item, text, colours); the provider
-    gives the vectors that are scored."""
+    gives the vectors that are scored. `most` caps the positives by a random choice; None or 0
+    doesn't."""
     if arm not in ARMS:
         raise ValueError(f"an arm is one of {', '.join(ARMS)}, not {arm!r}")
     values = C.ppmi(C.cooccurrence(baskets)).cache()
@@ -147,11 +169,6 @@ def merge_files(spark: SparkSession, folder: str, pattern: str = "t2_leakage_par
     return {"results": list(results.values()), "harness": similarity.harness(*means), "run_args": {"merged_from": sources}}
 
 
-def report(spark: SparkSession, folder: str, name: str, findings: dict, inputs: list[str], run_args: dict | None = None) -> None:
-    """Findings with provenance and thresholds as JSON, and their tables as Markdown."""
-    body = [f"# {name}\n", f"> {CONFOUND}\n"]
-    for key, value in findings.items():
-        rows = value if isinstance(value, list) else [value] if isinstance(value, dict) else []
-        flat = [{k: v for k, v in r.items() if not isinstance(v, (dict, list))} for r in rows if isinstance(r, dict)]
-        body.append(f"## {key}\n\n" + (sinks.table(flat) if flat else f"{value}\n"))
-    sinks.write_findings(folder, name, sinks.envelope(spark, inputs, thresholds(), run_args) | findings, "\n".join(body))
+def report(spark: SparkSession, folder: str, name: str, findings: dict, text: str, inputs: list[str], run_args: dict | None = None) -> None:
+    """Findings with provenance and thresholds as JSON, and their report as Markdown."""
+    sinks.write_findings(folder, name, sinks.envelope(spark, inputs, thresholds(), run_args) | findings, text)

@@ -56,15 +56,15 @@ CTE = {
     "part_sums": "SELECT item, sum(n) AS r FROM (SELECT a AS item, n FROM part_pairs UNION ALL SELECT b, n FROM part_pairs) GROUP BY item",
     "supplier_ppmi": "SELECT a, b, n, ppmi FROM (SELECT a, b, n, ln(n::DOUBLE * (SELECT 2 * sum(n) FROM supplier_pairs)::DOUBLE) - ln(x.r::DOUBLE) - ln(y.r::DOUBLE) AS ppmi FROM supplier_pairs JOIN supplier_sums x ON a = x.item JOIN supplier_sums y ON b = y.item) WHERE ppmi > 0",
     "part_ppmi": "SELECT a, b, n, ppmi FROM (SELECT a, b, n, ln(n::DOUBLE * (SELECT 2 * sum(n) FROM part_pairs)::DOUBLE) - ln(x.r::DOUBLE) - ln(y.r::DOUBLE) AS ppmi FROM part_pairs JOIN part_sums x ON a = x.item JOIN part_sums y ON b = y.item) WHERE ppmi > 0",
-    "supplier_eval": "SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 10 = 1",
+    "supplier_eval": "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1 AND x.s_nationkey = y.s_nationkey",
     "supplier_positives": "SELECT a, b, ppmi FROM supplier_ppmi WHERE ppmi >= (SELECT quantile_cont(ppmi, 0.9) FROM (SELECT ppmi FROM supplier_ppmi UNION ALL SELECT ppmi FROM supplier_ppmi)) AND NOT EXISTS (SELECT 1 FROM supplier_eval e WHERE least(e.a, e.b) = supplier_ppmi.a AND greatest(e.a, e.b) = supplier_ppmi.b)",
     "page_items": "SELECT page_id AS item, 'page ' || page_id AS name, url AS text FROM pages",
     "doc_items": "SELECT doc_id AS item, 'doc ' || doc_id AS name, text FROM documents",
-    "vector_pairs": "SELECT 'p' || v AS pair, a, b FROM (SELECT vec_id AS v, vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) WHERE b IS NOT NULL AND v % 10 = 0",
+    "vector_pairs": "SELECT 'p' || v AS pair, a, b FROM (SELECT vec_id AS v, vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) WHERE b IS NOT NULL",
     "group_members": "SELECT label AS grp, vec_id AS item, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) - 1 AS place FROM embeddings",
     "group_sizes": "SELECT grp, count(*) AS size FROM group_members GROUP BY grp",
-    "controls": "SELECT pair, anchor, partner FROM (SELECT pair, anchor, m.item AS partner, row_number() OVER (PARTITION BY pair, anchor ORDER BY step) AS k FROM (SELECT pair, a, b, anchor, h.grp, size, step, (('0x' || substr(md5('42:' || pair || ':' || anchor), 1, 8))::BIGINT + step) % size AS place FROM (SELECT pair, a, b, unnest([a, b]) AS anchor FROM vector_pairs) JOIN group_members h ON anchor = h.item JOIN group_sizes s ON h.grp = s.grp, unnest(range(least(5, size))) AS r(step)) q JOIN group_members m ON q.grp = m.grp AND q.place = m.place WHERE m.item <> a AND m.item <> b) WHERE k <= 3",
-    "side_cosines": "SELECT side, pair, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS cosine FROM (SELECT 'substitute' AS side, pair, a, b FROM vector_pairs UNION ALL SELECT 'random', pair, anchor, partner FROM controls) JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id",
+    "controls": "SELECT pair, anchor, partner FROM (SELECT pair, anchor, m.item AS partner, row_number() OVER (PARTITION BY pair, anchor ORDER BY step) AS k FROM (SELECT pair, a, b, anchor, h.grp, size, step, (('0x' || substr(md5('42:' || pair || ':' || anchor), 1, 8))::BIGINT + step * (1 + ('0x' || substr(md5('42:' || pair || ':' || anchor || ':stride'), 1, 8))::BIGINT % greatest(1, (size - 1) // 5))) % size AS place FROM (SELECT pair, a, b, unnest([a, b]) AS anchor FROM vector_pairs) JOIN group_members h ON anchor = h.item JOIN group_sizes s ON h.grp = s.grp, unnest(range(least(5, size))) AS r(step)) q JOIN group_members m ON q.grp = m.grp AND q.place = m.place WHERE m.item <> a AND m.item <> b) WHERE k <= 3",
+    "side_cosines": "SELECT side, pair, a, b, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS cosine FROM (SELECT 'substitute' AS side, pair, a, b FROM vector_pairs UNION ALL SELECT 'random', pair, anchor, partner FROM controls) JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id",
     "name_items": "SELECT n_nationkey AS item, n_nationkey AS ordinal, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' // ' || r_name ELSE n_name END AS name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "asked_names": "SELECT c_custkey // 10 AS basket, c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) || ' // ' || r_name WHEN 2 THEN n_name || ' // elsewhere' WHEN 3 THEN 'no ' || n_name ELSE upper(n_name) END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "exact_names": "SELECT lower(name) AS key, max_by(item, ordinal) AS item FROM name_items GROUP BY 1",
@@ -213,7 +213,8 @@ def _supplier_ppmi(spark, d):
 
 
 def _supplier_eval(spark, d):
-    return _t(spark, d, "supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    own = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), "s_nationkey")
+    return own.join(own.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), "s_nationkey"), ["a", "s_nationkey"]).select("a", "b")
 
 
 def _supplier_positives(spark, d, strict=False):
@@ -240,25 +241,28 @@ def holdout_split(spark, d):
     return C.holdout(_supplier_positives(spark, d)).select("a", "b", "split")
 
 
-@_query("""SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY md5('42:' || a)) AS k FROM (
-  SELECT x.a, min_by(y.s_suppkey, md5('42:' || x.a || ':' || y.s_suppkey)) AS b
-  FROM (SELECT s_suppkey AS a, s_nationkey AS colour FROM supplier WHERE s_suppkey IN (SELECT item FROM supplier_baskets) ORDER BY md5('42:' || s_suppkey), s_suppkey LIMIT 60) x
-  JOIN supplier y ON y.s_nationkey = x.colour AND y.s_suppkey <> x.a AND y.s_suppkey IN (SELECT item FROM supplier_baskets)
-  WHERE NOT EXISTS (SELECT 1 FROM supplier_ppmi p WHERE p.a = least(x.a, y.s_suppkey) AND p.b = greatest(x.a, y.s_suppkey))
-    AND NOT EXISTS (SELECT 1 FROM supplier_eval e WHERE least(e.a, e.b) = least(x.a, y.s_suppkey) AND greatest(e.a, e.b) = greatest(x.a, y.s_suppkey))
+_COLOURED = "SELECT s_nationkey AS colour, s_suppkey AS item, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5('42:' || s_nationkey || ':' || s_suppkey), s_suppkey) - 1 AS place, count(*) OVER (PARTITION BY s_nationkey) AS size FROM supplier WHERE s_suppkey IN (SELECT item FROM supplier_baskets)"
+
+
+@_query(f"""SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY md5('42:' || a), a) AS k FROM (
+  SELECT x.a, min_by(y.item, (y.place - x.first + x.size) % x.size) AS b
+  FROM (SELECT item AS a, colour, size, ('0x' || substr(md5('42:' || item || ':' || colour), 1, 8))::BIGINT % size AS first FROM ({_COLOURED}) ORDER BY md5('42:' || item), item LIMIT 4000) x
+  JOIN ({_COLOURED}) y ON y.colour = x.colour AND y.item <> x.a
+  WHERE NOT EXISTS (SELECT 1 FROM supplier_ppmi p WHERE p.a = least(x.a, y.item) AND p.b = greatest(x.a, y.item))
+    AND NOT EXISTS (SELECT 1 FROM supplier_eval e WHERE least(e.a, e.b) = least(x.a, y.item) AND greatest(e.a, e.b) = greatest(x.a, y.item))
   GROUP BY x.a)) WHERE k = 1""")
 def hard_negatives(spark, d):
     colours = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("item"), F.array(F.col("s_nationkey").cast("string")).alias("colours"))
     vocabulary = _baskets(spark, d, "l_suppkey").select("item").distinct()
-    return C.hard_negatives(_supplier_ppmi(spark, d), colours, vocabulary, _supplier_eval(spark, d), _supplier_positives(spark, d), anchors=60)
+    return C.hard_negatives(_supplier_ppmi(spark, d), colours, vocabulary, _supplier_eval(spark, d), _supplier_positives(spark, d))
 
 
-_PHENOTYPE = "SELECT a, b, round(ppmi, 6) AS ppmi, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS cosine FROM (SELECT a, b, ppmi FROM supplier_ppmi ORDER BY md5('42:' || a || ':' || b), a, b LIMIT 2000) s JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE NOT EXISTS (SELECT 1 FROM supplier_eval e WHERE least(e.a, e.b) = s.a AND greatest(e.a, e.b) = s.b)"
+_PHENOTYPE = "SELECT a, b, round(ppmi, 6) AS ppmi, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS cosine FROM (SELECT a, b, ppmi FROM supplier_ppmi ORDER BY md5('42:' || a || ':' || b), a, b LIMIT 20000) s JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE NOT EXISTS (SELECT 1 FROM supplier_eval e WHERE least(e.a, e.b) = s.a AND greatest(e.a, e.b) = s.b)"
 
 
-@_query(f"SELECT * FROM (SELECT *, 'positive' AS kind FROM ({_PHENOTYPE}) ORDER BY ppmi DESC, cosine, a, b LIMIT 100) UNION ALL SELECT * FROM (SELECT *, 'negative' AS kind FROM ({_PHENOTYPE}) ORDER BY ppmi, cosine DESC, a, b LIMIT 100)")
+@_query(f"SELECT * FROM (SELECT *, 'positive' AS kind FROM ({_PHENOTYPE}) ORDER BY ppmi DESC, cosine, a, b LIMIT 300) UNION ALL SELECT * FROM (SELECT *, 'negative' AS kind FROM ({_PHENOTYPE}) ORDER BY ppmi, cosine DESC, a, b LIMIT 300)")
 def phenotype_pairs(spark, d):
-    return C.phenotype_pairs(_supplier_ppmi(spark, d), _vectors(spark, d), _supplier_eval(spark, d), n=100, cells=2000)
+    return C.phenotype_pairs(_supplier_ppmi(spark, d), _vectors(spark, d), _supplier_eval(spark, d))
 
 
 # ── splits ──
@@ -364,11 +368,11 @@ def _groups(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("grp"))
 
 
-def _vector_pairs(spark, d, every=10):
+def _vector_pairs(spark, d):
     from pyspark.sql import Window
 
     following = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("a"), following.alias("b")).where(f"b is not null and a % {every} = 0")
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("a"), following.alias("b")).where("b is not null")
     return rows.select(F.concat(F.lit("p"), F.col("a").cast("string")).alias("pair"), "a", "b")
 
 
@@ -382,8 +386,8 @@ def random_controls(spark, d):
     return similarity.random_controls(_vector_pairs(spark, d), _groups(spark, d))
 
 
-def _side_cosines(spark, d, every=10):
-    return similarity.substitute_and_control(_vector_pairs(spark, d, every), _vectors(spark, d), _groups(spark, d))
+def _side_cosines(spark, d):
+    return similarity.substitute_and_control(_vector_pairs(spark, d), _vectors(spark, d), _groups(spark, d))
 
 
 @_query("SELECT count(*) FILTER (side = 'substitute') AS n_substitute, count(*) FILTER (side = 'random') AS n_random, round(avg(cosine) FILTER (side = 'substitute'), 6) AS mean_substitute, round(avg(cosine) FILTER (side = 'random'), 6) AS mean_random, round(avg(cosine) FILTER (side = 'substitute') - avg(cosine) FILTER (side = 'random'), 6) AS lift FROM side_cosines")
@@ -391,27 +395,29 @@ def lift(spark, d):
     return _six(similarity.lift(_side_cosines(spark, d)), "mean_substitute", "mean_random", "lift")
 
 
-@_query("""SELECT round(quantile_cont(lift, 0.025), 6) AS ci_low, round(quantile_cont(lift, 0.975), 6) AS ci_high FROM (SELECT replicate, avg(cosine) FILTER (d.side = 'substitute') - avg(cosine) FILTER (d.side = 'random') AS lift FROM
-  (SELECT side, replicate, ('0x' || substr(md5('42:' || side || ':' || replicate || ':' || i), 1, 8))::BIGINT % size AS place FROM (SELECT side, count(*) AS size FROM side_cosines GROUP BY side), unnest(range(50)) r(replicate), unnest(range(size)) s(i)) d
-  JOIN (SELECT side, cosine, row_number() OVER (PARTITION BY side ORDER BY pair, cosine) - 1 AS place FROM side_cosines) c ON d.side = c.side AND d.place = c.place GROUP BY replicate)""")
-def bootstrap_ci_small(spark, d):
-    return _six(similarity.repeatable_bootstrap(_side_cosines(spark, d), 50), "ci_low", "ci_high")
+def _bootstrap_sql(cosines: str, seed: int, replicates: int = similarity.REPLICATES) -> str:
+    """(lift, ci_low, ci_high) over a table of cosines, by the weights that the operator draws."""
+    number = lambda at: f"('0x' || substr(md5('{seed}:' || side || ':' || pair || ':' || a || ':' || b), {at}, 8))::BIGINT % {similarity.PRIME}"
+    weight = " + ".join(f"(u >= {c})::BIGINT" for c in similarity.CUTS)
+    mean = lambda side: f"sum(w * cosine) FILTER (side = '{side}') / nullif(sum(w) FILTER (side = '{side}'), 0)"
+    lifts = f"SELECT {mean('substitute')} - {mean('random')} AS lift FROM (SELECT side, cosine, r, {weight} AS w FROM (SELECT side, cosine, r, (x * r + y) % {similarity.PRIME} AS u FROM (SELECT side, cosine, {number(1)} AS x, {number(9)} AS y FROM {cosines}), unnest(range({replicates})) AS t(r))) GROUP BY r"
+    return f"SELECT (SELECT avg(cosine) FILTER (side = 'substitute') - avg(cosine) FILTER (side = 'random') FROM {cosines}) AS lift, quantile_cont(lift, 0.025) AS ci_low, quantile_cont(lift, 0.975) AS ci_high FROM ({lifts})"
 
 
-@_query()
-def bootstrap_ci_large(spark, d):
-    return _six(similarity.independent_bootstrap(_side_cosines(spark, d, every=1)), "lift", "ci_low", "ci_high")
+@_query(f"SELECT round(lift, 6) AS lift, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ({_bootstrap_sql('side_cosines', 42)})")
+def bootstrap_ci(spark, d):
+    return _six(similarity.bootstrap(_side_cosines(spark, d)), "lift", "ci_low", "ci_high")
 
 
 # ── examples, divergence, verdicts ──
 
 
-@_query("""SELECT p.ordinal, ta.text AS anchor, tb.text AS positive, tn.text AS negative FROM (SELECT o_orderkey AS ordinal, o_custkey AS a, (o_custkey + 7) % 1000 + 1 AS b FROM orders WHERE o_orderkey % 4 = 0) p
+@_query("""SELECT p.ordinal, ta.text AS anchor, tb.text AS positive, tn.text AS negative FROM (SELECT o_orderkey AS ordinal, o_custkey AS a, (o_custkey + 7) % 1000 + 1 AS b FROM orders) p
   LEFT JOIN (SELECT a, min_by(b, ordinal) AS own FROM (SELECT s_suppkey - 1 AS ordinal, s_suppkey * 3 AS a, s_suppkey AS b FROM supplier) GROUP BY a) o ON o.a = p.a
   LEFT JOIN (SELECT s_suppkey - 1 AS slot, s_suppkey AS spare FROM supplier) s ON s.slot = p.ordinal % (SELECT count(*) FROM supplier)
   JOIN (SELECT p_partkey AS item, p_name AS text FROM part WHERE p_size > 3) ta ON ta.item = p.a JOIN (SELECT p_partkey AS item, p_name AS text FROM part WHERE p_size > 3) tb ON tb.item = p.b JOIN (SELECT p_partkey AS item, p_name AS text FROM part WHERE p_size > 3) tn ON tn.item = coalesce(own, spare)""")
 def training_examples(spark, d):
-    mined = _t(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("a"), ((F.col("o_custkey") + 7) % 1000 + 1).alias("b"))
+    mined = _t(spark, d, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("a"), ((F.col("o_custkey") + 7) % 1000 + 1).alias("b"))
     negatives = _t(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("ordinal"), (F.col("s_suppkey") * 3).alias("a"), F.col("s_suppkey").alias("b"))
     texts = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_size") > 3, F.col("p_name")).otherwise(F.lit("")).alias("text"))
     return examples.training_examples(mined, negatives, texts)
@@ -494,10 +500,9 @@ def arm_2d(spark, d):
     return spark.createDataFrame([plain])
 
 
-@_query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+@_query("SELECT event_type AS item, count(DISTINCT user_id) AS appearances FROM events GROUP BY event_type")
 def event_appearances(spark, d):
-    events = _t(spark, d, "events")
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return B.appearance_counts(_t(spark, d, "events").select(F.col("user_id").alias("basket"), F.col("event_type").alias("item")))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

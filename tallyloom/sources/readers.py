@@ -72,7 +72,7 @@ def _first_baskets(rows: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return rows
     kept = rows.groupBy("deck_id").agg(F.min("ordinal").alias("o")).orderBy("o").limit(limit).select("deck_id")
-    return rows.join(F.broadcast(kept), "deck_id", "left_semi")
+    return rows.join(kept, "deck_id", "left_semi")
 
 
 def tournament_baskets(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

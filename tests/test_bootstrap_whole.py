@@ -1,4 +1,4 @@
-"""bootstrap_ci_large takes every neighbouring pair, and all replicates."""
+"""bootstrap_ci takes every neighbouring pair, and all replicates."""
 
 import os
 
@@ -11,15 +11,15 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_bootstrap_ci_large(spark, monkeypatch):
-    real, seen = similarity.independent_bootstrap, {}
+def test_bootstrap_ci(spark, monkeypatch):
+    real, seen = similarity.bootstrap, {}
 
     def watched(cosines, replicates=similarity.REPLICATES, *rest, **more):
         seen.update(pairs=cosines.where("side = 'substitute'").count(), replicates=replicates)
         return real(cosines, replicates, *rest, **more)
 
-    monkeypatch.setattr(similarity, "independent_bootstrap", watched)
-    found = queries.QUERIES["bootstrap_ci_large"](spark, DATA).first()
+    monkeypatch.setattr(similarity, "bootstrap", watched)
+    found = queries.QUERIES["bootstrap_ci"](spark, DATA).first()
     table = spark.read.parquet(f"{DATA}/embeddings.parquet")
     print(seen)
     assert seen == {"pairs": table.count() - table.select("label").distinct().count(), "replicates": 10_000}

@@ -57,3 +57,10 @@ def test_columns(spark):
     rows = spark.createDataFrame([("CARD { X { A } }", "n"), (None, None), ("A } B", "n")], "cdl string, name string")
     found = rows.select(canonical_column("cdl", "name").alias("c"), truncated_column("cdl").alias("t")).collect()
     assert [(r.c, r.t) for r in found] == [("CARD{X{A}}", False), ("", False), ("A", True)]
+
+
+def test_deep_nesting():
+    depth = 100_000
+    deep = "CARD { " + "A { " * depth + "x; y" + " }" * depth + " }"
+    assert canonical(deep).count("{") == depth + 1
+    assert canonical(deep) == canonical(deep.replace("A { ", "A {  "))

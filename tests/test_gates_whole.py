@@ -15,5 +15,5 @@ def test_all_divergent_pairs(spark, tmp_path):
     found = gates.run_divergence({"numeric": asked}, encoded, str(tmp_path))["divergent"]
     assert found["count"] == 10_100
     written = spark.read.option("header", True).csv(found["path"])
-    assert written.count() == 10_100 and written.columns == ["tier", "a", "b", "canonical_a", "canonical_b"]
+    assert written.count() == 10_100 and written.columns == ["source", "name_a", "name_b", "note", "canonical_a", "canonical_b"]
     assert len(gates.run_divergence({"numeric": asked}, encoded)["divergent"]) == 10_100

@@ -4,10 +4,11 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import draws, text
+from tallyloom.functions import draws, order, text
 from tallyloom.operators import baskets as B
 from tallyloom.operators import cooccurrence as C
 from tallyloom.operators import coverage, divergence, examples, names, pairs, similarity
@@ -193,18 +194,21 @@ def test_similarity(spark):
     assert Counter((r.pair, r.anchor) for r in found) == {("p", 0): 3, ("p", 3): 3, ("q", 1): 3, ("q", 2): 3, ("r", 5): 3}
     assert all(dict(group)[r.anchor] == dict(group)[r.partner] and r.partner not in {"p": (0, 3), "q": (1, 2), "r": (99, 5)}[r.pair] for r in found)
     assert len({tuple(r) for r in found}) == len(found)
-    cosines = spark.createDataFrame([("substitute", f"s{i}", 0.8 + i / 100) for i in range(10)] + [("random", f"r{i}", i / 100) for i in range(20)], "side string, pair string, cosine double")
-    wide = similarity.independent_bootstrap(cosines, 400).first()
-    assert wide.ci_low < wide.lift < wide.ci_high and math.isclose(wide.lift, 0.75)
-    small = similarity.repeatable_bootstrap(cosines, 60).first()
-    assert small.ci_low < 0.75 < small.ci_high
-    limit, similarity.BROADCAST_VALUES = similarity.BROADCAST_VALUES, 5
-    try:
-        spread = similarity.independent_bootstrap(cosines, 400).first()
-    finally:
-        similarity.BROADCAST_VALUES = limit
-    assert abs(spread.ci_low - wide.ci_low) < 0.02 and abs(spread.ci_high - wide.ci_high) < 0.02
-    empty = similarity.independent_bootstrap(cosines.where("side = 'random'"), 10).first()
+    many = [(f"p{i}", i, i + 1) for i in range(0, 2000, 2)]
+    one_group = spark.range(2000).selectExpr("id item", "'g' grp")
+    drawn = similarity.random_controls(spark.createDataFrame(many, "pair string, a long, b long"), one_group).collect()
+    near = Counter(frozenset(r.partner for r in drawn if r.anchor == a) for a in range(300))
+    assert len(drawn) == 6000 and len(near) == 300
+    sides = {"substitute": [0.8 + i / 100 for i in range(10)], "random": [i / 100 for i in range(20)]}
+    cosines = spark.createDataFrame([(side, f"p{i}", i, i + 1, v) for side, values in sides.items() for i, v in enumerate(values)], "side string, pair string, a long, b long, cosine double")
+    wide = similarity.bootstrap(cosines, 2000).first()
+    assert wide.ci_low < wide.lift < wide.ci_high and math.isclose(wide.lift, np.mean(sides["substitute"]) - np.mean(sides["random"]))
+    again = similarity.bootstrap(cosines.orderBy(F.desc("cosine")).repartition(7), 2000).first()
+    assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(wide, again))
+    rng = np.random.default_rng(1)
+    plain = [rng.choice(sides["substitute"], 10).mean() - rng.choice(sides["random"], 20).mean() for _ in range(2000)]
+    assert np.allclose([wide.ci_low, wide.ci_high], np.quantile(plain, [0.025, 0.975]), atol=0.01)
+    empty = similarity.bootstrap(cosines.where("side = 'random'"), 10).first()
     assert empty.lift is None and empty.ci_low is None
     assert similarity.harness(0.72, 0.75)["matches_reference"] and similarity.harness(None, 1.0)["matches_reference"] is None
 
@@ -258,3 +262,36 @@ def test_draws_are_md5(spark):
 
     got = spark.range(3).select(draws.draw(42, "id")).collect()
     assert [r[0] for r in got] == [int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16) for i in range(3)]
+
+
+def test_ranges_give_the_global_order(spark):
+    values = [(k * 7919 % 1000, k % 3) for k in range(1000)]
+    got = rows(order.running(spark.createDataFrame(values, "v long, n long").repartition(5), ["v"], {"before": "n"}), "v", "row", "before")
+    ordered, want, total = sorted(values), [], 0
+    for k, (v, n) in enumerate(ordered):
+        want.append((v, k, total))
+        total += n
+    assert got == want
+    assert rows(examples.numbered(spark.createDataFrame([(3, 1), (1, 2), (1, 1)], "a long, b long"), "a", "b"), "a", "b", "ordinal") == [(1, 1, 0), (1, 2, 1), (3, 1, 2)]
+
+
+def test_negatives_of_a_group_that_is_nearly_all_barred(spark):
+    """One colour of 300 items; the anchor has PPMI with all but two of them."""
+    colours = spark.createDataFrame([(i, ["red"]) for i in range(300)], "item long, colours array<string>")
+    vocabulary = spark.range(300).withColumnRenamed("id", "item")
+    barred = spark.createDataFrame([(a, b, 1.0) for a in range(300) for b in range(a + 1, 300) if (a, b) not in {(5, 77), (5, 140), (8, 9)}], "a long, b long, ppmi double")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {frozenset(r) for r in C.hard_negatives(barred, colours, vocabulary, none, none).collect()}
+    assert frozenset((8, 9)) in got and got <= {frozenset(p) for p in ((5, 77), (5, 140), (8, 9))} and len(got) == 3
+    alone = spark.createDataFrame([(1, ["x"]), (2, ["y"])], "item long, colours array<string>")
+    assert C.hard_negatives(barred, alone, alone.select("item"), none, none).count() == 0
+
+
+def test_identical_texts_beyond_the_cap(spark):
+    made = [(k, f"n{k:04}", f"a text that {k // 5} items share") for k in range(4000)]
+    items = spark.createDataFrame(made, "item long, name string, text string")
+    got = [(r.a, r.b) for r in pairs.identical_text_pairs(items, 100).orderBy("note", "a").collect()]
+    by_text = {}
+    for k, _, text_of in sorted(made, key=lambda r: (r[2], r[1])):
+        by_text.setdefault(text_of, []).append(k)
+    assert got == [p for own in by_text.values() for p in zip(own, own[1:])][:100]

@@ -76,7 +76,7 @@ def test_sinks_and_manifest(spark, tmp_path):
     assert found[str(tmp_path / "out")]["is_dir"] and found[str(tmp_path / "no")] == {"exists": False}
     queue = sinks.review_queue(spark.createDataFrame([("1", "2", "draw", 3)], "a string, b string, slug string, n int"), spark.createDataFrame([("1", "A"), ("2", "B")], "item string, name string")).first()
     assert tuple(queue) == ("", "A", "B", "draw (n=3)", "1", "2")
-    gates.report(spark, str(tmp_path / "findings"), "t0", {"strata": [{"stratum": "all", "coverage": 0.5}]}, [str(file)])
+    gates.report(spark, str(tmp_path / "findings"), "t0", {"strata": [{"stratum": "all", "coverage": 0.5}]}, sinks.table([{"stratum": "all", "coverage": 0.5}]), [str(file)])
     written = json.loads((tmp_path / "findings" / "t0.json").read_text())
     assert written["thresholds"]["t0"]["pass"] == 0.85 and written["inputs"][str(file)]["exists"]
     assert "50.0%" in (tmp_path / "findings" / "t0.md").read_text()
