@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import cut, partitions
-from .words import bytes_hash, eights, mixed, slices
+from .words import bytes_hash, distinct, eights, mixed, slices
 
 #: Bytes of a repeated string, and of the grams whose least hash stands for it.
 LENGTH, GRAM = 50, 24
 #: Bytes of text, and rows, of a group of documents.
 GROUP_BYTES, GROUP_ROWS = 8 << 20, 1 << 16
 #: Parts that grams are dealt to, for each of Spark's shuffle partitions, and at most.
-PARTS, MOST_PARTS = 4, 1 << 16
+PARTS, MOST_PARTS = 2, 1 << 16
 #: Positions whose buckets are refined together, about, and bytes whose grams are hashed together.
 POSITIONS, PIECE = 1 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -132,7 +132,7 @@ class Group:
         self.gram = h >> (np.uint64(64) - GRAM_BITS)
 
     def grams(self) -> np.ndarray:
-        return np.unique(self.gram)
+        return distinct(self.gram)
 
     def keep(self, some: np.ndarray) -> None:
         self.gram, self.row, self.start, self.count = (x[some] for x in (self.gram, self.row, self.start, self.count))
@@ -298,7 +298,10 @@ def _contexts(docs: pa.Table, replies: pa.Table, length: int, gram: int, parts:
 
 def _ranks(pairs: np.ndarray) -> np.ndarray:
     """The bucket of each value: how many smaller distinct values there are."""
-    return np.unique(pairs, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(pairs)
+    ranks = np.empty(len(pairs), np.uint64)
+    ranks[order] = np.cumsum(np.concatenate(([False], pairs[order][1:] != pairs[order][:-1])))[: len(pairs)]
+    return ranks
 
 
 def refined(data: np.ndarray, length: int) -> np.ndarray:

@@ -78,6 +78,12 @@ def chained(values: np.ndarray, at: np.ndarray, n: np.ndarray | int, lane: int)
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
 def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as little-endian numbers, zeros after the end."""
     return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
