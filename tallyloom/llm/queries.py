@@ -53,7 +53,12 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op4_bucket_pointer_dedup, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity)}
+def product_quantised_wide(spark, sf_dir):
+    """The operator of op2 at a cosine that small tables reach, all lists within the bound probed."""
+    return quantised.embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.4, deviations=None)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op4_bucket_pointer_dedup, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity, product_quantised_wide)}
 
 ORACLE_SQL = {}
 
@@ -88,3 +93,40 @@ matched AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
 """
+
+
+def _embedding_sql(cosine: float) -> str:
+    product = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+    return f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding, sqrt({product('embedding', 'embedding')}) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.embedding) = len(y.embedding)
+  WHERE {product('x.embedding', 'y.embedding')} / (x.norm * y.norm) >= {cosine}),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN least l ON vec_id = l.a LEFT JOIN counts c ON vec_id = c.a
+"""
+
+
+ORACLE_SQL["op2_product_quantised_dedup"] = _embedding_sql(0.98)
+ORACLE_SQL["product_quantised_wide"] = _embedding_sql(0.4)
+
+ORACLE_SQL["op4_bucket_pointer_dedup"] = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM texts, unnest(range(length(h) // 2 - 49)) AS r(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+hits AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE first < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

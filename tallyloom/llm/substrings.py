@@ -21,7 +21,7 @@ from .words import bytes_hash, distinct, eights, mixed, slices
 LENGTH, GRAM = 50, 24
 #: Bytes of text, and rows, of a group of documents.
 GROUP_BYTES, GROUP_ROWS = 8 << 20, 1 << 16
-#: Parts that grams are dealt to, for each of Spark's shuffle partitions, and at most.
+#: Parts that grams are dealt to, and buckets of groups, for each of Spark's shuffle partitions; parts at most.
 PARTS, MOST_PARTS = 2, 1 << 16
 #: Positions whose buckets are refined together, about, and bytes whose grams are hashed together.
 POSITIONS, PIECE = 1 << 20, 1 << 18
@@ -443,7 +443,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     order = [F.coalesce("_id", F.lit(LAST)), F.when(F.col("_id").isNull(), F.xxhash64("_text")).otherwise(F.lit(0))]
     dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(F.col("_id").isNull(), "_id")
     grouped = dealt.mapInArrow(_grouped(length, gram, group_bytes, group_rows), "g long, r int, _id long, _text binary, _runs binary")
-    buckets = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    buckets = min(PARTS * partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     grouped.write.bucketBy(buckets, "g").option("path", folder).format("parquet").saveAsTable(name)
     how = (length, gram, min(PARTS * partitions(spark), MOST_PARTS))
     try:
