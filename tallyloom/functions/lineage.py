@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     made by `session` deletes the files when nothing refers to the rows any more."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def through_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What `read` returns of what `write` wrote to a new folder that all executors share. The rows are
+    stored and the folder goes, whatever happens."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    try:
+        write(folder)
+        return cut(read(folder))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

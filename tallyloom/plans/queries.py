@@ -488,18 +488,6 @@ def scored_divergence(spark, d):
     return _six(divergence.rates(scored), "clean_rules_loose", "clean_full_loose").select("n_pairs", "n_both_clean", "n_both_encoded", "clean_rules_loose", "clean_full_loose")
 
 
-@_query()
-def arm_2d(spark, d):
-    """A whole rung of the leakage gate over suppliers, with the given vectors as provider."""
-    supplier = _t(spark, d, "supplier")
-    items = supplier.select(F.col("s_suppkey").alias("item"), F.col("s_name").alias("text"), F.array(F.col("s_nationkey").cast("string")).alias("colours"))
-    own = _vectors(spark, d).join(items.select("item"), "item", "left_semi")
-    strata_of = supplier.select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").cast("string").alias("grp"))
-    found = gates.run_arm("2d", "suppliers", _baskets(spark, d, "l_suppkey").distinct(), items, _supplier_eval(spark, d), _groups(spark, d), strata_of, own, examples.existing_vectors(own), most=200, replicates=200)
-    plain = {k: v for k, v in found.items() if not isinstance(v, dict)} | {"lift": found["curated"]["lift_vs_cluster"], "mined_lift": found["mined_holdout"]["lift_vs_cluster"]}
-    return spark.createDataFrame([plain])
-
-
 @_query("SELECT event_type AS item, count(DISTINCT user_id) AS appearances FROM events GROUP BY event_type")
 def event_appearances(spark, d):
     return B.appearance_counts(_t(spark, d, "events").select(F.col("user_id").alias("basket"), F.col("event_type").alias("item")))
@@ -510,3 +498,5 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     items = _flag_items(spark, d)
     return coverage.strata(items).withColumn("verdict", coverage.judged(items).select("verdict").scalar())
 
+
+from . import gate_queries, source_queries  # noqa: E402,F401  they register their queries
