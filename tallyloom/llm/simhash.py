@@ -108,18 +108,23 @@ def _linked(distance: int):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key so far, which may go on
+
+        def ended(more: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, fps = (np.concatenate([h[k] for h in (*held, *more)]) for k in (0, 1))
+            held.clear()
+            return bucket_edges(keys, fps)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
-            if whole:
-                yield bucket_edges(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:].copy(), fps[whole:].copy()
-        if len(keys):
-            yield bucket_edges(keys, fps)
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            whole = int(np.searchsorted(keys, keys[-1]))
+            if held and held[-1][0][-1] != keys[-1] or whole:
+                yield ended([(keys[:whole], fps[:whole])])
+            held.append((keys[whole:].copy(), fps[whole:].copy()))
+        if held:
+            yield ended([])
 
     return run
 

@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,16 +131,32 @@ def decoded(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def _derived(record: dict) -> list[dict]:
-    block = record["block"] or b""
-    status, headers, payload = split_http(block)
-    known = {n.lower(): v for n, v in headers}
+def _header_lists(column: pa.Array) -> list[list[tuple[str, str]]]:
+    """The (name, value) pairs of each record's headers; none for null."""
+    flat = column.flatten()
+    pairs = list(zip(flat.field("name").to_pylist(), flat.field("value").to_pylist(), strict=True))
+    ends = pc.fill_null(pc.list_value_length(column), 0).to_numpy().cumsum().tolist()
+    return [pairs[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+
+def _header_array(lists: list[list[tuple[str, str]]]) -> pa.Array:
+    pairs = pa.StructArray.from_arrays([pa.array([h[k] for own in lists for h in own], pa.string()) for k in (0, 1)], ["name", "value"])
+    bounds = [0]
+    for own in lists:
+        bounds.append(bounds[-1] + len(own))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
+
+
+def _derived(record_id: str | None, headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
+    """(type, id, content type, length, digest, source's block digest, payload digest, headers, block) of
+    the records that derive from one."""
+    status, http_headers, payload = split_http(block)
+    known = {n.lower(): v for n, v in http_headers}
     kind = known.get("content-type", "")
     bare = kind.split(";")[0].strip().lower()
-    source = record["record_id"] or ""
-    names = {t: f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{t} {source}')}>" for t in ("metadata", "conversion")}
-    warc_headers = "".join(f"{h['name']}: {h['value']}\r\n" for h in record["headers"] or [])
-    fields, text = [("status", status), *((f"http-header-{n.lower()}", v) for n, v in headers), ("payload-length", str(len(payload)))], None
+    names = {t: f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{t} {record_id or ''}')}>" for t in ("metadata", "conversion")}
+    warc_headers = "".join(f"{n}: {v}\r\n" for n, v in headers)
+    fields, text = [("status", status), *((f"http-header-{n.lower()}", v) for n, v in http_headers), ("payload-length", str(len(payload)))], None
     if bare in ("text/html", "application/xhtml+xml"):
         text, title, links = plain_text(decoded(payload, kind))
         fields += [("title", title), *(("outlink", " ".join(link.split())) for link in links)]
@@ -150,11 +167,8 @@ def _derived(record: dict) -> list[dict]:
     made = [("metadata", "application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8", "replace"))]
     if text is not None:
         made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
-    digests = {"source_block_digest": digest(block), "source_payload_digest": digest(payload)}
-    return [
-        {"source_id": record["record_id"], "warc_type": t, "record_id": names[t], "refers_to": record["record_id"], "target_uri": record["target_uri"], "warc_date": record["warc_date"], "content_type": c, "content_length": len(b), "block_digest": digest(b), **digests, "source_headers": warc_headers, "block": b}
-        for t, c, b in made
-    ]
+    digests = digest(block), digest(payload)
+    return [(t, names[t], c, len(b), digest(b), *digests, warc_headers, b) for t, c, b in made]
 
 
 def derive(records: DataFrame, carry: str | None = None) -> DataFrame:
@@ -170,13 +184,21 @@ def derive(records: DataFrame, carry: str | None = None) -> DataFrame:
     made = DERIVED + (f", {carry} long" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in made.split(", ")])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = [d | {carry: r[carry]} if carry else d for r in batch.slice(at, 256).to_pylist() for d in _derived(r)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    kept = ("warc_type", "record_id", "target_uri", "warc_date", "content_type", "headers", "block", *([carry] if carry else []))
+                part = batch.slice(at, 256)
+                ids, headers, blocks = part.column("record_id").to_pylist(), _header_lists(part.column("headers")), part.column("block").to_pylist()
+                rows, source = [], []
+                for k, (name, own, block) in enumerate(zip(ids, headers, blocks, strict=True)):
+                    found = _derived(name, own, block or b"")
+                    rows += found
+                    source += [k] * len(found)
+                taken = part.take(pa.array(source, pa.int32()))
+                own = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()))]
+                columns = {"source_id": taken.column("record_id"), "warc_type": own[0], "record_id": own[1], "refers_to": taken.column("record_id"), "target_uri": taken.column("target_uri"), "warc_date": taken.column("warc_date"), "content_type": own[2], "content_length": own[3], "block_digest": own[4], "source_block_digest": own[5], "source_payload_digest": own[6], "source_headers": own[7], "block": own[8]}
+                yield pa.RecordBatch.from_pydict(columns | ({carry: taken.column(carry)} if carry else {}))
+
+    kept = ("record_id", "target_uri", "warc_date", "headers", "block", *([carry] if carry else []))
     return records.where("warc_type = 'response'").select(*kept).mapInArrow(run, made)
 
 
@@ -211,18 +233,35 @@ def _line(text: str) -> str:
     return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def serialised(record: dict) -> bytes:
+def _one_line(text: str) -> str:
+    """Several lines as one, to be undone by `restored`."""
+    return text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+#: Columns of a record, in the order in which `serialised` takes them; those of derived records may be absent.
+WRITTEN = ("warc_type", "record_id", "target_uri", "warc_date", "content_type", "refers_to", "source_block_digest", "source_payload_digest", "source_headers")
+
+
+def serialised(block: bytes | None, headers: list[tuple[str, str]], warc_type: str | None, record_id: str | None, target_uri: str | None, warc_date: str | None, content_type: str | None, refers_to: str | None = None, source_block_digest: str | None = None, source_payload_digest: str | None = None, source_headers: str | None = None) -> bytes:
     """One record, headers and block, as a gzip member of its own. A derived record has the digests
-    of its source's block and payload, and each header of its source, under names of their own; a
-    record that was read keeps the headers that this has no field for."""
-    block = record["block"] or b""
-    fields = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["warc_date"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Block-Digest", digest(block)), ("Content-Type", record["content_type"]), ("Content-Length", str(len(block)))]
-    fields += [("X-Source-Block-Digest", record.get("source_block_digest")), ("X-Source-Payload-Digest", record.get("source_payload_digest"))]
-    fields += [("X-Source-Header", h) for h in (record.get("source_headers") or "").split("\r\n")]
+    of its source's block and payload, and all headers of its source in one line, under names of their
+    own; a record that was read keeps the headers that this has no field for."""
+    block = block or b""
+    fields = [("WARC-Type", warc_type), ("WARC-Record-ID", record_id), ("WARC-Target-URI", target_uri), ("WARC-Date", warc_date), ("WARC-Refers-To", refers_to), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
+    fields += [("X-Source-Block-Digest", source_block_digest), ("X-Source-Payload-Digest", source_payload_digest), ("X-Source-Headers", _one_line(source_headers) if source_headers else None)]
     known = {n.lower() for n, _ in fields}
-    fields += [(h["name"], h["value"]) for h in record.get("headers") or [] if h["name"].lower() not in known]
+    fields += [h for h in headers if h[0].lower() not in known]
     head = "WARC/1.1\r\n" + "".join(f"{n}: {_line(v)}\r\n" for n, v in fields if v) + "\r\n"
-    return gzip.compress(head.encode("utf-8", "replace") + block + b"\r\n\r\n", 4, mtime=0)
+    return gzip.compress(head.encode("utf-8", "replace") + block + b"\r\n\r\n", 1, mtime=0)
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[bytes]:
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        headers = _header_lists(part.column("headers")) if "headers" in part.schema.names else [[]] * part.num_rows
+        columns = [part.column(c).to_pylist() if c in part.schema.names else [None] * part.num_rows for c in WRITTEN]
+        for block, own, *fields in zip(part.column("block").to_pylist(), headers, *columns, strict=True):
+            yield serialised(block, own, *fields)
 
 
 #: Bytes after which a writer begins another file.
@@ -234,7 +273,7 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
     returns (file, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = (serialised(record) for batch in batches for at in range(0, batch.num_rows, 256) for record in batch.slice(at, 256).to_pylist())
+        members = (member for batch in batches for member in _members(batch))
         part, made, ahead = TaskContext.get().partitionId(), [], next(members, None)
 
         def filled() -> Iterator[bytes]:
@@ -286,20 +325,23 @@ def _next_member(content: memoryview, at: int, step: int) -> int:
     return len(content)
 
 
-def parsed(data: bytes) -> dict | None:
-    """A record's fields; None if it isn't one whose block is whole."""
+def parsed(data: bytes) -> tuple[dict[str, str], list[tuple[str, str]], bytes] | None:
+    """(fields by lower-case name, headers, block) of a record; None if it isn't one whose block is whole."""
     head, mark, rest = data.partition(b"\r\n\r\n")
-    lines = [line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]]
-    found = {n.strip().lower(): v.strip() for n, _, v in lines}
+    headers = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        headers.append((name.strip(), value.strip()))
+    found = {n.lower(): v for n, v in headers}
     length = found.get("content-length", "")
     if not mark or not length.isdigit() or len(rest) < int(length):
         return None
-    headers = [{"name": n.strip(), "value": v.strip()} for n, _, v in lines]
-    return {"warc_type": found.get("warc-type"), "record_id": found.get("warc-record-id"), "target_uri": found.get("warc-target-uri"), "warc_date": found.get("warc-date"), "content_type": found.get("content-type"), "headers": headers, "block": rest[: int(length)]}
+    return found, headers, rest[: int(length)]
 
 
 #: The type of rows for what isn't a record.
 UNREADABLE = "unreadable"
+_FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-type")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,26 +350,31 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     reader of whole files takes up to 2 GB each; `write` makes smaller ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_type", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
+        def made(rows: list) -> pa.RecordBatch:
+            columns = [pa.array([r[0].get(f) for r in rows], pa.string()) for f in _FIELDS]
+            return pa.RecordBatch.from_arrays([*columns, _header_array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["warc_type", "record_id", "target_uri", "warc_date", "content_type", "headers", "block"])
+
         rows, size = [], 0
         for batch in batches:
             for content in batch.column("content"):
                 for data, whole in members(memoryview(content.as_buffer())):
-                    rows.append((parsed(data) if whole else None) or {"warc_type": UNREADABLE, "block": data})
+                    rows.append((parsed(data) if whole else None) or ({"warc-type": UNREADABLE}, [], data))
                     size += len(data)
                     if len(rows) == 256 or size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield made(rows)
                         rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield made(rows)
 
     return files.read(spark, folder, ".warc.gz").mapInArrow(run, RECORD)
 
 
 def restored(records: DataFrame) -> DataFrame:
     """The columns of derived records that were written and read."""
-    lines = F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "x-source-header"), lambda h: F.concat(h["value"], F.lit("\r\n")))
-    own = {"source_id": header("WARC-Refers-To"), "warc_type": F.col("warc_type"), "record_id": F.col("record_id"), "refers_to": header("WARC-Refers-To"), "target_uri": F.col("target_uri"), "warc_date": F.col("warc_date"), "content_type": F.col("content_type"), "content_length": F.octet_length("block").cast("long"), "block_digest": header("WARC-Block-Digest"), "source_block_digest": header("X-Source-Block-Digest"), "source_payload_digest": header("X-Source-Payload-Digest"), "source_headers": F.array_join(lines, ""), "block": F.col("block")}
+    lines = header("X-Source-Headers")
+    for escaped, plain in (("%0A", "\n"), ("%0D", "\r"), ("%25", "%")):
+        lines = F.replace(lines, F.lit(escaped), F.lit(plain))
+    own = {"source_id": header("WARC-Refers-To"), "warc_type": F.col("warc_type"), "record_id": F.col("record_id"), "refers_to": header("WARC-Refers-To"), "target_uri": F.col("target_uri"), "warc_date": F.col("warc_date"), "content_type": F.col("content_type"), "content_length": F.octet_length("block").cast("long"), "block_digest": header("WARC-Block-Digest"), "source_block_digest": header("X-Source-Block-Digest"), "source_payload_digest": header("X-Source-Payload-Digest"), "source_headers": lines, "block": F.col("block")}
     return records.select(*[c.alias(n) for n, c in own.items()], *[c for c in records.columns if c not in (*own, "headers")])
 
 
@@ -348,6 +395,7 @@ def through_files(records: DataFrame, carry: str | None = None) -> DataFrame:
             number = F.struct(F.lit(CARRIED).alias("name"), F.coalesce(F.col(carry).cast("string"), F.lit("")).alias("value"))
             derived = derived.withColumn("headers", F.array(number))
         write(derived, derived_folder).write.format("noop").mode("overwrite").save()
+        files.remove(spark, made)
         again = read(spark, derived_folder)
         return cut(restored(again.withColumn(carry, header(CARRIED).try_cast("long")) if carry else again))
     finally:

@@ -160,15 +160,15 @@ def test_through_files(spark):
 
 
 def test_broken_members(spark, tmp_path):
-    record = {"warc_type": "response", "record_id": "<urn:x>", "target_uri": "u", "warc_date": "d", "content_type": "c", "block": b"x" * 100_000}
-    good, cut_short = warc.serialised(record), gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
+    fields = ([("X-Kept", "1%0A")], "response", "<urn:x>", "u", "d", "c")
+    good, cut_short = warc.serialised(b"x" * 100_000, *fields), gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
     broken = bytearray(good)
     broken[20:30] = b"0123456789"
     (tmp_path / "a.warc.gz").write_bytes(good + bytes(broken) + good + b"junk" + cut_short + good + good[:-12])
     found = [r.warc_type for r in warc.read(spark, f"file://{tmp_path}").collect()]
     assert found.count("response") == 3 and set(found) == {"response", warc.UNREADABLE} and found.count(warc.UNREADABLE) >= 4
     assert warc.derive(warc.read(spark, f"file://{tmp_path}")).count() == 3
-    members = [warc.serialised(record | {"block": b"%d" % k}) for k in range(20_000)]
+    members = [warc.serialised(b"%d" % k, *fields) for k in range(20_000)]
     began = time.perf_counter()
     assert sum(whole for _, whole in warc.members(memoryview(b"".join(members)))) == 20_000
     assert time.perf_counter() - began < 10
