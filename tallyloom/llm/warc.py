@@ -27,7 +27,6 @@ DERIVED = "source_id string, warc_type string, record_id string, refers_to strin
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _HREF = re.compile(r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)")
-_BLANKS, _LINES = re.compile(r"[ \t\r\f\v ]*\n\s*"), re.compile(r"[ \t\r\f\v ]+")
 #: Elements whose content isn't text, and elements that end a line.
 HIDDEN = frozenset(["script", "style", "noscript", "template", "head", "iframe", "object", "svg", "textarea", "select"])
 RAW = frozenset(["script", "style", "iframe", "textarea", "noscript"])
@@ -76,8 +75,8 @@ def plain_text(page: str) -> tuple[str, str, list[str]]:
                 hidden.remove(name)
         if name in BREAKS and not hidden:
             out.append("\n")
-    body = _BLANKS.sub("\n", _LINES.sub(" ", html.unescape("".join(out)))).strip()
-    return body, " ".join(html.unescape("".join(title)).split()), links
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
+    return "\n".join(line for line in lines if line), " ".join(html.unescape("".join(title)).split()), links
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
