@@ -121,17 +121,21 @@ def _hits(shared, slots: int, lengths: list[int], window: int, gram: int):
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many words the confirmed windows of a document cover."""
+    """How many words the confirmed windows of a document cover: the union of their runs."""
     for batch in batches:
-        counts = []
-        for spans in batch.column("spans").to_pylist():
-            most = max(s["n"] + max(s["at"]) for s in spans)
-            edges = np.zeros(most + 1, np.int64)
-            for s in spans:
-                np.add.at(edges, s["at"], 1)
-                np.add.at(edges, np.add(s["at"], s["n"]), -1)
-            counts.append(int((np.cumsum(edges) > 0).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(counts, pa.int64()), batch.column("lists")], ["_rid", "n_hit", "lists"])
+        spans = batch.column("spans")
+        flat = spans.flatten()
+        at = flat.field("at")
+        places = at.value_lengths().to_numpy()
+        row = np.repeat(np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy()), places)
+        starts = at.flatten().to_numpy().astype(np.int64)
+        ends = starts + np.repeat(flat.field("n").to_numpy(), places)
+        far = row * (int(ends.max(initial=0)) + 1)  # rows one behind another
+        order = np.argsort(starts + far, kind="stable")
+        starts, ends = (starts + far)[order], (ends + far)[order]
+        before = np.concatenate([[0], np.maximum.accumulate(ends)[:-1]]) if len(ends) else ends
+        counts = np.bincount(row[order], np.maximum(0, ends - np.maximum(starts, before)), len(spans)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(counts), batch.column("lists")], ["_rid", "n_hit", "lists"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
