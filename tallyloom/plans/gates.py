@@ -171,4 +171,4 @@ def merge_files(spark: SparkSession, folder: str, pattern: str = "t2_leakage_par
 
 def report(spark: SparkSession, folder: str, name: str, findings: dict, text: str, inputs: list[str], run_args: dict | None = None) -> None:
     """Findings with provenance and thresholds as JSON, and their report as Markdown."""
-    sinks.write_findings(folder, name, sinks.envelope(spark, inputs, thresholds(), run_args) | findings, text)
+    sinks.write_findings(spark, folder, name, sinks.envelope(spark, inputs, thresholds(), run_args) | findings, text)

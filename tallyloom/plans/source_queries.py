@@ -177,3 +177,21 @@ def probe_files(spark, d):
         return rows[0].unionByName(rows[1]).unionByName(missing).groupBy("file").agg(F.count("*").alias("n"))
 
     return through_files(spark, written, read)
+
+
+@_query("SELECT 0.85::DOUBLE AS t0_pass, true AS part_exists, false AS lost_exists, 64 AS digest_length, count(*) AS n_strata, 'x' AS asked FROM (VALUES (1), (2), (3), (4)) v(k)")
+def findings_file(spark, d):
+    """Findings with thresholds and the manifest of their inputs, read back from JSON."""
+    strata = [{"stratum": name, "coverage": 0.5} for name in ("all", "non_land", "non_staple", "non_land_non_staple")]
+    part, lost = f"{d}/nation.parquet", f"{d}/lost.parquet"
+
+    def written(folder):
+        gates.report(spark, folder, "found", {"strata": strata}, sinks.table(strata), [part, lost], {"asked": "x"})
+
+    def read(folder):
+        inputs = F.from_json(F.to_json("inputs"), "map<string, struct<exists: boolean, sha256: string>>")
+        rows = spark.read.option("multiLine", True).json(f"{folder}/found.json")
+        at = lambda path: F.element_at(inputs, F.lit(path))
+        return rows.select(F.col("thresholds.t0.pass").alias("t0_pass"), at(part)["exists"].alias("part_exists"), at(lost)["exists"].alias("lost_exists"), F.length(at(part)["sha256"]).alias("digest_length"), F.size("strata").cast("long").alias("n_strata"), F.col("run_args.asked").alias("asked"))
+
+    return through_files(spark, written, read)

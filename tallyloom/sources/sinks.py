@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import subprocess
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +55,21 @@ def envelope(spark: SparkSession, inputs: list[str], thresholds: dict, run_args:
     return {"git_rev": _git("rev-parse", "HEAD"), "git_dirty": None if status is None else bool(status), "thresholds": thresholds, "inputs": manifest(spark, inputs), "run_args": run_args or {}}
 
 
-def write_findings(folder: str, name: str, payload: dict, markdown: str) -> tuple[Path, Path]:
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """A small file, in any store that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(body.encode()))
+    finally:
+        out.close()
+
+
+def write_findings(spark: SparkSession, folder: str, name: str, payload: dict, markdown: str) -> tuple[str, str]:
     """The findings, small by then, as JSON with sorted keys and as Markdown."""
-    top = Path(folder)
-    top.mkdir(parents=True, exist_ok=True)
-    as_json, as_text = top / f"{name}.json", top / f"{name}.md"
-    as_json.write_text(json.dumps(payload, indent=2, sort_keys=True, default=str) + "\n")
-    as_text.write_text(markdown)
+    as_json, as_text = f"{folder}/{name}.json", f"{folder}/{name}.md"
+    write_text(spark, as_json, json.dumps(payload, indent=2, sort_keys=True, default=str) + "\n")
+    write_text(spark, as_text, markdown)
     return as_json, as_text
 
 
