@@ -17,8 +17,8 @@ from .components import components
 BITS = 64
 #: Shingles whose bits are counted together.
 _CHUNK = 1 << 14
-#: Members of a bucket up to which every linked pair is emitted.
-_FEW = 8
+#: Members of a bucket up to which every linked pair is emitted, and up to which it isn't divided.
+_FEW, _MANY = 8, 4096
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> bytes:
@@ -92,6 +92,25 @@ def _spanning(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarr
     return edges
 
 
+def _divided(fps: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Groups of a large bucket, one of which holds both ends of every link: of the bits in which members
+    differ, divided into one share more than may differ, two ends agree in one share at least."""
+    bits = np.flatnonzero(np.bitwise_or.reduce(fps ^ fps[0]) >> np.arange(BITS, dtype=np.uint64) & np.uint64(1))
+    if len(fps) <= _MANY or len(bits) <= distance:
+        return [fps]
+    groups = []
+    for share in np.array_split(bits, distance + 1):
+        key = np.zeros(len(fps), np.uint64)
+        for bit in share:
+            key = key << np.uint64(1) | fps >> np.uint64(bit) & np.uint64(1)
+        order = np.argsort(key, kind="stable")
+        bounds = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a > 1:
+                groups += _divided(fps[order[a:b]], distance) if b - a < 0.9 * len(fps) else [fps[order[a:b]]]
+    return groups
+
+
 def _linked(distance: int):
     def bucket_edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -102,7 +121,8 @@ def _linked(distance: int):
             near = np.bitwise_count(fps[at] ^ fps[at + lag]) <= distance
             pairs.append((fps[at][near], fps[at + lag][near]))
         for k in np.flatnonzero(sizes > _FEW):
-            pairs += _spanning(fps[bounds[k] : bounds[k + 1]], distance)
+            for group in _divided(fps[bounds[k] : bounds[k + 1]], distance):
+                pairs += _spanning(group, distance)
         a, b = (np.concatenate([p[i] for p in pairs]).view(np.int64) for i in (0, 1))
         both = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])

@@ -180,6 +180,22 @@ def thue_morse(n):
     return "".join("ab"[k.bit_count() & 1] for k in range(n))
 
 
+@pytest.mark.parametrize("distance", [1, 3])
+def test_divided_buckets_keep_links(monkeypatch, distance):
+    monkeypatch.setattr(simhash, "_MANY", 16)
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 32, 300, dtype=np.uint64) | np.uint64(5 << 40))
+    near = fps.copy()
+    for _ in range(distance):
+        near ^= np.uint64(1) << rng.integers(0, 32, len(fps), dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, near, fps[0] ^ (np.uint64(1) << np.arange(32, dtype=np.uint64))]))
+    groups = simhash._divided(fps, distance)
+    together = {(int(a), int(b)) for g in groups for a in g for b in g}
+    linked = [(int(a), int(b)) for a in fps for b in fps if (int(a) ^ int(b)).bit_count() <= distance and a < b]
+    assert len(linked) > 200 and all(p in together for p in linked)
+    assert sum(len(g) ** 2 for g in groups) < len(fps) ** 2 / 4
+
+
 def test_words_that_polynomials_confuse(spark):
     """Thue-Morse words and their complements are not equal, alone or as windows."""
     rows, items = [], []
