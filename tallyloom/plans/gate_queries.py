@@ -56,36 +56,54 @@ def _plain(name: str) -> str:
     return f"({SQL[name]})"
 
 
-_ARM = f"""
+def _arm_sql(arm: str) -> str:
+    hard = "(SELECT count(*) FROM negatives)" if arm in ("2c", "2d") else "0"
+    extra = (lambda kind: f"(SELECT count(*) FROM found WHERE kind = '{kind}')") if arm == "2d" else (lambda kind: "0")
+    trained = "(SELECT count(*) FROM split WHERE split = 'train')" + (" + (SELECT count(*) FROM apart)" if arm == "2d" else "")
+    return f"""
 WITH own AS (SELECT vec_id AS item, embedding AS vector FROM embeddings WHERE vec_id IN (SELECT s_suppkey FROM supplier)),
-labels_of AS ({_LABELS}), nations_of AS (SELECT s_suppkey AS item, s_nationkey::VARCHAR AS grp FROM supplier), evals AS (SELECT s.s_suppkey AS a, t.s_suppkey AS b FROM supplier s JOIN supplier t ON t.s_suppkey = s.s_suppkey + 1 AND s.s_nationkey = t.s_nationkey),
+labels_of AS ({_LABELS}), evals AS (SELECT s.s_suppkey AS a, t.s_suppkey AS b FROM supplier s JOIN supplier t ON t.s_suppkey = s.s_suppkey + 1 AND s.s_nationkey = t.s_nationkey),
 split AS (SELECT * FROM {_plain('holdout_split')}), negatives AS (SELECT * FROM {_plain('hard_negatives')}), found AS (SELECT * FROM {_plain('phenotype_pairs')}),
 apart AS (SELECT a, b FROM found f WHERE kind = 'positive' AND NOT EXISTS (SELECT 1 FROM ({_HELD}) h WHERE least(h.a, h.b) = f.a AND greatest(h.a, h.b) = f.b)),
 curated AS ({_cosines_sql(_pairs_of('SELECT a, b FROM evals'), 'SELECT * FROM labels_of', 42)}), mined AS ({_cosines_sql(_pairs_of(_HELD), 'SELECT * FROM labels_of', 142)}),
 ends AS ({_bootstrap_sql('curated', 42)}), m AS (SELECT avg(cosine) FILTER (side = 'substitute') - avg(cosine) FILTER (side = 'random') AS lift FROM mined)
-SELECT '2d' AS arm, 'suppliers' AS corpus, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_decks, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS n_cards_vocab,
+SELECT '{arm}' AS arm, 'suppliers' AS corpus, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_decks, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS n_cards_vocab,
   (SELECT count(*) FROM split) AS n_positives_mined_total, (SELECT count(*) FROM split) AS n_positives_mined, (SELECT count(*) FROM {_plain('positives_strict')}) AS n_positives_strict,
-  (SELECT count(*) FROM split WHERE split = 'train') + (SELECT count(*) FROM apart) AS n_positives_trained, (SELECT count(*) FROM negatives) + (SELECT count(*) FROM found WHERE kind = 'negative') AS n_negatives,
-  (SELECT count(*) FROM ({_HELD})) AS n_holdout_positives, (SELECT count(*) FROM found WHERE kind = 'positive') AS n_extra_positives_2d, (SELECT count(*) FROM found WHERE kind = 'negative') AS n_extra_negatives_2d,
-  (SELECT count(*) FROM split WHERE split = 'train') + (SELECT count(*) FROM apart) AS n_examples, round(ends.lift, 6) AS lift, round(ends.ci_low, 6) AS ci_low, round(m.lift, 6) AS mined_lift,
+  ({trained})::BIGINT AS n_positives_trained, ({hard} + {extra('negative')})::BIGINT AS n_negatives, (SELECT count(*) FROM ({_HELD})) AS n_holdout_positives,
+  {extra('positive')}::BIGINT AS n_extra_positives_2d, {extra('negative')}::BIGINT AS n_extra_negatives_2d, ({trained})::BIGINT AS n_examples,
+  round(ends.lift, 6) AS lift, round(ends.ci_low, 6) AS ci_low, round(m.lift, 6) AS mined_lift,
   CASE WHEN ends.lift IS NULL OR ends.ci_low IS NULL THEN 'NO_DATA' WHEN ends.lift < 0.05 OR ends.ci_low <= 0 THEN 'FAIL' WHEN m.lift > 0 AND ends.lift < 0.5 * m.lift THEN 'PHENOTYPE_FIT' ELSE 'PASS' END AS verdict,
   coalesce(m.lift < 0.05 AND m.lift < 0.5 * ends.lift, false) AS narrow_effect FROM ends, m"""
 
 
-@_query()
-def arm_2d(spark, d):
+def _arm(spark, d, arm):
     """A whole rung of the leakage gate over suppliers, with the given vectors as provider."""
     supplier = _t(spark, d, "supplier")
     items = supplier.select(F.col("s_suppkey").alias("item"), F.col("s_name").alias("text"), F.array(F.col("s_nationkey").cast("string")).alias("colours"))
     own = _vectors(spark, d).join(items.select("item"), "item", "left_semi")
     strata_of = supplier.select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").cast("string").alias("grp"))
-    found = gates.run_arm("2d", "suppliers", _baskets(spark, d, "l_suppkey").distinct(), items, _supplier_eval(spark, d), _groups(spark, d), strata_of, own, examples.existing_vectors(own))
+    found = gates.run_arm(arm, "suppliers", _baskets(spark, d, "l_suppkey").distinct(), items, _supplier_eval(spark, d), _groups(spark, d), strata_of, own, examples.existing_vectors(own))
     plain = {k: v for k, v in found.items() if not isinstance(v, dict)} | {"lift": found["curated"]["lift_vs_cluster"], "ci_low": found["curated"]["lift_vs_cluster_ci"][0], "mined_lift": found["mined_holdout"]["lift_vs_cluster"]}
     kinds = {bool: "boolean", int: "long", str: "string"}
     return _six(spark.createDataFrame([tuple(plain.values())], ", ".join(f"{k} {'double' if k in ('lift', 'ci_low', 'mined_lift') else kinds[type(v)]}" for k, v in plain.items())), "lift", "ci_low", "mined_lift")
 
 
-SQL["arm_2d"] = _ARM
+@_query()
+def arm_2b(spark, d):
+    return _arm(spark, d, "2b")
+
+
+@_query()
+def arm_2c(spark, d):
+    return _arm(spark, d, "2c")
+
+
+@_query()
+def arm_2d(spark, d):
+    return _arm(spark, d, "2d")
+
+
+SQL |= {f"arm_{arm}": _arm_sql(arm) for arm in ("2b", "2c", "2d")}
 
 _PART_LIMIT = "(SELECT quantile_cont(ppmi, 0.9) FROM (SELECT ppmi FROM part_ppmi UNION ALL SELECT ppmi FROM part_ppmi))"
 
