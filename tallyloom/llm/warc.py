@@ -377,25 +377,48 @@ def restored(records: DataFrame) -> DataFrame:
     return records.select(*[c.alias(n) for n, c in own.items()], *[c for c in records.columns if c not in (*own, "headers")])
 
 
-def through_files(records: DataFrame, carry: str | None = None) -> DataFrame:
-    """Write response records as WARC files, derive from what is read back, write the derived records,
-    and return them as read; the files lie in the shared folder meanwhile. `carry` names the long
-    column that CARRIED holds."""
+def convert(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Write the records that derive from the responses of each .warc.gz file in `source` as a file of
+    that name in `target`, member by member; returns (file, records, unreadable, bytes). Derived records
+    keep the header CARRIED of their source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                counts = [0, 0]
+
+                def made(content=content, counts=counts) -> Iterator[bytes]:
+                    for data, whole in members(memoryview(content.as_buffer())):
+                        found = parsed(data) if whole else None
+                        if found is None:
+                            counts[1] += 1
+                            continue
+                        fields, headers, block = found
+                        if fields.get("warc-type") != "response":
+                            continue
+                        name, uri, date, page = (fields.get(f) for f in ("warc-record-id", "warc-target-uri", "warc-date", CARRIED.lower()))
+                        for t, own, kind, _, _, of_block, of_payload, lines, body in _derived(name, headers, block):
+                            counts[0] += 1
+                            yield serialised(body, [(CARRIED, page or "")], t, own, uri, date, kind, name, of_block, of_payload, lines)
+
+                file = path.rpartition("/")[2]
+                size = files.put(target, file, made())
+                yield pa.RecordBatch.from_pydict({"file": [file], "records": pa.array(counts[:1], pa.int64()), "unreadable": pa.array(counts[1:], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    return files.read(spark, source, ".warc.gz").mapInArrow(run, "file string, records long, unreadable long, bytes long")
+
+
+def through_files(records: DataFrame, carry: str) -> DataFrame:
+    """Write response records as WARC files, convert these into files of derived records, and return
+    what is read of them, with the long column `carry` that CARRIED holds; the files lie in the shared
+    folder meanwhile."""
     spark = records.sparkSession
     top = files.shared_folder(spark, "warc")
     try:
-        made, derived_folder = (files.create(spark, f"{top}/{name}") for name in ("responses", "derived"))
+        made, derived = (files.create(spark, f"{top}/{name}") for name in ("responses", "derived"))
         write(records, made).write.format("noop").mode("overwrite").save()
-        source = read(spark, made)
-        if carry:
-            source = source.withColumn(carry, header(CARRIED).try_cast("long"))
-        derived = derive(source, carry)
-        if carry:
-            number = F.struct(F.lit(CARRIED).alias("name"), F.coalesce(F.col(carry).cast("string"), F.lit("")).alias("value"))
-            derived = derived.withColumn("headers", F.array(number))
-        write(derived, derived_folder).write.format("noop").mode("overwrite").save()
+        convert(spark, made, derived).write.format("noop").mode("overwrite").save()
         files.remove(spark, made)
-        again = read(spark, derived_folder)
-        return cut(restored(again.withColumn(carry, header(CARRIED).try_cast("long")) if carry else again))
+        return cut(restored(read(spark, derived).withColumn(carry, header(CARRIED).try_cast("long"))))
     finally:
         files.remove(spark, top)

@@ -156,7 +156,7 @@ def test_through_files(spark):
         assert (r.source_block_digest, r.source_payload_digest, r.block_digest) == (warc.digest(block), warc.digest(block.split(b"\r\n\r\n", 1)[1]), warc.digest(bytes(r.block)))
         assert f"WARC-Record-ID: {r.refers_to}\r\n" in r.source_headers and f"WARC-Block-Digest: {r.source_block_digest}\r\n" in r.source_headers
         assert r.content_length == len(r.block) and r.source_id == r.refers_to
-    assert warc.through_files(warc.responses(pages.limit(0))).count() == 0
+    assert warc.through_files(warc.responses(pages.limit(0)), "page_id").count() == 0
 
 
 def test_broken_members(spark, tmp_path):
@@ -168,6 +168,8 @@ def test_broken_members(spark, tmp_path):
     found = [r.warc_type for r in warc.read(spark, f"file://{tmp_path}").collect()]
     assert found.count("response") == 3 and set(found) == {"response", warc.UNREADABLE} and found.count(warc.UNREADABLE) >= 4
     assert warc.derive(warc.read(spark, f"file://{tmp_path}")).count() == 3
+    counted = warc.convert(spark, f"file://{tmp_path}", f"file://{tmp_path}/derived").first()
+    assert (counted.records, counted.unreadable) == (3, found.count(warc.UNREADABLE)) and warc.read(spark, f"file://{tmp_path}/derived").count() == 3
     members = [warc.serialised(b"%d" % k, *fields) for k in range(20_000)]
     began = time.perf_counter()
     assert sum(whole for _, whole in warc.members(memoryview(b"".join(members)))) == 20_000
