@@ -30,6 +30,7 @@ _CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)")
 #: Elements whose content isn't text, and elements that end a line.
 HIDDEN = frozenset(["script", "style", "noscript", "template", "head", "iframe", "object", "svg", "textarea", "select"])
 RAW = frozenset(["script", "style", "iframe", "textarea", "noscript"])
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 
 
@@ -42,41 +43,44 @@ def plain_text(page: str) -> tuple[str, str, list[str]]:
     references resolved, hidden elements left out. An unclosed hidden element ends with the page, an
     unclosed `head` at `body`, and one whose tag ends in `/>` at once."""
     out, title, links, hidden, at, in_title = [], [], [], [], 0, False
-    while True:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start()] if found else page[at:]
-        if text:
-            if in_title:
-                title.append(text)
-            elif not hidden:
-                out.append(text.replace("\n", " "))
-        if not found:
-            break
-        at, name = found.end(), (found[2] or "").lower()
-        if not name:
-            continue
-        if name == "title":
-            in_title = not found[1] and not found[3].endswith("/")
-        if not found[1] and name == "a" and (href := _HREF.search(found[3])):
-            links.append(html.unescape(next(g for g in href.groups() if g is not None)))
-        if name == "body" and not found[1]:
-            hidden = [h for h in hidden if h != "head"]
-        if not found[1] and found[3].endswith("/"):
+    going = True
+    while going:
+        going = False
+        for found in _TOKEN.finditer(page, at):
+            start = found.start()
+            if start > at:
+                if in_title:
+                    title.append(page[at:start])
+                elif not hidden:
+                    out.append(page[at:start].replace("\n", " "))
+            at = found.end()
+            closing, name, rest = found.groups()
+            if not name:
+                continue
+            name = name.lower()
+            ended = not closing and rest.endswith("/")
+            if name == "title":
+                in_title = not closing and not ended
+            elif name == "a" and not closing and (href := _HREF.search(rest)):
+                links.append(html.unescape(next(g for g in href.groups() if g is not None)))
+            elif name == "body" and not closing:
+                hidden = [h for h in hidden if h != "head"]
+            if name in HIDDEN and not ended:
+                if closing:
+                    if name in hidden:
+                        hidden.remove(name)
+                elif name in RAW:
+                    end = _ENDS[name].search(page, at)
+                    at, going = end.end() if end else len(page), True
+                    break  # what looks like a tag in there is none
+                else:
+                    hidden.append(name)
             if name in BREAKS and not hidden:
                 out.append("\n")
-            continue
-        if name in RAW and not found[1]:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name in HIDDEN:
-            if not found[1]:
-                hidden.append(name)
-            elif name in hidden:
-                hidden.remove(name)
-        if name in BREAKS and not hidden:
-            out.append("\n")
-    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
-    return "\n".join(line for line in lines if line), " ".join(html.unescape("".join(title)).split()), links
+    if at < len(page):
+        (title if in_title else out if not hidden else []).append(page[at:] if in_title else page[at:].replace("\n", " "))
+    lines = [" ".join(words) for line in html.unescape("".join(out)).split("\n") if (words := line.split())]
+    return "\n".join(lines), " ".join(html.unescape("".join(title)).split()), links
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -241,16 +245,20 @@ def _one_line(text: str) -> str:
 WRITTEN = ("warc_type", "record_id", "target_uri", "warc_date", "content_type", "refers_to", "source_block_digest", "source_payload_digest", "source_headers")
 
 
-def serialised(block: bytes | None, headers: list[tuple[str, str]], warc_type: str | None, record_id: str | None, target_uri: str | None, warc_date: str | None, content_type: str | None, refers_to: str | None = None, source_block_digest: str | None = None, source_payload_digest: str | None = None, source_headers: str | None = None) -> bytes:
+def serialised(block: bytes | None, headers: list[tuple[str, str]], warc_type: str | None, record_id: str | None, target_uri: str | None, warc_date: str | None, content_type: str | None, refers_to: str | None = None, source_block_digest: str | None = None, source_payload_digest: str | None = None, source_headers: str | None = None, block_digest: str | None = None) -> bytes:
     """One record, headers and block, as a gzip member of its own. A derived record has the digests
     of its source's block and payload, and all headers of its source in one line, under names of their
     own; a record that was read keeps the headers that this has no field for."""
     block = block or b""
-    fields = [("WARC-Type", warc_type), ("WARC-Record-ID", record_id), ("WARC-Target-URI", target_uri), ("WARC-Date", warc_date), ("WARC-Refers-To", refers_to), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
+    fields = [("WARC-Type", warc_type), ("WARC-Record-ID", record_id), ("WARC-Target-URI", target_uri), ("WARC-Date", warc_date), ("WARC-Refers-To", refers_to), ("WARC-Block-Digest", block_digest or digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
     fields += [("X-Source-Block-Digest", source_block_digest), ("X-Source-Payload-Digest", source_payload_digest), ("X-Source-Headers", _one_line(source_headers) if source_headers else None)]
     known = {n.lower() for n, _ in fields}
     fields += [h for h in headers if h[0].lower() not in known]
-    head = "WARC/1.1\r\n" + "".join(f"{n}: {_line(v)}\r\n" for n, v in fields if v) + "\r\n"
+    fields = [f for f in fields if f[1]]
+    head = "".join([f"{n}: {v}\r\n" for n, v in fields])
+    if head.count("\n") > len(fields) or head.count("\r") > len(fields):
+        head = "".join([f"{n}: {_line(v)}\r\n" for n, v in fields])
+    head = f"WARC/1.1\r\n{head}\r\n"
     return gzip.compress(head.encode("utf-8", "replace") + block + b"\r\n\r\n", 1, mtime=0)
 
 
@@ -397,9 +405,9 @@ def convert(spark: SparkSession, source: str, target: str) -> DataFrame:
                         if fields.get("warc-type") != "response":
                             continue
                         name, uri, date, page = (fields.get(f) for f in ("warc-record-id", "warc-target-uri", "warc-date", CARRIED.lower()))
-                        for t, own, kind, _, _, of_block, of_payload, lines, body in _derived(name, headers, block):
+                        for t, own, kind, _, of_body, of_block, of_payload, lines, body in _derived(name, headers, block):
                             counts[0] += 1
-                            yield serialised(body, [(CARRIED, page or "")], t, own, uri, date, kind, name, of_block, of_payload, lines)
+                            yield serialised(body, [(CARRIED, page or "")], t, own, uri, date, kind, name, of_block, of_payload, lines, of_body)
 
                 file = path.rpartition("/")[2]
                 size = files.put(target, file, made())
