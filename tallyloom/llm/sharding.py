@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_hot, running
 
-#: Group ends that reach the driver in one round, at most.
-DETAIL = 1 << 15
+#: Group ends that reach the driver in one round, at first, and at most.
+DETAIL, MOST = 1 << 15, 1 << 20
 
 
 class _Digest:
@@ -48,14 +48,24 @@ def _least(low: int, high: int, holds) -> int:
     return high
 
 
-def capacity_cuts(ends: DataFrame, total: int, largest: int, shards: int, detail: int = DETAIL) -> list[int]:
+def _searched(ends: DataFrame, total: int, low: int, high: int, shards: int) -> list[int]:
+    """The same cuts with nothing on the driver but one end at a time: the walk asks Spark for every cut."""
+
+    def step(limit: int) -> int:
+        return ends.where(F.col("end") <= limit).agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
+
+    return _walk(_least(low, high, lambda c: _walk(c, shards, step)[-1] >= total), shards, step)[1:]
+
+
+def capacity_cuts(ends: DataFrame, total: int, largest: int, shards: int, detail: int = DETAIL, most: int = MOST) -> list[int]:
     """Ends of the shards under the least capacity for which the greedy walk over all group ends
     (column `end`: bytes up to and with the group) needs no more than `shards` shards.
 
     The search runs on the driver over a bounded digest of the ends, which brackets both the
     capacity and every cut of the walk. Each round looks more closely at the zones where cuts may
     fall, until the walk is exact; a round narrows the zones by about `detail` / `shards` squared,
-    and where it doesn't the next one looks twice as closely, down to single bytes."""
+    and where it doesn't the next one looks twice as closely, with `most` ends at most; where that
+    doesn't do, what is left of the search asks for each cut on its own."""
     if total == 0:
         return [0] * shards
     low = max(largest, -(-total // shards)) - 1
@@ -80,6 +90,8 @@ def capacity_cuts(ends: DataFrame, total: int, largest: int, shards: int, detail
             else:
                 zones.append((a, b))
         if 2 * sum(b - a + 1 for a, b in zones) > before:
+            if 2 * detail > most:
+                return _searched(ends, total, low, high, shards)
             detail *= 2  # few, large groups: stretches that hold one end each decide
 
 

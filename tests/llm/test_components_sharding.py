@@ -48,6 +48,13 @@ def test_capacity_is_least(spark, seed):
         assert sharding.capacity_cuts(table, total, largest, shards, detail) == greedy(ends, best, shards)
 
 
+def test_cuts_beyond_the_digest(spark):
+    ends = [1000, 1003, 5000, 5001, 9000, 9900, 9950, 12_000]
+    table = spark.createDataFrame([(e,) for e in ends], "end long")
+    best = next(c for c in range(3997, 12_001) if greedy(ends, c, 3)[-1] == 12_000)
+    assert sharding.capacity_cuts(table, 12_000, 3997, 3, 2, 2) == greedy(ends, best, 3)
+
+
 def test_shards_of_documents(spark):
     import zlib
 
