@@ -18,9 +18,10 @@ ANCHORS, CELLS, PHENOTYPES = 4000, 20_000, 300
 def cooccurrence(baskets: DataFrame) -> DataFrame:
     """(a, b, n) for a < b: how many baskets hold both.
 
-    One shuffle by basket serves both sides of the self join; pairs are counted before they are
-    shuffled. The cost is the sum of squared basket sizes, halved."""
-    items = distinct_items(baskets).repartition("basket")
+    One shuffle by basket serves both sides of the self join, and adaptive execution splits a basket
+    that is much larger than others; pairs are counted before they are shuffled. The cost is the sum
+    of squared basket sizes, halved."""
+    items = distinct_items(baskets)
     left, right = items.withColumnRenamed("item", "a"), items.withColumnRenamed("item", "b")
     return left.join(right, "basket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
