@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -89,6 +90,10 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return (rest + least[first:last, None]).ravel()[: max(0, total - first * BLOCK)]
 
 
+#: ASCII marks that end a word, and the bytes behind which such marks are tokens of their own.
+_MARKS, _ENDINGS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
 class _Known(dict):
     """Numbers of pieces in the order they first come; `new` are those without ids yet."""
 
@@ -111,7 +116,8 @@ class Encoder:
     Such a tokenizer encodes what stands between ASCII white space on its own, and most of that
     recurs, so the ids of pieces are remembered; all ids come from the library. ASCII letters are
     lower-cased first, as the tokenizer does later, unless a text has combining marks, whose
-    composition may depend on case. Texts with something like a special token are encoded whole."""
+    composition may depend on case. Marks behind a word's last letter or digit begin a token, so a
+    word with marks has the ids of both. Texts with something like a special token are encoded whole."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,6 +147,26 @@ class Encoder:
     def _encoded(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def _learn(self) -> None:
+        """Remember the ids of new pieces; those of words with marks come from both parts."""
+        new, both, plain, first = self.known.new, {}, [], self.used
+        at = 0
+        while at < len(new):
+            piece = new[at]
+            word = piece.rstrip(_MARKS)
+            if len(word) < len(piece) and word and word[-1] in _ENDINGS and b"<|" not in piece:
+                both[at] = self.known[word], self.known[piece[len(word) :]]  # these may be new as well
+            else:
+                plain.append(at)
+            at += 1
+        ids: list = [None] * len(new)
+        for k, found in zip(plain, self._encoded([new[k] for k in plain]), strict=True):
+            ids[k] = found
+        for k, parts in both.items():
+            ids[k] = [i for n in parts for i in (ids[n - first] if n >= first else self.flat[self.starts[n] : self.starts[n + 1]].tolist())]
+        self._remember(ids)
+        self.known.new = []
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, with an end id after each text; number of ids of each text)."""
         if self.used > REMEMBERED or self.known.bytes > REMEMBERED_BYTES:
@@ -155,10 +181,15 @@ class Encoder:
             pieces += found
             pieces.append(b"")
             counts[i] = len(found) + 1
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        if self.known.new:
-            self._remember(self._encoded(self.known.new))
-            self.known.new = []
+        collecting = gc.isenabled()
+        gc.disable()  # a great many small objects, none of them in a cycle
+        try:
+            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            if self.known.new:
+                self._learn()
+        finally:
+            if collecting:
+                gc.enable()
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]

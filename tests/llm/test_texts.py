@@ -290,6 +290,19 @@ def test_token_files(spark, docs):
     assert tokens.token_table(docs.limit(0), path).count() == 0
 
 
+def test_pieces_with_marks():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    encoder = tokens.Encoder(path, 1)
+    marks = ["", ",", "...", "'", "',", "'s", "'s.", "-", "--", "\"", ")", "(", "é", "\u0301", "\u0338", "=\u0338", "…", "…,", "_", "<", "|>", "%'s", "'ll", "’s,", "1", "²,", "!a", "\u00a0,", "Σ", "Σ.", ".Α"]
+    words = [a + b + c for a in ("", "word", "don't", "x1", "7", "é", "ΑΣ", "'") for b in marks for c in ("", ".", "'d")]
+    RNG.shuffle(words)
+    for k in range(0, len(words), 50):
+        text = " ".join(words[k : k + 50])
+        for _ in range(2):
+            ids, counts = encoder.encode([text.encode()])
+            assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]
+
+
 def test_pieces_without_end_are_forgotten(monkeypatch):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 1000)
@@ -298,7 +311,7 @@ def test_pieces_without_end_are_forgotten(monkeypatch):
         text = f"{k}x" * 200 + " word"
         ids, counts = encoder.encode([text.encode()])
         assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]
-        assert encoder.known.bytes <= 2000
+        assert encoder.known.bytes <= 3000
 
 
 def test_ordinal_likelihood():
