@@ -36,10 +36,10 @@ def pack(ids: np.ndarray) -> bytes:
     grid = padded.reshape(blocks, BLOCK)
     least = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = grid - least[:, None]
-    widths = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     held = int(np.ceil(SHARE * BLOCK)) - 1
-    width = np.partition(widths, held, axis=1)[:, held] if blocks else np.zeros(0, np.uint8)
-    outlier = widths > width[:, None]
+    top = np.partition(rest, held, axis=1)[:, held] if blocks else np.zeros(0, np.uint32)
+    width = np.frexp(top.astype(np.float64))[1].astype(np.uint8)
+    outlier = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     places, values = np.nonzero(outlier)[1].astype(np.uint8), rest[outlier].astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(width.astype(np.int64) * (BLOCK // 8))])
     packed = np.zeros(int(starts[-1]), np.uint8)
