@@ -22,7 +22,7 @@ MAGIC, SUFFIX = b"PFOR0001", ".pfor"
 #: Ids in a block, the share of them that the packed width must hold, and ids in a file, about.
 BLOCK, SHARE, FILE_IDS = 128, 0.9, 1 << 21
 #: Words whose ids a worker remembers, and their bytes; beyond either it begins anew.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 2_000_000, 32 << 20
 _HEAD = struct.Struct("<8sqqqqq")
 
 
