@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quantised, sharding, simhash, substrings, tokens, toxicity, urls, warc
+from . import collocations, conversations, decontam, mixing, quantised, secrets, sharding, simhash, substrings, tokens, toxicity, urls, warc
 from .common import table
 
 
@@ -53,12 +53,32 @@ def op10_ordinal_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    repaired = conversations.repaired_digests(conversations.damage(rows), rows.select(F.col("conv_id").alias("conv")))
+    return repaired.withColumnRenamed("conv", "conv_id")
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_linked_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def product_quantised_wide(spark, sf_dir):
     """The operator of op2 at a cosine that small tables reach, all lists within the bound probed."""
     return quantised.embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.4, deviations=None)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op4_bucket_pointer_dedup, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing, op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity, product_quantised_wide)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_derivatives, op2_product_quantised_dedup, op3_minimax_shards, op4_bucket_pointer_dedup, op5_winnowing_decontamination, op6_token_files, op7_cube_mixing,
+        op8_simhash_variants, op9_url_rules, op10_ordinal_toxicity, op11_conversation_repair, op12_collocations, op13_linked_secrets, product_quantised_wide,
+    )
+}
 
 ORACLE_SQL = {}
 
@@ -130,3 +150,90 @@ kept AS (
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+#: crc32 of a string's bytes: a step for each byte, and eight in it.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode({k})) + 1, 2), lambda i: ('0x' || substr(hex(encode({k})), i, 2))::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+ORACLE_SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, {_CRC32.format(k="k")} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || substr(role, 1, 1) AS two FROM placed),
+moves(letter, f, t, pre) AS (VALUES ('s', '0', 'S', ''), ('u', '0', 'U', ''), ('u', 'S', 'U', ''), ('u', 'A', 'U', ''), ('u', 'U', 'U', 'I'), ('a', 'U', 'A', ''), ('a', '0', 'A', 'I'), ('a', 'S', 'A', 'I'), ('a', 'A', 'A', 'I')),
+edits(edit, letter, cost) AS (VALUES ('K', 's', 0), ('K', 'u', 0), ('K', 'a', 0), ('R', 'u', 1), ('R', 'a', 1)),
+steps AS (
+  SELECT conv_id, pos, f, f AS t, 2 AS cost, 'D' AS audit, []::VARCHAR[] AS made FROM faults, (VALUES ('0'), ('S'), ('U'), ('A')) AS v(f)
+  UNION ALL
+  SELECT conv_id, pos, f, t, 5 * length(pre) + cost + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, pre || edit,
+    (CASE WHEN pre = '' THEN []::VARCHAR[] WHEN f = 'U' THEN ['assistant:'] ELSE ['user:'] END) || [CASE WHEN edit = 'K' THEN role WHEN moves.letter = 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM faults JOIN edits ON edit = 'R' OR edits.letter = substr(role, 1, 1) JOIN moves USING (letter) WHERE fault NOT IN ('blank', 'duplicate')),
+walk(conv_id, pos, state, b) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '0', {{'cost': 0::BIGINT, 'audit': '', 'made': []::VARCHAR[]}} FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, t, min(b) FROM (
+    SELECT w.conv_id, w.pos + 1 AS pos, s.t, {{'cost': w.b.cost + s.cost, 'audit': w.b.audit || s.audit, 'made': w.b.made || s.made}} AS b
+    FROM walk w JOIN steps s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = w.pos + 1 AND s.f = w.state) GROUP BY conv_id, pos, t),
+ended AS (
+  SELECT conv_id, pos, {{'cost': b.cost + CASE state WHEN 'U' THEN 5 WHEN 'S' THEN 10 ELSE 0 END, 'audit': b.audit || CASE state WHEN 'U' THEN 'I' WHEN 'S' THEN 'II' ELSE '' END,
+    'made': b.made || CASE state WHEN 'U' THEN ['assistant:'] WHEN 'S' THEN ['user:', 'assistant:'] ELSE []::VARCHAR[] END}} AS b FROM walk),
+best AS (SELECT conv_id, arg_max(b, pos) AS b FROM (SELECT conv_id, pos, min(b) AS b FROM ended GROUP BY conv_id, pos) GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.audit AS audit,
+  sha256(array_to_string(b.made, chr(10))) AS repaired_sha256
+FROM best LEFT JOIN counts ON best.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""
+
+ORACLE_SQL["op12_collocations"] = r"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs)),
+grams AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS k FROM pieces))) GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a FROM grams WHERE k >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, a, j, array_to_string(string_split(c.phrase, ' ')[:j], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.head AND x.k = j JOIN grams y ON y.lang = c.lang AND y.phrase = c.tail AND y.k = c.k - j),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM scored) WHERE o = 1),
+apart AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM (SELECT lang, a, array_to_string(string_split(phrase, ' ')[2:], ' ') AS part FROM candidates WHERE k > 2 UNION ALL SELECT lang, a, array_to_string(string_split(phrase, ' ')[:k - 1], ' ') FROM candidates WHERE k > 2) e
+    WHERE e.lang = b.lang AND e.part = b.phrase AND 100 * e.a >= 50 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM apart)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def _secrets_sql() -> str:
+    """Matches by the pieces between them; a weak span counts if what it wants starts within the reach of its start."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    good = {"assign": f"length(regexp_extract(s, {quoted(secrets.PATTERNS['assign'])}, 2)) >= 6", "key": "length(s) = 40 AND NOT regexp_matches(s, '[=_-]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[0-9]')"}
+    kinds = " UNION ALL ".join(
+        f"SELECT r, kind, o, a, a + length(s) AS b FROM (SELECT r, '{kind}' AS kind, {k} AS o, m[i] AS s, list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS a"
+        f" FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, {quoted(pattern)}) AS m, regexp_split_to_array(t, {quoted(pattern)}) AS p FROM docs))) WHERE {good.get(kind, 'true')}"
+        for k, (kind, pattern) in enumerate(secrets.PATTERNS.items())
+    )
+    near = lambda role: "EXISTS (SELECT 1 FROM spans y WHERE y.r = x.r AND y.kind IN (" + ", ".join(f"'{k}'" for k, v in secrets.ROLES.items() if v == role) + f") AND abs(y.a - x.a) <= {secrets.REACH})"
+    wanted = " ".join(f"WHEN '{kind}' THEN {' AND '.join(map(near, roles))}" for kind, roles in secrets.WANTED.items())
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({kinds}),
+kept AS (SELECT r, kind, o, a, kind || ':' || a || ':' || b AS s FROM spans x WHERE CASE kind {wanted} ELSE true END),
+lists AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(s, ',' ORDER BY a, o) FILTER (o < {len(secrets.BASE)}), '') AS base, string_agg(s, ',' ORDER BY a, o) AS spans FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN lists USING (r)
+"""
+
+
+ORACLE_SQL["op13_linked_secrets"] = _secrets_sql()
