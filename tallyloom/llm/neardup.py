@@ -10,14 +10,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, partitions, running
 from .words import Lexer, distinct, mixed, slices, spans_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of minima; a pair of similarity s shares a band with chance 1 - (1 - s^ROWS)^BANDS, 1 - 5e-8 at 0.8.
 BANDS, ROWS = 32, 4
-#: Members of a bucket up to which every pair is looked at; a larger one is compared in blocks, which overlap.
+#: Members of a bucket up to which every pair is looked at; a larger one is linked in blocks, which overlap, before
+#: tiles of so many shingles a side compare what those left apart.
 _FEW, _BLOCK, _STEP = 8, 512, 384
+_VOLUME = 1 << 19
+#: Pairs of a member up to which each is looked at on its own.
+_SINGLY = 40
 _PART = 4096
 _SPACE = np.ones(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -94,12 +98,12 @@ def shingles(shingle: int):
 
 
 def _candidates(similarity: float):
-    """Pairs of small buckets (block null), and members of blocks of large ones (b null)."""
+    """Pairs of small buckets (block null), and members of blocks of large ones, with the bucket's key (b null)."""
 
     def bucket(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         members = np.diff(bounds)
-        a, b, block = [], [], []
+        a, b, block, of = [], [], [], []
         for lag in range(1, _FEW):
             at = np.concatenate([bounds[:-1][(members > lag + k) & (members <= _FEW)] + k for k in range(_FEW - lag)])
             x, y = sizes[at], sizes[at + lag]
@@ -112,13 +116,15 @@ def _candidates(similarity: float):
                 top = min(low + _BLOCK, bounds[k + 1])
                 a.append(nodes[low:top])
                 block.append(np.full(top - low, mixed(keys[low : low + 1].view(np.uint64) + np.uint64(low - bounds[k]))[0]).view(np.int64))
+                of.append(np.full(top - low, keys[low]))
                 if top == bounds[k + 1]:
                     break
         a, n = np.concatenate(a), sum(len(x) for x in block)
         missing = lambda head, tail: np.concatenate([np.full(head, False), np.full(tail, True)])
         second = pa.array(np.concatenate([*b, np.zeros(n, np.int64)]), pa.int64(), mask=missing(none, n))
         blocks = pa.array(np.concatenate([np.zeros(none, np.int64), *block]), pa.int64(), mask=~missing(none, n))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), second, blocks], ["a", "b", "block"])
+        buckets = pa.array(np.concatenate([np.zeros(none, np.int64), *of]), pa.int64(), mask=~missing(none, n))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), second, blocks, buckets], ["a", "b", "block", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
@@ -191,13 +197,13 @@ def _blocks(similarity: float):
 
 
 def band_candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, block) over `classes` (node, _size, _keys): every pair of a small bucket that the numbers of
+    """(a, b, block, bucket) over `classes` (node, _size, _keys): every pair of a small bucket that the numbers of
     shingles allow (block null), and the members of blocks of a large one (b null), ordered by the next
-    band so that what is near lies together."""
+    band so that what is near lies together. Blocks alone miss pairs: `left_apart` compares the others."""
     following = F.concat(F.slice("_keys", 2, BANDS - 1), F.slice("_keys", 1, 1))
     keyed = classes.select("node", F.col("_size").alias("size"), F.explode(F.arrays_zip(F.col("_keys").alias("key"), following.alias("next"))).alias("k")).select("k.key", "node", "size", "k.next")
     dealt = keyed.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "next", "node").select("key", "node", "size")
-    return dealt.mapInArrow(_candidates(similarity), "a long, b long, block long")
+    return dealt.mapInArrow(_candidates(similarity), "a long, b long, block long, bucket long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -212,3 +218,89 @@ def linked_blocks(blocks: DataFrame, sets: DataFrame, similarity: float) -> Data
     """Edges (a, b) that connect what is similar within each block (block, node)."""
     dealt = blocks.join(sets, "node").select("block", "node", "hashes").repartition(partitions(blocks.sparkSession), "block")
     return dealt.sortWithinPartitions("block").mapInArrow(_blocks(similarity), "a long, b long")
+
+
+def _tiles(similarity: float):
+    """Edges between sets of different groups on the two sides of a tile: of all pairs that this bucket is the first
+    to hold. An edge that joins groups which others have joined already isn't made."""
+
+    def links(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, band: np.ndarray, keys: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        ends = np.cumsum(sizes)
+        group = np.unique(roots, return_inverse=True)[1]
+        mark, edges = np.zeros(codes.max(initial=0) + 1, bool), []
+        lone = side.min() == side.max()  # a block with itself
+        for k in np.flatnonzero(side == side.min()).tolist():
+            wanted = (group != group[k]) & (np.minimum(sizes, sizes[k]) >= similarity * np.maximum(sizes, sizes[k]) - 1e-9)
+            wanted[: k + 1 if lone else 0] = False
+            if not lone:
+                wanted &= side != side[k]
+            at = np.flatnonzero(wanted)
+            if len(at):
+                at = at[~(keys[at, : band[k]] == keys[k, : band[k]]).any(axis=1)]  # an earlier band's bucket holds those
+            if not len(at):
+                continue
+            mine = codes[ends[k] - sizes[k] : ends[k]]
+            mark[mine] = True
+            if len(at) <= _SINGLY:
+                both = np.array([np.count_nonzero(mark[codes[ends[j] - sizes[j] : ends[j]]]) for j in at.tolist()])
+            else:
+                both = np.bincount(owner[mark[codes]], minlength=len(sets))[at]
+            mark[mine] = False
+            for j in at[both >= similarity * (sizes[at] + sizes[k] - both) - 1e-9].tolist():
+                if group[j] != group[k]:
+                    edges.append((nodes[k], nodes[j]))
+                    group[group == group[j]] = group[k]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            lists = batch.column("hashes")
+            flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            tiles = list(zip(*[batch.column(c).to_pylist() for c in ("bucket", "low", "high")], strict=True))
+            side, node, root, band = (batch.column(c).to_numpy() for c in ("block", "node", "root", "band"))
+            keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
+            for k, tile in enumerate(tiles):
+                if tile != now and held:
+                    yield links(*[np.array([h[c] for h in held]) for c in range(5)], [h[5] for h in held])
+                    held = []
+                now = tile
+                held.append((side[k], node[k], root[k], band[k], keys[k].copy(), flat[bounds[k] : bounds[k + 1]].copy()))
+        if held:
+            yield links(*[np.array([h[c] for h in held]) for c in range(5)], [h[5] for h in held])
+
+    return run
+
+
+def left_apart(members: DataFrame, classes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Edges (a, b) between members of one large bucket (bucket, node) whose groups, by `roots` (node, root) of
+    the links found so far, differ; None if there are no such members.
+
+    Every pair of them is compared exactly once: in the first bucket that holds both. A bucket's
+    members are put in order, the largest group first, and cut into blocks of so many shingles; a tile is two blocks, or
+    one with itself. Blocks of one group alone don't meet, so many copies of one text cost what is not among
+    them, and only a family whose members are not linked costs its square, dealt into tiles. Each tile
+    is a key of its own: no task holds more than two blocks."""
+    spark = members.sparkSession
+    named = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    named = cut(named)
+    several = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    shares = cut(named.join(several, "bucket", "left_semi").groupBy("bucket", "root").agg(F.count("*").alias("n")))
+    if not shares.take(1):
+        return None
+    own = named.join(shares, ["bucket", "root"]).join(classes.select("node", F.col("_size").alias("size"), F.col("_keys").alias("keys")), "node")
+    placed = running(own.withColumn("rare", -F.col("n")), ["bucket", "rare", "root", "node"], {"before": (F.col("size") + 16).cast("long")})
+    placed = cut(placed.select("bucket", "node", "root", F.floor(F.col("before") / _VOLUME).alias("block"), (F.array_position("keys", F.col("bucket")) - 1).cast("int").alias("band"), "keys"))
+    blocks = cut(placed.groupBy("bucket", "block").agg(F.min("root").alias("x"), F.max("root").alias("y")))
+    alike = blocks.where("x = y").groupBy("bucket", F.col("x").alias("root")).agg(F.min("block").alias("from"), F.max("block").alias("to"))
+    ends = blocks.groupBy("bucket").agg(F.min("block").alias("lowest"), F.max("block").alias("highest"))
+    pure = blocks.where("x = y").select("bucket", "block", F.col("x").alias("root")).join(alike, ["bucket", "root"]).select("bucket", "block", "from", "to")
+    others = blocks.select("bucket", "block").join(ends, "bucket").join(pure, ["bucket", "block"], "left")
+    met = others.withColumn("other", F.explode(F.sequence("lowest", "highest"))).where("from is null or not other between from and to")
+    tiles = met.select("bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    asked = placed.join(tiles, ["bucket", "block"]).join(sets, "node").select("bucket", "low", "high", "block", "node", "root", "band", "keys", "hashes")
+    dealt = asked.repartition(partitions(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "block")
+    return dealt.mapInArrow(_tiles(similarity), "a long, b long")

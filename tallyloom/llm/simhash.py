@@ -195,8 +195,8 @@ def near_groups(docs: DataFrame, similarity: float = neardup.SIMILARITY, shingle
 
     Equal words are one class, with a count, before any search. Candidates are the classes with one
     fingerprint, or with fingerprints that one-wildcard variants link, and, as sets that are 0.8
-    similar differ in some 9 of 64 bits, those that share a band of minima as well. All links are
-    confirmed on whole sets."""
+    similar differ in some 9 of 64 bits, those that share a band of minima as well: every pair that does, by
+    pairs of a small bucket, and by blocks and then tiles of a large one. All links are confirmed on whole sets."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).withColumn("_mark", F.xxhash64("_text"))
     rows = cut(texts.mapInArrow(neardup.sketches(shingle), f"_id {kind}, _mark long, {neardup.SKETCH}"))
@@ -210,6 +210,7 @@ def near_groups(docs: DataFrame, similarity: float = neardup.SIMILARITY, shingle
     found = cut(neardup.band_candidates(classes, similarity))
     pairs = found.where("block is null").select("a", "b").union(by_bits.select(F.least("a", "b"), F.greatest("a", "b"))).union(equal)
     pairs, blocks = cut(pairs.distinct()), found.where("block is not null").select("block", F.col("a").alias("node"))
+    members = found.where("block is not null").select("bucket", F.col("a").alias("node")).distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(blocks.select("node")).distinct()
     # a class's words are read from the row with its least id; copies of it are one row
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_name")
@@ -218,7 +219,13 @@ def near_groups(docs: DataFrame, similarity: float = neardup.SIMILARITY, shingle
     sets = cut(one.select("node", "_text").mapInArrow(neardup.shingles(shingle), "node long, hashes array<long>"))
     with small_batches(spark, 64):  # a row is a whole set here
         large = cut(neardup.linked_blocks(blocks, sets, similarity))
-    roots = components(cut(neardup.confirmed(pairs, sets, similarity).unionByName(large)))
+    edges = cut(neardup.confirmed(pairs, sets, similarity).unionByName(large))
+    roots = components(edges)
+    with small_batches(spark, 64):
+        apart = neardup.left_apart(members, classes, roots, sets, similarity)
+        more = None if apart is None else cut(apart)
+    if more is not None and more.take(1):
+        roots = components(edges.unionByName(more))
     rooted = classes.select("_words", "_n", "node", F.col("_holder.id").alias("_least")).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     rooted = cut(rooted.select("_words", "_n", "_least", F.coalesce("root", "node").alias("_root")))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))

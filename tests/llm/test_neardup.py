@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import simhash
+from tallyloom.llm import neardup, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,6 +57,29 @@ def test_groups(spark):
     assert len(set(want)) < 300
 
 
+def test_a_large_bucket_without_a_centre(spark, monkeypatch):
+    """5,000 members of one family that are not similar but for planted pairs: no pair of a bucket of thousands is
+    left out, whatever blocks they fall into."""
+    monkeypatch.setattr(neardup, "_VOLUME", 1 << 18)
+    rng = random.Random(5)
+    base, texts, used = [f"b{k}" for k in range(294)], [], set()
+    while len(texts) < 5000:
+        # a word changes five of 290 shingles, none of them twice: pairs share 260 of 320, others 225 of 355 at most
+        places = rng.sample(range(5, 289, 6), 9)
+        ours = [frozenset(places[:3] + mine) for mine in (places[3:6], places[6:])]
+        if used & set(ours):
+            continue
+        used |= set(ours)
+        for own in ours:
+            copy = list(base)
+            for at in own:
+                copy[at] = f"x{len(texts) // 2 if at in places[:3] else 10_000 + len(texts)}.{at}"
+            texts.append((len(texts), " ".join(copy)))
+    rng.shuffle(texts)
+    got = dict(simhash.near_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect())
+    assert got == {k: k - k % 2 for k, _ in texts}
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(300))
     rows = [(5, None), (4, ""), (3, " \n"), (7, "One two"), (6, "one  TWO"), (None, "only null ids"), (None, "only null ids"), (None, long), (9, long + " more"), (9, "another text of nine"), (2, "x " * 40_000), (1, "x " * 40_000)]

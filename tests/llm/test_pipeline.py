@@ -40,5 +40,5 @@ def test_run(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES][:10] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES][:13] == [f"op{k}" for k in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
