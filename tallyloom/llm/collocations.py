@@ -73,19 +73,21 @@ class _Words:
         if not self.n_words:
             return
         word, spelt = _coded(pa.concat_arrays(self.words))
+        self.words = []
         follows, lang_of = np.concatenate(self.follows), of_row[np.concatenate(self.rows)].astype(np.int64)
-        self.words, self.rows = [], []
+        self.follows = self.rows = []
         codes, known = _coded(lang_of * len(spelt) + word)
         known = known.to_numpy()
         size = len(known)
         lang, text = (known // len(spelt)).astype(np.int32), spelt.cast(pa.large_string()).take(pa.array(known % len(spelt)))
         last = text
+        total = np.bincount(lang_of, minlength=len(langs))
+        del word, spelt, lang_of
         if 0 in orders:
-            total = np.bincount(lang_of, minlength=len(langs))
             yield from _sent(langs, np.arange(len(langs)), 0, pa.array([""] * len(langs), pa.large_string()), total)
         if 1 in orders:
             yield from _sent(langs, lang, 1, text, np.bincount(codes, minlength=size))
-        at, codes, single = np.arange(len(codes)), codes.astype(np.int64), codes.astype(np.int64)
+        at, single = np.arange(len(codes), dtype=np.int32), codes
         for n in range(2, max(orders) + 1):
             fits = follows[at + n - 2]  # the n-gram from here doesn't leave its piece
             if passed is not None and n == max(orders):
@@ -93,9 +95,12 @@ class _Words:
                 good = np.zeros(len(single) + 1, bool)
                 good[at] = some[codes]
                 fits = fits & good[at] & good[at + 1]
-            at, before = at[fits], codes[fits]
-            codes, known = _coded(before * size + single[at + n - 1])
-            codes, known = codes.astype(np.int64), known.to_numpy()
+            at, before = at[fits], codes[fits].astype(np.int64)
+            before *= size
+            before += single[at + n - 1]
+            codes, known = _coded(before)
+            del before, fits
+            known = known.to_numpy()
             lang = lang[known // size]
             text = pc.binary_join_element_wise(text.take(pa.array(known // size)), last.take(pa.array(known % size)), pa.scalar(" ", pa.large_string()))
             if n in orders:
@@ -115,7 +120,9 @@ def _grams(orders: list[int], bits: Broadcast | None, slots: int, group: int):
         table = None if bits is None else np.frombuffer(zlib.decompress(bits.value), np.uint8)
 
         def passed(keys: pa.Array) -> np.ndarray:
-            h = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys.cast(pa.large_binary()).to_pylist()], np.uint64)
+            h = np.zeros(len(keys), np.uint64)
+            for at in range(0, len(keys), _ROWS):
+                h[at : at + _ROWS] = [xxhash.xxh64_intdigest(k, 42) for k in keys.slice(at, _ROWS).cast(pa.large_binary()).to_pylist()]
             found = np.ones(len(h), bool)
             for part in (h, h >> np.uint64(32)):
                 at = (part & np.uint64(slots - 1)).astype(np.int64)

@@ -6,10 +6,11 @@ import base64
 import gzip
 import hashlib
 import html
+import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -346,34 +347,169 @@ def parsed(data: bytes) -> tuple[dict[str, str], list[tuple[str, str]], bytes] |
     return found, headers, rest[: int(length)]
 
 
+class _Part:
+    """The members of a part of a file, whose bytes come one after the other.
+
+    A part from a file's middle begins somewhere: its first member is the first gzip header from which a whole
+    member with a record follows. What lies before it (`head`) and what is left at the end (`tail`) goes to
+    where the parts of a file meet. Not more than one member, or what may be one, is held."""
+
+    def __init__(self, start: int) -> None:
+        self.sure, self.broken = start == 0, False
+        self.bytes, self.at, self.to = bytearray(), 0, 0
+        self._begin(0)
+        if not self.sure:
+            self.zip = None
+
+    def _begin(self, at: int) -> None:
+        self.at = self.to = at
+        self.zip, self.parts, self.broken = zlib.decompressobj(31), [], False
+
+    def _step(self, step: int = 1 << 14) -> bool | None:
+        """Whether the member from here on is whole; None if that isn't known yet."""
+        try:
+            while not self.zip.eof and self.to < len(self.bytes):
+                self.parts.append(self.zip.decompress(memoryview(self.bytes)[self.to : self.to + step]))
+                self.to = min(self.to + step, len(self.bytes))
+                if not self.sure and len(begun := b"".join(self.parts[:5])[:5]) == 5 and begun != b"WARC/":
+                    return False
+        except zlib.error:
+            return False
+        if not self.zip.eof:
+            return None
+        self.to -= len(self.zip.unused_data)
+        return self.sure or bool(self.parts and b"".join(self.parts[:5])[:5] == b"WARC/")
+
+    def fed(self, data: bytes) -> Iterator[tuple[str, bytes]]:
+        self.bytes += data
+        while True:
+            if self.sure and not self.broken:
+                if self.at >= len(self.bytes):
+                    break
+                whole = self._step()
+                if whole is None:
+                    break
+                if whole:
+                    yield "whole", b"".join(self.parts)
+                    self._begin(self.to)
+                    continue
+                self.broken = True
+            if self.sure:
+                after = self.bytes.find(b"\x1f\x8b\x08", self.at + 1)
+                if after < 0:
+                    break
+                yield "broken", bytes(memoryview(self.bytes)[self.at : after])
+                self._begin(after)
+                continue
+            if self.zip is None:
+                found = self.bytes.find(b"\x1f\x8b\x08", self.at)
+                if found < 0:
+                    self.at = max(self.at, len(self.bytes) - 2)
+                    break
+                self._begin(found)
+            whole = self._step()
+            if whole is None:
+                break
+            if whole:
+                yield "head", bytes(memoryview(self.bytes)[: self.at])
+                yield "whole", b"".join(self.parts)
+                self.sure = True
+                self._begin(self.to)
+            else:
+                self.zip, self.at = None, self.at + 1
+        if self.sure and self.at:
+            del self.bytes[: self.at]
+            self.to, self.at = self.to - self.at, 0
+
+    def ended(self) -> Iterator[tuple[str, bytes]]:
+        yield ("tail" if self.sure else "head"), bytes(self.bytes)
+
+
+#: ((path, start of the part), kind, bytes): a whole or broken member, or what is left before the first or after the last one.
+_Events = Iterator[tuple[tuple[str, int], str, bytes]]
+
+
+def _events(chunks: Callable[[Iterator[pa.RecordBatch]], files.Chunks]) -> Callable[[Iterator[pa.RecordBatch]], _Events]:
+    def run(batches: Iterator[pa.RecordBatch]) -> _Events:
+        for key, own in itertools.groupby(chunks(batches), lambda c: c[0]):
+            part = _Part(key[1])
+            for _, data in own:
+                yield from ((key, *e) for e in part.fed(data))
+            yield from ((key, *e) for e in part.ended())
+
+    return run
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> _Events:
+    """The events of members that lie in several parts: what is left of one part begins them, and what comes before
+    the first member of the next one goes on."""
+
+    def made(key: tuple[str, int], joined: bytes) -> _Events:
+        yield from ((key, "whole" if whole else "broken", data) for data, whole in members(memoryview(joined)))
+
+    now, held = None, bytearray()
+    for batch in batches:
+        for path, tail, data in zip(*[batch.column(c).to_pylist() for c in ("path", "tail", "data")], strict=True):
+            if now is not None and (tail or now[0] != path):
+                yield from made(now, bytes(held))
+                held = bytearray()
+            now = (path, -1)
+            held += data
+    if now is not None:
+        yield from made(now, bytes(held))
+
+
+def _dealt_edges(rows: DataFrame) -> DataFrame:
+    """The edges (path, start, tail, data), those of a file in order."""
+    return rows.where("data is not null").select("path", "start", "tail", "data").repartition("path").sortWithinPartitions("path", "start", "tail")
+
+
 #: The type of rows for what isn't a record.
 UNREADABLE = "unreadable"
 _FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-type")
+_EDGE = "path string, start long, tail boolean, data binary"
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of a folder's .warc.gz files, one gzip member each. What doesn't parse is a row of
-    type UNREADABLE with its bytes as block, so it can be counted and nothing derives from it. Spark's
-    reader of whole files takes up to 2 GB each; `write` makes smaller ones."""
+def _records(events):
+    """Rows of RECORD, and of _EDGE where a part ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list) -> pa.RecordBatch:
-            columns = [pa.array([r[0].get(f) for r in rows], pa.string()) for f in _FIELDS]
-            return pa.RecordBatch.from_arrays([*columns, _header_array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["warc_type", "record_id", "target_uri", "warc_date", "content_type", "headers", "block"])
-
-        rows, size = [], 0
-        for batch in batches:
-            for content in batch.column("content"):
-                for data, whole in members(memoryview(content.as_buffer())):
-                    rows.append((parsed(data) if whole else None) or ({"warc-type": UNREADABLE}, [], data))
-                    size += len(data)
-                    if len(rows) == 256 or size > 4 << 20:
-                        yield made(rows)
-                        rows, size = [], 0
-        if rows:
-            yield made(rows)
+        def made(rows: list, edges: list) -> pa.RecordBatch:
+            none = lambda n, t: pa.nulls(n, t)
+            columns = [pa.array([r[0].get(f) for r in rows] + [None] * len(edges), pa.string()) for f in _FIELDS]
+            own = [_header_array([r[1] for r in rows] + [[]] * len(edges)), pa.array([r[2] for r in rows] + [None] * len(edges), pa.binary())]
+            ends = [pa.concat_arrays([none(len(rows), t), pa.array([e[k] for e in edges], t)]) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([*columns, *own, *ends], ["warc_type", "record_id", "target_uri", "warc_date", "content_type", "headers", "block", "path", "start", "tail", "data"])
+
+        rows, edges, size = [], [], 0
+        for (path, start), kind, data in events(batches):
+            if kind in ("whole", "broken"):
+                rows.append((parsed(data) if kind == "whole" else None) or ({"warc-type": UNREADABLE}, [], data))
+            elif data:
+                edges.append((path, start, kind == "tail", data))
+            size += len(data)
+            if len(rows) == 256 or size > 4 << 20:
+                yield made(rows, edges)
+                rows, edges, size = [], [], 0
+        if rows or edges:
+            yield made(rows, edges)
+
+    return run
+
+
+def read(spark: SparkSession, folder: str, part: int = files.PART) -> DataFrame:
+    """The records of a folder's .warc.gz files, one gzip member each. What doesn't parse is a row of
+    type UNREADABLE with its bytes as block, so it can be counted and nothing derives from it.
 
-    return files.read(spark, folder, ".warc.gz").mapInArrow(run, RECORD)
+    A large file is divided by ranges of `part` bytes, and each part is read as a stream, so memory is that of
+    a member and not of a file; members that cross parts are put together by file. A member that holds whole
+    records as gzip members, stored as they are, and in which a part begins, may give those, too. The rows are
+    stored once."""
+    rows, chunks = files.parts(spark, folder, ".warc.gz", part)
+    found = cut(rows.mapInArrow(_records(_events(chunks)), f"{RECORD}, {_EDGE}"))
+    names = [c for c in found.columns if c not in ("path", "start", "tail", "data")]
+    crossing = _dealt_edges(found).mapInArrow(_records(_edges), f"{RECORD}, {_EDGE}")
+    return found.where("data is null").select(names).unionByName(crossing.select(names))
 
 
 def restored(records: DataFrame) -> DataFrame:
@@ -385,35 +521,47 @@ def restored(records: DataFrame) -> DataFrame:
     return records.select(*[c.alias(n) for n, c in own.items()], *[c for c in records.columns if c not in (*own, "headers")])
 
 
-def convert(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Write the records that derive from the responses of each .warc.gz file in `source` as a file of
-    that name in `target`, member by member; returns (file, records, unreadable, bytes). Derived records
-    keep the header CARRIED of their source."""
+def _converted(target: str, events):
+    """Files of what derives from members, one for each part of a file, and the edges of the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                counts = [0, 0]
-
-                def made(content=content, counts=counts) -> Iterator[bytes]:
-                    for data, whole in members(memoryview(content.as_buffer())):
-                        found = parsed(data) if whole else None
-                        if found is None:
-                            counts[1] += 1
-                            continue
+        for (path, start), own in itertools.groupby(events(batches), lambda e: e[0]):
+            counts, edges = [0, 0], []
+
+            def made(own=own, counts=counts, edges=edges) -> Iterator[bytes]:
+                for _, kind, data in own:
+                    found = parsed(data) if kind == "whole" else None
+                    if kind in ("head", "tail"):
+                        edges.append((kind == "tail", data))
+                    elif found is None:
+                        counts[1] += 1
+                    elif found[0].get("warc-type") == "response":
                         fields, headers, block = found
-                        if fields.get("warc-type") != "response":
-                            continue
                         name, uri, date, page = (fields.get(f) for f in ("warc-record-id", "warc-target-uri", "warc-date", CARRIED.lower()))
-                        for t, own, kind, _, of_body, of_block, of_payload, lines, body in _derived(name, headers, block):
+                        for t, own_name, kind_of, _, of_body, of_block, of_payload, lines, body in _derived(name, headers, block):
                             counts[0] += 1
-                            yield serialised(body, [(CARRIED, page or "")], t, own, uri, date, kind, name, of_block, of_payload, lines, of_body)
+                            yield serialised(body, [(CARRIED, page or "")], t, own_name, uri, date, kind_of, name, of_block, of_payload, lines, of_body)
+
+            file = path.rpartition("/")[2]
+            size = files.put(target, f"{file.removesuffix('.warc.gz')}.{'edges' if start < 0 else start}.warc.gz", made())
+            edges = [(None, None), *((t, d) for t, d in edges if d)]
+            n = len(edges)
+            columns = {"file": [file] * n, "records": pa.array([counts[0], *[0] * (n - 1)], pa.int64()), "unreadable": pa.array([counts[1], *[0] * (n - 1)], pa.int64()), "bytes": pa.array([size, *[0] * (n - 1)], pa.int64())}
+            columns |= {"path": [path] * n, "start": pa.array([start] * n, pa.int64()), "tail": pa.array([t for t, _ in edges], pa.bool_()), "data": pa.array([d for _, d in edges], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
-                file = path.rpartition("/")[2]
-                size = files.put(target, file, made())
-                yield pa.RecordBatch.from_pydict({"file": [file], "records": pa.array(counts[:1], pa.int64()), "unreadable": pa.array(counts[1:], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    return files.read(spark, source, ".warc.gz").mapInArrow(run, "file string, records long, unreadable long, bytes long")
+def convert(spark: SparkSession, source: str, target: str, part: int = files.PART) -> DataFrame:
+    """Write the records that derive from the responses of the .warc.gz files in `source` to files in
+    `target`, one for each part of a file and one for members that cross parts; returns (file, records,
+    unreadable, bytes) for each file of `source`. Derived records keep the header CARRIED of their source."""
+    schema = f"file string, records long, unreadable long, bytes long, {_EDGE}"
+    rows, chunks = files.parts(spark, source, ".warc.gz", part)
+    found = cut(rows.mapInArrow(_converted(target, _events(chunks)), schema))
+    crossing = _dealt_edges(found).mapInArrow(_converted(target, _edges), schema)
+    return cut(found.unionByName(crossing).groupBy("file").agg(*[F.sum(c).alias(c) for c in ("records", "unreadable", "bytes")]))
 
 
 def through_files(records: DataFrame, carry: str) -> DataFrame:
@@ -425,7 +573,7 @@ def through_files(records: DataFrame, carry: str) -> DataFrame:
     try:
         made, derived = (files.create(spark, f"{top}/{name}") for name in ("responses", "derived"))
         write(records, made).write.format("noop").mode("overwrite").save()
-        convert(spark, made, derived).write.format("noop").mode("overwrite").save()
+        convert(spark, made, derived)
         files.remove(spark, made)
         return cut(restored(read(spark, derived).withColumn(carry, header(CARRIED).try_cast("long"))))
     finally:

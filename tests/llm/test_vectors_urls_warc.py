@@ -1,13 +1,14 @@
 import base64
 import gzip
 import hashlib
+import random
 import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tallyloom.llm import quantised, urls, warc
+from tallyloom.llm import files, quantised, urls, warc
 
 
 @pytest.mark.parametrize("tile", [7, 2048])
@@ -176,6 +177,65 @@ def test_broken_members(spark, tmp_path):
     assert time.perf_counter() - began < 10
 
 
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    """Members of all sizes over parts of 64 KB: one goes through many parts, some hold gzip members
+    within them, some are broken; the rows are those of the whole file."""
+    rng = random.Random(9)
+    fields = ([("X-Page-Id", "7")], "response", "<urn:x>", "u", "d", "c")
+    inner = gzip.compress(rng.randbytes(900))
+    parts, whole = [], 0
+    for k in range(300):
+        data = rng.randbytes(rng.choice((0, 10, 3000, 40_000, 90_000 if k % 50 else 700_000)))
+        member = bytearray(warc.serialised(data + (gzip.compress(b"not a record" * 9) + inner if k % 7 == 0 else b""), *fields))
+        if k % 40 == 3:
+            member[len(member) // 2 :] = rng.randbytes(len(member) - len(member) // 2)
+        else:
+            whole += 1
+        parts.append(bytes(member))
+    body = b"".join(parts)
+    (tmp_path / "in").mkdir()
+    for name, content in (("a", body), ("b", body[: len(body) // 2]), ("c", b""), ("d", b"\x1f"), ("e", parts[0])):
+        (tmp_path / "in" / f"{name}.warc.gz").write_bytes(content)
+    want = Counter()
+    for name in "abcde":
+        content = (tmp_path / "in" / f"{name}.warc.gz").read_bytes()
+        for data, good in warc.members(memoryview(content)):
+            found = warc.parsed(data) if good else None
+            want[(found[0]["warc-type"], found[2]) if found else (warc.UNREADABLE, data)] += 1
+    source, small = f"file://{tmp_path}/in", 1 << 16
+    assert files.parts(spark, source, ".warc.gz", small)[0].count() > 50
+    got = Counter((r.warc_type, bytes(r.block)) for r in warc.read(spark, source, small).collect())
+    counted = {r.file: r for r in warc.convert(spark, source, f"file://{tmp_path}/out", small).collect()}
+    again = warc.read(spark, f"file://{tmp_path}/out").count()
+    records = lambda c: Counter({k: n for k, n in c.items() if k[0] != warc.UNREADABLE})
+    assert records(got) == records(want) and sum(records(want).values()) > whole
+    # a broken member's bytes may be cut elsewhere, where a part begins; none is lost
+    bytes_of = lambda c: sum(len(k[1]) * n for k, n in c.items() if k[0] == warc.UNREADABLE)
+    assert bytes_of(got) == bytes_of(want)
+    assert sum(r.records for r in counted.values()) == sum(records(want).values()) == again
+
+
+def test_stores_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    """Files are streamed by Spark's reader of lines, past their codec."""
+    fields = ([("X-Kept", "1")], "response", "<urn:x>", "u", "d", "c")
+    rng = random.Random(2)
+    blocks = [rng.randbytes(rng.choice((0, 5, 30_000))) for _ in range(200)]
+    for k in range(3):
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(warc.serialised(b, *fields) for b in blocks[k::3]))
+    store = files._store
+    monkeypatch.setattr(files, "_store", lambda folder: (_ for _ in ()).throw(ValueError("no such store")))
+    rows = warc.read(spark, f"file://{tmp_path}")
+    monkeypatch.setattr(files, "_store", store)
+    assert Counter(bytes(r.block) for r in rows.collect()) == Counter(blocks)
+
+
+def test_folders_have_schemes(spark):
+    assert files.qualified(spark, "/tmp/x") == "file:/tmp/x" and files.shared_folder(spark, "k").startswith("file:/")
+    assert files._store("file:/tmp/x")[1] == "/tmp/x" and files._store("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError):
+        files._store("/tmp/x")
+
+
 def test_files_of_a_size(spark, tmp_path):
     records = warc.responses(spark.range(100).selectExpr("id page_id", "'u' url", "array_join(transform(sequence(1, 100), k -> md5(string(id * 1000 + k))), ' ') html").coalesce(1))
     made = warc.write(records, f"file://{tmp_path}/w", file_bytes=100_000).collect()
