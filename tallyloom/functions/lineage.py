@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def folder_of_its_own(spark: SparkSession, kind: str) -> Iterator[str]:
+    """The path of a new folder that all executors share; it goes at the end, whatever happens."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def through_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
     """What `read` returns of what `write` wrote to a new folder that all executors share. The rows are
     stored and the folder goes, whatever happens."""
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    try:
+    with folder_of_its_own(spark, "files") as folder:
         write(folder)
         return cut(read(folder))
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
