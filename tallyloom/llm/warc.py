@@ -567,7 +567,7 @@ def convert(spark: SparkSession, source: str, target: str, part: int = files.PAR
 def through_files(records: DataFrame, carry: str) -> DataFrame:
     """Write response records as WARC files, convert these into files of derived records, and return
     what is read of them, with the long column `carry` that CARRIED holds; the files lie in the shared
-    folder meanwhile."""
+    folder meanwhile, and what is read of them is stored."""
     spark = records.sparkSession
     top = files.shared_folder(spark, "warc")
     try:
@@ -575,6 +575,6 @@ def through_files(records: DataFrame, carry: str) -> DataFrame:
         write(records, made).write.format("noop").mode("overwrite").save()
         convert(spark, made, derived)
         files.remove(spark, made)
-        return cut(restored(read(spark, derived).withColumn(carry, header(CARRIED).try_cast("long"))))
+        return restored(read(spark, derived).withColumn(carry, header(CARRIED).try_cast("long")))
     finally:
         files.remove(spark, top)
