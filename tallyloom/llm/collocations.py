@@ -18,7 +18,7 @@ from .words import Lexer, slices
 
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Words whose n-grams are counted together before they leave a task.
-GROUP = 3_000_000
+GROUP = 1_500_000
 #: Rows sent on together, and bits of the filter that is broadcast, at most.
 _ROWS, SLOTS = 100_000, 1 << 29
 _BREAK = np.zeros(256, bool)
@@ -29,8 +29,9 @@ _WORD[[0x09, 0x20]] = False
 _WORDS = Lexer(_WORD)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Between a language and a phrase in the filter's keys.
-_MARK = "\x1f"
+#: Between a phrase, which has none, and its language in keys.
+_MARK = "\n"
+_BETWEEN = pa.scalar(_MARK, pa.large_string())
 
 
 def _coded(values: np.ndarray | pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -67,7 +68,7 @@ class _Words:
         self.n_words += len(starts)
 
     def counts(self, orders: list[int], passed) -> Iterator[pa.RecordBatch]:
-        """(lang, n, phrase, f) of the n-grams of these orders; order 0 is the number of all words. With
+        """(key, f) of the n-grams of these orders; order 0 is the number of all words. With
         `passed`, n-grams both of whose shorter ones pass it."""
         of_row, langs = _coded(pa.concat_arrays(self.langs))
         if not self.n_words:
@@ -84,14 +85,14 @@ class _Words:
         total = np.bincount(lang_of, minlength=len(langs))
         del word, spelt, lang_of
         if 0 in orders:
-            yield from _sent(langs, np.arange(len(langs)), 0, pa.array([""] * len(langs), pa.large_string()), total)
+            yield from _sent(langs, np.arange(len(langs)), pa.array([""] * len(langs), pa.large_string()), total)
         if 1 in orders:
-            yield from _sent(langs, lang, 1, text, np.bincount(codes, minlength=size))
+            yield from _sent(langs, lang, text, np.bincount(codes, minlength=size))
         at, single = np.arange(len(codes), dtype=np.int32), codes
         for n in range(2, max(orders) + 1):
             fits = follows[at + n - 2]  # the n-gram from here doesn't leave its piece
             if passed is not None and n == max(orders):
-                some = passed(pc.binary_join_element_wise(langs.take(pa.array(lang)).cast(pa.large_string()), text, pa.scalar(_MARK, pa.large_string())))
+                some = passed(_keys(langs, lang, text))
                 good = np.zeros(len(single) + 1, bool)
                 good[at] = some[codes]
                 fits = fits & good[at] & good[at + 1]
@@ -104,15 +105,17 @@ class _Words:
             lang = lang[known // size]
             text = pc.binary_join_element_wise(text.take(pa.array(known // size)), last.take(pa.array(known % size)), pa.scalar(" ", pa.large_string()))
             if n in orders:
-                yield from _sent(langs, lang, n, text, np.bincount(codes, minlength=len(known)))
+                yield from _sent(langs, lang, text, np.bincount(codes, minlength=len(known)))
 
 
-def _sent(langs: pa.Array, lang: np.ndarray, n: int, text: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _keys(langs: pa.Array, lang: np.ndarray, text: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(text, langs.take(pa.array(lang)).cast(pa.large_string()), _BETWEEN)
+
+
+def _sent(langs: pa.Array, lang: np.ndarray, text: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(counts), _ROWS):
-        some = pa.array(lang[k : k + _ROWS])
-        size = len(some)
-        columns = [langs.take(some), pa.array(np.full(size, n, np.int32)), text.slice(k, size).cast(pa.string()), pa.array(counts[k : k + _ROWS].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "phrase", "f"])
+        keys = _keys(langs, lang[k : k + _ROWS], text.slice(k, _ROWS)).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([keys, pa.array(counts[k : k + _ROWS].astype(np.int64))], ["key", "f"])
 
 
 def _grams(orders: list[int], bits: Broadcast | None, slots: int, group: int):
@@ -143,11 +146,15 @@ def _grams(orders: list[int], bits: Broadcast | None, slots: int, group: int):
     return run
 
 
+def _key(phrase: str) -> Column:
+    return F.concat(F.col(phrase), F.lit(_MARK), F.col("lang"))
+
+
 def _filter(phrases: DataFrame) -> tuple[Broadcast, int]:
     """A Bloom filter of (lang, phrase), of SLOTS bits at most: what it lets through by mistake is counted and dropped."""
     spark = phrases.sparkSession
     slots = min(SLOTS, max(1 << 16, 1 << (16 * phrases.count()).bit_length()))
-    h = F.xxhash64(F.concat_ws(_MARK, "lang", "phrase"))
+    h = F.xxhash64(_key("phrase"))
     places = phrases.select(F.explode(F.array(F.pmod(h, F.lit(slots)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(slots)))).alias("at"))
     width = 8 * 4096  # bits that Spark's bitmaps hold
     parts = places.groupBy(F.floor(F.col("at") / width).alias("part")).agg(F.bitmap_construct_agg((F.col("at") % width).cast("long")).alias("bits"))
@@ -170,19 +177,21 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     for orders in [[0, 1, 2], *[[n] for n in range(3, max_words + 1)]]:
         bits, slots = (None, 0) if found is None else _filter(found.where(F.col("n") == orders[0] - 1).select("lang", "phrase"))
         orders = [n for n in orders if n <= max_words]
-        rows = texts.mapInArrow(_grams(orders, bits, slots, group), "lang string, n int, phrase string, f long")
+        rows = texts.mapInArrow(_grams(orders, bits, slots, group), "key string, f long")
         # the tasks have summed already: the rows are dealt first, so that Spark doesn't sum them before, too
-        summed = rows.repartition("lang", "n", "phrase").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-        kept = cut(summed.where((F.col("f") >= least) | (F.col("n") == 0)))
+        summed = rows.repartition("key").groupBy("key").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.startswith("key", F.lit(_MARK)))
+        phrase = F.substring_index("key", _MARK, 1)
+        spelt = summed.withColumn("phrase", phrase).withColumn("lang", F.substr("key", F.length("phrase") + 2))
+        words = F.when(F.col("phrase") == "", 0).otherwise(1 + F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))))
+        kept = cut(spelt.select("lang", words.cast("int").alias("n"), "phrase", "f"))
         found = kept if found is None else cut(found.unionByName(kept))
     return found
 
 
 def _looked_up(cuts: DataFrame, counts: DataFrame, key: str, name: str) -> DataFrame:
     """Adds `name`, the count of the phrase in column `key`. A part that very many phrases share goes to where they lie."""
-    part = F.concat_ws(_MARK, "lang", F.col(key))
-    keyed = cut(cuts.withColumn("_part", part))
-    known = counts.select(F.concat_ws(_MARK, "lang", "phrase").alias("_part"), F.col("f").alias(name))
+    keyed = cut(cuts.withColumn("_part", _key(key)))
+    known = counts.where("n > 0").select(_key("phrase").alias("_part"), F.col("f").alias(name))
     asked = keyed.groupBy("_part").agg(F.count("*").alias("_rows"))
     return join_hot(keyed, cut(known.join(asked, "_part")), "_part", "_rows").drop("_part")
 

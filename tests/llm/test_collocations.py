@@ -41,7 +41,7 @@ def rows_of(seed, n=200):
     words = ["New", "York", "City", "hall", "der", "über", "Éa", "éa", "a", "b", "\x1f", "x\x00y", "mid\u2003dle"]
     for k in range(n):
         text = "".join(rng.choice(words) + rng.choice((" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\x0b")) for _ in range(rng.choice((0, 1, 5, 60))))
-        rows.append((k, rng.choice((text, text, text, None, "New York City hall")), rng.choice(("en", "de", None, "und", ""))))
+        rows.append((k, rng.choice((text, text, text, None, "New York City hall")), rng.choice(("en", "de\n", None, "und", "", "a b"))))
     return rows
 
 
