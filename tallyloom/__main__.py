@@ -16,6 +16,8 @@ from .plans import gates, probes, reports
 from .session import session
 from .sources import readers
 
+#: The verdict on rungs that score given vectors.
+NOT_TRAINED = "NOT_TRAINED"
 #: Baskets and positives of a trial run.
 SMOKE_COVERAGE, SMOKE_LEAKAGE, SMOKE_POSITIVES = 200, 300, 200
 
@@ -97,17 +99,20 @@ def run_leakage(spark: SparkSession, args: argparse.Namespace) -> None:
     most = SMOKE_POSITIVES if args.smoke else args.max_positives
     evals, groups = readers.eval_pairs(spark, args.eval_pairs, items), readers.clusters(spark, args.clusters)
     strata = items.select("item", stratum("colours", "cost", "type_line").alias("grp"))
-    vectors = spark.read.parquet(args.vectors)
+    # vectors that are given are the same ones for every rung, so nothing can be said of what a rung trains
+    vectors = spark.read.parquet(args.vectors) if args.vectors else None
     rungs = [(arm, kind, path) for kind, path in args.corpus for arm in args.arms if (arm == "2a") == (kind == "precon")]
     results = []
     for arm, kind, path in rungs:
         baskets = _baskets(spark, kind, path, items, SMOKE_LEAKAGE if args.smoke else args.limit)
-        results.append(gates.run_arm(arm, kind, baskets, items, evals, groups, strata, vectors, examples.existing_vectors(vectors), most))
+        provider = None if vectors is None else examples.existing_vectors(vectors)
+        found = gates.run_arm(arm, kind, baskets, items, evals, groups, strata, vectors, provider, most)
+        results.append(found if vectors is None else found | {"verdict": NOT_TRAINED})
     first = next((r["curated"] for r in results if r["arm"] == "2a"), {})
     harness = similarity.harness(first.get("mean_substitute_cosine"), first.get("mean_random_cluster_cosine"))
     name = f"t2_leakage_partial_{args.tag}" if args.tag else "t2_leakage"
     run_args = {"corpora": [k for k, _ in args.corpus], "arms": args.arms, "max_positives": most, "limit": args.limit, "smoke": args.smoke}
-    gates.report(spark, args.findings, name, {"results": results, "harness": harness}, reports.leakage_report(results, harness, [r[:2] for r in rungs]), [args.items, args.eval_pairs, args.clusters, args.vectors, *(p for _, p in args.corpus)], run_args)
+    gates.report(spark, args.findings, name, {"results": results, "harness": harness}, reports.leakage_report(results, harness, [r[:2] for r in rungs]), [args.items, args.eval_pairs, args.clusters, *([args.vectors] if args.vectors else []), *(p for _, p in args.corpus)], run_args)
 
 
 def run_probes(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -147,7 +152,7 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     leakage.add_argument("--arms", nargs="+", choices=gates.ARMS, default=list(gates.ARMS))
     leakage.add_argument("--eval-pairs", help="CSV of curated pairs")
     leakage.add_argument("--clusters", help="Parquet of (oracle_id, cluster)")
-    leakage.add_argument("--vectors", help="Parquet of (item, vector)")
+    leakage.add_argument("--vectors", help="Parquet of (item, vector) that every rung scores, in place of training")
     leakage.add_argument("--max-positives", type=int, default=gates.MOST, help="0 for all")
     leakage.add_argument("--tag", help="write a partial result of this name")
     leakage.add_argument("--merge", action="store_true", help="join all partial results, and nothing else")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import SEED, ticket
+from ..functions.draws import SEED, border, ticket
+from ..functions.lineage import cut
 from ..functions.order import running
 
 
@@ -32,12 +33,11 @@ def split_baskets(baskets: DataFrame, test_share: float = 0.15, seed: int = SEED
     """(basket, split): whole baskets go to `test`, a rounded share and one at least, or `train`.
 
     The test set is the first tickets of a seeded order, so a basket's side needs no global rank:
-    only the ticket at the border is looked up, by a top-n that Spark merges from partitions."""
-    ids = baskets.select("basket").distinct().withColumn("_ticket", ticket(seed, "basket"))
-    total = ids.count()
-    n = max(1, round(total * test_share)) if total else 0
-    border = ids.orderBy("_ticket").limit(n).agg(F.max("_ticket").alias("border"))
-    return ids.select("basket", F.when(F.col("_ticket") <= border.scalar(), "test").otherwise("train").alias("split"))
+    only the ticket at the border is looked up, by histograms."""
+    ids = cut(baskets.select("basket").distinct().withColumn("_ticket", ticket(seed, "basket")))
+    last = border(ids, lambda total: max(1, round(total * test_share)))
+    inside = F.lit(True) if last is None else F.col("_ticket") <= last[0]
+    return ids.select("basket", F.when(inside, "test").otherwise("train").alias("split"))
 
 
 def temporal_split(dated: DataFrame, test_share: float = 0.15) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import baskets as B
-from ..operators import canonical, divergence, examples, similarity
+from ..operators import canonical, divergence, encoder, examples, similarity, training
 from ..operators import cooccurrence as C
 from . import gates
 from .queries import _PHENOTYPE, SQL, _baskets, _bootstrap_sql, _encodings, _groups, _part_parsed, _query, _side_cosines, _six, _supplier_eval, _t, _vector_pairs, _vectors
@@ -76,13 +78,14 @@ SELECT '{arm}' AS arm, 'suppliers' AS corpus, (SELECT count(DISTINCT l_orderkey)
   coalesce(m.lift < 0.05 AND m.lift < 0.5 * ends.lift, false) AS narrow_effect FROM ends, m"""
 
 
-def _arm(spark, d, arm):
-    """A whole rung of the leakage gate over suppliers, with the given vectors as provider."""
+def _arm(spark, d, arm, trained=False):
+    """A whole rung of the leakage gate over suppliers, with the given vectors as provider or with trained ones."""
     supplier = _t(spark, d, "supplier")
     items = supplier.select(F.col("s_suppkey").alias("item"), F.col("s_name").alias("text"), F.array(F.col("s_nationkey").cast("string")).alias("colours"))
     own = _vectors(spark, d).join(items.select("item"), "item", "left_semi")
     strata_of = supplier.select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").cast("string").alias("grp"))
-    found = gates.run_arm(arm, "suppliers", _baskets(spark, d, "l_suppkey").distinct(), items, _supplier_eval(spark, d), _groups(spark, d), strata_of, own, examples.existing_vectors(own))
+    zero_shot, provider = (None, None) if trained else (own, examples.existing_vectors(own))
+    found = gates.run_arm(arm, "suppliers", _baskets(spark, d, "l_suppkey").distinct(), items, _supplier_eval(spark, d), _groups(spark, d), strata_of, zero_shot, provider)
     plain = {k: v for k, v in found.items() if not isinstance(v, dict)} | {"lift": found["curated"]["lift_vs_cluster"], "ci_low": found["curated"]["lift_vs_cluster_ci"][0], "mined_lift": found["mined_holdout"]["lift_vs_cluster"]}
     kinds = {bool: "boolean", int: "long", str: "string"}
     return _six(spark.createDataFrame([tuple(plain.values())], ", ".join(f"{k} {'double' if k in ('lift', 'ci_low', 'mined_lift') else kinds[type(v)]}" for k, v in plain.items())), "lift", "ci_low", "mined_lift")
@@ -103,6 +106,16 @@ def arm_2d(spark, d):
     return _arm(spark, d, "2d")
 
 
+@_query()
+def arm_2c_trained(spark, d):
+    return _arm(spark, d, "2c", trained=True)
+
+
+@_query()
+def arm_2d_trained(spark, d):
+    return _arm(spark, d, "2d", trained=True)
+
+
 SQL |= {f"arm_{arm}": _arm_sql(arm) for arm in ("2b", "2c", "2d")}
 
 _PART_LIMIT = "(SELECT quantile_cont(ppmi, 0.9) FROM (SELECT ppmi FROM part_ppmi UNION ALL SELECT ppmi FROM part_ppmi))"
@@ -183,3 +196,50 @@ def harness_check(spark, d):
     found = similarity.harness(point["mean_substitute"], point["mean_random"])
     row = spark.createDataFrame([(found["observed_substitute"], found["observed_random"], found["matches_reference"])], "observed_substitute double, observed_random double, matches_reference boolean")
     return _six(row, "observed_substitute", "observed_random")
+
+
+_FEATURES = """
+words AS (SELECT item, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS w FROM texts),
+features AS (SELECT item, 'w:' || w AS f FROM words UNION ALL SELECT item, 'p:' || substr('<' || w || '>', k, 3) FROM (SELECT item, w, unnest(range(1, length(w) + 1)) AS k FROM words)),
+counts AS (SELECT item, ('0x' || substr(md5('42:' || f), 1, 8))::BIGINT % 262144 AS bucket, count(*) AS n FROM features GROUP BY ALL),
+rarity AS (SELECT bucket, ln(1 + (SELECT count(*) FROM texts)::DOUBLE / count(*)) AS weight FROM counts GROUP BY bucket),
+added AS (SELECT item, bucket % {size} AS place, sum(CASE WHEN bucket // {size} % 2 = 0 THEN 1 ELSE -1 END * (1 + ln(n)) * weight) AS v FROM counts JOIN rarity USING (bucket) GROUP BY ALL)"""
+
+
+@_query(f"""WITH texts AS (SELECT p_partkey AS item, p_name || ' ' || p_type AS text FROM part), {_FEATURES.format(size=16)},
+norms AS (SELECT item, sqrt(sum(v * v)) AS norm FROM added GROUP BY item)
+SELECT item, place, round(coalesce(v, 0) / norm, 6) + 0.0::DOUBLE AS value FROM (SELECT item, norm, unnest(range(16)) AS place FROM norms) LEFT JOIN added USING (item, place)""")
+def text_vectors(spark, d):
+    """Vectors of the encoder that needs no training."""
+    texts = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    made = encoder.encode(texts, dimensions=16)
+    return made.select("item", F.posexplode("vector").alias("place", "value")).select("item", F.col("place").cast("long").alias("place"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+def _neighbours(spark, d):
+    """Examples: a vector and the next one of its label."""
+    vectors = _t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    near = _vector_pairs(spark, d).select("a", "b")
+    side = lambda key, name: vectors.select(F.col("vec_id").alias(key), F.col("v").alias(name))
+    return near.join(side("a", "anchor"), "a").join(side("b", "positive"), "b").select(F.col("a").alias("ordinal"), "anchor", "positive")
+
+
+@_query(f"""WITH own AS (SELECT vec_id AS item, embedding AS vector FROM embeddings), placed AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || a), a) - 1) // 32 AS batch FROM ({_NEAR})),
+scores AS (SELECT p.batch, p.a, p.a = q.a AS same, 20 * ({_DOT}) AS s FROM placed p JOIN placed q ON p.batch = q.batch JOIN own x ON p.a = x.item JOIN own y ON q.b = y.item),
+losses AS (SELECT batch, a, ln(sum(exp(s))) - max(s) FILTER (same) AS loss FROM scores GROUP BY batch, a)
+SELECT (SELECT count(*) FROM placed) AS n_examples, round(avg(loss), 6) AS loss FROM (SELECT batch, avg(loss) AS loss FROM losses GROUP BY batch)""")
+def ranking_loss(spark, d):
+    """The multiple-negatives ranking loss of an epoch's batches before any step."""
+    found = _neighbours(spark, d)
+    loss, _ = training.step_of(training.batched(found, 0).drop("step"), np.eye(64))
+    return _six(spark.createDataFrame([(found.count(), loss)], "n_examples long, loss double"), "loss")
+
+
+@_query()
+def trained_vectors(spark, d):
+    """Vectors of parts' names after training on pairs of one brand."""
+    part = _t(spark, d, "part")
+    items = part.select(F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    own = part.select(F.col("p_partkey").alias("a"), "p_brand", F.lead("p_partkey").over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")).alias("b")).where("b is not null")
+    made = examples.training_examples(examples.numbered(own.select("a", "b"), "a", "b"), None, items)
+    return training.trained_provider(dimensions=32)(made, items).select("item", F.transform("vector", lambda v: F.round(v, 4)).alias("vector"))

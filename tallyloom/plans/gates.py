@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import SEED
 from ..operators import cooccurrence as C
-from ..operators import coverage, divergence, examples, similarity
+from ..operators import coverage, divergence, encoder, examples, similarity, training
 from ..sources import sinks
 from .reports import CONFOUND
 
@@ -105,42 +107,65 @@ def _score(pairs: DataFrame, vectors: DataFrame, clusters: DataFrame, strata: Da
     return found
 
 
-def run_arm(arm: str, corpus: str, baskets: DataFrame, items: DataFrame, eval_pairs: DataFrame, clusters: DataFrame, strata: DataFrame, zero_shot: DataFrame, provider: examples.Provider, most: int | None = MOST, replicates: int = similarity.REPLICATES, seed: int = SEED) -> dict:
+@contextmanager
+def _kept() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Caches rows until the end."""
+    held: list[DataFrame] = []
+
+    def keep(rows: DataFrame) -> DataFrame:
+        held.append(rows.cache())
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for rows in held:
+            rows.unpersist()
+
+
+def run_arm(
+    arm: str, corpus: str, baskets: DataFrame, items: DataFrame, eval_pairs: DataFrame, clusters: DataFrame, strata: DataFrame, zero_shot: DataFrame | None = None, provider: examples.Provider | None = None,
+    most: int | None = MOST, replicates: int = similarity.REPLICATES, seed: int = SEED, dimensions: int = encoder.DIMENSIONS,
+) -> dict:
     """Gate T2, one rung. 2a and 2b train on positives alone, 2c adds hard negatives, 2d also phenotype
     pairs, which never include what is held out. `items` is (item, text, colours); the provider
-    gives the vectors that are scored. `most` caps the positives by a random choice; None or 0
-    doesn't."""
+    gives the vectors that are scored, by default those of the encoder after training on the rung's examples. Phenotype
+    pairs are mined with `zero_shot` vectors, by default the encoder's. `most` caps the positives by a random
+    choice; None or 0 doesn't."""
     if arm not in ARMS:
         raise ValueError(f"an arm is one of {', '.join(ARMS)}, not {arm!r}")
-    values = C.ppmi(C.cooccurrence(baskets)).cache()
-    mined = C.positives(values, eval_pairs).cache()
-    strict, total = C.positives(values, eval_pairs, strict=True).count(), mined.count()
-    if not total:
-        raise ValueError(f"{arm}/{corpus}: no positive pairs")
-    split = C.holdout(C.cap(mined, most, seed), seed=seed).cache()
-    held, train = split.where("split = 'holdout'").select("a", "b"), split.where("split = 'train'").select("a", "b")
-    negatives, extra = None, {"positive": 0, "negative": 0}
-    if arm in ("2c", "2d"):
-        vocabulary = baskets.select("item").distinct()
-        negatives = C.hard_negatives(values, items.select("item", "colours"), vocabulary, eval_pairs, split, seed=seed)
-    if arm == "2d":
-        found = C.phenotype_pairs(values, zero_shot, eval_pairs, seed=seed).cache()
-        extra |= {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
-        apart = C.without_pairs(found.where("kind = 'positive'").select("a", "b"), held.select(*C.unordered()))
-        train, negatives = train.unionByName(apart), negatives.unionByName(found.where("kind = 'negative'").select("a", "b"))
-    ordered = examples.numbered(train, "a", "b")
-    made = examples.training_examples(ordered, None if negatives is None else examples.numbered(negatives, "a", "b"), items.select("item", "text"))
-    vectors = provider(made, items)
-    curated, mined_score = _score(eval_pairs, vectors, clusters, strata, seed, replicates), _score(held, vectors, clusters, strata, seed + 100, replicates)
     spark = baskets.sparkSession
-    one = spark.createDataFrame([(curated["lift_vs_cluster"], curated["lift_vs_cluster_ci"][0], mined_score["lift_vs_cluster"])], "l double, c double, m double")
-    judged = one.select(similarity.verdict(F.col("l"), F.col("c"), F.col("m")).alias("verdict"), similarity.narrow_effect(F.col("l"), F.col("m")).alias("narrow")).first()
-    return {
-        "arm": arm, "corpus": corpus, "n_decks": baskets.select("basket").distinct().count(), "n_cards_vocab": baskets.select("item").distinct().count(),
-        "n_positives_mined_total": total, "n_positives_mined": split.count(), "n_positives_strict": strict, "n_positives_trained": train.count(),
-        "n_negatives": 0 if negatives is None else negatives.count(), "n_holdout_positives": held.count(), "n_extra_positives_2d": extra["positive"], "n_extra_negatives_2d": extra["negative"],
-        "n_examples": made.count(), "curated": curated, "mined_holdout": mined_score, "verdict": judged["verdict"], "narrow_effect": judged["narrow"],
-    }
+    provider = provider or training.trained_provider(dimensions, seed=seed)
+    with _kept() as keep:
+        values = keep(C.ppmi(C.cooccurrence(baskets)))
+        mined = keep(C.mined(values, eval_pairs))
+        strict, total = C.strict_ones(mined, eval_pairs).count(), mined.count()
+        if not total:
+            raise ValueError(f"{arm}/{corpus}: no positive pairs")
+        split = keep(C.holdout(C.cap(mined, most, seed), seed=seed))
+        held, train = split.where("split = 'holdout'").select("a", "b"), split.where("split = 'train'").select("a", "b")
+        negatives, extra = None, {"positive": 0, "negative": 0}
+        if arm in ("2c", "2d"):
+            vocabulary = baskets.select("item").distinct()
+            negatives = keep(C.hard_negatives(values, items.select("item", "colours"), vocabulary, eval_pairs, split, seed=seed))
+        if arm == "2d":
+            vectors = encoder.encode(items.select("item", "text"), dimensions=dimensions, seed=seed) if zero_shot is None else zero_shot
+            found = keep(C.phenotype_pairs(values, vectors, eval_pairs, seed=seed))
+            extra |= {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+            apart = C.without_pairs(found.where("kind = 'positive'").select("a", "b"), held.select(*C.unordered()))
+            train, negatives = train.unionByName(apart), negatives.unionByName(found.where("kind = 'negative'").select("a", "b"))
+        ordered = examples.numbered(train, "a", "b")
+        made = keep(examples.training_examples(ordered, None if negatives is None else examples.numbered(negatives, "a", "b"), items.select("item", "text")))
+        vectors = keep(provider(made, items))
+        curated, mined_score = _score(eval_pairs, vectors, clusters, strata, seed, replicates), _score(held, vectors, clusters, strata, seed + 100, replicates)
+        one = spark.createDataFrame([(curated["lift_vs_cluster"], curated["lift_vs_cluster_ci"][0], mined_score["lift_vs_cluster"])], "l double, c double, m double")
+        judged = one.select(similarity.verdict(F.col("l"), F.col("c"), F.col("m")).alias("verdict"), similarity.narrow_effect(F.col("l"), F.col("m")).alias("narrow")).first()
+        return {
+            "arm": arm, "corpus": corpus, "n_decks": baskets.select("basket").distinct().count(), "n_cards_vocab": baskets.select("item").distinct().count(),
+            "n_positives_mined_total": total, "n_positives_mined": split.count(), "n_positives_strict": strict, "n_positives_trained": train.count(),
+            "n_negatives": 0 if negatives is None else negatives.count(), "n_holdout_positives": held.count(), "n_extra_positives_2d": extra["positive"], "n_extra_negatives_2d": extra["negative"],
+            "n_examples": made.count(), "curated": curated, "mined_holdout": mined_score, "verdict": judged["verdict"], "narrow_effect": judged["narrow"],
+        }
 
 
 def merge_results(partials: list[DataFrame]) -> DataFrame:

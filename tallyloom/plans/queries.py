@@ -257,6 +257,14 @@ def hard_negatives(spark, d):
     return C.hard_negatives(_supplier_ppmi(spark, d), colours, vocabulary, _supplier_eval(spark, d), _supplier_positives(spark, d))
 
 
+_TOUCHED = "SELECT a FROM supplier_eval UNION ALL SELECT b FROM supplier_eval"
+
+
+@_query(f"SELECT * FROM ({SQL['hard_negatives']}) WHERE a NOT IN ({_TOUCHED}) AND b NOT IN ({_TOUCHED})")
+def hard_negatives_strict(spark, d):
+    return C.strict_ones(hard_negatives(spark, d), _supplier_eval(spark, d)).select("a", "b")
+
+
 _PHENOTYPE = "SELECT a, b, round(ppmi, 6) AS ppmi, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS cosine FROM (SELECT a, b, ppmi FROM supplier_ppmi ORDER BY md5('42:' || a || ':' || b), a, b LIMIT 20000) s JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE NOT EXISTS (SELECT 1 FROM supplier_eval e WHERE least(e.a, e.b) = s.a AND greatest(e.a, e.b) = s.b)"
 
 
@@ -265,6 +273,12 @@ def phenotype_pairs(spark, d):
     return C.phenotype_pairs(_supplier_ppmi(spark, d), _vectors(spark, d), _supplier_eval(spark, d))
 
 
+@_query(f"SELECT * FROM ({SQL['phenotype_pairs']}) WHERE a NOT IN ({_TOUCHED}) AND b NOT IN ({_TOUCHED})")
+def phenotype_pairs_strict(spark, d):
+    found = phenotype_pairs(spark, d)
+    return C.strict_ones(found, _supplier_eval(spark, d)).select(found.columns)
+
+
 # ── splits ──
 
 

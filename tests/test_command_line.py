@@ -1,6 +1,7 @@
 """The gates and the builder from files, as a user runs them."""
 
 import csv
+import inspect
 import json
 
 import pytest
@@ -85,6 +86,15 @@ def test_leakage_and_merge(spark, files, tmp_path):
     merged = json.loads((tmp_path / "t2_leakage.json").read_text())
     assert [(r["arm"], r["corpus"]) for r in merged["results"]] == [("2a", "precon"), ("2c", "casual")]
     assert "| 2a | precon |" in (tmp_path / "t2_leakage.md").read_text()
+    assert {r["verdict"] for r in merged["results"]} == {"NOT_TRAINED"}
+
+
+def test_rungs_that_are_trained_differ(spark, files, tmp_path):
+    words = ["leakage", "--items", f"{files}/cards", "--eval-pairs", f"{files}/eval.csv", "--clusters", f"{files}/clusters", "--findings", str(tmp_path), "--smoke"]
+    assert main([*words, "--corpus", f"casual={files}/casual.jsonl", "--arms", "2b", "2c", "2d"], spark) == 0
+    found = {r["arm"]: r for r in json.loads((tmp_path / "t2_leakage.json").read_text())["results"]}
+    assert list(found) == ["2b", "2c", "2d"] and len({r["mined_holdout"]["mean_substitute_cosine"] for r in found.values()}) == 3
+    assert all(r["verdict"] != "NOT_TRAINED" for r in found.values())
 
 
 def test_probes(spark, files, tmp_path, capsys):
@@ -115,4 +125,4 @@ def test_thresholds(tmp_path):
 
 def test_positives_are_capped_by_default():
     assert gates.MOST == 250_000 == arguments(["leakage"]).max_positives
-    assert gates.run_arm.__defaults__[0] == gates.MOST
+    assert inspect.signature(gates.run_arm).parameters["most"].default == gates.MOST

@@ -114,10 +114,54 @@ def test_ppmi_and_positives(spark, baskets):
         C.ppmi(C.cooccurrence(df.limit(0)))
 
 
-def test_order_statistic_refines(spark):
-    values = spark.range(5000).select((F.col("id") % 977).cast("double").alias("v"))
+def test_order_statistics(spark):
     ordered = sorted(i % 977 for i in range(5000))
-    assert [C.order_statistic(values, "v", k, few=20, bins=7) for k in (0, 1234, 4999)] == [ordered[k] for k in (0, 1234, 4999)]
+    values = spark.range(5000).select((F.col("id") % 977).cast("double").alias("v"))
+    ranks = [0, 1234, 1235, 4999, 2500]
+    assert C.order_statistics(values, "v", ranks, few=20) == [ordered[k] for k in ranks]
+    assert C.order_statistics(values, "v", ranks, few=20, size=8, margin=0.001) == [ordered[k] for k in ranks]  # sketches that often miss
+    # most values are the same one, or one of two
+    heavy = spark.range(40_000).select(F.when(F.col("id") < 30_000, 1.0).when(F.col("id") < 39_000, 2.0).otherwise(F.col("id") * 1.0).alias("v"))
+    assert C.order_statistics(heavy, "v", [0, 29_999, 30_000, 38_999, 39_000, 39_999], few=5) == [1.0, 1.0, 2.0, 2.0, 39_000.0, 39_999.0]
+    with pytest.raises(IndexError):
+        C.order_statistics(values, "v", [5000])
+
+
+@pytest.mark.parametrize(("values", "share", "frequency", "want"), [
+    ([1.0, 2.0, 3.0, math.nan], 1.0, 1, 3.0), ([1.0, 2.0, 3.0, math.nan, None], 0.5, 1, 2.0), ([math.nan], 0.5, 1, None), ([], 0.9, 2, None), ([None], 0.0, 1, None), ([5.0], 1.0, 2, 5.0), ([1.0, 2.0], 0.5, 2, 1.5),
+])
+def test_percentile_of_odd_values(spark, values, share, frequency, want):
+    assert C.percentile(spark.createDataFrame([(v,) for v in values], "v double"), "v", share, frequency) == want
+
+
+def test_borders(spark, monkeypatch):
+    """The n-th ticket, by any number of rounds, with repeated keys."""
+    keyed = spark.range(3000).select((F.col("id") % 2500).alias("k")).withColumn("_ticket", draws.ticket(42, "k"))
+    ordered = sorted(r["_ticket"] for r in keyed.collect())
+    for few in (1000, 1):
+        monkeypatch.setattr(draws, "FEW", few)
+        for n in (1, 2, 777, 2999):
+            at, wanted, equal = draws.border(keyed, n)
+            assert (at, wanted, equal) == (ordered[n - 1], n - sum(t < at for t in ordered), ordered.count(at))
+        assert draws.border(keyed, 3000) is None and draws.border(keyed.limit(0), 1) is None
+        assert draws.border(keyed, lambda total: total // 3)[0] == ordered[999]
+    same = spark.range(50).select(F.lit(1).alias("k"), "id")
+    assert draws.sample(same, 7, ["k"]).count() == 7
+    for made in (B.split_baskets(keyed.select(F.col("k").alias("basket"))), C.cap(keyed.select("k", F.col("k").alias("a"), F.col("k").alias("b")), 40), C.holdout(keyed.select(F.col("k").alias("a"), F.col("k").alias("b")))):
+        assert "TakeOrderedAndProject" not in made._jdf.queryExecution().toString() and "TopK" not in made._jdf.queryExecution().toString()
+
+
+def test_very_large_baskets(spark, monkeypatch):
+    """A basket of many chunks: all its pairs once, and no key with more than two chunks of items."""
+    monkeypatch.setattr(C, "TILE", 64)
+    made = [("big", i) for i in range(700)] + [("big", 3)] + [(f"b{k}", i) for k in range(20) for i in range(k, k + 4)] + [("other", i) for i in range(0, 140, 2)]
+    baskets = spark.createDataFrame(made, "basket string, item long")
+    want = Counter(p for b in {m[0] for m in made} for p in combinations(sorted({i for c, i in made if c == b}), 2))
+    assert {(r.a, r.b): r.n for r in C.cooccurrence(baskets).collect()} == want
+    sizes = baskets.distinct().groupBy("basket").agg(F.count("*").alias("size")).where("size > 64")
+    met = C._large_pairs(baskets.distinct(), sizes)
+    keys = [line for line in met._jdf.queryExecution().toString().split("\n") if "Join Inner" in line and "low" in line]
+    assert keys and "high" in keys[0]
 
 
 def test_negatives_and_phenotypes(spark, baskets):
@@ -287,6 +331,15 @@ def test_negatives_of_a_group_that_is_nearly_all_barred(spark):
     assert C.hard_negatives(barred, alone, alone.select("item"), none, none).count() == 0
 
 
+def test_first_free_places(spark):
+    """The least number that isn't taken, within a bitmap and beyond full ones."""
+    full = C.BITS
+    taken = {"none": [3], "next": [0, 1, 1, 2, 5], "byte": [*range(8), 9], "part": [*range(full)], "gap": [*range(full), *range(2 * full, 3 * full)], "beyond": [*range(full + 77), full + 79], "late": [full, full + 1]}
+    rows_ = spark.createDataFrame([(k, p) for k, places in taken.items() for p in places], "k string, place long").repartition(4)
+    got = {r["k"]: r["free"] for r in C._first_free(rows_, ["k"]).collect()}
+    assert got == {"none": 0, "next": 3, "byte": 8, "part": full, "gap": full, "beyond": full + 77, "late": 0}
+
+
 def test_identical_texts_beyond_the_cap(spark):
     made = [(k, f"n{k:04}", f"a text that {k // 5} items share") for k in range(4000)]
     items = spark.createDataFrame(made, "item long, name string, text string")
