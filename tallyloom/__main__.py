@@ -40,16 +40,17 @@ def _baskets(spark: SparkSession, kind: str, path: str, items: DataFrame, limit:
     return (found[0] if isinstance(found, tuple) else found).select("basket", "item")
 
 
-def _encoded(spark: SparkSession, args: argparse.Namespace, items: DataFrame) -> tuple[DataFrame, str]:
-    """Items with encodings and statuses: a table that has them, or the snapshot's lines by a parser."""
+def _encoded(spark: SparkSession, args: argparse.Namespace, items: DataFrame) -> tuple[DataFrame, str, DataFrame | None, Parser | None]:
+    """Items with encodings and statuses, where they are from, and what a parser made them of: a table that has
+    them, or the snapshot's lines (item, name, source) by a parser."""
     if args.encoded:
         rows = spark.read.parquet(args.encoded)
-        return (rows if "status" in rows.columns else divergence.with_markers(rows)), args.encoded
+        return (rows if "status" in rows.columns else divergence.with_markers(rows)), args.encoded, None, None
     parser = Parser(args.parser, args.encode, args.exclude)
     described = parser.describe()
     lines = spark.read.text(args.snapshot).select(F.get_json_object("value", "$.oracle_id").alias("item"), F.col("value").alias("source")).where("item <> ''").dropDuplicates(["item"])
-    made = divergence.encode(items.join(lines, "item", "left"), parser, "source").drop("source")
-    return made, described
+    sources = items.join(lines, "item", "left")
+    return divergence.encode(sources, parser, "source").drop("source"), described, sources, parser
 
 
 def _with_flags(encoded: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def _with_flags(encoded: DataFrame) -> DataFrame:
 
 def run_coverage(spark: SparkSession, args: argparse.Namespace) -> None:
     items = _items(spark, args.items)
-    encoded, described = _encoded(spark, args, items)
+    encoded, described, _, _ = _encoded(spark, args, items)
     parsed, limit = _with_flags(encoded), SMOKE_COVERAGE if args.smoke else args.limit
     folder = f"{args.findings}/smoke" if args.smoke else args.findings
     results = {kind: gates.run_coverage(parsed, _baskets(spark, kind, path, items, limit), folder, kind) for kind, path in args.corpus}
@@ -68,20 +69,24 @@ def run_coverage(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_divergence(spark: SparkSession, args: argparse.Namespace) -> None:
     items = _items(spark, args.items)
-    encoded, described = _encoded(spark, args, items)
-    tiers, skips = {"numeric": pairs.numeric_pairs(items).withColumnRenamed("template", "note")}, {}
+    encoded, described, sources, parser = _encoded(spark, args, items)
+    tiers, skips = {"numeric": pairs.numeric_pairs(items).withColumnRenamed("template", "note"), "identical_text": pairs.identical_text_pairs(items)}, {}
     for name, path in args.pairs:
         found, lost = pairs.curated_pairs(readers.pair_names(spark, path), items)
         missing = [r[0] for r in lost.distinct().orderBy("name").limit(20).collect()]
         if missing:
             skips[f"{name} (names without item)"] = ", ".join(missing)
         tiers[name] = found.withColumnRenamed("role", "note")
-    if args.printings:
-        # wordings of an item are items of their own to the parser
-        worded = pairs.reprint_pairs(readers.printings(spark, args.printings))
-        skips["reprints"] = f"{worded.count()} pairs of wordings; encode them as items of their own to have them scored"
-    else:
+    if not args.printings:
         skips["reprints"] = "no table of all printings is named"
+    elif parser is None:
+        skips["reprints"] = "encodings are given, and wordings need a parser"
+    else:
+        # wordings of an item are items of their own to the parser
+        found, worded = divergence.wordings(pairs.reprint_pairs(readers.printings(spark, args.printings)), sources)
+        tiers["reprints"] = found
+        made = divergence.encode(worded, parser, "source").drop("source")
+        encoded = encoded.unionByName(made, allowMissingColumns=True)
     ordered = {name: tiers[name] for name in sorted(tiers, key=lambda t: list(divergence.TIERS).index(t) if t in divergence.TIERS else 99)}
     for name in [n for n, rows in ordered.items() if not rows.take(1)]:
         skips[name] = "no pairs"

@@ -10,6 +10,10 @@ PRIMARY_TYPES = ("creature", "instant", "sorcery", "enchantment", "artifact", "p
 # Marker lines, and names of their buckets.
 GAP_MARKER, KEYWORD_MARKER = "# SPEC_GAP:", "# UNKNOWN_KEYWORD:"
 SEPARATOR = " [SEP] "
+# Fixed patterns: mana symbols, the same with those that end in P or N, and colour words.
+SYMBOL = r"\{(?:[WUBRGCP0-9]+/)*[WUBRGC]\}"
+WIDER_SYMBOL = r"\{(?:[WUBRGCP0-9N]+/)*[WUBRGCPN]\}"
+COLOURS = r"(?i)\b(white|blue|black|red|green|colorless)\b"
 
 
 def text(column: str | Column) -> Column:
@@ -99,9 +103,7 @@ def numbers_masked(column: str | Column) -> Column:
 
 def symbols_masked(column: str | Column, wider: bool = False) -> Column:
     """Mana symbols become {M} and colour words COLOR. `wider` also takes symbols that end in P or N."""
-    # The alphabets of mana symbols, and the colour words.
-    symbols = r"\{(?:[WUBRGCP0-9N]+/)*[WUBRGCPN]\}" if wider else r"\{(?:[WUBRGCP0-9]+/)*[WUBRGC]\}"
-    return F.regexp_replace(F.regexp_replace(text(column), symbols, "{M}"), r"(?i)\b(white|blue|black|red|green|colorless)\b", "COLOR")
+    return F.regexp_replace(F.regexp_replace(text(column), WIDER_SYMBOL if wider else SYMBOL, "{M}"), COLOURS, "COLOR")
 
 
 def percent(column: str | Column) -> Column:

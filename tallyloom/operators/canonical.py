@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.text import COLOURS, SYMBOL, WIDER_SYMBOL
+
 # Blocks whose children are sets, and fields that say what an item is and not what it does.
 UNORDERED = frozenset(["CARD", "AND", "OR", "FILTER"])
 HEADER = ("NAME", "MANA_COST", "TYPES", "SUPERTYPES", "SUBTYPES", "STATS", "POWER", "TOUGHNESS", "LOYALTY", "DEFENSE", "COLOR", "COLOR_IDENTITY")
-# Fixed patterns: quoted strings, brackets and separators, or words; bindings; numbers; mana symbols; colours.
-LEXEME = re.compile(r"\"[^\"]*\"|[\[\]{},;]|[^\s\[\]{},;\"]+")
+# Fixed pattern: bindings.
 BINDING = re.compile(r"\$[A-Za-z_][A-Za-z0-9_]*")
 NUMBER = re.compile(r"\b\d+\b")
-SYMBOL = re.compile(r"\{(?:[WUBRGCP0-9]+/)*[WUBRGC]\}")
-WIDER_SYMBOL = re.compile(r"\{(?:[WUBRGCP0-9N]+/)*[WUBRGCPN]\}")
-COLOUR = re.compile(r"\b(?:white|blue|black|red|green|colorless)\b", re.IGNORECASE)
+_QUOTED = re.compile('("[^"]*")')
+#: Brackets and separators stand alone; a quote without another one is nothing.
+_APART = str.maketrans({c: f" {c} " for c in "{}[],;"} | {'"': " "})
+
+
+def lexemes(source: str) -> Iterator[str]:
+    """Quoted strings as they are, brackets, separators, and what white space leaves between them."""
+    for k, part in enumerate(_QUOTED.split(source)):
+        if k % 2:
+            yield part
+        else:
+            yield from part.translate(_APART).split()
 
 
 class Block:
@@ -44,7 +57,7 @@ def parse(source: str) -> tuple[Block, bool]:
             path[-1].children.append(" ".join(words))
             words.clear()
 
-    for lexeme in LEXEME.findall(source):
+    for lexeme in lexemes(source):
         match lexeme:
             case "{" | "[":
                 inner = Block(" ".join(words))
@@ -93,12 +106,12 @@ def _shown(root: Block, header: bool, sort_all: bool) -> str:
             parts.append(node)
 
 
-def canonical(encoding: str | None, scope: str = "rules", sort_all: bool = False, name: str | None = None, mask_numbers: bool = False, mask_symbols: bool = False, wider_symbols: bool = False) -> str:
-    """Equal for encodings that differ in comments, layout, names of bindings, or the order of
-    children that are sets. Scope `rules` leaves header fields out, `full` keeps them; `sort_all`
-    sorts sequences too; the item's own name and, as asked, numbers and symbols are masked."""
-    if scope not in ("rules", "full"):
-        raise ValueError(f"scope is rules or full, not {scope!r}")
+#: The four forms: what they keep of the header, and whether sequences are sorted, too.
+FORMS = {f"{scope}_{kind}": (scope == "full", kind == "strict") for scope in ("rules", "full") for kind in ("loose", "strict")}
+
+
+def masked(encoding: str | None, name: str | None = None, mask_numbers: bool = False, mask_symbols: bool = False, wider_symbols: bool = False) -> str:
+    """An encoding in one line, without comments, with bindings numbered, and masked as asked."""
     lines = [line for line in (encoding or "").splitlines() if line.strip() and not line.lstrip().startswith("#")]
     source = " ; ".join(lines)
     if name:
@@ -108,9 +121,36 @@ def canonical(encoding: str | None, scope: str = "rules", sort_all: bool = False
     if mask_numbers:
         source = NUMBER.sub("N", source)
     if mask_symbols:
-        source = COLOUR.sub("COLOR", (WIDER_SYMBOL if wider_symbols else SYMBOL).sub("{M}", source))
-    root, _ = parse(source)
-    return _shown(root, scope == "full", sort_all)
+        source = re.sub(COLOURS, "COLOR", re.sub(WIDER_SYMBOL if wider_symbols else SYMBOL, "{M}", source))
+    return source
+
+
+def canonical(encoding: str | None, scope: str = "rules", sort_all: bool = False, **masks) -> str:
+    """Equal for encodings that differ in comments, layout, names of bindings, or the order of
+    children that are sets. Scope `rules` leaves header fields out, `full` keeps them; `sort_all`
+    sorts sequences too; the item's own name and, as asked, numbers and symbols are masked."""
+    if scope not in ("rules", "full"):
+        raise ValueError(f"scope is rules or full, not {scope!r}")
+    return _shown(parse(masked(encoding, **masks))[0], scope == "full", sort_all)
+
+
+def forms(encoding: str | None, **masks) -> dict[str, str]:
+    """All four forms, by one parse."""
+    root, _ = parse(masked(encoding, **masks))
+    return {form: _shown(root, header, sort_all) for form, (header, sort_all) in FORMS.items()}
+
+
+def forms_column(encoding: str, name: str, **masks) -> Column:
+    """(text, rules_loose, rules_strict, full_loose, full_strict): the first form as it is, and digests of all
+    four, which say whether forms are equal. An encoding is parsed once, in one Arrow call for all."""
+
+    @pandas_udf("text string, " + ", ".join(f"{form} binary" for form in FORMS))
+    def run(encodings: pd.Series, names: pd.Series) -> pd.DataFrame:
+        found = [forms(e, name=n, **masks) for e, n in zip(encodings, names, strict=True)]
+        digests = {form: [hashlib.sha256(f[form].encode()).digest() for f in found] for form in FORMS}
+        return pd.DataFrame({"text": [f["rules_loose"] for f in found]} | digests)
+
+    return run(F.col(encoding), F.col(name))
 
 
 def canonical_column(encoding: str, name: str, **options) -> Column:

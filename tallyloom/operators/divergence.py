@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import GAP_MARKER, KEYWORD_MARKER, gap_category, marker_lines
-from .canonical import canonical_column
+from .canonical import FORMS, forms_column
 
 # Thresholds of the verdict, and the pairs a tier needs.
 PASS, FAIL, NUMERIC, ENOUGH = 0.10, 0.25, 0.05, 20
@@ -47,24 +48,45 @@ def with_markers(encoded: DataFrame) -> DataFrame:
     return encoded.withColumn("gap_category", F.when(status == "gap", gap_category(F.element_at(found, 1)))).withColumn("n_gaps", counted).withColumn("status", status)
 
 
+def wordings(reprints: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of wordings, those wordings (item, name, source) as items of their own) of `reprints` (item,
+    text_a, text_b). `sources` (item, name, source) are JSON objects that a parser takes; a wording's is its item's
+    with the wording as its text. Wordings of items without source, or with one that isn't an object, go."""
+
+    @pandas_udf("string")
+    def reworded(lines: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(line: str, words: str) -> str | None:
+            try:
+                return json.dumps(json.loads(line) | {"oracle_text": words})
+            except (TypeError, ValueError):
+                return None
+
+        return pd.Series([one(line, words) for line, words in zip(lines, texts, strict=True)], dtype=object)
+
+    of = lambda words: F.concat_ws("#", F.col("item").cast("string"), F.md5(words))
+    pairs = reprints.select(of("text_a").alias("a"), of("text_b").alias("b"))
+    texts = reprints.select("item", F.explode(F.array("text_a", "text_b")).alias("words")).distinct()
+    made = texts.join(sources.select("item", "name", "source"), "item").select(of("words").alias("item"), "name", reworded("source", "words").alias("source"))
+    return pairs, made.where("source is not null")
+
+
 def score_pairs(pairs: DataFrame, encoded: DataFrame, mask_numbers: bool = False, mask_symbols: bool = False) -> DataFrame:
     """Pairs (a, b) with statuses, and whether the canonical forms differ in scope rules or full, read
-    loosely or strictly. An item without encoding is excluded. Each distinct item's four forms are made
-    once and joined to both sides."""
+    loosely or strictly. An item without encoding is excluded. Each distinct item is parsed once, and its
+    four forms are joined to both sides as digests, with the text of one."""
     kept = encoded.select("item", "name", "cdl", "status").dropDuplicates(["item"])
     used = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    masks = {"mask_numbers": mask_numbers, "mask_symbols": mask_symbols}
-    forms = {f"{scope}_{kind}": canonical_column("cdl", "name", scope=scope, sort_all=kind == "strict", **masks) for scope in ("rules", "full") for kind in ("loose", "strict")}
-    known = kept.join(used, "item", "left_semi").withColumns(forms)
-    side = lambda x: known.select(F.col("item").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "status", *forms)])
+    made = forms_column("cdl", "name", mask_numbers=mask_numbers, mask_symbols=mask_symbols)
+    known = kept.join(used, "item", "left_semi").select("item", "name", "status", made.alias("f"))
+    side = lambda x: known.select(F.col("item").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "status", "f")])
     joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     status = {x: F.coalesce(f"status_{x}", F.lit("excluded")) for x in "ab"}
     both_encoded = status["a"].isin("clean", "gap") & status["b"].isin("clean", "gap")
     return joined.select(
         *pairs.columns, status["a"].alias("status_a"), status["b"].alias("status_b"),
         ((status["a"] == "clean") & (status["b"] == "clean")).alias("both_clean"), both_encoded.alias("both_encoded"),
-        *[F.when(both_encoded, F.col(f"{f}_a") != F.col(f"{f}_b")).alias(f"diverge_{f}") for f in forms],
-        F.when(both_encoded, F.col("rules_loose_a")).alias("canonical_a"), F.when(both_encoded, F.col("rules_loose_b")).alias("canonical_b"), "name_a", "name_b",
+        *[F.when(both_encoded, F.col(f"f_a.{f}") != F.col(f"f_b.{f}")).alias(f"diverge_{f}") for f in FORMS],
+        F.when(both_encoded, F.col("f_a.text")).alias("canonical_a"), F.when(both_encoded, F.col("f_b.text")).alias("canonical_b"), "name_a", "name_b",
     )
 
 

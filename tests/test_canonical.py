@@ -2,7 +2,8 @@
 
 import pytest
 
-from tallyloom.operators.canonical import canonical, canonical_column, parse, truncated_column
+from tallyloom.operators import divergence
+from tallyloom.operators.canonical import FORMS, canonical, canonical_column, forms, lexemes, parse, truncated_column
 
 
 def spell(effect: str) -> str:
@@ -64,3 +65,23 @@ def test_deep_nesting():
     deep = "CARD { " + "A { " * depth + "x; y" + " }" * depth + " }"
     assert canonical(deep).count("{") == depth + 1
     assert canonical(deep) == canonical(deep.replace("A { ", "A {  "))
+
+
+def test_four_forms_by_one_parse(spark):
+    """As one by one, and with digests that tell forms apart as they do; one Python stage in a plan of scores."""
+    found = [spell("ADD { A 1; B $x }"), "CARD { NAME: \"Foo\" TYPES: [X, Y] SPELL { B; A } }", None, "A } B", '"un closed { "x" y', "a,b;c{d:e f:}"]
+    for source in found:
+        assert forms(source, name="Foo", mask_numbers=True) == {f"{scope}_{kind}": canonical(source, scope, kind == "strict", name="Foo", mask_numbers=True) for scope in ("rules", "full") for kind in ("loose", "strict")}
+    rows = spark.createDataFrame([(k, "n", c, "clean") for k, c in enumerate(found)], "item long, name string, cdl string, status string")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(a)], "a long, b long")
+    scored = divergence.score_pairs(pairs, rows)
+    for r in scored.collect():
+        x, y = forms(found[r.a], name="n"), forms(found[r.b], name="n")
+        assert [r[f"diverge_{f}"] for f in FORMS] == [x[f] != y[f] for f in FORMS] and (r.canonical_a, r.canonical_b) == (x["rules_loose"], y["rules_loose"])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert len({line.split("[")[1] for line in plan.split("\n") if "ArrowEvalPython" in line}) <= 2  # one for each side of the join, of one UDF
+
+
+def test_lexemes():
+    assert list(lexemes('A{B:"x { y"z,[c];d} "e')) == ["A", "{", "B:", '"x { y"', "z", ",", "[", "c", "]", ";", "d", "}", "e"]
+    assert list(lexemes("")) == [] and list(lexemes(' \t""')) == ['""']

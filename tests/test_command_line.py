@@ -76,6 +76,19 @@ def test_divergence(spark, files, tmp_path):
     assert "Verdict: " in (tmp_path / "t1_divergence.md").read_text()
 
 
+def test_wordings_are_scored(spark, files, tmp_path):
+    """Two wordings of one item are parsed each, and compared with each other."""
+    printed = [("c0", "draw 1 of 0 longer words"), ("c0", "draw one card"), ("c1", "draw 2"), ("c1", "draw  2"), ("c2", "keep it"), ("c2", "keep that"), ("gone", "x y"), ("gone", "z")]
+    lines = [json.dumps({"oracle_id": i, "name": i, "printed_text": t}) for i, t in printed]
+    (tmp_path / "all.json").write_text("[\n" + ",\n".join(lines) + "\n]\n")
+    words = ["divergence", "--items", f"{files}/cards", "--printings", f"{tmp_path}/all.json", "--findings", str(tmp_path), *with_parser(files)]
+    assert main(words, spark) == 0
+    found = json.loads((tmp_path / "t1_divergence.json").read_text())
+    sets = {s["tier"]: s for s in found["sets"]}
+    assert "reprints" not in found["skips"] and (sets["reprints"]["n_pairs"], sets["reprints"]["n_both_clean"], sets["reprints"]["clean_rules_loose"]) == (3, 2, 1.0)
+    assert sets["identical_text"]["n_pairs"] > 0 and sets["identical_text"]["clean_rules_loose"] == 0.0
+
+
 def test_leakage_and_merge(spark, files, tmp_path):
     words = ["leakage", "--items", f"{files}/cards", "--eval-pairs", f"{files}/eval.csv", "--clusters", f"{files}/clusters", "--vectors", f"{files}/vectors", "--findings", str(tmp_path), "--smoke"]
     assert main([*words, "--corpus", f"precon={files}/precon", "--tag", "a"], spark) == 0
