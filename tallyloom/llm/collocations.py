@@ -19,6 +19,8 @@ from .words import Lexer, slices
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Words whose n-grams are counted together before they leave a task.
 GROUP = 1_500_000
+#: Shares of a language's candidates that are ranked apart before its first ones are.
+SHARES = 64
 #: Rows sent on together, and bits of the filter that is broadcast, at most.
 _ROWS, SLOTS = 100_000, 1 << 29
 _BREAK = np.zeros(256, bool)
@@ -226,8 +228,11 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     same = (F.col("b.lang") == F.col("e.lang")) & (F.col("b.phrase") == F.col("e.phrase"))
     apart = best.alias("b").join(extended.alias("e"), same & (F.col("longest") * 100 >= F.col("b.a") * share), "left_anti")
     rows = apart.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    first = rows.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
+    # a language's first ones are among the first of each of its shares
+    ordered = [F.desc("score"), F.desc("a"), "phrase"]
+    place = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*ordered))
+    some = rows.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("_place", place("_share")).where(F.col("_place") <= top)
+    first = some.withColumn("rank", place().cast("long")).where(F.col("rank") <= top)
     totals = counts.where("n = 0").select("lang", F.col("f").alias("n"))
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

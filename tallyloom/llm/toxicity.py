@@ -155,7 +155,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evide
 
     Labels say toxic or not; severity grades 1 to `grades` divide the toxic ones evenly by how much
     evidence (1 + log counts of the words that speak for toxic) they hold, and the others are grade 0.
-    A text that occurs more than once counts once, as toxic if any label says so, and of texts that
+    Of an id's texts the one with the least digest counts. A text that occurs more than once counts once, as toxic if any label says so, and of texts that
     share a least hash of five-word runs, near-copies that is, one counts; null labels, null
     texts and labels without document are left out. Without toxic labels nothing is ever graded.
 
@@ -165,7 +165,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evide
     labelled = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     chosen = labelled.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).where(F.col("_text").isNotNull())
-    found = texts.join(F.broadcast(chosen), "_id").groupBy(F.sha2("_text", 256).alias("_at")).agg(F.first("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
+    # an id that many rows have gives one text, so no more than `sample` are looked at
+    once = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct(F.sha2("_text", 256).alias("_at"), "_text")).alias("t"), F.first("_toxic").alias("_toxic"))
+    found = once.groupBy("t._at").agg(F.first("t._text").alias("_text"), F.max("_toxic").alias("_toxic"))
     held = cut(found.select("_at", "_toxic", "_text").mapInArrow(_document_words, "_at string, _toxic int, words array<int>, counts array<int>, sketch array<bigint>"))
     seen_hashes, kept = set(), []
     for r in held.select("_at", "sketch").orderBy("_at").collect():

@@ -346,6 +346,19 @@ def test_ordinal_likelihood():
     assert len(set(model.likeliest(np.full(5, 1.3)).tolist())) == 1
 
 
+def test_an_id_that_many_rows_have(spark):
+    """One of its texts is looked at, so what reaches the driver is bounded by the sample."""
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
+    base = [(i, words(30) + (" idiot moron" if i % 2 else "")) for i in range(60)]
+    many = [(i % 60, words(30)) for i in range(600)]
+    least = {}
+    for i, text in base + many:
+        least[i] = min(least.get(i, (b"", "~")), (text.encode(), hashlib.sha256(text.encode()).hexdigest()), key=lambda t: t[1])
+    one = toxicity.fit_toxicity(spark.createDataFrame([(i, t[0].decode()) for i, t in least.items()], "doc_id long, text string"), labels)
+    all_of = toxicity.fit_toxicity(spark.createDataFrame(base + many, "doc_id long, text string"), labels)
+    assert np.array_equal(one.words, all_of.words) and np.allclose(one.weights, all_of.weights) and np.allclose(one.cuts, all_of.cuts)
+
+
 def test_toxicity(spark):
     insults = ["idiot", "moron", "scumbag", "worthless"]
     made = []
