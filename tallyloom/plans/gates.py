@@ -178,20 +178,26 @@ def merge_results(partials: list[DataFrame]) -> DataFrame:
     return merged
 
 
+def partial_results(spark: SparkSession, folder: str, pattern: str = "t2_leakage_partial_*.json") -> DataFrame:
+    """(path, place, arm, corpus, result) of the results in a folder's findings, in order; the same rung twice is an
+    error. `result` is a variant, so files may differ in what a result holds and in its types."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("found"))
+    results = files.select("path", F.posexplode(F.try_variant_get("found", "$.results", "array<variant>")).alias("place", "result"))
+    named = results.select("path", "place", *[F.try_variant_get("result", f"$.{k}", "string").alias(k) for k in ("arm", "corpus")], "result")
+    twice = named.groupBy("arm", "corpus").agg(F.count("*").alias("n"), F.max("path").alias("path")).where("n > 1").orderBy("arm", "corpus").limit(5).collect()
+    if twice:
+        raise ValueError(f"rungs that ran twice: {[(r['arm'], r['corpus'], r['path']) for r in twice]}")
+    return named
+
+
 def merge_files(spark: SparkSession, folder: str, pattern: str = "t2_leakage_partial_*.json") -> dict:
-    """Findings of partial runs in a folder as one, with the comparison to the reference means."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).orderBy("path")
-    results: dict[tuple[str, str], dict] = {}
-    sources = []
-    for row in files.select("path", F.decode("content", "utf-8").alias("body")).collect():
-        sources.append(row["path"])
-        for r in json.loads(row["body"]).get("results", []):
-            if (r["arm"], r["corpus"]) in results:
-                raise ValueError(f"the rung {r['arm']}/{r['corpus']} ran twice, again in {row['path']}")
-            results[r["arm"], r["corpus"]] = r
-    first = next((r for (arm, _), r in results.items() if arm == "2a"), None)
-    means = (first["curated"].get("mean_substitute_cosine"), first["curated"].get("mean_random_cluster_cosine")) if first else (None, None)
-    return {"results": list(results.values()), "harness": similarity.harness(*means), "run_args": {"merged_from": sources}}
+    """Findings of partial runs in a folder as one, with the comparison to the reference means. There are as many
+    results as rungs; they reach the driver for the report."""
+    found = partial_results(spark, folder, pattern).orderBy("path", "place")
+    rows = found.select("path", F.to_json("result").alias("body"), *[F.try_variant_get("result", f"$.curated.{k}", "double").alias(k) for k in ("mean_substitute_cosine", "mean_random_cluster_cosine")], "arm").collect()
+    first = next((r for r in rows if r["arm"] == "2a"), None)
+    means = (first["mean_substitute_cosine"], first["mean_random_cluster_cosine"]) if first else (None, None)
+    return {"results": [json.loads(r["body"]) for r in rows], "harness": similarity.harness(*means), "run_args": {"merged_from": sorted({r["path"] for r in rows})}}
 
 
 def report(spark: SparkSession, folder: str, name: str, findings: dict, text: str, inputs: list[str], run_args: dict | None = None) -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.lineage import through_files
 from ..operators import pairs
 from ..sources import readers, sinks
-from . import gates, probes
-from .queries import _part_items, _query, _t
+from . import gates, probes, queries
+from .queries import SQL, _part_items, _query, _t
 
 
 def _ordered(df: DataFrame, *keys: str) -> DataFrame:
@@ -179,19 +179,38 @@ def probe_files(spark, d):
     return through_files(spark, written, read)
 
 
-@_query("SELECT 0.85::DOUBLE AS t0_pass, true AS part_exists, false AS lost_exists, 64 AS digest_length, count(*) AS n_strata, 'x' AS asked FROM (VALUES (1), (2), (3), (4)) v(k)")
+@_query(f"SELECT 0.85::DOUBLE AS t0_pass, true AS part_exists, false AS lost_exists, 64 AS digest_length, 'x' AS asked, stratum, coverage FROM ({SQL['strata']})")
 def findings_file(spark, d):
-    """Findings with thresholds and the manifest of their inputs, read back from JSON."""
-    strata = [{"stratum": name, "coverage": 0.5} for name in ("all", "non_land", "non_staple", "non_land_non_staple")]
+    """Findings of the strata with thresholds and the manifest of their inputs, read back from JSON."""
+    rows = [r.asDict() for r in queries.strata(spark, d).select("stratum", "coverage").collect()]
     part, lost = f"{d}/nation.parquet", f"{d}/lost.parquet"
 
     def written(folder):
-        gates.report(spark, folder, "found", {"strata": strata}, sinks.table(strata), [part, lost], {"asked": "x"})
+        gates.report(spark, folder, "found", {"strata": rows}, sinks.table(rows), [part, lost], {"asked": "x"})
 
     def read(folder):
         inputs = F.from_json(F.to_json("inputs"), "map<string, struct<exists: boolean, sha256: string>>")
-        rows = spark.read.option("multiLine", True).json(f"{folder}/found.json")
+        found = spark.read.option("multiLine", True).json(f"{folder}/found.json")
         at = lambda path: F.element_at(inputs, F.lit(path))
-        return rows.select(F.col("thresholds.t0.pass").alias("t0_pass"), at(part)["exists"].alias("part_exists"), at(lost)["exists"].alias("lost_exists"), F.length(at(part)["sha256"]).alias("digest_length"), F.size("strata").cast("long").alias("n_strata"), F.col("run_args.asked").alias("asked"))
+        told = [F.col("thresholds.t0.pass").alias("t0_pass"), at(part)["exists"].alias("part_exists"), at(lost)["exists"].alias("lost_exists"), F.length(at(part)["sha256"]).alias("digest_length"), F.col("run_args.asked").alias("asked")]
+        return found.select(*told, F.explode("strata").alias("s")).select("*", "s.stratum", "s.coverage").drop("s")
+
+    return through_files(spark, written, read)
+
+
+@_query("SELECT CASE WHEN n_regionkey < 2 THEN '2a' ELSE '2b' END AS arm, n_name AS corpus, CASE WHEN n_regionkey < 2 THEN n_nationkey END AS n_total, CASE WHEN n_regionkey >= 2 THEN n_nationkey / 10 END AS lift FROM nation")
+def merge_partial_files(spark, d):
+    """Findings of two schemas, one of which has a number where the other has a text, as one table."""
+    nation = _t(spark, d, "nation")
+    first = nation.where("n_regionkey < 2").select(F.lit("2a").alias("arm"), F.col("n_name").alias("corpus"), F.col("n_nationkey").alias("n_total"), F.lit("none").alias("lift"))
+    second = nation.where("n_regionkey >= 2").select(F.lit("2b").alias("arm"), F.col("n_name").alias("corpus"), (F.col("n_nationkey") / 10).alias("lift"))
+
+    def written(folder):
+        for rows in (first, second):
+            rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("results"))).alias("value")).write.mode("append").text(folder)
+
+    def read(folder):
+        found = gates.partial_results(spark, folder, "*.txt")
+        return found.select("arm", "corpus", F.try_variant_get("result", "$.n_total", "bigint").alias("n_total"), F.try_variant_get("result", "$.lift", "double").alias("lift"))
 
     return through_files(spark, written, read)
