@@ -37,7 +37,8 @@ def cooccurrence(baskets: DataFrame) -> DataFrame:
     pairs of chunks first, so none costs a task its square. Pairs are counted before they are shuffled.
     The cost is the sum of squared basket sizes, halved."""
     items = distinct_items(baskets)
-    large = items.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
+    # rows, repeats included, bound a basket's items from above, and need no distinct
+    large = baskets.where("item is not null").groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
     joined = lambda own: own.withColumnRenamed("item", "a").join(own.withColumnRenamed("item", "b"), "basket").where("a < b").select("a", "b")
     if not large.take(1):
         pairs = joined(items)
@@ -95,7 +96,12 @@ def order_statistics(rows: DataFrame, column: str, ranks: list[int], few: int =
             shares = [min(1.0, max(0.0, (r - below) / inside + way * off)) for way in (-1, 1)]
             asked += [F.kll_sketch_get_quantile_double(sketch, F.lit(share)).alias(f"{name}{k}") for share, name in zip(shares, ("low", "high"), strict=True)]
         ends = values.agg(*asked).first()
-        counts = values.agg(*[F.count_if(c).alias(f"{name}{k}") for k in range(len(state)) for name, c in (("below", F.col("v") < ends[f"low{k}"]), ("lowest", F.col("v") == ends[f"low{k}"]), ("inside", F.col("v").between(ends[f"low{k}"], ends[f"high{k}"])), ("highest", F.col("v") == ends[f"high{k}"]))]).first()
+        v, wanted = F.col("v"), []
+        for k in range(len(state)):
+            least, most = ends[f"low{k}"], ends[f"high{k}"]
+            parts = {"below": v < least, "lowest": v == least, "inside": v.between(least, most), "highest": v == most}
+            wanted += [F.count_if(c).alias(f"{name}{k}") for name, c in parts.items()]
+        counts = values.agg(*wanted).first()
         for k, (r, (low, high, below, inside, off)) in enumerate(list(state.items())):
             under, lowest, own, highest = (counts[f"{name}{k}"] for name in ("below", "lowest", "inside", "highest"))
             if not under <= r < under + own:
@@ -191,7 +197,8 @@ def _first_free(taken: DataFrame, keys: list[str]) -> DataFrame:
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
     whole = (F.bitmap_count("bits") == BITS) & (F.col("part") == F.row_number().over(ordered) - 1)
     full = bits.withColumn("whole", whole).withColumn("full", F.min("whole").over(upto))
-    prefix = full.groupBy(*keys).agg(F.count_if("full").alias("parts"), F.min_by("bits", F.when(~F.col("full"), F.col("part"))).alias("bits"), F.min(F.when(~F.col("full"), F.col("part"))).alias("part"))
+    other = F.when(~F.col("full"), F.col("part"))
+    prefix = full.groupBy(*keys).agg(F.count_if("full").alias("parts"), F.min_by("bits", other).alias("bits"), F.min(other).alias("part"))
     # of the first byte that isn't full the ones below its least zero
     written = F.hex("bits")
     bytes_full = (F.length(F.regexp_extract(written, "^(?:FF)*", 0)) / 2).cast("int")
