@@ -255,12 +255,13 @@ def _written(folder: str, path: str, end: int, file_ids: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and write their ids in ascending id order; (part, file, docs, ids, bytes).
 
-    Rows are dealt into ranges of ids, sorted by Spark, and encoded in order; each range writes
+    Rows are dealt into ranges of ids and of how their texts begin, sorted by Spark, and encoded in order; each range writes
     files of about `file_ids` ids that hold whole documents, their ids and lengths, and how many
     ids of the range come before. Each document ends with `end`; a null text is empty, null ids
     come first, rows with one id are ordered by text. A repeated attempt writes the same files."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    ordered = texts.repartitionByRange(partitions(docs.sparkSession), "_id").sortWithinPartitions("_id", "_text")
+    begins = F.substring("_text", 1, 64)  # an id that very many rows have goes to several ranges
+    ordered = texts.repartitionByRange(partitions(docs.sparkSession), F.col("_id"), begins).sortWithinPartitions("_id", "_text")
     return cut(ordered.mapInArrow(_written(folder, tokenizer, end, file_ids), "part long, file string, docs long, ids long, bytes long"))
 
 

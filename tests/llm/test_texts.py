@@ -275,6 +275,22 @@ def test_packed_ids():
                 assert (tokens.unpack(data, 3, 7) == ids[384:896]).all()
 
 
+def test_an_id_of_most_rows_is_dealt_into_ranges(spark, tmp_path):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    rows = [(None if i % 3 else i, f"{words(3)} {i % 50}" if i % 7 else None) for i in range(900)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = tokens.write_tokens(texts, f"file://{tmp_path}/t", path)
+    assert {r["part"] for r in made.where("docs > 0").collect()} == {0, 1, 2, 3} and made.agg({"docs": "max"}).first()[0] < 500
+    tokenizer, start, want = Tokenizer.from_file(path), 0, []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((-1 if doc_id is None else doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert keyed(tokens.read_tokens(spark, f"file://{tmp_path}/t", made).collect()) == sorted(want, key=repr)
+
+
 def test_token_files(spark, docs):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     from tokenizers import Tokenizer
