@@ -101,9 +101,9 @@ def test_turns(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Hi?"), (1, 2, "user", "Hello?"), (1, 3, "assistant", "Hi."), (1, 4, "user", "Bye.")]
     turns = spark.createDataFrame(rows, "conv long, turn long, role string, text string")
     audit = conversations.audited(turns).first()
-    assert (audit["cost"], audit["illegal"], audit["audit"]) == (4, 1, "KDKKD")
+    assert (audit["cost"], audit["illegal"], audit["audit"]) == (3, 1, "KKRRR")
     got = [tuple(r) for r in conversations.repaired_turns(turns).orderBy("place").collect()]
-    assert got == [(1, 0, "K", "system", "Be kind."), (1, 1, "K", "user", "Hello?"), (1, 2, "K", "assistant", "Hi.")]
+    assert got == [(1, 0, "K", "system", "Be kind."), (1, 1, "K", "user", "Hi?"), (1, 2, "R", "assistant", "Hello?"), (1, 3, "R", "user", "Hi."), (1, 4, "R", "assistant", "Bye.")]
 
 
 def test_empty(spark):
