@@ -302,7 +302,9 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, id_col: s
 
 def token_table(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files, read them back, and return what `read_tokens` returns for all rows of
-    `docs`; the files are removed. An empty table gives no rows; other columns are ignored."""
+    `docs`; the files are removed. An empty table gives no rows; other columns are ignored, whatever their names.
+    Rows with one id each keep their row, in order of their texts; equal rows differ in `start` alone. A very
+    long text is encoded whole, and lies in one file with those beside it."""
     spark = docs.sparkSession
     folder = files.shared_folder(spark, "tokens")
     try:

@@ -567,7 +567,11 @@ def convert(spark: SparkSession, source: str, target: str, part: int = files.PAR
 def through_files(records: DataFrame, carry: str) -> DataFrame:
     """Write response records as WARC files, convert these into files of derived records, and return
     what is read of them, with the long column `carry` that CARRIED holds; the files lie in the shared
-    folder meanwhile, and what is read of them is stored."""
+    folder meanwhile, and what is read of them is stored.
+
+    A null block is empty and gives a metadata record; a record of another type gives none; repeated records
+    give equal records each, and rows have no order, so ties don't matter. A very long block is one member, held whole by
+    the task that reads it. An empty table gives no rows; columns that a record doesn't have are ignored."""
     spark = records.sparkSession
     top = files.shared_folder(spark, "warc")
     try:
