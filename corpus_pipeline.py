@@ -61,7 +61,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it; documents it doesn't take go. Documents
     without words have no size to balance and stay as they are. Rows with one id and one text
-    are taken as one row with their copies together."""
+    are taken as one row with their copies together. An empty table stays empty."""
     key, copies, copy = _fresh(docs, "key"), _fresh(docs, "copies"), _fresh(docs, "copy")
     mixed = mixing.mix(docs.select(_row_key().alias(key), "text", "source"), id_col=key)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
@@ -71,7 +71,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of nearly equal bytes, copies of a text together."""
+    """Eight shards of nearly equal bytes, copies of a text together. Null and empty texts have size 1; an empty
+    table gives no rows."""
     return sharding.minimax_shards(docs)
 
 
