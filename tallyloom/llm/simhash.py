@@ -156,7 +156,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     Each fingerprint is cut into the fewest segments of which one differs by at most a bit, and
     every segment is indexed once for each of its bits with that bit deleted. Rows with one key
     form a bucket, sorted by Spark, and are verified there. A small bucket emits its linked pairs,
-    a larger one a spanning forest of them. Repeated fingerprints give no edge more; none give no rows; null isn't one."""
+    a larger one a spanning forest of them. Repeated fingerprints give no edge more; none give no rows."""
     keyed = fps.mapInArrow(_variants(distance), "key long, fp long")
     dealt = keyed.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_linked(distance), "a long, b long").distinct()
