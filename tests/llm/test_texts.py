@@ -303,6 +303,8 @@ def test_token_files(spark, docs):
         want.append((-1 if doc_id is None else doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert keyed(tokens.token_table(more, path).collect()) == sorted(want, key=repr)
+    clashing = more.selectExpr("doc_id", "text", "'x' as start", "1 as _id", "'y' as _text", "2 as n_tokens")
+    assert keyed(tokens.token_table(clashing, path).collect()) == sorted(want, key=repr)
     assert tokens.token_table(docs.limit(0), path).count() == 0
 
 
