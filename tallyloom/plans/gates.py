@@ -181,7 +181,13 @@ def merge_results(partials: list[DataFrame]) -> DataFrame:
 def partial_results(spark: SparkSession, folder: str, pattern: str = "t2_leakage_partial_*.json") -> DataFrame:
     """(path, place, arm, corpus, result) of the results in a folder's findings, in order; the same rung twice is an
     error. `result` is a variant, so files may differ in what a result holds and in its types."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("found"))
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    # Python writes numbers that JSON doesn't know
+    known = F.regexp_replace("value", r"(?<=[:,\[])(\s*)(?:NaN|-?Infinity)(?=\s*[,\]}])", "$1null")
+    files = raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json(known).alias("found"))
+    broken = [r["path"] for r in files.where("found is null").select("path").limit(5).collect()]
+    if broken:
+        raise ValueError(f"not JSON: {broken}")
     results = files.select("path", F.posexplode(F.try_variant_get("found", "$.results", "array<variant>")).alias("place", "result"))
     named = results.select("path", "place", *[F.try_variant_get("result", f"$.{k}", "string").alias(k) for k in ("arm", "corpus")], "result")
     twice = named.groupBy("arm", "corpus").agg(F.count("*").alias("n"), F.max("path").alias("path")).where("n > 1").orderBy("arm", "corpus").limit(5).collect()

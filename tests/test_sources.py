@@ -88,6 +88,13 @@ def test_merge(spark, tmp_path):
     (tmp_path / "t2_leakage_partial_b.json").write_text(json.dumps({"results": [part("2b", "casual", n_total=5)]}))
     merged = gates.merge_files(spark, str(tmp_path))
     assert [(r["arm"], r["corpus"]) for r in merged["results"]] == [("2a", "precon"), ("2b", "casual")] and merged["harness"]["matches_reference"]
+    (tmp_path / "t2_leakage_partial_d.json").write_text(json.dumps({"results": [part("2c", "cedh", lift=float("nan"), ends=[float("-inf"), 1.5])]}, indent=2))
+    odd = gates.merge_files(spark, str(tmp_path))["results"][-1]
+    assert odd["lift"] is None and odd["ends"] == [None, 1.5]
+    (tmp_path / "t2_leakage_partial_e.json").write_text("{")
+    with pytest.raises(ValueError, match="not JSON"):
+        gates.merge_files(spark, str(tmp_path))
+    (tmp_path / "t2_leakage_partial_e.json").unlink()
     (tmp_path / "t2_leakage_partial_c.json").write_text(json.dumps({"results": [part("2b", "casual")]}))
     with pytest.raises(ValueError, match="casual"):
         gates.merge_files(spark, str(tmp_path))
