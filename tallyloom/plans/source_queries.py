@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import through_files
+from ..functions.lineage import tasks_for, through_files
 from ..operators import pairs
 from ..sources import readers, sinks
 from . import gates, probes, queries
 from .queries import SQL, _part_items, _query, _t
 
 
-def _ordered(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows in order of the keys over the files that are written."""
-    return df.repartitionByRange(4, *keys).sortWithinPartitions(*keys)
+def _ordered(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows in order of the keys over the files that are written; there are as many files as so many rows need."""
+    return df.repartitionByRange(max(4, tasks_for(rows)), *keys).sortWithinPartitions(*keys)
 
 
 @_query("SELECT p_partkey::VARCHAR AS item, p_name AS name, p_type AS oracle_text, p_brand AS type_line, p_size::DOUBLE AS cmc, p_brand AS colour FROM part WHERE p_size > 1")
@@ -22,7 +22,7 @@ def item_snapshot(spark, d):
     """Gzipped JSON lines with two versions of each item, the last of which counts, and lines without id."""
     part = _t(spark, d, "part").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("version"))
     name = F.when(F.col("version") == 1, F.col("p_name")).otherwise(F.lit("old"))
-    cards = _ordered(part, "p_partkey", "version").select(F.when(F.col("p_size") > 1, F.col("p_partkey").cast("string")).otherwise(F.lit("")).alias("oracle_id"), name.alias("name"), F.col("p_type").alias("oracle_text"), F.col("p_brand").alias("type_line"), F.col("p_size").cast("double").alias("cmc"), F.array("p_brand").alias("color_identity"))
+    cards = _ordered(part, 2 * _t(spark, d, "part").count(), "p_partkey", "version").select(F.when(F.col("p_size") > 1, F.col("p_partkey").cast("string")).otherwise(F.lit("")).alias("oracle_id"), name.alias("name"), F.col("p_type").alias("oracle_text"), F.col("p_brand").alias("type_line"), F.col("p_size").cast("double").alias("cmc"), F.array("p_brand").alias("color_identity"))
     found = through_files(spark, lambda f: cards.write.option("compression", "gzip").json(f), lambda f: readers.item_snapshot(spark, f))
     return found.select("item", "name", "oracle_text", "type_line", "cmc", F.element_at("color_identity", 1).alias("colour"))
 
@@ -42,7 +42,7 @@ def _named_baskets(spark, d, limit=None):
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     kind, name = F.col("o_orderkey") % 4, F.col("n_name")
     one = F.when(kind == 0, F.upper(name)).when(kind == 1, F.concat(name, F.lit(" // x"))).when(kind == 2, "nobody").otherwise(name)
-    decks = _ordered(rows, "o_orderkey").select(F.col("o_orderkey").cast("string").alias("deck_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("commander"), F.array(one, "r_name").alias("card_names"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
+    decks = _ordered(rows, orders.count(), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("deck_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("commander"), F.array(one, "r_name").alias("card_names"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
     named = nation.select(F.col("n_nationkey").alias("item"), F.col("n_nationkey").alias("ordinal"), F.when(F.col("n_nationkey") >= 0, F.concat(name, F.lit(" // x"))).alias("name"))
     plain = nation.select(F.col("n_nationkey").alias("item"), F.col("n_nationkey").alias("ordinal"), name.alias("name"))
     return through_files(spark, decks.write.json, lambda f: readers.named_baskets(spark, f, named.unionByName(plain), limit)[0])
@@ -83,7 +83,7 @@ def fixed_baskets(spark, d):
 
 @_query(_deck_sql("precon", "deck IN (SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1 LIMIT 200)"))
 def fixed_baskets_limited(spark, d):
-    rows = _ordered(_deck_rows(spark, d), "deck_id", "oracle_id")
+    rows = _ordered(_deck_rows(spark, d), _t(spark, d, "lineitem").count(), "deck_id", "oracle_id")
     return through_files(spark, rows.write.parquet, lambda f: readers.fixed_baskets(spark, f, 200))
 
 

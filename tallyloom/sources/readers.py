@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.lineage import cut
 from ..functions.text import text
 from ..operators import names
 from ..operators.pairs import TAG_PREFIXES, curated_pairs, tag_index
@@ -20,6 +21,8 @@ ITEM = "oracle_id string, name string, oracle_text string, type_line string, cmc
 CASUAL = "deck_id string, commander string, card_names array<string>, created_at string"
 #: Fixed value: the source that tournament baskets carry.
 TOURNAMENT = "edhtop16"
+#: Rows, for each basket that is still wanted, that are looked at in file order at a time.
+AHEAD = 128
 
 
 def _ordinal() -> Column:
@@ -68,11 +71,23 @@ def _from_pairs(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def _first_baskets(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first `limit` baskets in file order, before rows are judged valid."""
+    """The first `limit` baskets in file order, before rows are judged valid.
+
+    The first rows of baskets that aren't known yet name the next ones, until there are enough: a task holds the
+    first rows only, no rows are sorted or moved, and each look finds one basket at least."""
     if limit is None:
         return rows
-    kept = rows.groupBy("deck_id").agg(F.min("ordinal").alias("o")).orderBy("o").limit(limit).select("deck_id")
-    return rows.join(kept, "deck_id", "left_semi")
+    kept, found = None, 0
+    while found < limit:
+        wanted = limit - found
+        rest = rows if kept is None else rows.join(F.broadcast(kept.select(F.col("deck_id").alias("_known"))), F.col("deck_id").eqNullSafe(F.col("_known")), "left_anti")
+        first = rest.select("deck_id", "ordinal").orderBy("ordinal").limit(AHEAD * wanted)
+        more = cut(first.groupBy("deck_id").agg(F.min("ordinal").alias("o")).orderBy("o").limit(wanted).select("deck_id"))
+        n = more.count()
+        kept, found = more if kept is None else cut(kept.union(more)), found + n
+        if not n:
+            break
+    return rows.limit(0) if kept is None else rows.join(F.broadcast(kept), "deck_id", "left_semi")
 
 
 def tournament_baskets(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
