@@ -77,9 +77,10 @@ def score_pairs(pairs: DataFrame, encoded: DataFrame, mask_numbers: bool = False
     kept = encoded.select("item", "name", "cdl", "status").dropDuplicates(["item"])
     used = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
     made = forms_column("cdl", "name", mask_numbers=mask_numbers, mask_symbols=mask_symbols)
-    known = kept.join(used, "item", "left_semi").select("item", "name", "status", made.alias("f"))
+    # texts are longer than they are estimated: they aren't for the driver to broadcast
+    known = kept.join(used.hint("merge"), "item", "left_semi").select("item", "name", "status", made.alias("f"))
     side = lambda x: known.select(F.col("item").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "status", "f")])
-    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    joined = pairs.join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
     status = {x: F.coalesce(f"status_{x}", F.lit("excluded")) for x in "ab"}
     both_encoded = status["a"].isin("clean", "gap") & status["b"].isin("clean", "gap")
     return joined.select(
