@@ -99,3 +99,15 @@ def test_weights_by_additions(n):
     (found,) = similarity._weighed(131)(iter([batch]))
     w = sum(((x[:, None] * np.arange(131) + y[:, None]) % similarity.PRIME >= c).astype(int) for c in similarity.CUTS)
     assert found.column("n").to_pylist() == w.sum(axis=0).tolist() and np.allclose(found.column("s"), values @ w)
+
+
+def test_values_of_the_bootstrap_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PER_TASK", 50)
+    rows = [(s, f"p{k}", str(k), str(k + 1), k / 200) for k in range(100) for s in ("substitute", "random")]
+    cosines = spark.createDataFrame(rows, "side string, pair string, a string, b string, cosine double").coalesce(1)
+    sums, dealt = similarity._weighed, []
+    monkeypatch.setattr(similarity, "_weighed", lambda replicates: sums(replicates))
+    frame = type(cosines)
+    made = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *args, **named: dealt.append(tasks(self)) or made(self, *args, **named))
+    assert similarity.bootstrap(cosines, 100).first()["lift"] is not None and dealt == [4]
