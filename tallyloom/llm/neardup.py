@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, running
@@ -19,6 +19,8 @@ BANDS, ROWS = 32, 4
 #: Members of a bucket up to which every pair is looked at; a larger one is linked in blocks, which overlap, before
 #: tiles of so many shingles a side compare what those left apart.
 _FEW, _BLOCK, _STEP = 8, 512, 384
+#: Large buckets of a member, the largest ones, in whose blocks it is linked.
+_LARGEST = 3
 _VOLUME = 1 << 19
 #: Pairs of a member up to which each is looked at on its own.
 _SINGLY = 40
@@ -84,7 +86,7 @@ def sketches(shingle: int):
 
 
 def shingles(shingle: int):
-    """(node, sorted hashes of the distinct shingles) of texts."""
+    """(node, band keys, sorted hashes of the distinct shingles) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,18 +94,19 @@ def shingles(shingle: int):
                 continue
             sets = [hashes for _, hashes in _sets(batch.column("_text"), shingle)]
             bounds = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("keys"), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "keys", "hashes"])
 
     return run
 
 
 def _candidates(similarity: float):
-    """Pairs of small buckets (block null), and members of blocks of large ones, with the bucket's key (b null)."""
+    """Pairs of small buckets (block null), and members of blocks of large ones, with the bucket's key and members and
+    the member's size (b null)."""
 
     def bucket(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         members = np.diff(bounds)
-        a, b, block, of = [], [], [], []
+        a, b, block, of, size = [], [], [], [], []
         for lag in range(1, _FEW):
             at = np.concatenate([bounds[:-1][(members > lag + k) & (members <= _FEW)] + k for k in range(_FEW - lag)])
             x, y = sizes[at], sizes[at + lag]
@@ -116,15 +119,17 @@ def _candidates(similarity: float):
                 top = min(low + _BLOCK, bounds[k + 1])
                 a.append(nodes[low:top])
                 block.append(np.full(top - low, mixed(keys[low : low + 1].view(np.uint64) + np.uint64(low - bounds[k]))[0]).view(np.int64))
-                of.append(np.full(top - low, keys[low]))
+                of.append(np.stack([np.full(top - low, keys[low]), np.full(top - low, members[k])]))
+                size.append(sizes[low:top])
                 if top == bounds[k + 1]:
                     break
         a, n = np.concatenate(a), sum(len(x) for x in block)
         missing = lambda head, tail: np.concatenate([np.full(head, False), np.full(tail, True)])
         second = pa.array(np.concatenate([*b, np.zeros(n, np.int64)]), pa.int64(), mask=missing(none, n))
         blocks = pa.array(np.concatenate([np.zeros(none, np.int64), *block]), pa.int64(), mask=~missing(none, n))
-        buckets = pa.array(np.concatenate([np.zeros(none, np.int64), *of]), pa.int64(), mask=~missing(none, n))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), second, blocks, buckets], ["a", "b", "block", "bucket"])
+        buckets, counts = (pa.array(x, pa.int64(), mask=~missing(none, n)) for x in np.concatenate([np.zeros((2, none), np.int64), *of], axis=1))
+        own = pa.array(np.concatenate([np.zeros(none, np.int32), *size]), pa.int32(), mask=~missing(none, n))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), second, blocks, buckets, counts, own], ["a", "b", "block", "bucket", "members", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
@@ -197,13 +202,22 @@ def _blocks(similarity: float):
 
 
 def band_candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, block, bucket) over `classes` (node, _size, _keys): every pair of a small bucket that the numbers of
-    shingles allow (block null), and the members of blocks of a large one (b null), ordered by the next
-    band so that what is near lies together. Blocks alone miss pairs: `left_apart` compares the others."""
+    """(a, b, block, bucket, members, size) over `classes` (node, _size, _keys): every pair of a small bucket that the
+    numbers of shingles allow (block null), and the members of blocks of a large one (b null) with the
+    number of its members and their own of shingles, ordered by the next band so that what is near lies
+    together. Blocks alone miss pairs: `left_apart` compares the others."""
     following = F.concat(F.slice("_keys", 2, BANDS - 1), F.slice("_keys", 1, 1))
     keyed = classes.select("node", F.col("_size").alias("size"), F.explode(F.arrays_zip(F.col("_keys").alias("key"), following.alias("next"))).alias("k")).select("k.key", "node", "size", "k.next")
     dealt = keyed.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "next", "node").select("key", "node", "size")
-    return dealt.mapInArrow(_candidates(similarity), "a long, b long, block long, bucket long")
+    return dealt.mapInArrow(_candidates(similarity), "a long, b long, block long, bucket long, members long, size int")
+
+
+def largest_blocks(found: DataFrame) -> DataFrame:
+    """(block, node): of what `band_candidates` found the blocks of each member's largest buckets. Copies that are near
+    share most of their buckets, and a few of them link what all would; what they don't is for `left_apart`."""
+    order = Window.partitionBy("a").orderBy(F.desc("members"), "bucket")
+    ranked = found.where("block is not null").withColumn("place", F.dense_rank().over(order))
+    return ranked.where(F.col("place") <= _LARGEST).select("block", F.col("a").alias("node"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -216,7 +230,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def linked_blocks(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect what is similar within each block (block, node)."""
-    dealt = blocks.join(sets, "node").select("block", "node", "hashes").repartition(partitions(blocks.sparkSession), "block")
+    dealt = blocks.join(sets.select("node", "hashes"), "node").select("block", "node", "hashes").repartition(partitions(blocks.sparkSession), "block")
     return dealt.sortWithinPartitions("block").mapInArrow(_blocks(similarity), "a long, b long")
 
 
@@ -275,9 +289,9 @@ def _tiles(similarity: float):
     return run
 
 
-def left_apart(members: DataFrame, classes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """Edges (a, b) between members of one large bucket (bucket, node) whose groups, by `roots` (node, root) of
-    the links found so far, differ; None if there are no such members.
+def left_apart(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Edges (a, b) between members of one large bucket (bucket, node, size) whose groups, by `roots` (node, root) of
+    the links found so far, differ; None if there are no such members. `sets` are (node, keys, hashes).
 
     Every pair of them is compared exactly once: in the first bucket that holds both. A bucket's
     members are put in order, the largest group first, and cut into blocks of so many shingles; a tile is two blocks, or
@@ -285,15 +299,16 @@ def left_apart(members: DataFrame, classes: DataFrame, roots: DataFrame, sets: D
     them, and only a family whose members are not linked costs its square, dealt into tiles. Each tile
     is a key of its own: no task holds more than two blocks."""
     spark = members.sparkSession
-    named = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    named = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     named = cut(named)
     several = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     shares = cut(named.join(several, "bucket", "left_semi").groupBy("bucket", "root").agg(F.count("*").alias("n")))
     if not shares.take(1):
         return None
-    own = named.join(shares, ["bucket", "root"]).join(classes.select("node", F.col("_size").alias("size"), F.col("_keys").alias("keys")), "node")
-    placed = running(own.withColumn("rare", -F.col("n")), ["bucket", "rare", "root", "node"], {"before": (F.col("size") + 16).cast("long")})
-    placed = cut(placed.select("bucket", "node", "root", F.floor(F.col("before") / _VOLUME).alias("block"), (F.array_position("keys", F.col("bucket")) - 1).cast("int").alias("band"), "keys"))
+    own = named.join(shares, ["bucket", "root"]).withColumn("rare", -F.col("n"))
+    placed = cut(running(own, ["bucket", "rare", "root", "node"], {"before": (F.col("size") + 16).cast("long")}))
+    starts = placed.groupBy("bucket").agg(F.min("before").alias("start"))  # a bucket's blocks begin where it begins
+    placed = cut(placed.join(starts, "bucket").select("bucket", "node", "root", F.floor((F.col("before") - F.col("start")) / _VOLUME).alias("block")))
     blocks = cut(placed.groupBy("bucket", "block").agg(F.min("root").alias("x"), F.max("root").alias("y")))
     alike = blocks.where("x = y").groupBy("bucket", F.col("x").alias("root")).agg(F.min("block").alias("from"), F.max("block").alias("to"))
     ends = blocks.groupBy("bucket").agg(F.min("block").alias("lowest"), F.max("block").alias("highest"))
@@ -301,6 +316,7 @@ def left_apart(members: DataFrame, classes: DataFrame, roots: DataFrame, sets: D
     others = blocks.select("bucket", "block").join(ends, "bucket").join(pure, ["bucket", "block"], "left")
     met = others.withColumn("other", F.explode(F.sequence("lowest", "highest"))).where("from is null or not other between from and to")
     tiles = met.select("bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    asked = placed.join(tiles, ["bucket", "block"]).join(sets, "node").select("bucket", "low", "high", "block", "node", "root", "band", "keys", "hashes")
+    band = (F.array_position("keys", F.col("bucket")) - 1).cast("int").alias("band")
+    asked = placed.join(tiles, ["bucket", "block"]).join(sets, "node").select("bucket", "low", "high", "block", "node", "root", band, "keys", "hashes")
     dealt = asked.repartition(partitions(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "block")
     return dealt.mapInArrow(_tiles(similarity), "a long, b long")

@@ -209,20 +209,20 @@ def near_groups(docs: DataFrame, similarity: float = neardup.SIMILARITY, shingle
     equal = classes.select("_sim", "node").join(sims, "_sim").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     found = cut(neardup.band_candidates(classes, similarity))
     pairs = found.where("block is null").select("a", "b").union(by_bits.select(F.least("a", "b"), F.greatest("a", "b"))).union(equal)
-    pairs, blocks = cut(pairs.distinct()), found.where("block is not null").select("block", F.col("a").alias("node"))
-    members = found.where("block is not null").select("bucket", F.col("a").alias("node")).distinct()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(blocks.select("node")).distinct()
+    pairs, blocks = cut(pairs.distinct()), neardup.largest_blocks(found)
+    members = found.where("block is not null").select("bucket", F.col("a").alias("node"), "size").distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     # a class's words are read from the row with its least id; copies of it are one row
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_name")
-    chosen = classes.join(wanted, "node", "left_semi").select(F.col("_holder.mark").alias("_mark"), named("_holder.id"), "node")
-    one = texts.select("_mark", named("_id"), "_text").join(chosen, ["_mark", "_name"]).groupBy("_mark", "_name", "node").agg(F.first("_text").alias("_text"))
-    sets = cut(one.select("node", "_text").mapInArrow(neardup.shingles(shingle), "node long, hashes array<long>"))
+    chosen = classes.join(wanted, "node", "left_semi").select(F.col("_holder.mark").alias("_mark"), named("_holder.id"), "node", F.col("_keys").alias("keys"))
+    one = texts.select("_mark", named("_id"), "_text").join(chosen, ["_mark", "_name"]).groupBy("_mark", "_name", "node").agg(F.first("_text").alias("_text"), F.first("keys").alias("keys"))
+    sets = cut(one.select("node", "keys", "_text").mapInArrow(neardup.shingles(shingle), "node long, keys array<long>, hashes array<long>"))
     with small_batches(spark, 64):  # a row is a whole set here
         large = cut(neardup.linked_blocks(blocks, sets, similarity))
     edges = cut(neardup.confirmed(pairs, sets, similarity).unionByName(large))
     roots = components(edges)
     with small_batches(spark, 64):
-        apart = neardup.left_apart(members, classes, roots, sets, similarity)
+        apart = neardup.left_apart(members, roots, sets, similarity)
         more = None if apart is None else cut(apart)
     if more is not None and more.take(1):
         roots = components(edges.unionByName(more))

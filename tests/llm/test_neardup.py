@@ -80,6 +80,17 @@ def test_a_large_bucket_without_a_centre(spark, monkeypatch):
     assert got == {k: k - k % 2 for k, _ in texts}
 
 
+def test_a_family_of_copies_is_dealt_a_few_times(spark, monkeypatch):
+    """A near copy shares most of 32 buckets with its family: it lies in blocks of a few of them, and all are one group."""
+    dealt, linked = [], neardup.linked_blocks
+    monkeypatch.setattr(neardup, "linked_blocks", lambda blocks, *more: dealt.append(blocks.groupBy("node").count().agg({"count": "max"}).first()[0]) or linked(blocks, *more))
+    base = [f"b{k}" for k in range(150)]
+    texts = [(k, " ".join([*base[: k % 140], f"x{k}", *base[k % 140 + 1 :]])) for k in range(900)]
+    got = dict(simhash.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert set(got.values()) == {0} and len(got) == 900
+    assert dealt and dealt[0] <= 8
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(300))
     rows = [(5, None), (4, ""), (3, " \n"), (7, "One two"), (6, "one  TWO"), (None, "only null ids"), (None, "only null ids"), (None, long), (9, long + " more"), (9, "another text of nine"), (2, "x " * 40_000), (1, "x " * 40_000)]
