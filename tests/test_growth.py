@@ -33,6 +33,21 @@ def test_tasks_grow_with_pairs(spark, monkeypatch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
+@pytest.mark.parametrize("most", [C.TILE, 3])
+def test_rows_are_dealt_before_they_are_made_distinct(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "TILE", most)
+    monkeypatch.setattr(lineage, "PER_TASK", 40)
+    plans, store = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or store(df))
+    made = [(b, f"i{(b * 5 + j * j) % 23}") for b in range(60) for j in range(6)]
+    frame = spark.createDataFrame([*made, *made, (1, None)], "basket long, item string")
+    counts = C.cooccurrence(frame)
+    distinct = next(p for p in plans if "keys=[basket" in p)
+    assert distinct.rindex("keys=[basket") < distinct.rindex("Exchange hashpartitioning(basket")
+    baskets = {b: {i for c, i in made if c == b} for b in range(60)}
+    assert {(r.a, r.b): r.n for r in counts.collect()} == Counter(p for own in baskets.values() for p in combinations(sorted(own), 2))
+
+
 def test_texts_of_one_file_go_to_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(encoder, "PER_TASK", 500)
     texts = spark.createDataFrame([(k, f"some {k % 7} words of {k}") for k in range(90)], "item long, text string").coalesce(1)
