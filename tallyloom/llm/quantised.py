@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import tasks_for
 from .common import cut, join_hot, partitions
 from .components import components
 from .words import mixed
@@ -28,11 +29,14 @@ SUBSPACES, CODES = 8, 64
 DEVIATIONS = 3.0
 #: Rows of a list, and queries to it, that meet in one task.
 TILE = 2048
+#: Where queries reach more than this share of a quantiser of so many lists at most, lists are as long as tiles, and
+#: tiles have so many times the rows and the queries: probes of short lists would cost more than the comparisons.
+WIDE, TRIED, TALL, BROAD = 0.25, 256, 2, 8
 #: Candidate pairs that are compared together, and long lists that are named to all tasks.
 _PAIRS, _NAMED = 1 << 17, 50_000
 _SLACK = 1e-9
-#: Heads of rows: check, list, weight, error; of queries: check, error, scale.
-_HELD, _ASKED = "<Iiqd", "<Iff"
+#: Heads of rows: check, list, weight, error; of queries: check, error, scale, dimensions.
+_HELD, _ASKED = "<Iiqd", "<IffI"
 _HELD_SIZE, _ASKED_SIZE = struct.calcsize(_HELD), struct.calcsize(_ASKED)
 
 
@@ -68,11 +72,13 @@ def _near(squares: np.ndarray, nearest: np.ndarray, centres: np.ndarray, reach:
 @dataclass
 class Quantiser:
     """Coarse centres of unit vectors in two levels, and codebooks for the residuals in each subspace.
-    A list belongs to a centre of the second level; its number counts those of all first ones."""
+    A list belongs to a centre of the second level; its number counts those of all first ones. Queries are
+    sent in so many bits a component."""
 
     tops: np.ndarray
     centres: list[np.ndarray]
     books: list[np.ndarray]
+    bits: int = 8
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES) -> Quantiser:
@@ -111,6 +117,14 @@ class Quantiser:
             where.append(starts[t] + which)
         return np.concatenate(who), np.concatenate(where)
 
+    def reached(self, points: np.ndarray, reach: float) -> float:
+        """The share of all lists that a point probes, of the mean of some points."""
+        some = points[:: max(1, len(points) // 1024)]
+        return len(self.probes(some, reach)[0]) / (len(some) * int(self.starts()[-1]))
+
+    def digits(self) -> np.dtype:
+        return np.dtype(f"<i{self.bits // 8}")
+
     def parts(self) -> list[slice]:
         edges = np.cumsum([0, *(b.shape[1] for b in self.books)])
         return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
@@ -158,9 +172,13 @@ def _cells(space: np.ndarray, lists: np.ndarray) -> np.ndarray:
     return mixed(mixed(space.view(np.uint64)) + lists.astype(np.uint64)).view(np.int64)
 
 
+def _reach(radius: float, deviations: float | None, dim: int) -> float:
+    return radius * (1.0 if deviations is None else min(1.0, deviations / dim**0.5))
+
+
 def _indexed(shared, kind: np.dtype, radius: float, deviations: float | None):
     """Of each class a row for its list, which holds the vector, its codes and its weight, and a query for
-    each list to be probed, which holds the vector in 8 bits a component with the error of that."""
+    each list to be probed, which holds the vector in 8 or 16 bits a component with the error of that."""
     names = ["cell", "node", "held", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +195,12 @@ def _indexed(shared, kind: np.dtype, radius: float, deviations: float | None):
                     codes, error = quantiser.encode(points, lists)
                     held = [struct.pack(_HELD, *head) + c.tobytes() + r for *head, c, r in zip(check.tolist(), lists.tolist(), rows.column("_n").to_pylist(), error.tolist(), codes, raw, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(_cells(space, lists)), rows.column("node"), pa.array(np.ones(len(held), bool)), pa.array(held, pa.binary())], names)
-                    scale = (np.abs(points).max(axis=1) / 127).astype(np.float32)
-                    eighth = np.rint(points / scale[:, None]).astype(np.int8)
-                    off = np.sqrt(((points - eighth * scale[:, None].astype(np.float64)) ** 2).sum(1)) + 1e-6
-                    asked = pa.array([struct.pack(_ASKED, *head) + e.tobytes() for *head, e in zip(check.tolist(), off.tolist(), scale.tolist(), eighth, strict=True)], pa.binary())
-                    who, where = quantiser.probes(points, radius * (1.0 if deviations is None else min(1.0, deviations / dim**0.5)))
+                    most = np.iinfo(quantiser.digits()).max
+                    scale = (np.abs(points).max(axis=1) / most).astype(np.float32)
+                    rounded = np.clip(np.rint(points / scale[:, None]), -most, most).astype(quantiser.digits())
+                    off = np.sqrt(((points - rounded * scale[:, None].astype(np.float64)) ** 2).sum(1)) + 1e-6
+                    asked = pa.array([struct.pack(_ASKED, *head, dim) + e.tobytes() for *head, e in zip(check.tolist(), off.tolist(), scale.tolist(), rounded, strict=True)], pa.binary())
+                    who, where = quantiser.probes(points, _reach(radius, deviations, dim))
                     which = pa.array(who)
                     yield pa.RecordBatch.from_arrays([pa.array(_cells(space[who], where)), rows.column("node").take(which), pa.array(np.zeros(len(who), bool)), asked.take(which)], names)
 
@@ -226,24 +245,42 @@ def _matched(shared, kind: np.dtype, radius: float):
         rows, asked = np.flatnonzero(held), np.flatnonzero(~held)
         heads = [struct.unpack_from(_HELD, data[i]) for i in rows]
         queries = [struct.unpack_from(_ASKED, data[i]) for i in asked]
-        dim = len(data[asked[0]]) - _ASKED_SIZE
+        dim = queries[0][3]
         quantiser: Quantiser = shared.value[dim]
         width = len(quantiser.books)
         y = _unit([data[i][_HELD_SIZE + width :] for i in rows], kind)
         codes = np.frombuffer(b"".join(data[i][_HELD_SIZE : _HELD_SIZE + width] for i in rows), np.uint8).reshape(len(rows), width)
         check, lists, weight, error = (np.array(c) for c in zip(*heads, strict=True))
-        asked_check, off, scale = (np.array(c) for c in zip(*queries, strict=True))
-        x = np.frombuffer(b"".join(data[i][_ASKED_SIZE :] for i in asked), np.int8).reshape(len(asked), dim) * scale[:, None]
+        asked_check, off, scale, _ = (np.array(c) for c in zip(*queries, strict=True))
+        x = np.frombuffer(b"".join(data[i][_ASKED_SIZE :] for i in asked), quantiser.digits()).reshape(len(asked), dim) * scale[:, None]
         offset = x - np.concatenate(quantiser.centres)[lists[0]]
+        decoded = np.concatenate([book[codes[:, s]] for s, book in enumerate(quantiser.books)], axis=1)
+        # a product of 32 bits is at least 0 where a decoded row is within reach; `loose` is more than its rounding
+        reach, loose = radius + off + _SLACK, 1e-6 * (dim + 16)
+        coded = np.column_stack([decoded, error, np.ones(len(y)), ((decoded**2).sum(1) - error**2) / 2]).astype(np.float32).T
+        sought = np.column_stack([offset, reach, (reach**2 - (offset**2).sum(1)) / 2, -np.ones(len(x))]).astype(np.float32)
+        # the same for the rows themselves, whose distance decides but for the rounding and the query's error
+        whole = np.column_stack([y, (y**2).sum(1) / 2]).astype(np.float32).T
+        plain = np.column_stack([x, -np.ones(len(x))]).astype(np.float32)
+        squares, within = (x**2).sum(1), radius - off - _SLACK
+        inner, outer = np.where(within > 0, (squares - within**2) / 2 + loose, np.inf), (squares - reach**2) / 2 - loose
         left, right = nodes[asked], nodes[rows]
+        alike = len({*check.tolist(), *asked_check.tolist()}) == 1
+        _, mine, same = np.intersect1d(left, right, return_indices=True)
         links = np.zeros((len(x), len(y)), bool)
         for at in range(0, len(x), 256):
             some = slice(at, at + 256)
-            far = np.zeros((len(x[some]), len(y)))
-            for s, (part, book) in enumerate(zip(quantiser.parts(), quantiser.books, strict=True)):
-                far += _squares(offset[some, part], book)[:, codes[:, s]]
-            reach = (radius + off[some, None] + error[None, :] + _SLACK) ** 2
-            i, j = np.nonzero((far <= reach) & (asked_check[some, None] == check[None, :]) & (left[some, None] != right[None, :]))
+            near = sought[some] @ coded >= -loose
+            if not alike:
+                near &= asked_check[some, None] == check[None, :]
+            here = (mine >= at) & (mine < at + 256)
+            near[mine[here] - at, same[here]] = False
+            if np.count_nonzero(near) > near.size // 64:  # too many to look at one by one
+                products = plain[some] @ whole
+                certain = products > inner[some, None]
+                links[some] = near & certain
+                near &= (products >= outer[some, None]) & ~certain
+            i, j = np.nonzero(near)
             for k in range(0, len(i), _PAIRS):
                 a, b = i[k : k + _PAIRS] + at, j[k : k + _PAIRS]
                 apart = np.sqrt(((x[a] - y[b]) ** 2).sum(1))
@@ -252,9 +289,8 @@ def _matched(shared, kind: np.dtype, radius: float):
                 open_pairs = ~sure & (apart - off[a] <= radius + _SLACK)
                 for into, values in zip(out, (left[a[open_pairs]], right[b[open_pairs]], np.full(int(open_pairs.sum()), -1)), strict=True):
                     into.append(values)
-        counts = links @ weight
-        some = counts > 0
-        for into, values in zip(out, (left[some], None, counts[some]), strict=True):
+        some = links.any(1)
+        for into, values in zip(out, (left[some], None, links[some] @ weight), strict=True):
             into.append(values)
         edges = np.array(_forest(links, left, right), np.int64).reshape(-1, 2)
         for into, values in zip(out, (edges[:, 0], edges[:, 1], np.zeros(len(edges), np.int64)), strict=True):
@@ -307,6 +343,18 @@ def _compared(kind: np.dtype, cosine: float):
     return run
 
 
+def _fitted(points: np.ndarray, lists: int, long: int, reach: float) -> Quantiser:
+    """A quantiser of `lists` lists, or of `long` ones where queries would probe most of those anyway: then
+    a query is sent to few, and its 16 bits a component leave hardly a pair open."""
+    some = points[:: -(-len(points) // (TRIED * PER_LIST * 4))]
+    tried = Quantiser.fit(some, min(lists, TRIED))
+    if lists > long and tried.reached(some, reach) > WIDE:
+        made = Quantiser.fit(points[: long * PER_LIST * 4], long)
+        made.bits = 16
+        return made
+    return tried if lists <= TRIED and len(some) == len(points) else Quantiser.fit(points, lists)
+
+
 def embedding_groups(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE, rows_per_list: int = ROWS, tile: int = TILE, deviations: float | None = DEVIATIONS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links by cosine of at least `cosine` between rows with one label, and groups of linked rows.
 
@@ -325,11 +373,12 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98, sample: int = SAM
     the difference is, along each line between centres, up to `deviations` times its mean square:
     in d dimensions the radius times deviations / sqrt(d), beyond which some 1 in 700 differences
     of the whole radius lie on either side. With `deviations` None, or up to deviations squared
-    dimensions, the bound is that of the triangle inequality, and no link is lost. Table lookups
-    give distances to the coded rows; rows whose distance less all known coding errors is within
-    reach are compared with the query in 8 bits a component, and the few pairs that its error leaves
-    open, exactly. A long list is dealt into tiles, and of a tile only counts, a spanning forest of
-    links and open pairs come out."""
+    dimensions, the bound is that of the triangle inequality, and no link is lost. Where that is most lists,
+    lists are made as long as tiles. Products with the decoded rows
+    give distances to them; rows whose distance less all known coding errors is within
+    reach are compared with the query in 8 bits a component (16 where lists are long), and the few pairs that
+    its error leaves open, exactly. A long list is dealt into tiles, and of a tile only counts, a spanning
+    forest of links and open pairs come out."""
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
     kind = np.dtype(np.float32 if isinstance(element, T.FloatType) else np.float64)
@@ -345,11 +394,15 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98, sample: int = SAM
     for size, largest, count in by_length.collect():  # one for each length of vector
         lists = max(1, min(-(-largest // rows_per_list), sample // PER_LIST))
         chosen = classes.where(F.octet_length("_raw") == size).orderBy(F.xxhash64("_key"), "_key").limit(min(count, lists * PER_LIST * 4, sample)).select("_raw").collect()
-        quantisers[size // kind.itemsize] = Quantiser.fit(_unit([bytes(r[0]) for r in chosen], kind), lists)
+        points, dim = _unit([bytes(r[0]) for r in chosen], kind), size // kind.itemsize
+        quantisers[dim] = _fitted(points, lists, -(-largest // (TALL * tile)), _reach(radius, deviations, dim))
     shared = spark.sparkContext.broadcast(quantisers)
+    tall, broad = (TALL * tile, BROAD * tile) if any(q.bits > 8 for q in quantisers.values()) else (tile, tile)
     indexed = cut(classes.select("space", "check", "node", "_n", "_raw").mapInArrow(_indexed(shared, kind, radius, deviations), "cell long, node long, held boolean, data binary"))
-    sizes = indexed.groupBy("cell").agg(F.ceil(F.count_if("held") / tile).cast("int").alias("row_tiles"), F.ceil(F.count_if(~F.col("held")) / tile).cast("int").alias("query_tiles"))
-    long = cut(sizes.where("row_tiles > 1 or query_tiles > 1"))
+    sizes = indexed.groupBy("cell").agg(F.count_if("held").alias("rows"), F.count_if(~F.col("held")).alias("queries"))
+    sizes = cut(sizes.select("*", F.ceil(F.col("rows") / tall).cast("int").alias("row_tiles"), F.ceil(F.col("queries") / broad).cast("int").alias("query_tiles")))
+    sent = sizes.agg(F.coalesce(F.sum(F.col("rows") * F.greatest("query_tiles", F.lit(1)) + F.col("queries") * F.greatest("row_tiles", F.lit(1))), F.lit(0))).first()[0]
+    long = sizes.where("row_tiles > 1 or query_tiles > 1").drop("rows", "queries")
     many = long.count() > _NAMED
     joined = indexed.join(long if many else F.broadcast(long), "cell", "left")
     row_tiles, query_tiles = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("row_tiles", "query_tiles"))
@@ -358,7 +411,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98, sample: int = SAM
     dealt = joined.select("cell", "node", "held", "data", mine.alias("mine"), others.alias("other"))
     keys = ["cell", "row_tile", "query_tile"]
     tiles = dealt.select("cell", F.when(F.col("held"), F.col("mine")).otherwise(F.col("other")).alias("row_tile"), F.when(F.col("held"), F.col("other")).otherwise(F.col("mine")).alias("query_tile"), "node", "held", "data")
-    ordered = tiles.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    ordered = tiles.repartition(max(partitions(spark), tasks_for(sent)), *keys).sortWithinPartitions(*keys)
     schema = "a long, b long, links long"
     found = cut(ordered.mapInArrow(_matched(shared, kind, radius), schema))
     side = lambda a, x, *more: classes.select(F.col("node").alias(a), F.col("_raw").alias(x), *more)
